@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import decontam, langid, mixing, quality, secrets, simhash
-from wardline.llm.common import crc_bucket, table
+from wardline.llm import decontam, langid, licenses, media, mixing, pii, quality, secrets, simhash, urls
+from wardline.llm.common import crc_bucket, cut, table
 from wardline.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,38 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no images, so each embedding is drawn as one; every 20th, cropped and edited, is searched among all."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    images = cut(media.drawn(vectors, "vec_id", "embedding"))
+    edited = media.drawn(vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", edit=True)
+    found = media.find_copies(edited, images, "vec_id", "data")
+    matches = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.array_sort(F.collect_list(F.struct("class_id", "votes"))).alias("m"))
+    rows = media.classes(images, "vec_id", "data").withColumnRenamed("id", "vec_id").join(matches, "vec_id", "left")
+    return rows.select("vec_id", "class_id", F.coalesce(F.size("m"), F.lit(0)).alias("n_matches"), F.transform("m", lambda m: m["class_id"]).alias("matches"))
+
+
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pii.pseudonymise(docs, key="corpus-key")
+    return done.select("doc_id", "text", *[F.col(f"pii_counts.{k}").alias(f"n_{k}") for k in pii.TYPES])
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no fetch times and no list: a page is fetched on a day given by its id, and a host is listed, and delisted, by its digest."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 365).cast("int")))
+    hosts = pages.select(urls.host_of(F.col("url")).alias("host")).dropna().distinct()
+    known = hosts.select(F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1).alias("domain")).where("domain <> ''").distinct()
+    number = lambda i, n: F.conv(F.substring(F.md5("domain"), i, 4), 16, 10).cast("int") % n
+    since = F.date_add(F.lit("2024-01-01").cast("date"), number(1, 300))
+    chosen = known.where(number(5, 4) == 0)
+    entries = chosen.select("domain", since.alias("at"), F.lit(True).alias("listed")).unionByName(
+        chosen.where(number(9, 2) == 0).select("domain", F.date_add(since, number(13, 120) + 1).alias("at"), F.lit(False).alias("listed")))
+    judged = urls.filter_urls(captures, entries)
+    return judged.select("page_id", "url", F.col("fetched_at").cast("string").alias("fetched_at"), "blocked", "entry", F.col("listed_since").cast("string").alias("listed_since"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(crc_bucket("doc_id", 3) == 1, F.lit(False))
@@ -61,13 +93,23 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no paths: a document lies in a directory given by its source and id, every tenth is that directory's licence file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    place = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.format_string("p%d", F.expr("doc_id div 1000")), F.format_string("m%d", F.expr("doc_id div 20")))
+    path = F.concat(place, F.when(F.col("doc_id") % 10 == 0, "/LICENSE").otherwise(F.format_string("/f%d.txt", "doc_id")))
+    scanned = licenses.scan_licenses(docs.withColumn("path", path), keep=("doc_id", "path"))
+    return licenses.inherit(scanned).select("doc_id", "path", "own_license", "cosine", "license", "license_from")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_simhash_near_dedup, op2_benchmark_decontamination, op3_language_id, op4_secret_scans, op8_quality_classifier, op10_source_mixing,
+        op1_simhash_near_dedup, op2_benchmark_decontamination, op3_language_id, op4_secret_scans, op5_media_copies, op6_pii_surrogates,
+        op7_url_filters, op8_quality_classifier, op9_license_scans, op10_source_mixing,
     )}
 
 

@@ -22,6 +22,27 @@ items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
   sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from doc left join hits using (r) left join items using (r)
+""",
+    "op7_url_filters": """
+with page as (
+  select page_id, url, cast(date '2024-01-01' + cast(page_id % 365 as integer) as date) as fetched_at,
+    nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\\.$', ''), '') as host
+  from pages
+), known as (
+  select distinct regexp_extract(host, '([^.]+\\.[^.]+\\.[^.]+)$', 1) as domain from page where host is not null
+), entry as (
+  select domain, md5(domain) as m from known where domain <> ''
+), listed as (
+  select domain, cast(date '2024-01-01' + cast(('0x' || m[1:4])::int % 300 as integer) as date) as f,
+    case when ('0x' || m[9:12])::int % 2 = 0 then date '2024-01-01' + cast(('0x' || m[1:4])::int % 300 + ('0x' || m[13:16])::int % 120 + 1 as integer) end as t
+  from entry where ('0x' || m[5:8])::int % 4 = 0
+), best as (
+  select page_id, url, fetched_at, max_by(domain, length(domain)) as entry, max_by(f, length(domain)) as since
+  from page join listed on (host = domain or ends_with(host, '.' || domain)) and f <= fetched_at and (t is null or fetched_at < t)
+  group by all
+)
+select page.page_id, page.url, cast(page.fetched_at as varchar) as fetched_at, entry is not null as blocked, entry, cast(since as varchar) as listed_since
+from page left join best on best.page_id is not distinct from page.page_id and best.url is not distinct from page.url
 """,
     "op10_source_mixing": f"""
 with doc as (
