@@ -11,22 +11,14 @@ from wardline.functions import fixed
 from wardline.operators import etl
 from wardline.plans import nl
 from wardline.plans.base_sql import BASE, ICD9, SPECIFIC
+from wardline.plans.registry import registry
 from wardline.sources.views import AS_OF, Views, with_clauses
 
-QUERIES, SQL = {}, {}
+QUERIES, SQL, query = registry()
 PLAIN = ["patient_id", "age", "gender", "ethnicity", "insurance", "age_group", "mortality", "hospital_los_days", "icu_los_days", "icu_stays", "num_procedures", "num_medications", "num_encounters",
          "num_diagnoses", "comorbidity_score", "risk_level", "utilization_category", "high_complexity", "admission_type", "emergency_admission", "has_icu_stay"]
 
 
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-    return keep
-
-
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.patient_table(Views(spark, sf_dir), AS_OF)
 
