@@ -51,7 +51,7 @@ def demographics_as_of(spark, sf_dir):
     return etl.demographics(Views(spark, sf_dir).patients, AS_OF, age_at_death=False).select("patient_id", "mortality", "age")
 
 
-@query(BASE + "select age_group, count(*) as n, min(age) as youngest, max(age) as oldest, sum(mortality) as deaths from grouped group by 1")
+@query(BASE + "select age_group, count(*) as n, min(age) as youngest, max(age) as oldest, cast(sum(mortality) as bigint) as deaths from grouped group by 1")
 def age_group_ladder(spark, sf_dir):
     return etl.demographics(Views(spark, sf_dir).patients, AS_OF).groupBy("age_group").agg(
         F.count("*").alias("n"), F.min("age").alias("youngest"), F.max("age").alias("oldest"), F.sum("mortality").alias("deaths"))

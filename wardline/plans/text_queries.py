@@ -96,7 +96,7 @@ def tokenize(spark, sf_dir):
 
 
 @query("""with c as (select doc_id, text, unnest(range(0, cast(greatest(ceil((length(text) - 100) / 400.0), 1) as bigint))) as i from documents)
-select doc_id, count(*) as chunks, sum(length(substr(text, cast(i * 400 + 1 as bigint), 500))) as chars, md5(string_agg(substr(text, cast(i * 400 + 1 as bigint), 500), '|' order by i)) as digest from c group by 1""")
+select doc_id, count(*) as chunks, cast(sum(length(substr(text, cast(i * 400 + 1 as bigint), 500))) as bigint) as chars, md5(string_agg(substr(text, cast(i * 400 + 1 as bigint), 500), '|' order by i)) as digest from c group by 1""")
 def chunk_fixed_stride(spark, sf_dir):
     c = X.stride_chunks(F.col("text"), 500, 100)
     return Views(spark, sf_dir).documents.select("doc_id", c.alias("c")).select(
