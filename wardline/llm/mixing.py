@@ -41,7 +41,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
     out = out.withColumn("level", (F.col("total") - before) / F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
     level = F.max(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(everything)
     out = out.withColumn("target", F.when(F.col("ratio") <= F.col("level"), F.col("most")).otherwise(F.col("w") * level))
-    out = out.withColumn("hi", F.coalesce(F.floor(F.sum("target").over(by_idx.rowsBetween(Window.unboundedPreceding, 0)) / F.col("total") * GRID), F.lit(0)))
+    out = out.withColumn("hi", F.coalesce(F.floor(F.try_divide(F.sum("target").over(by_idx.rowsBetween(Window.unboundedPreceding, 0)), F.col("total")) * GRID), F.lit(0)))
     out = out.withColumn("hi", F.when(F.col("idx") == F.max("idx").over(everything), F.lit(GRID)).otherwise(F.col("hi")).cast("bigint"))
     return out.withColumn("lo", F.coalesce(F.lag("hi").over(by_idx), F.lit(0))).select("source", "n", "source_size", "idx", "target", "lo", "hi")
 
