@@ -144,7 +144,7 @@ def label_positions(net: Network, raw: np.ndarray, starts: np.ndarray, lengths:
         o = order[g : g + batch]
         t = np.arange(size[o[0]])[:, None]
         inside = t < size[o]
-        x = np.where(inside, raw[np.minimum(at[o] + t, len(raw) - 1)], PAD)
+        x = np.where(inside, raw[np.minimum(at[o] + t, len(raw) - 1)].astype(np.intp), PAD)
         back = np.where(inside, size[o] - 1 - t, t)
         same = bool(inside.all())
         k, hidden = net.W.shape[2], net.W.shape[1]

@@ -49,7 +49,7 @@ def symbols(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     t = np.arange(CHUNK)
     if not len(raw):
         return np.full((len(at), CHUNK), PAD)
-    return np.where(t < size[:, None], raw[np.minimum(at[:, None] + t, len(raw) - 1)], PAD)
+    return np.where(t < size[:, None], raw[np.minimum(at[:, None] + t, len(raw) - 1)].astype(np.intp), PAD)
 
 
 def pool(doc: np.ndarray, top: np.ndarray, n: int) -> np.ndarray:
