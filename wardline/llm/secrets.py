@@ -96,18 +96,25 @@ def ordinary_words(docs: DataFrame, text_col: str, id_col: str, bound: int = 400
     return some.select(F.explode(F.regexp_extract_all(bare, F.lit(r"[A-Za-z][A-Za-z0-9_-]{3,}"), F.lit(0))).alias("value"), F.lit(0).alias("label"))
 
 
-def fit(samples: DataFrame, smoothing: float = 0.5) -> list[int]:
+def fit(samples: DataFrame, strength: float = 4.0) -> list[int]:
     """Log-likelihood ratios of every transition in thousandths, row by row, from samples (value, label 1 random, 0 ordinary).
 
-    At most 2 * 80 * 80 counts come to the driver, whatever the samples are.
+    A transition's probability leans on its second character's by `strength` counts, so a context
+    never seen counts like that character anywhere. At most 2 * 80 * 80 counts come to the driver.
     """
     from math import log
 
-    counts = [[smoothing] * (SYMBOLS * SYMBOLS) for _ in range(2)]
+    counts = [[0] * (SYMBOLS * SYMBOLS) for _ in range(2)]
     for r in _transitions(samples).collect():
         counts[r.label][(r.a - FIRST) * SYMBOLS + r.b - FIRST] += r["count"]
-    rows = [[sum(c[k * SYMBOLS : (k + 1) * SYMBOLS]) for k in range(SYMBOLS)] for c in counts]
-    return [round(1000 * (log(counts[1][i] / rows[1][i // SYMBOLS]) - log(counts[0][i] / rows[0][i // SYMBOLS]))) for i in range(SYMBOLS * SYMBOLS)]
+
+    def chances(c: list[int]) -> list[float]:
+        rows = [sum(c[k * SYMBOLS : (k + 1) * SYMBOLS]) for k in range(SYMBOLS)]
+        single = [(sum(c[k::SYMBOLS]) + 0.5) / (sum(c) + 0.5 * SYMBOLS) for k in range(SYMBOLS)]
+        return [(n + strength * single[i % SYMBOLS]) / (rows[i // SYMBOLS] + strength) for i, n in enumerate(c)]
+
+    ordinary, random = chances(counts[0]), chances(counts[1])
+    return [round(1000 * (log(r) - log(o))) for r, o in zip(random, ordinary, strict=True)]
 
 
 def ratio(token: Column, model: list[int]) -> Column:
@@ -116,14 +123,15 @@ def ratio(token: Column, model: list[int]) -> Column:
     start = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("bigint").alias("sum"))
     def step(acc: Column, c: Column) -> Column:
         code = F.ascii(c) - FIRST
-        known = (acc["last"] >= 0) & (code >= 0) & (code < SYMBOLS)
+        known = (acc["last"] >= 0) & (code >= 0) & (code < SYMBOLS)  # `last` is -1 at the start and after other characters
         gain = F.when(known, F.get(table, acc["last"] * SYMBOLS + code)).otherwise(0)
-        return F.struct(code.alias("last"), (acc["sum"] + gain).alias("sum"))
+        last = F.when((code >= 0) & (code < SYMBOLS), code).otherwise(-1)
+        return F.struct(last.alias("last"), (acc["sum"] + gain).alias("sum"))
 
     return F.aggregate(F.split(token, ""), start, step)["sum"]
 
 
-def find_secrets(docs: DataFrame, model: list[int], text_col: str = "text", threshold: int = 900) -> DataFrame:
+def find_secrets(docs: DataFrame, model: list[int], text_col: str = "text", threshold: int = 1500) -> DataFrame:
     """`docs` with `secret_spans`: array<struct<start,kind,end>> in code points, end exclusive, by start and kind.
 
     `kind` indexes KINDS. Known forms are leftmost and non-overlapping within a kind; a candidate
