@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wardline.llm.common import cut
 from wardline.llm.secrets import let
@@ -122,19 +121,17 @@ def rendered(mention: Column, kind: Column, surrogate: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """`docs` with surrogates in its text column, and `pii_counts`: struct of mentions by type.
 
-    `docs` must be a stable scan, as rows are named by their position in it. A null text stays null
-    with counts of zero; an empty one stays empty. Repeated rows change alike. An empty table gives an
+    Rows with mentions are checkpointed, so that all mentions find their row again. A null text stays
+    null with counts of zero; an empty one stays empty. Repeated rows change alike. An empty table gives an
     empty result. A column named `pii_counts` is refused.
     """
     if "pii_counts" in docs.columns:
         raise ValueError("a column named pii_counts is there already")
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     some = F.regexp_like(text, F.lit(ANY))
-    flagged = placed.withColumn("__some", some)
-    found = flagged.where("__some").select(
-        "__row", F.split(text, ANY, -1).alias("__gaps"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("__hits"))
-    mentions = found.select("__row", F.posexplode("__hits").alias("at", "mention"))
+    flagged = cut(docs.where(some).withColumn("__row", F.monotonically_increasing_id()))
+    hits = F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(ANY), F.lit(0))
+    mentions = flagged.select("__row", F.posexplode(hits).alias("at", "mention"))
     mentions = mentions.withColumn("kind", kind_of(F.col("mention")))
     mentions = cut(mentions.withColumn("entity", entity_of(F.col("mention"), F.col("kind"))))
     surrogates = assign_surrogates(mentions.select("kind", "entity").distinct(), key)
@@ -142,8 +139,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     counts = F.struct(*[F.count_if(F.col("kind") == k).alias(k) for k in TYPES])
     lines = drawn.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("__new"), counts.alias("pii_counts"))
     names = [c for c in docs.columns if c != text_col]
-    new = F.array_join(F.zip_with(F.split(text, ANY, -1), F.transform("__new", lambda n: n["new"]), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+    gaps = F.split(F.col(text_col).cast("string"), ANY, -1)
+    new = F.array_join(F.zip_with(gaps, F.transform("__new", lambda n: n["new"]), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
     none = F.struct(*[F.lit(0).cast("bigint").alias(k) for k in TYPES])
-    changed = flagged.where("__some").join(lines, "__row").select(*names, new.alias(text_col), "pii_counts")
-    same = flagged.where(~F.col("__some")).select(*names, docs[text_col], none.alias("pii_counts"))
+    changed = flagged.join(lines, "__row").select(*names, new.alias(text_col), "pii_counts")
+    same = docs.where(~some).select(*names, text_col, none.alias("pii_counts"))
     return changed.unionByName(same).select(*docs.columns, "pii_counts")
