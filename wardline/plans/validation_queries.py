@@ -72,7 +72,7 @@ def prevalence_ztest(spark, sf_dir):
     return rounded(V.prevalence_test(patients(spark, sf_dir)).drop("p"), "observed", "z")
 
 
-_CO = " union all ".join(f"select '{a}' as a, '{b}' as b, {r}::double as expected, avg(cast(list_contains(diagnoses, '{b}') as double)) as observed from pt where list_contains(diagnoses, '{a}')" for (a, b), r in V.CO_OCCURRENCE.items())
+_CO = " union all ".join(f"select '{a}' as a, '{b}' as b, {r}::double as expected, avg(cast(list_contains(diagnoses, '{b}') as double)) as observed from pt where list_contains(diagnoses, '{a}') having count(*) > 0" for (a, b), r in V.CO_OCCURRENCE.items())
 
 
 @query(BASE + f"select a, b, expected, round(observed, 6) as observed, observed / expected between 0.5 and 2.0 as plausible from ({_CO})")
