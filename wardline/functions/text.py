@@ -57,7 +57,7 @@ def clean_text(text: Column) -> Column:
 
 def content_hash(text: Column) -> Column:
     """md5 of the lower-cased text with single spaces."""
-    return F.md5(F.regexp_replace(F.trim(F.lower(text)), r"\s+", " "))
+    return F.md5(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")))
 
 
 def all_matches(text: Column, patterns: list[str]) -> Column:

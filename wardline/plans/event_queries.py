@@ -77,7 +77,7 @@ def window_rank(spark, sf_dir):
     return _events(spark, sf_dir).withColumn("r", F.row_number().over(w).cast("bigint")).where("r <= 3").select("event_type", "user_id", "value", "r")
 
 
-@query("""select count(*) as kept from (select distinct doc_id, md5(regexp_replace(trim(lower(text)), '\\s+', ' ', 'g')) as h from documents
+@query("""select count(*) as kept from (select distinct doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) as h from documents
   where len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) >= 60 union select doc_id, md5('changed' || regexp_replace(trim(lower(text)), '\\s+', ' ', 'g')) from documents where doc_id % 10 = 0 and len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) >= 60)""")
 def changed_documents(spark, sf_dir):
     """A second delivery that changes every tenth document adds only those: versions known after both."""

@@ -67,7 +67,7 @@ def clean_pages(spark, sf_dir):
     return Views(spark, sf_dir).pages.select("page_id", F.md5(X.clean_text(F.col("html"))).alias("digest"))
 
 
-_HASH = "md5(regexp_replace(trim(lower(text)), '\\s+', ' ', 'g'))"
+_HASH = "md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')))"
 
 
 @query(f"select min(doc_id) as doc_id, count(*) as copies from documents group by {_HASH}")

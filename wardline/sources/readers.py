@@ -123,7 +123,9 @@ def feed(spark: SparkSession, path: str, most: int = 1000) -> DataFrame:
     from wardline.functions.text import without_markup
 
     raw = spark.read.format("xml").option("rowTag", "item").schema(FEED).load(path)
-    when = F.coalesce(F.try_to_timestamp("pubDate", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.substring("pubDate", 6, 20), F.lit("dd MMM yyyy HH:mm:ss")))
+    day = F.regexp_extract("pubDate", r"(\d+ \w+ \d{4} [\d:]+)", 1)
+    zone = F.regexp_extract("pubDate", r"([+-]\d{4})$", 1)
+    when = F.coalesce(F.try_to_timestamp(F.concat(day, F.lit(" "), zone), F.lit("d MMM yyyy HH:mm:ss xx")), F.try_to_timestamp(day, F.lit("d MMM yyyy HH:mm:ss")))
     return raw.select(F.lit("medical_news").alias("source"), F.col("link").alias("url"), "title", F.substring(F.trim(without_markup(F.col("description"))), 1, most).alias("content"), when.alias("published"))
 
 
