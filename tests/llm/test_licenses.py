@@ -8,6 +8,7 @@ from wardline.llm import licenses as L
 ROWS = [
     (1, "a/LICENSE", L.TEMPLATES["MIT"]), (2, "a/b/c/x.py", "code\nmore code"), (3, "a/b/LICENSE.txt", "Head\n" + L.TEMPLATES["GPL-3.0"] + "\nend"), (4, "a/b/y.py", "// Licensed under the Apache License, version 2.0\nx"),
     (5, "z/x.py", "no licence of any kind"), (6, None, L.TEMPLATES["MIT"]), (7, "a/q.py", None), (8, "", ""), (9, "top.py", "x"), (10, "a/b/c/COPYING", "unknown words only"), (11, "ab/x.py", "x"),
+    (13, "n/x.py", "release 3.5 of license.2020 and the work.3"), (14, "n/y.py", "This work is licensed under the GNU General Public License,\nversion 3."),
     (12, "a/d/x.py", "the license under version\n" * 300), (2, "a/b/c/x.py", "code\nmore code"),
 ]
 
@@ -55,3 +56,22 @@ def test_conflicting_licence_files(spark):
     rows = [(1, "d/LICENSE", L.TEMPLATES["MIT"]), (2, "d/COPYING", L.TEMPLATES["MPL-2.0"]), (3, "d/x", "x")]
     got = L.inherit(L.scan_licenses(spark.createDataFrame(rows, "doc_id int, path string, text string"))).where(F.col("doc_id") == 3).first()
     assert got.license == "MIT" and got.license_from == "d"
+
+
+def test_frequencies_equal_brute_force(spark):
+    vocabulary = {t for text in L.TEMPLATES.values() for t in L.terms(text)}
+    docs = spark.createDataFrame(ROWS, "doc_id int, path string, text string").repartition(3)
+    n, df = L.document_frequencies(docs, "text", vocabulary)
+    assert n == len(ROWS) and df == Counter(t for _, _, x in ROWS for t in set(L.terms(x or "")) & vocabulary)
+
+
+def test_no_hopeful_text_is_passed_over():
+    import random
+
+    rng = random.Random(1)
+    scanner = L.Scanner(L.TEMPLATES, 1000, {"the": 900, "license": 20, "under": 300, "version": 30, "work": 200}, 0.6)
+    words = [w for t in L.TEMPLATES.values() for w in t.split()] + ["other", "words"] * 20
+    for _ in range(3000):
+        text = " ".join(rng.choices(words, k=rng.randint(1, 14)))
+        if scanner.best(text)[0] >= 0.6:
+            assert scanner.hopeful(text)

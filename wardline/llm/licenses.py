@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardline.llm.common import cut
+
 #: Notices by SPDX name, in natural order.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -29,60 +31,90 @@ TEMPLATES = {
     "MPL-2.0": "Subject to the terms of the Mozilla Public License, version 2.0.",
 }
 TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-TERM_SQL = r"[a-z0-9]+(?:\.[0-9]+)*"
+DOTTED = re.compile(r"[a-z0-9]\.[0-9]")
 
 
 def terms(text: str) -> list[str]:
     return TERM.findall(text.lower())
 
 
-def document_frequencies(docs: DataFrame, text_col: str, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
+#: All but lower-case letters and digits to a space, for a quick look at which words a text can have.
+PLAIN = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def plain_words(text: str) -> set[bytes]:
+    return set(text.lower().encode().translate(PLAIN).split())
+
+
+def possible(vocabulary: dict[str, list[bytes]], words: set[bytes]) -> list[str]:
+    """Terms of the vocabulary (with their plain parts) that a text with these words may hold; none is missed."""
+    return [t for t, parts in vocabulary.items() if all(p in words for p in parts)]
+
+
+def _parts(terms_of: set[str]) -> dict[str, list[bytes]]:
+    return {t: [p.encode() for p in t.split(".")] for t in sorted(terms_of)}
+
+
+def document_frequencies(docs: DataFrame, text_col: str, vocabulary: set[str]) -> tuple[int, dict[str, int]]:
     """Number of texts, and of those with each term of the (fixed) vocabulary; one row a term comes to the driver."""
-    seen = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(TERM_SQL), F.lit(0)))
-    named = F.array_intersect(seen, F.array(*[F.lit(v) for v in vocabulary]))
-    rows = docs.select(F.explode_outer(F.array_append(named, F.lit(None).cast("string"))).alias("t")).groupBy("t").count().collect()
-    found = {r.t: r["count"] for r in rows}
-    return found.pop(None, 0), found
+    plain = {t.encode(): t for t in vocabulary}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for b in batches:
+            for text in b.column(0):
+                text = text.as_py() or ""
+                found[""] += 1
+                if DOTTED.search(text.lower()):
+                    found.update(vocabulary.intersection(terms(text)))
+                else:  # then terms are plain words
+                    found.update(plain[w] for w in plain_words(text).intersection(plain))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["t", "n"])
+
+    rows = docs.select(docs[text_col].cast("string").alias("t")).mapInArrow(count, "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()
+    totals = {r.t: r.n for r in rows}
+    return totals.pop("", 0), totals
 
 
 class Scanner:
-    """Cosines to templates with weights (1 + log tf) * log((n + 1) / (df + 1)) + 1; an unknown term counts as in no text."""
+    """Cosines to templates, with weights (1 + log tf) * (log((n + 1) / (df + 1)) + 1); an unknown term counts as in no text."""
 
-    def __init__(self, templates: dict[str, str], n: int, df: dict[str, int]):
+    def __init__(self, templates: dict[str, str], n: int, df: dict[str, int], threshold: float):
         self.idf = {t: log((n + 1) / (df.get(t, 0) + 1)) + 1 for text in templates.values() for t in terms(text)}
         self.rare = log(n + 1) + 1
-        self.signal = min(self.idf.values(), default=0)
+        self.threshold = threshold
         self.vectors = {name: self.vector(terms(text)) for name, text in sorted(templates.items())}
+        self.vocabulary = _parts(set(self.idf))
 
     def vector(self, words: list[str]) -> dict[str, float]:
         v = {t: (1 + log(c)) * self.idf.get(t, self.rare) for t, c in Counter(words).items()}
         size = sqrt(sum(x * x for x in v.values())) or 1.0
         return {t: x / size for t, x in v.items()}
 
-    def best(self, words: list[str]) -> tuple[float, str]:
+    def hopeful(self, text: str) -> bool:
+        """False only if no cosine can reach the threshold: it is at most the norm of the template over the terms that are there."""
+        there = possible(self.vocabulary, plain_words(text))
+        least = self.threshold * self.threshold - 1e-9
+        return any(sum(v.get(t, 0.0) ** 2 for t in there) >= least for v in self.vectors.values())
+
+    def best(self, text: str) -> tuple[float, str]:
         """The highest cosine and its licence; of equal ones the first name."""
-        if not any(w in self.idf for w in words):
-            return 0.0, ""
-        v = self.vector(words)
+        v = self.vector(terms(text))
         score, name = max(((sum(x * v.get(t, 0.0) for t, x in tv.items()), name) for name, tv in reversed(self.vectors.items())), key=lambda s: s[0])
         return score, name
 
-    def scan(self, text: str, threshold: float) -> tuple[str | None, float, bool]:
-        """(licence, cosine, whole): the best line or the whole text, if it reaches the threshold.
-
-        Only lines with half of some template's terms can, so the others are passed over.
-        """
+    def scan(self, text: str) -> tuple[str | None, float, bool]:
+        """(licence, cosine, whole): the best line, or the whole text if that is better; no licence has cosine 0."""
+        if not self.hopeful(text):
+            return None, 0.0, False
         top = (0.0, "", False)
         lines = [line for line in text.split("\n") if line]
         for line in lines:
-            words = terms(line)
-            if sum(w in self.idf for w in set(words)) >= 2 and (got := self.best(words))[0] > top[0]:
+            if self.hopeful(line) and (got := self.best(line))[0] > top[0]:
                 top = (*got, len(lines) == 1)
-        if len(lines) > 1:
-            got = self.best(terms(text))
-            if got[0] > top[0]:
-                top = (*got, True)
-        return (top[1], top[0], top[2]) if top[0] >= threshold else (None, top[0], False)
+        if len(lines) > 1 and (got := self.best(text))[0] > top[0]:
+            top = (*got, True)
+        return (top[1], top[0], top[2]) if top[0] >= self.threshold else (None, 0.0, False)
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] | None = None, templates: dict[str, str] | None = None, threshold: float = 0.6) -> DataFrame:
@@ -95,14 +127,14 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     if {"own_license", "cosine", "whole_text"} & set(kept):
         raise ValueError("columns named like the result's are there already")
     templates = TEMPLATES if templates is None else templates
-    n, df = document_frequencies(docs, text_col, sorted({t for text in templates.values() for t in terms(text)}))
-    scanner = Scanner(templates, n, df)
+    n, df = document_frequencies(docs, text_col, {t for text in templates.values() for t in terms(text)})
+    scanner = Scanner(templates, n, df, threshold)
     rows = docs.select(*[docs[c] for c in kept], docs[text_col].cast("string").alias("__text"))
     out = T.StructType([*rows.schema.fields[:-1], *T._parse_datatype_string("own_license string, cosine double, whole_text boolean").fields])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [scanner.scan(t.as_py() or "", threshold) for t in b.column(len(kept))]
+            found = [scanner.scan(t.as_py() or "") for t in b.column(len(kept))]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([round(f[1], 6) for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())], out.names)
 
@@ -119,12 +151,12 @@ def inherit(scanned: DataFrame, path_col: str = "path", declares: Column | None
 
     `declares` says which rows are licence files (by default those named LICENSE, LICENCE or COPYING,
     with or without an ending). Of several in a directory the highest cosine counts, then the first
-    name. A null path has no directory. Distinct directories alone are joined with their ancestors,
+    name. A null path has no directory. What was scanned is checkpointed, as three steps read it. Distinct directories alone are joined with their ancestors,
     then files with their directory.
     """
     if declares is None:
         declares = F.col(path_col).rlike(r"(?i)(^|/)(licen[cs]e|copying)(\.[a-z]+)?$")
-    rows = scanned.withColumn("__dir", directory(F.col(path_col)))
+    rows = cut(scanned).withColumn("__dir", directory(F.col(path_col)))
     declared = rows.where(declares & F.col("own_license").isNotNull()).groupBy(F.col("__dir").alias("up")).agg(
         F.min(F.struct((-F.col("cosine")).alias("c"), F.col("own_license").alias("l"))).alias("best"))
     parts = F.split("__dir", "/")
