@@ -27,47 +27,48 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-class WuManber:
-    """Windows of one length over words: `tables[block]` shift, `buckets[block][window]` item numbers."""
-
-    def __init__(self, length: int, windows: dict[tuple[bytes, ...], set[str]]):
-        self.length = length
-        self.block = min(2, length)
-        self.shift: dict[bytes, int] = {}
-        self.buckets: dict[bytes, dict[bytes, tuple[str, ...]]] = {}
-        self.default = length - self.block + 1
-        for window, items in windows.items():
-            for end in range(self.block, length + 1):
-                key = b" ".join(window[end - self.block : end])
-                if length - end < self.shift.get(key, self.default):
-                    self.shift[key] = length - end
-            suffix = b" ".join(window[length - self.block :])
-            self.buckets.setdefault(suffix, {})[b" ".join(window)] = tuple(items)
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, tuple[str, ...]]]:
-        """(end, items) for every occurrence; the window is words[end - length : end]."""
-        shift, default, n, size = self.shift, self.default, self.length, self.block
-        end, last = n, len(words)
-        while end <= last:
-            block = words[end - 2] + b" " + words[end - 1] if size == 2 else words[end - 1]
-            step = shift.get(block, default)
-            if step:
-                end += step
-                continue
-            found = self.buckets[block].get(b" ".join(words[end - n : end]))
-            if found is not None:
-                yield end, found
-            end += 1
-
-
-def search_tables(items: list[tuple[str, bytes]], window: int) -> list[WuManber]:
+#: A search table for windows of one length: (length, words of a block, shift by block, items by window by suffix block).
+Table = tuple[int, int, dict[bytes, int], dict[bytes, dict[bytes, tuple[str, ...]]]]
+
+
+def search_table(length: int, windows: dict[tuple[bytes, ...], set[str]]) -> Table:
+    block = min(2, length)
+    default = length - block + 1
+    shift: dict[bytes, int] = {}
+    buckets: dict[bytes, dict[bytes, tuple[str, ...]]] = {}
+    for window, items in windows.items():
+        for end in range(block, length + 1):
+            key = b" ".join(window[end - block : end])
+            if length - end < shift.get(key, default):
+                shift[key] = length - end
+        buckets.setdefault(b" ".join(window[length - block :]), {})[b" ".join(window)] = tuple(items)
+    return length, block, shift, buckets
+
+
+def search(table: Table, words: list[bytes]) -> Iterator[tuple[int, tuple[str, ...]]]:
+    """(end, items) for every occurrence; the window is words[end - length : end]."""
+    n, size, shift, buckets = table
+    default, end, last = n - size + 1, n, len(words)
+    while end <= last:
+        block = words[end - 2] + b" " + words[end - 1] if size == 2 else words[end - 1]
+        step = shift.get(block, default)
+        if step:
+            end += step
+            continue
+        found = buckets[block].get(b" ".join(words[end - n : end]))
+        if found is not None:
+            yield end, found
+        end += 1
+
+
+def search_tables(items: list[tuple[str, bytes]], window: int) -> list[Table]:
     by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
     for item, text in items:
         words = words_of(text)
         n = min(window, len(words))
         for i in range(len(words) - n + 1 if n else 0):
             by_length.setdefault(n, {}).setdefault(tuple(words[i : i + n]), set()).update([item] if item is not None else [])
-    return [WuManber(n, w) for n, w in sorted(by_length.items())]
+    return [search_table(n, w) for n, w in sorted(by_length.items())]
 
 
 def _cut_items(benchmark: DataFrame, id_col: str, text_col: str, window: int, piece_words: int) -> DataFrame:
@@ -118,12 +119,12 @@ def find_contamination(
                     words = words_of(text.as_py() or b"")
                     found, ranges = set(had.as_py()), held.as_py()
                     for t in tables.value:
-                        for end, names in t.search(words):
+                        for end, names in search(t, words):
                             found.update(names)
-                            if ranges and ranges[-2] <= end - t.length <= ranges[-1]:
+                            if ranges and ranges[-2] <= end - t[0] <= ranges[-1]:
                                 ranges[-1] = max(ranges[-1], end)
                             else:
-                                ranges += [end - t.length, end]
+                                ranges += [end - t[0], end]
                     items.append(sorted(found))
                     spans.append(ranges)
                 yield pa.RecordBatch.from_arrays([*b.columns[: kept + 1], pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int32()))], b.schema.names)
