@@ -89,7 +89,10 @@ def random_strings(spark: SparkSession, n: int = 1200) -> DataFrame:
 
 def ordinary_words(docs: DataFrame, text_col: str, id_col: str, bound: int = 400, chars: int = 4000) -> DataFrame:
     """Labelled identifiers: words of at least 4 characters, from a slice of at most `bound` documents chosen by a hash, without known secrets."""
+    million = 1_000_000
+    part = min(million, -(-4 * bound * million // max(1, docs.count())))  # a few times as many as asked for, so that little is sorted
     rows = docs.select(F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where("t is not null")
+    rows = rows.where(F.pmod("h", F.lit(million)) < part)
     rows = rows.select("h", F.substr("t", F.pmod(F.col("h"), F.greatest(F.length("t") - chars, F.lit(0)) + 1).cast("int") + 1, F.lit(chars)).alias("t"))
     some = rows.orderBy("h", "t").limit(bound)
     bare = F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
