@@ -136,3 +136,39 @@ def retrieval_confidence(scores: DataFrame, by: str = "query_id") -> DataFrame:
 
 def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
+
+
+def l2_normalised(v: Column) -> Column:
+    return F.transform(v, lambda x: F.try_divide(x, norm(v)))
+
+
+def pooled(vectors: DataFrame, by: str, how: str = "mean") -> DataFrame:
+    """(by, v): the mean, largest or first (`position` least) of each component over a key's vectors (v, position)."""
+    if how == "cls":
+        return vectors.groupBy(by).agg(F.min_by("v", "position").alias("v"))
+    parts = vectors.select(by, F.posexplode("v").alias("i", "x"))
+    value = (F.avg if how == "mean" else F.max)("x")
+    return parts.groupBy(by, "i").agg(value.alias("x")).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
+
+
+def citations(docs: DataFrame, most: int = 10) -> DataFrame:
+    """At most `most` documents (type, title, score, doc_id), one for each type and beginning of the title, best first."""
+    key = F.concat_ws("|", "type", F.substring("title", 1, 50))
+    return first_of_each(docs.select("doc_id", "type", "title", "score"), key, (-F.col("score")).alias("a"), F.col("doc_id").alias("b")).orderBy(F.desc("score"), "doc_id").limit(most)
+
+
+def generation_confidence(matched: Column, relevance: Column, hops: Column, rows: Column) -> Column:
+    """.7, a tenth for a match, up to .15 for relevance and .1 for hops, less a fifth for under ten rows."""
+    base = 0.5 + 0.1 + 0.1 * matched.cast("int") + F.least(0.2 * relevance, F.lit(0.15)) + F.least(0.1 * hops, F.lit(0.1))
+    return F.least(base * F.when(rows < 10, 0.8).otherwise(1.0), F.lit(1.0))
+
+
+def hops(start: DataFrame, links: DataFrame, steps: int = 3) -> DataFrame:
+    """(topic, step, path, confidence): chains over weighted links (src, dst, weight), without coming back; confidence is the mean weight."""
+    last = start.select("topic", F.lit(0).alias("step"), F.array("topic").alias("path"), F.lit(0.0).alias("total"))
+    out = last
+    for k in range(1, steps + 1):
+        step = last.join(links, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        last = step.select("topic", F.lit(k).alias("step"), F.array_append("path", F.col("dst")).alias("path"), (F.col("total") + F.col("weight")).alias("total"))
+        out = out.unionByName(last)
+    return out.where("step > 0").select("topic", "step", "path", F.try_divide("total", "step").alias("confidence"))

@@ -140,3 +140,28 @@ def augmented(rows: DataFrame, flag: str, least: float = 0.3, key: str = "patien
     whole, part = divmod(max(1.0, least * n.q / n.p) if n.p else 1.0, 1.0)
     copies = F.when(F.col(flag) == 1, int(whole) + (C.keyed_uniform(F.col(key), f"augment:{flag}") < part).cast("int")).otherwise(1)
     return rows.withColumn("replica", F.explode(F.sequence(F.lit(0), copies - 1)))
+
+
+def outcomes_redrawn(rows: DataFrame) -> DataFrame:
+    """Mortality drawn anew by age (.05, from 50 .15, from 70 .30), emergency by intensive care (.80, else .45), and stays longer with comorbidity.
+
+    Stays grow by three tenths for each score point above one, and are kept at least as long as those in intensive care.
+    """
+    who, age = F.col("patient_id"), F.col("age")
+    chance = F.when(age >= 70, 0.30).when(age >= 50, 0.15).otherwise(0.05)
+    longer = F.col("hospital_los_days") * (1 + 0.3 * F.greatest(F.col("comorbidity_score") - 1, F.lit(0)))
+    out = rows.withColumn("mortality", (C.keyed_uniform(who, "mortality") < chance).cast("int"))
+    out = out.withColumn("emergency_admission", (C.keyed_uniform(who, "emergency") < F.when(F.col("has_icu_stay") == 1, 0.8).otherwise(0.45)).cast("int"))
+    return out.withColumn("hospital_los_days", F.greatest(F.round(C.clip(longer, 1, 60), 1), F.col("icu_los_days")))
+
+
+def forced(rows: DataFrame, diagnoses: tuple[str, ...]) -> DataFrame:
+    """Rows that all have the wanted conditions."""
+    return rows.withColumn("diagnoses", C.specific_categories(F.array_union("diagnoses", F.array(*[F.lit(d) for d in diagnoses]))))
+
+
+def discrete_columns(rows: DataFrame, most: int = 10) -> list[str]:
+    """Columns to treat as categories: text, and whole numbers of at most `most` values, in one pass."""
+    whole = [f.name for f in rows.schema if f.dataType.typeName() in ("integer", "long", "short", "byte")]
+    kinds = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in whole]).first() if whole else {}
+    return [f.name for f in rows.schema if f.dataType.typeName() == "string" or f.name in whole and kinds[f.name] <= most]

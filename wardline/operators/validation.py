@@ -305,3 +305,38 @@ def utility(train: DataFrame, test: DataFrame, columns: list[str], label: str, t
     guessed = Pipeline(stages=steps).fit(pick(train)).transform(pick(test))
     measure = lambda m: MulticlassClassificationEvaluator(metricName=m).evaluate(guessed)
     return train.sparkSession.createDataFrame([(measure("accuracy"), measure("f1"))], "accuracy double, f1 double")
+
+
+def ks_probability(ks: Column, n: Column, m: Column) -> Column:
+    """Asymptotic two-sided probability of a two-sample KS statistic (Kolmogorov's series)."""
+    size = F.sqrt(n * m / (n + m))
+    x = (size + 0.12 + 0.11 / size) * ks
+    series = sum(((-1) ** (k - 1) * F.exp(-2.0 * k * k * x * x) for k in range(1, 8)), F.lit(0.0))
+    return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * series)))
+
+
+# Published mean age and deviation by condition.
+AGES = {"DIABETES": (62, 15), "HYPERTENSION": (58, 18), "CARDIOVASCULAR": (65, 12)}
+
+
+def age_test(rows: DataFrame) -> DataFrame:
+    """(condition, n, mean, t, p, aligned): mean ages against the published ones; aligned within 10 years.
+
+    p is the normal tail, which Student's approaches for the sizes that are tested.
+    """
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(float(m)).alias("published"), F.when(F.array_contains("diagnoses", c), F.col("age").cast("double")).alias("age")) for c, (m, _) in AGES.items()])).alias("x")).select("x.*")
+    out = long.groupBy("condition", "published").agg(F.count("age").alias("n"), F.avg("age").alias("mean"), F.stddev_samp("age").alias("std"))
+    t = F.try_divide(F.col("mean") - F.col("published"), F.col("std") / F.sqrt("n"))
+    return out.withColumn("t", t).withColumn("p", normal_tail(F.col("t"))).withColumn("aligned", F.abs(F.col("mean") - F.col("published")) <= 10)
+
+
+def mean_bands(rows: DataFrame, columns: list[str], z: float = 1.96) -> DataFrame:
+    """(column, mean, low, high): means with bands of `z` standard errors."""
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x"))
+    out = long.groupBy(F.col("x.column").alias("column")).agg(F.avg("x.v").alias("mean"), (z * F.stddev_samp("x.v") / F.sqrt(F.count("x.v"))).alias("half"))
+    return out.select("column", "mean", (F.col("mean") - F.col("half")).alias("low"), (F.col("mean") + F.col("half")).alias("high"))
+
+
+def quality_tier(deviation: Column) -> Column:
+    """Tier of a mean deviation from the target mix."""
+    return F.when(deviation <= 0.03, "excellent").when(deviation <= 0.05, "good").otherwise("needs_improvement")

@@ -207,3 +207,76 @@ def generation_multiplier(spark, sf_dir):
 @query(f"with {with_clauses('patients')} select ethnicity, insurance, count(*) as n from patients where gender = 'f' and deathdate is not null group by rollup (ethnicity, insurance)")
 def rollup_deaths(spark, sf_dir):
     return Views(spark, sf_dir).patients.where("gender = 'f' and deathdate is not null").rollup("ethnicity", "insurance").agg(F.count("*").alias("n"))
+
+
+def _u(salt: str) -> str:
+    return f"cast('0x' || substr(md5(cast(patient_id as varchar) || ':{salt}'), 1, 8) as bigint) / 4294967296.0"
+
+
+@query(BASE + f"""select patient_id, cast({_u('mortality')} < case when age >= 70 then 0.30 when age >= 50 then 0.15 else 0.05 end as integer) as mortality, cast({_u('emergency')} < case when has_icu_stay = 1 then 0.8 else 0.45 end as integer) as emergency_admission from pt""")
+def outcomes_redrawn(spark, sf_dir):
+    from wardline.operators import sampling as S
+
+    return S.outcomes_redrawn(patients(spark, sf_dir)).select("patient_id", "mortality", "emergency_admission")
+
+
+@query("""with h as (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as i from embeddings), m as (select label, i, avg(x) as x from h group by 1, 2)
+select label, round(sum(x), 4) as total, round(max(x), 5) as top, count(*) as width from m group by 1""")
+def pooled_vectors(spark, sf_dir):
+    v = Views(spark, sf_dir).embeddings.select("label", F.col("embedding").cast("array<double>").alias("v"), F.col("vec_id").alias("position"))
+    out = R.pooled(v, "label")
+    return out.select("label", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.round(F.array_max("v"), 5).alias("top"), F.size("v").cast("bigint").alias("width"))
+
+
+_CITED = """cited as (select p_partkey as doc_id, case p_size % 3 when 0 then 'article' when 1 then 'trial' else 'news' end as type, p_type as title, p_size / 50.0 as score from {part})"""
+
+
+@query("with " + _CITED.format(part="part") + " select doc_id, type, title from (select * from cited qualify row_number() over (partition by type, substr(title, 1, 50) order by score desc, doc_id) = 1) order by score desc, doc_id limit 10")
+def citation_list(spark, sf_dir):
+    rows = spark.sql("with " + _CITED + " select * from cited", part=Views(spark, sf_dir).part).withColumn("score", F.col("score").cast("double"))
+    return R.citations(rows).select("doc_id", "type", "title")
+
+
+@query("select s_suppkey as id, round(least((0.6 + 0.1 * cast(s_suppkey % 2 = 0 as integer) + least(0.2 * (s_suppkey % 10) / 10.0, 0.15) + least(0.1 * (s_suppkey % 3), 0.1)) * case when s_suppkey % 20 < 10 then 0.8 else 1 end, 1.0), 6) as confidence from supplier")
+def generation_confidence(spark, sf_dir):
+    k = F.col("s_suppkey")
+    value = R.generation_confidence(k % 2 == 0, (k % 10) / 10.0, k % 3, k % 20)
+    return Views(spark, sf_dir).supplier.select(k.alias("id"), F.round(value, 6).alias("confidence"))
+
+
+_LINKS = "links as (select distinct s_nationkey as src, (s_nationkey * 7 + 3) % 25 as dst, 0.5 + (s_nationkey % 5) / 10.0 as weight from {supplier} union select distinct s_nationkey, (s_nationkey * 3 + 1) % 25, 0.9 from {supplier})"
+
+
+@query(f"""with recursive {_LINKS.format(supplier='supplier')}, w as (select n_nationkey as topic, 0 as step, [n_nationkey] as path, 0.0::double as total from nation where n_nationkey < 5
+  union all select topic, step + 1, list_append(path, dst), total + weight from w join links on src = path[-1] where step < 3 and not list_contains(path, dst))
+select topic, cast(step as integer) as step, array_to_string(path, '>') as path, round(total / step, 6) as confidence from w where step > 0""")
+def reasoning_hops(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    links = spark.sql(f"with {_LINKS} select src, dst, cast(weight as double) as weight from links", supplier=v.supplier)
+    start = v.nation.where("n_nationkey < 5").select(F.col("n_nationkey").alias("topic"))
+    links = links.select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "weight")
+    out = R.hops(start, links)
+    return out.select("topic", "step", F.array_join("path", ">").alias("path"), F.round("confidence", 6).alias("confidence"))
+
+
+_AGES = " union all ".join(f"select '{c}' as condition, {m}::double as published, count(*) as n, avg(age) as mean, stddev_samp(age) as std from pt where list_contains(diagnoses, '{c}')" for c, (m, _) in V.AGES.items())
+
+
+@query(BASE + f"select condition, n, round(mean, 6) as mean, round((mean - published) / (std / sqrt(n)), 6) as t, abs(mean - published) <= 10 as aligned from ({_AGES})")
+def age_ttest(spark, sf_dir):
+    return V.age_test(patients(spark, sf_dir)).select("condition", "n", F.round("mean", 6).alias("mean"), F.round("t", 6).alias("t"), "aligned")
+
+
+@query(BASE + """select 'age' as "column", round(avg(age), 6) as mean, round(avg(age) - 1.96 * stddev_samp(age) / sqrt(count(age)), 6) as low, round(avg(age) + 1.96 * stddev_samp(age) / sqrt(count(age)), 6) as high from pt""")
+def mean_bands(spark, sf_dir):
+    return V.mean_bands(patients(spark, sf_dir), ["age"]).select("column", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+_NORM = "lower(q)"
+for _words in fixed.COHORT_WORDS.values():
+    _NORM = f"regexp_replace({_NORM}, '\\b(?:{'|'.join(_words[1:])})\\b', '{_words[0]}', 'g')"
+
+
+@query("with " + _REQUESTS.format(customer="customer") + f" select request_id, {_NORM} as q from requests")
+def normalised_requests(spark, sf_dir):
+    return _requests(spark, sf_dir).select("request_id", nl.normalised(F.col("q")).alias("q"))

@@ -95,3 +95,19 @@ def parse_confidence(p: Column) -> Column:
     """How much of a parsed description was understood: .5, up to .2 for diagnoses, .1 for age and .05 for gender, at most 1."""
     said = F.least(0.1 * F.size(p["diagnoses"]), F.lit(0.2)) + F.when(p["age_low"].isNotNull(), 0.1).otherwise(0) + F.when(p["gender"].isNotNull(), 0.05).otherwise(0)
     return F.least(0.5 + said, F.lit(1.0))
+
+
+def normalised(text: Column) -> Column:
+    """Lower-case text in which other words for a condition are its first one."""
+    out = F.lower(text)
+    for words in fixed.COHORT_WORDS.values():
+        out = F.regexp_replace(out, rf"\b(?:{'|'.join(words[1:])})\b", words[0])
+    return out
+
+
+def checked(c: Cohort) -> Cohort:
+    """The cohort with unknown conditions and levels left out, ages within 0 to 120 and in order, size within 1 to 10000."""
+    age = tuple(sorted(min(max(a, 0), 120) for a in c.age)) if c.age else None
+    return Cohort(
+        tuple(d for d in c.diagnoses if d in fixed.COHORT_WORDS), c.every, age, c.gender[0] if c.gender and c.gender[0] in "fm" else None, c.icu, c.mortality,
+        c.risk if c.risk in ("low", "medium", "high", "critical") else None, c.complexity if c.complexity in ("low", "high") else None, c.emergency, min(max(c.size, 1), 10_000) if c.size else None)

@@ -147,3 +147,16 @@ def search_text(conditions: list[str], age: tuple[int, int] | None = None, gende
     if age:
         parts += ["aged"] if age[0] >= 65 else ["child"] if age[1] <= 18 else ["adult"]
     return " AND ".join(parts + ([{"f": "female", "m": "male"}[gender[0]]] if gender else []) + (words or []))
+
+
+def snake_case(rows: DataFrame) -> DataFrame:
+    """Columns renamed to lower case with underscores."""
+    import re
+
+    return rows.toDF(*[re.sub(r"[^0-9a-z]+", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", c).lower()).strip("_") for c in rows.columns])
+
+
+def find_column(rows: DataFrame, *names: str) -> str | None:
+    """The first column that has one of the names in any case."""
+    there = {c.lower(): c for c in reversed(rows.columns)}
+    return next((there[n.lower()] for n in names if n.lower() in there), None)
