@@ -45,12 +45,12 @@ def test_recall_on_the_table(spark, sf):
 
 
 def test_hamming_tables_equal_brute_force(spark):
-    """Descriptors within 7 bits always meet in a table."""
+    """Descriptors within 3 bits always meet in a table."""
     rng = np.random.default_rng(4)
     base = rng.integers(0, 256, (50, 32), np.uint8)
     near = base.copy()
     for row in near:
-        for bit in rng.choice(256, 7, replace=False):
+        for bit in rng.choice(256, 3, replace=False):
             row[bit // 8] ^= 1 << (bit % 8)
     rows = lambda a: [(i, *[int(x) for x in r.view(np.int64)]) for i, r in enumerate(a)]
     schema = "id int, d0 bigint, d1 bigint, d2 bigint, d3 bigint"

@@ -2,8 +2,9 @@
 
 Images (binary PGM or PPM) are described at several scales: corners, an orientation from the intensity
 centroid, and 256 binary tests turned by it. Copies of one byte string are folded into a class first.
-Descriptors meet in Hamming tables (equal 32-bit parts: all pairs at 7 bits or fewer, most at more),
-the distance is verified, and pairs of images are kept whose matches agree on scale, rotation and shift.
+Descriptors meet in Hamming tables (equal 64-bit parts: all pairs at 3 bits or fewer, most copies at
+more), the distance is verified, and pairs of images are kept whose matches agree on scale, rotation
+and shift. Shorter parts find more pairs, but of unlike corners also, and these grow with the square.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import types as T
 
 SCALES = (1.0, 0.75, 0.5)
 RADIUS, EDGE = 8, 12  # pixels: of the oriented patch, and kept from the border
-PARTS = 8
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -155,9 +155,8 @@ def descriptors(images: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
 
 
 def _tables(d: DataFrame) -> DataFrame:
-    """Every descriptor once for each of its parts: `part` number and 32-bit `value`."""
-    halves = [h for j in range(4) for h in (F.col(f"d{j}").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(f"d{j}", 32))]
-    return d.select("*", F.posexplode(F.array(*halves)).alias("part", "value"))
+    """Every descriptor once for each of its parts: `part` number and 64-bit `value`."""
+    return d.select("*", F.posexplode(F.array("d0", "d1", "d2", "d3")).alias("part", "value"))
 
 
 def find_copies(queries: DataFrame, images: DataFrame, id_col: str, bytes_col: str, distance: int = 24, votes: int = 5) -> DataFrame:
@@ -168,8 +167,9 @@ def find_copies(queries: DataFrame, images: DataFrame, id_col: str, bytes_col: s
     are one class; a null id among `images` names no class by itself. Empty tables give an empty result.
     """
     members = classes(images, id_col, bytes_col)
-    chosen = images.select(F.col(id_col).alias("class_id"), F.col(bytes_col).alias("data")).join(members.select("class_id").distinct(), "class_id", "left_semi").dropDuplicates(["class_id"])
-    index, asked = descriptors(chosen, "class_id", "data"), descriptors(queries, id_col, bytes_col)
+    named = members.select(F.col("class_id").alias("id")).distinct()
+    index = descriptors(images, id_col, bytes_col).join(named, "id", "left_semi")
+    asked = descriptors(queries, id_col, bytes_col)
     q = _tables(asked).select(*[F.col(c).alias(f"q_{c}") for c in ("id", "k", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3")], "part", "value")
     met = q.join(_tables(index), ["part", "value"])
     apart = sum((F.bit_count(F.col(f"q_d{j}").bitwiseXOR(F.col(f"d{j}"))) for j in range(4)), F.lit(0))
@@ -198,17 +198,15 @@ def classes(images: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
 
 
 def render(vectors: np.ndarray, side: int = 72) -> np.ndarray:
-    """Grey test images (image, y, x) drawn from vectors of 64 numbers: 12 rectangles over two waves."""
+    """Grey test images (image, y, x) drawn from vectors of 64 numbers: a rough texture, whose knots are fixed mixtures of the numbers."""
     v = np.zeros((len(vectors), 64))
     v[:, : vectors.shape[1]] = np.nan_to_num(vectors)[:, :64]
-    y, x = np.mgrid[0:side, 0:side].astype(np.float32)
-    p = np.sin(20 * v).astype(np.float32)[:, :, None, None]
-    out = 120 + 25 * np.sin(x * (0.3 + 0.2 * p[:, 60]) + 3 * p[:, 61]) + 25 * np.sin(y * (0.3 + 0.2 * p[:, 62]) + 3 * p[:, 63])
-    for k in range(12):
-        cx, cy, w, h, tone = (p[:, 5 * k + j] for j in range(5))
-        inside = (np.abs(x - side / 2 * (1 + 0.9 * cx)) < side / 12 * (1.6 + w)) & (np.abs(y - side / 2 * (1 + 0.9 * cy)) < side / 12 * (1.6 + h))
-        out = np.where(inside, 0.35 * out + 83 + 80 * tone, out)
-    return out
+    knots = side // 4 + 1
+    field = v @ np.random.default_rng(23).normal(0, 1, (64, knots * knots))
+    field /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
+    at = (np.arange(side) + 0.5) / 4
+    spread = np.clip(1 - np.abs(at[:, None] - np.arange(knots)), 0, 1)
+    return 128 + 45 * np.clip(spread @ field.reshape(-1, knots, knots) @ spread.T, -2.8, 2.8)
 
 
 def drawn(vectors: DataFrame, id_col: str, vector_col: str, edit: bool = False) -> DataFrame:

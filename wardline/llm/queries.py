@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import decontam, langid, licenses, media, mixing, pii, quality, secrets, simhash, urls
-from wardline.llm.common import crc_bucket, cut, table
+from wardline.llm.common import crc_bucket, table
 from wardline.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +56,7 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables have no images, so each embedding is drawn as one; every 20th, cropped and edited, is searched among all."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    images = cut(media.drawn(vectors, "vec_id", "embedding"))
+    images = media.drawn(vectors, "vec_id", "embedding")
     edited = media.drawn(vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", edit=True)
     found = media.find_copies(edited, images, "vec_id", "data")
     matches = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.array_sort(F.collect_list(F.struct("class_id", "votes"))).alias("m"))
