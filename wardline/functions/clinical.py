@@ -56,14 +56,21 @@ def icd9_category(code: Column) -> Column:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def condition_categories(text: Column) -> Column:
     """All categories whose keywords or phrases the text holds, sorted; [OTHER] if none."""
-    plain = plain_text(text)
     named: dict[str, list[str]] = {k: list(v) for k, v in fixed.KEYWORDS.items()}
     for phrase, name in fixed.PHRASES.items():
         named[name].append(phrase)
-    hits = F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, [plain.contains(w) for w in dict.fromkeys(ws)]), F.lit(n)) for n, ws in sorted(named.items())]))
-    return F.when(F.size(hits) > 0, hits).otherwise(_words(["OTHER"]))
+
+    def found(plain: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, [plain.contains(w) for w in dict.fromkeys(ws)]), F.lit(n)) for n, ws in sorted(named.items())]))
+
+    return let(let(plain_text(text), found), lambda hits: F.when(F.size(hits) > 0, hits).otherwise(_words(["OTHER"])))
 
 
 def specific_categories(categories: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardline.functions.clinical import let
+
 # Entity patterns.
 DRUGS = [
     r"\b[A-Z][a-z]+(?:mab|nib|vir|pril|sartan|statin|olol|dipine|zole|mycin|cillin|floxacin)\b",
@@ -34,6 +36,7 @@ MEASUREMENTS = [
     r"\b(?:HbA1c|BMI|GFR|eGFR|LDL|HDL|blood.?pressure)\s*(?:of|:)?\s*(\d+(?:\.\d+)?)\b",
 ]
 WORD = r"(?U)\w+"
+DRUG_HINT = "(?i)(?:" + "|".join(p[p.index("(?:") + 3 : p.rindex(")")] for p in DRUGS) + r")\b"
 
 
 def without_markup(html: Column) -> Column:
@@ -67,7 +70,8 @@ def all_matches(text: Column, patterns: list[str]) -> Column:
 
 
 def drugs(text: Column) -> Column:
-    return all_matches(text, DRUGS)
+    """Drug names; texts without any ending or name of the patterns are passed over by a quick search."""
+    return F.when(text.rlike(DRUG_HINT), all_matches(text, DRUGS)).otherwise(F.array().cast("array<string>"))
 
 
 def procedures(text: Column) -> Column:
@@ -97,16 +101,20 @@ def tokens(text: Column) -> Column:
 
 def quality_score(text: Column) -> Column:
     """Length, entity density, sentences, categories and word length, at most 1."""
+    def scored(words: Column, counts: Column) -> Column:
+        n = F.size(words)
+        mentions = F.aggregate(counts, F.lit(0), lambda a, c: a + c)
+        entities = mentions + F.size(drugs(text)) + F.size(procedures(text))
+        length = F.when(n < 10, 0.0).when(n < 50, 0.2).when(n < 200, 0.3).otherwise(0.35)
+        mean_word = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / F.greatest(n, F.lit(1))
+        return (
+            length + F.least(10.0 * entities / F.greatest(n, F.lit(1)), F.lit(0.25)) + F.when(F.size(F.split(text, r"[.!?]+", 3)) >= 3, 0.1).otherwise(0.0)
+            + F.least(F.size(F.filter(counts, lambda c: c > 0)) * 0.05, F.lit(0.2)) + let(mean_word, lambda m: F.when(m.between(4, 8), 0.1).otherwise(0.0))
+        )
+
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    entities = disease_mentions(text) + F.size(drugs(text)) + F.size(procedures(text))
-    length = F.when(n < 10, 0.0).when(n < 50, 0.2).when(n < 200, 0.3).otherwise(0.35)
-    mean_word = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / F.greatest(n, F.lit(1))
-    score = (
-        length + F.least(10.0 * entities / F.greatest(n, F.lit(1)), F.lit(0.25)) + F.when(F.size(F.split(text, r"[.!?]+", -1)) >= 3, 0.1).otherwise(0.0)
-        + F.least(F.size(diseases(text)) * 0.05, F.lit(0.2)) + F.when(mean_word.between(4, 8), 0.1).otherwise(0.0)
-    )
-    return F.least(score, F.lit(1.0))
+    counts = let(F.lower(text), lambda low: F.array(*[F.regexp_count(low, F.lit(p)) for p in DISEASES.values()]))
+    return F.least(let(words, lambda w: let(counts, lambda c: scored(w, c))), F.lit(1.0))
 
 
 def stride_chunks(text: Column, size: int, overlap: int) -> Column:

@@ -220,7 +220,9 @@ def ks_statistic(real: DataFrame, other: DataFrame, columns: list[str]) -> DataF
     values = counted(real, 0).unionByName(counted(other, 1)).groupBy("column", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     cuts = values.groupBy("column").agg(F.array_distinct(F.percentile_approx("v", [i / 256 for i in range(1, 256)], 2048)).alias("cuts"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
     placed = values.join(F.broadcast(cuts), "column")  # one row a column
-    placed = placed.withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("v"))))
+    halves = F.array(*[F.lit(1 << k) for k in range(7, -1, -1)])  # a binary search for the number of cuts below the value
+    part = F.aggregate(halves, F.lit(0), lambda at, half: at + F.when(F.get("cuts", at + half - 1) < F.col("v"), half).otherwise(0))
+    placed = placed.withColumn("part", part).drop("cuts")
     sums = placed.groupBy("column", "part").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
     w = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("column", "part", F.coalesce(F.sum("sa").over(w), F.lit(0)).alias("fa"), F.coalesce(F.sum("sb").over(w), F.lit(0)).alias("fb"))
