@@ -179,9 +179,9 @@ def training_sample(docs: DataFrame, usable, text_col: str, label_col: str, per_
     million = 1_000_000
     share = F.create_map(*[F.lit(v) for r in counts for v in (r.y, min(million, -(-per_label * million // r["count"])))])
     key = F.pmod(F.xxhash64("t", F.lit(11)), F.lit(million))
-    sample = rows.where(key < share[F.col("y")]).select("y", "t", F.xxhash64("t").alias("h")).orderBy("h", "y").limit(2 * per_label * len(counts))
-    start = F.pmod(F.col("h"), F.greatest(F.length("t") - chars, F.lit(0)) + 1).cast("int") + 1
-    got = sample.select("y", "h", F.substr("t", start, F.lit(chars)).alias("w")).collect()
+    start = F.pmod(F.xxhash64("t"), F.greatest(F.length("t") - chars, F.lit(0)) + 1).cast("int") + 1
+    windows = rows.where(key < share[F.col("y")]).select("y", F.xxhash64("t").alias("h"), F.substr("t", start, F.lit(chars)).alias("w"))
+    got = windows.orderBy("h", "y").limit(2 * per_label * len(counts)).collect()
     got.sort(key=lambda r: (r.h, r.y, r.w))
     return [r.w.encode() for r in got if r.w], [r.y for r in got if r.w]
 
