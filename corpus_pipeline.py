@@ -49,7 +49,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it, and its source's target."""
-    placed = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row"))
+    placed = cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")))  # numbered once: a scan planned again may be cut otherwise
     taken = mixing.mix_sources(placed, keep=("__row",)).drop("doc_id")
     return placed.join(taken, "__row").drop("__row")
 

@@ -117,10 +117,11 @@ def hex_fingerprint(fp="fp"):
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """The rows of `docs`, one of each near-duplicate group: that of the smallest id (null ids last).
 
-    `docs` must be a stable scan (a table, not a sample), as rows are named by their position in it.
+    Rows are numbered once, in a checkpoint that the groups and the last join both read: a scan that is
+    planned again may be cut into other partitions, and would number them otherwise.
     Repeated rows and equal ids count as separate rows of one group, of which the first stays.
     """
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
+    placed = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
     groups = near_duplicate_groups(
         placed.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), "__row"), "__id", "__t", radius, extra=("__row",)
     )
