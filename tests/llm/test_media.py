@@ -72,3 +72,56 @@ def test_empty_tables(spark):
     assert media.find_copies(some, none, "id", "data").collect() == []
     nulls = spark.createDataFrame([(1, None), (2, [0.1, None])], "id int, v array<float>")
     assert [r.data is None for r in media.drawn(nulls, "id", "v").orderBy("id").collect()] == [True, False]
+
+
+def test_search_equals_brute_force_to_24_bits():
+    """Any 24 differing bits are found, also where every 32-bit and 64-bit part differs; and nothing at 25."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (300, 32), np.uint8)
+    near = base.copy()
+    for row, n in zip(near, [0, 1, 7, 23, 24, 25] * 50, strict=True):
+        for bit in rng.permutation(256)[:n]:
+            row[bit // 8] ^= 1 << (bit % 8)
+    a, b = base.view(np.uint64), near[[*range(300), 0, 0]].view(np.uint64)
+    i, j = media.Search(b, 24).pairs(a)
+    expected = np.argwhere(np.bitwise_count(a[:, None] ^ b[None]).sum(2, dtype=int) <= 24)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [tuple(e) for e in expected.tolist()]
+
+
+def test_blocks_do_not_change_what_is_found(spark):
+    base = pictures(12)
+    frame = spark.createDataFrame([(i, media.encode(p)) for i, p in enumerate(base)], "id int, data binary")
+    asked = spark.createDataFrame([(100 + i, media.encode(0.8 * p[5:-8, 7:-3] + 20)) for i, p in enumerate(base[:6])], "id int, data binary")
+    whole, parts = (sorted(map(tuple, media.find_copies(asked, frame, "id", "data", block=n).collect())) for n in (1 << 18, 30))
+    assert whole == parts and len(whole) >= 5
+
+
+def test_recall_of_rescaled_turned_and_noised_copies():
+    base = pictures(60, 5)
+    rng = np.random.default_rng(2)
+    y, x = np.mgrid[0:72, 0:72] - 35.5
+
+    def turned(p, degrees):
+        c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+        return p[np.clip(np.rint(35.5 - s * x + c * y), 0, 71).astype(int), np.clip(np.rint(35.5 + c * x + s * y), 0, 71).astype(int)]
+
+    edits = {"rescaled": lambda p: media._resized(p.astype(np.float32), 0.75), "turned": lambda p: turned(p, 4), "noised": lambda p: p + rng.normal(0, 4, p.shape)}
+    described = [np.array(media.describe(p[None].astype(np.float32))[5]).view(np.uint64) for p in base]
+    facts = [media.describe(p[None].astype(np.float32)) for p in base]
+
+    def packed(f):
+        out = np.zeros(len(f[0]), media.CORNER)
+        out["x"], out["y"], out["scale"], out["angle"] = f[1:5]
+        out["bits"] = np.ascontiguousarray(f[5]).view(np.uint64)
+        return out
+
+    mine = np.concatenate([packed(f) for f in facts])
+    image = np.repeat(np.arange(60), [len(d) for d in described])
+    recall = {}
+    for name, edit in edits.items():
+        asked = [packed(media.describe(np.clip(np.rint(edit(p)), 0, 255)[None].astype(np.float32))) for p in base]
+        theirs, query = np.concatenate(asked), np.repeat(np.arange(60), [len(a) for a in asked])
+        m, q, _ = media.consensus(image, mine, query, theirs, *media.Search(theirs["bits"], 24).pairs(mine["bits"]), 5)
+        recall[name] = len(set(m[m == q])) / 60
+    print(recall)
+    assert min(recall.values()) > 0, recall

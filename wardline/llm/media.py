@@ -2,9 +2,10 @@
 
 Images (binary PGM or PPM) are described at several scales: corners, an orientation from the intensity
 centroid, and 256 binary tests turned by it. Copies of one byte string are folded into a class first.
-Descriptors meet in Hamming tables (equal 64-bit parts: all pairs at 3 bits or fewer, most copies at
-more), the distance is verified, and pairs of images are kept whose matches agree on scale, rotation
-and shift. Shorter parts find more pairs, but of unlike corners also, and these grow with the square.
+Descriptors meet in Hamming tables that are exact: of 24 differing bits one of 13 parts has at most one,
+so every part is looked up with all its one-bit neighbours, and the distance is verified. Pairs of images
+are kept whose matches agree on scale, rotation and shift. The tables hold a block of the queries; images
+stream past them whole, so matches are voted on in the task that finds them and no pair is shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from wardline.llm.common import cut
 
 SCALES = (1.0, 0.75, 0.5)
 RADIUS, EDGE = 8, 12  # pixels: of the oriented patch, and kept from the border
@@ -125,13 +129,15 @@ def describe(stack: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(p) for p in zip(*found, strict=True))
 
 
-def descriptors(images: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
-    """(id, k, x, y, scale, angle, d0..d3) of every corner of every decodable image."""
+#: One corner, as `corners` packs it.
+CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "<u8", 4)])
+
+
+def corners(images: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
+    """(id, corners) of every decodable image that has corners: packed rows of `CORNER`."""
     rows = images.select(images[id_col].alias("id"), images[bytes_col].cast("binary").alias("data"))
-    fields = [rows.schema["id"], *T._parse_datatype_string("k int, x float, y float, scale float, angle float, d0 bigint, d1 bigint, d2 bigint, d3 bigint").fields]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.name for f in fields]
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
@@ -143,51 +149,173 @@ def descriptors(images: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
                     n, x, y, scale, angle, bits = describe(np.stack([g for _, g in group]))
                     if not len(n):
                         continue
-                    order = np.argsort(n, kind="stable")
-                    n = n[order]
-                    k = np.arange(len(n)) - np.searchsorted(n, n)
-                    words = np.ascontiguousarray(bits[order]).view(np.int64)
-                    rows_of = pa.array(np.array([i for i, _ in group])[n])
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(rows_of), pa.array(k.astype(np.int32)), *[pa.array(v[order].astype(np.float32)) for v in (x, y, scale, angle)], *[pa.array(words[:, j]) for j in range(4)]], names)
+                    packed = np.zeros(len(n), CORNER)
+                    packed["x"], packed["y"], packed["scale"], packed["angle"] = x, y, scale, angle
+                    packed["bits"] = np.ascontiguousarray(bits).view("<u8")
+                    packed = packed[np.argsort(n, kind="stable")]
+                    here, starts = np.unique(np.sort(n), return_index=True)
+                    data = [part.tobytes() for part in np.split(packed, starts[1:])]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array([i for i, _ in group])[here])), pa.array(data, pa.binary())], ["id", "corners"])
+
+    return rows.mapInArrow(scan, T.StructType([rows.schema["id"], T.StructField("corners", T.BinaryType())]))
+
+
+def _product(a: np.ndarray, b: np.ndarray, of_a: tuple, of_b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of members of the groups a[i] and b[i]; a side is (members in order of group, starts)."""
+    na, nb = of_a[1][a + 1] - of_a[1][a], of_b[1][b + 1] - of_b[1][b]
+    each = na * nb
+    nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    width = np.repeat(nb, each)
+    return of_a[0][np.repeat(of_a[1][a], each) + nth // width], of_b[0][np.repeat(of_b[1][b], each) + nth % width]
+
+
+def _folded(bits: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Distinct descriptors, and who has each: (members in order of descriptor, starts)."""
+    whole = np.ascontiguousarray(bits).view("V32").ravel()
+    _, first, which = np.unique(whole, return_index=True, return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(first)))))
+    return bits[first], (np.argsort(which, kind="stable"), starts)
 
-    return rows.mapInArrow(scan, T.StructType(fields))
+
+class Search:
+    """All descriptors at `distance` or fewer bits from given ones (n, 4 words of 64 bits); none is missed.
+
+    With p parts, p > distance / 2, some part of such a pair differs in at most one bit.
+    """
+
+    def __init__(self, bits: np.ndarray, distance: int):
+        self.distance, parts = distance, max(13, distance // 2 + 1)
+        self.edges = [round(256 * i / parts) for i in range(parts + 1)]
+        self.bits, self.members = _folded(bits)
+        self.tables = []
+        for value, width in self.parts(self.bits):
+            self.tables.append((np.argsort(value, kind="stable").astype(np.int32), np.concatenate(([0], np.cumsum(np.bincount(value, minlength=1 << width)))).astype(np.int32)))
+
+    def parts(self, bits: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        single = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(-1, 32), axis=1)
+        for a, b in zip(self.edges, self.edges[1:], strict=False):
+            value = np.zeros(len(bits), np.int32)
+            for j in range(a, b):
+                value |= single[:, j].astype(np.int32) << (j - a)
+            yield value, b - a
+
+    def pairs(self, bits: np.ndarray, at_once: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j) of all of the given descriptors i and the table's j, repeated ones included."""
+        bits, members = _folded(bits)
+        found = []
+        for (value, width), (order, starts) in zip(self.parts(bits), self.tables, strict=True):
+            probes = value[:, None] ^ np.concatenate(([0], 1 << np.arange(width))).astype(np.int32)
+            low = starts[probes].ravel()
+            n = starts[probes + 1].ravel() - low
+            hit = np.flatnonzero(n)
+            low, n, who = low[hit].astype(np.int64), n[hit].astype(np.int64), hit // (width + 1)
+            total = np.cumsum(n)
+            cuts = np.unique(np.searchsorted(total, np.arange(at_once, total[-1], at_once))) if len(n) else []
+            for s in np.split(np.arange(len(n)), cuts):
+                k = np.arange(n[s].sum()) - np.repeat(np.cumsum(n[s]) - n[s], n[s])
+                i, j = np.repeat(who[s], n[s]), order[np.repeat(low[s], n[s]) + k]
+                near = np.bitwise_count(bits[i] ^ self.bits[j]).sum(axis=1, dtype=np.int32) <= self.distance
+                found.append(i[near] * len(self.bits) + j[near])
+        both = np.unique(np.concatenate(found))
+        return _product(both // max(1, len(self.bits)), both % max(1, len(self.bits)), members, self.members)
+
+
+def consensus(image: np.ndarray, mine: np.ndarray, query: np.ndarray, asked: np.ndarray, i: np.ndarray, j: np.ndarray, votes: int) -> tuple[np.ndarray, ...]:
+    """(image, query, votes) of the pairs of images of which at least `votes` corners j of the query agree on one bin.
+
+    i and j are corners that match; `image` and `query` say whose they are. Bins are of scale, rotation and
+    shift; a match votes for the two nearest of each, so that no border parts what agrees. A pair with
+    fewer corners than `votes` can't have a bin with as many, and is left out first.
+    """
+    many, last = len(asked), int(query.max(initial=0)) + 1
+    both = image[i] * last + query[j]
+    seen = np.unique(image[i] * many + j)
+    could, n = np.unique(seen // many * last + query[seen % many], return_counts=True)
+    could = could[n >= votes]
+    keep = np.isin(both, could)
+    i, j = i[keep], j[keep]
+    pair = np.searchsorted(could, both[keep])
+    a, q = mine[i], asked[j]
+    get = lambda r, c: r[c].astype(np.float64)
+    turn, ratio = get(a, "angle") - get(q, "angle"), get(q, "scale") / get(a, "scale")
+    sx = get(a, "x") - ratio * (np.cos(turn) * get(q, "x") - np.sin(turn) * get(q, "y"))
+    sy = get(a, "y") - ratio * (np.sin(turn) * get(q, "x") + np.cos(turn) * get(q, "y"))
+    r = np.rint(4 * np.log2(ratio)).astype(np.int64)
+    low = lambda v, step: np.floor(v / step - 0.5).astype(np.int64)
+    t, x, y = low(turn, 0.5), low(sx, 8.0), low(sy, 8.0)
+    if not len(pair):
+        return could[:0], could[:0], could[:0]
+    r, x, y = r - r.min(), x - x.min(), y - y.min()
+    wide, high = int(x.max()) + 2, int(y.max()) + 2
+    base = pair * (int(r.max()) + 1) + r
+    keys = [((base * 13 + (t + dt) % 13), x + dx, y + dy) for dt in (0, 1) for dx in (0, 1) for dy in (0, 1)]
+    turned, which = np.unique(np.concatenate([k for k, _, _ in keys]), return_inverse=True)
+    place = np.concatenate([xx * high + yy for _, xx, yy in keys])
+    bins, bin_of = np.unique(which * (wide * high) + place, return_inverse=True)
+    n = np.bincount(np.unique(bin_of * many + np.tile(j, 8)) // many, minlength=len(bins))
+    best = np.zeros(len(could), np.int64)
+    np.maximum.at(best, turned[bins // (wide * high)] // 13 // (int(r.max()) + 1), n)
+    good = np.flatnonzero(best >= votes)
+    return could[good] // last, could[good] % last, best[good]
 
 
 def _tables(d: DataFrame) -> DataFrame:
-    """Every descriptor once for each of its parts: `part` number and 64-bit `value`."""
+    """Every descriptor once for each of its parts: `part` number and 64-bit `value`. Not on the path of `find_copies`, whose tables are `Search`."""
     return d.select("*", F.posexplode(F.array("d0", "d1", "d2", "d3")).alias("part", "value"))
 
 
-def find_copies(queries: DataFrame, images: DataFrame, id_col: str, bytes_col: str, distance: int = 24, votes: int = 5) -> DataFrame:
+def _blocks(asked: DataFrame, size: int) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and corners of the queries in blocks of about `size` corners."""
+    ids, data, n = [], [], 0
+    for row in asked.toLocalIterator():
+        ids.append(row["id"])
+        data.append(bytes(row["corners"]))
+        n += len(data[-1]) // CORNER.itemsize
+        if n >= size:
+            yield ids, data
+            ids, data, n = [], [], 0
+    if ids:
+        yield ids, data
+
+
+def find_copies(queries: DataFrame, images: DataFrame, id_col: str, bytes_col: str, distance: int = 24, votes: int = 5, members: DataFrame | None = None, block: int = 1 << 18) -> DataFrame:
     """(query_id, class_id, votes): for every query image the classes of equal images that it is a cropped or edited copy of.
 
-    `images` holds (id, bytes); `classes` gives its membership. Every corner of every image is in every
-    table, so nothing is capped. Images that are null or can't be decoded match nothing. Repeated rows
+    `images` holds (id, bytes); `classes` gives its membership, computed here unless given as `members`.
+    Every corner of every image meets every corner of every query within `distance` bits; nothing is capped.
+    Corners of both sides are checkpointed; `block` corners of the queries (48 bytes each) are broadcast at
+    a time. Images that are null or can't be decoded match nothing. Repeated rows
     are one class; a null id among `images` names no class by itself. Empty tables give an empty result.
     """
-    members = classes(images, id_col, bytes_col)
+    spark = images.sparkSession
+    members = classes(images, id_col, bytes_col) if members is None else members
     named = members.select(F.col("class_id").alias("id")).distinct()
-    index = descriptors(images, id_col, bytes_col).join(named, "id", "left_semi")
-    asked = descriptors(queries, id_col, bytes_col)
-    q = _tables(asked).select(*[F.col(c).alias(f"q_{c}") for c in ("id", "k", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3")], "part", "value")
-    met = q.join(_tables(index), ["part", "value"])
-    apart = sum((F.bit_count(F.col(f"q_d{j}").bitwiseXOR(F.col(f"d{j}"))) for j in range(4)), F.lit(0))
-    pairs = met.where(apart <= distance).select("q_id", "q_k", "q_x", "q_y", "q_scale", "q_angle", "id", "k", "x", "y", "scale", "angle").distinct()
-    turn, ratio = F.col("angle") - F.col("q_angle"), F.col("q_scale") / F.col("scale")
-    sx = F.col("x") - ratio * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
-    sy = F.col("y") - ratio * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
-
-    def near(value, step: float):  # the two nearest bins, so that no border parts what agrees
-        low = F.floor(value / step - 0.5)
-        return F.array(low, low + 1)
-
-    turns = F.transform(near(turn, 0.5), lambda b: F.pmod(b, F.lit(13)))
-    voted = pairs.select("q_id", "id", "q_k", F.round(4 * F.log2(ratio)).alias("r"), F.explode(turns).alias("t"), near(sx, 8.0).alias("bx"), near(sy, 8.0).alias("by"))
-    voted = voted.select("q_id", "id", "q_k", "r", "t", F.explode("bx").alias("x"), "by").select("q_id", "id", "q_k", "r", "t", "x", F.explode("by").alias("y")).distinct()
-    bins = voted.groupBy("q_id", "id", "r", "t", "x", "y").agg(F.count("*").alias("n"))
-    best = bins.groupBy("q_id", "id").agg(F.max("n").alias("votes")).where(F.col("votes") >= votes)
-    return best.select(F.col("q_id").alias("query_id"), F.col("id").alias("class_id"), "votes")
+    index = cut(corners(images, id_col, bytes_col).join(named, "id", "left_semi"))
+    asked = cut(corners(queries, id_col, bytes_col))
+    fields = T.StructType([T.StructField("query_id", asked.schema["id"].dataType), T.StructField("class_id", index.schema["id"].dataType), T.StructField("votes", T.LongType())])
+    kind, out = to_arrow_type(asked.schema["id"].dataType), spark.createDataFrame([], fields)
+    for ids, data in _blocks(asked, block):
+        tables = spark.sparkContext.broadcast((ids, data))
+
+        def match(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
+            ids, data = tables.value
+            names = pa.array(ids, kind)
+            theirs = np.frombuffer(b"".join(data), CORNER)
+            query = np.repeat(np.arange(len(data)), [len(d) // CORNER.itemsize for d in data])
+            search = None
+            for whole in batches:
+                for at in range(0, whole.num_rows, 32):
+                    b = whole.slice(at, 32)
+                    search = search or Search(theirs["bits"], distance)
+                    given = [d.as_py() for d in b.column(1)]
+                    mine = np.frombuffer(b"".join(given), CORNER)
+                    image = np.repeat(np.arange(len(given)), [len(d) // CORNER.itemsize for d in given])
+                    m, q, n = consensus(image, mine, query, theirs, *search.pairs(mine["bits"]), votes)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), b.column(0).take(pa.array(m)), pa.array(n, pa.int64())], ["query_id", "class_id", "votes"])
+
+        out = out.union(cut(index.mapInArrow(match, fields)))
+        tables.destroy()
+    return out.groupBy("query_id", "class_id").agg(F.max("votes").alias("votes"))
 
 
 def classes(images: DataFrame, id_col: str, bytes_col: str) -> DataFrame:

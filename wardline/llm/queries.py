@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import decontam, langid, licenses, media, mixing, pii, quality, secrets, simhash, urls
-from wardline.llm.common import crc_bucket, table
+from wardline.llm.common import crc_bucket, cut, table
 from wardline.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,9 +58,10 @@ def op5_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     images = media.drawn(vectors, "vec_id", "embedding")
     edited = media.drawn(vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", edit=True)
-    found = media.find_copies(edited, images, "vec_id", "data")
+    members = cut(media.classes(images, "vec_id", "data"))
+    found = media.find_copies(edited, images, "vec_id", "data", members=members)
     matches = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.array_sort(F.collect_list(F.struct("class_id", "votes"))).alias("m"))
-    rows = media.classes(images, "vec_id", "data").withColumnRenamed("id", "vec_id").join(matches, "vec_id", "left")
+    rows = members.withColumnRenamed("id", "vec_id").join(matches, "vec_id", "left")
     return rows.select("vec_id", "class_id", F.coalesce(F.size("m"), F.lit(0)).alias("n_matches"), F.transform("m", lambda m: m["class_id"]).alias("matches"))
 
 
