@@ -1,11 +1,12 @@
 """Copy detection in image columns by local descriptors.
 
 Images (binary PGM or PPM) are described at several scales: corners, an orientation from the intensity
-centroid, and 256 binary tests turned by it. Copies of one byte string are folded into a class first.
-Descriptors meet in Hamming tables that are exact: of 24 differing bits one of 13 parts has at most one,
-so every part is looked up with all its one-bit neighbours, and the distance is verified. Pairs of images
-are kept whose matches agree on scale, rotation and shift. The tables hold a block of the queries; images
-stream past them whole, so matches are voted on in the task that finds them and no pair is shuffled.
+centroid, and 256 binary tests turned by it. Copies of one byte string are folded into a class before
+anything is described. Descriptors meet in Hamming tables, each keyed by a sample of the bits, and the
+distance is verified; a search that misses no pair of descriptors is there as well (`exact`). Pairs of
+images are kept whose matches agree on scale, rotation and shift. Queries are described at more scales than
+the images, so that copies of any size meet a level of the image. The tables hold a block of the queries;
+images stream past them whole, so matches are voted on in the task that finds them and no pair is shuffled.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from wardline.llm.common import cut
 
-SCALES = (1.0, 0.75, 0.5)
-RADIUS, EDGE = 8, 12  # pixels: of the oriented patch, and kept from the border
+SCALES, QUERY_SCALES = (1.0, 0.75, 0.5), (1.25, 1.1, 1.0, 0.87, 0.75)
+RADIUS, EDGE = 10, 11  # pixels: of the oriented patch, and kept from the border
+APART, CONTRAST = 3, 20.0  # corners: strongest within so many pixels, and least response
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -58,14 +60,29 @@ def encode(grey: np.ndarray) -> bytes:
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Mean over squares of side 2 r + 1, edges repeated; over the last two axes."""
-    for axis in (-1, -2):
-        pad = [(0, 0)] * a.ndim
-        pad[axis] = (r + 1, r)
-        c = np.cumsum(np.pad(a, pad, mode="edge"), axis=axis, dtype=np.float64)
-        n = a.shape[axis]
-        a = ((np.take(c, range(2 * r + 1, 2 * r + 1 + n), axis) - np.take(c, range(n), axis)) / (2 * r + 1)).astype(np.float32)
-    return a
+    """Mean over squares of side 2 r + 1, edges repeated; over the last two axes of (image, y, x)."""
+    h, w = a.shape[-2:]
+    a = np.pad(a, ((0, 0), (r, r), (r, r)), mode="edge")
+    rows = a[:, :h].copy()
+    for d in range(1, 2 * r + 1):
+        rows += a[:, d : d + h]
+    out = rows[:, :, :w].copy()
+    for d in range(1, 2 * r + 1):
+        out += rows[:, :, d : d + w]
+    out *= np.float32(1 / (2 * r + 1) ** 2)
+    return out
+
+
+def _highest(a: np.ndarray, r: int) -> np.ndarray:
+    """Maximum over squares of side 2 r + 1; r less on every side."""
+    h, w = a.shape[-2] - 2 * r, a.shape[-1] - 2 * r
+    rows = a[:, :h].copy()
+    for d in range(1, 2 * r + 1):
+        np.maximum(rows, a[:, d : d + h], out=rows)
+    out = rows[:, :, :w].copy()
+    for d in range(1, 2 * r + 1):
+        np.maximum(out, rows[:, :, d : d + w], out=out)
+    return out
 
 
 def _resized(a: np.ndarray, scale: float) -> np.ndarray:
@@ -85,43 +102,40 @@ def _tests(seed: int = 19) -> np.ndarray:
     """256 pairs of points (pair, end, xy) inside the patch."""
     rng = np.random.default_rng(seed)
     points = rng.normal(0, RADIUS / 2, (4096, 2))
-    return points[(points**2).sum(1) < RADIUS**2][:512].reshape(256, 2, 2).astype(np.float32)
+    return points[(points**2).sum(1) < (RADIUS - 0.5) ** 2][:512].reshape(256, 2, 2).astype(np.float32)
 
 
 TESTS = _tests()
 
 
-def describe(stack: np.ndarray) -> tuple[np.ndarray, ...]:
+def describe(stack: np.ndarray, scales: tuple[float, ...] = SCALES) -> tuple[np.ndarray, ...]:
     """(image, x, y, scale, angle, descriptor bytes) of all corners of equally large images (image, y, x)."""
     found = []
-    for scale in SCALES:
-        level = _resized(stack, scale)
+    d = np.arange(-RADIUS, RADIUS + 1)
+    disc = (d[:, None] ** 2 + d[None, :] ** 2) <= RADIUS**2
+    dy, dx = (a[disc] for a in np.meshgrid(d, d, indexing="ij"))
+    px, py = TESTS[..., 0], TESTS[..., 1]
+    for scale in scales:
+        level = np.ascontiguousarray(_resized(stack, scale), np.float32)
         h, w = level.shape[1:]
         if min(h, w) <= 2 * EDGE + 2:
             continue
-        smooth = _box(_box(level, 1), 1)
-        gx, gy = np.zeros_like(smooth), np.zeros_like(smooth)
-        gx[:, :, 1:-1] = smooth[:, :, 2:] - smooth[:, :, :-2]
-        gy[:, 1:-1] = smooth[:, 2:] - smooth[:, :-2]
+        fine = _box(_box(level, 1), 1)
+        gx, gy = np.zeros_like(fine), np.zeros_like(fine)
+        gx[:, :, 1:-1] = fine[:, :, 2:] - fine[:, :, :-2]
+        gy[:, 1:-1] = fine[:, 2:] - fine[:, :-2]
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         response = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         around = response[:, EDGE:-EDGE, EDGE:-EDGE]
-        best = around
-        for dy in range(-4, 5):
-            for dx in range(-4, 5):
-                best = np.maximum(best, response[:, EDGE + dy : h - EDGE + dy, EDGE + dx : w - EDGE + dx])
-        n, y, x = np.nonzero((around >= best) & (around > 20.0))
+        best = _highest(response[:, EDGE - APART : h - EDGE + APART, EDGE - APART : w - EDGE + APART], APART)
+        n, y, x = np.nonzero((around >= best) & (around > CONTRAST))
         y, x = y + EDGE, x + EDGE
-        d = np.arange(-RADIUS, RADIUS + 1)
-        disc = (d[:, None] ** 2 + d[None, :] ** 2) <= RADIUS**2
-        dy, dx = (a[disc] for a in np.meshgrid(d, d, indexing="ij"))
-        patch = level[n[:, None], y[:, None] + dy, x[:, None] + dx]
+        at = ((n * h + y) * w + x)[:, None]
+        patch = level.ravel()[at + (dy * w + dx)]
         angle = np.arctan2(patch @ dy.astype(np.float32), patch @ dx.astype(np.float32))
         c, s = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-        px, py = TESTS[..., 0], TESTS[..., 1]
-        qx = np.rint(x[:, None, None] + c * px - s * py).astype(int)
-        qy = np.rint(y[:, None, None] + s * px + c * py).astype(int)
-        values = smooth[n[:, None, None], qy, qx]
+        off = np.rint(s * px + c * py).astype(np.int32) * w + np.rint(c * px - s * py).astype(np.int32)
+        values = _box(_box(level, 2), 2).ravel()[at[..., None] + off]
         bits = np.packbits(values[..., 0] < values[..., 1], axis=1)
         found.append((n, x / scale, y / scale, np.full(len(n), scale), angle, bits))
     if not found:
@@ -133,7 +147,7 @@ def describe(stack: np.ndarray) -> tuple[np.ndarray, ...]:
 CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "<u8", 4)])
 
 
-def corners(images: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
+def corners(images: DataFrame, id_col: str, bytes_col: str, scales: tuple[float, ...] = SCALES) -> DataFrame:
     """(id, corners) of every decodable image that has corners: packed rows of `CORNER`."""
     rows = images.select(images[id_col].alias("id"), images[bytes_col].cast("binary").alias("data"))
 
@@ -146,7 +160,7 @@ def corners(images: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
                     if (grey := decode(data.as_py())) is not None:
                         shapes.setdefault(grey.shape, []).append((i, grey))
                 for group in shapes.values():
-                    n, x, y, scale, angle, bits = describe(np.stack([g for _, g in group]))
+                    n, x, y, scale, angle, bits = describe(np.stack([g for _, g in group]), scales)
                     if not len(n):
                         continue
                     packed = np.zeros(len(n), CORNER)
@@ -177,7 +191,58 @@ def _folded(bits: np.ndarray) -> tuple[np.ndarray, tuple]:
     return bits[first], (np.argsort(which, kind="stable"), starts)
 
 
-class Search:
+def _near(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int) -> np.ndarray:
+    """i * len(b) + j of the pairs of descriptors a[i], b[j] at `distance` or fewer bits."""
+    near = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int32) <= distance
+    return i[near].astype(np.int64) * len(b) + j[near]
+
+
+class Sampled:
+    """Descriptors at `distance` or fewer bits from given ones (n, 4 words of 64 bits), by tables keyed by samples of the bits.
+
+    A pair at d bits meets in one of `tables` tables of keys of k bits with probability 1 - (1 - (1 - d / 256)^k)^tables:
+    above 0.97 to 14 bits, 0.75 at 24. Only verified pairs are returned.
+    """
+
+    def __init__(self, bits: np.ndarray, distance: int, key_bits: int = 28, tables: int = 16, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        self.distance = distance
+        self.masks = [np.sort(rng.permutation(256)[:key_bits]) for _ in range(tables)]
+        self.bits, self.members = _folded(bits)
+        self.tables = []
+        for keys in self.keys(self.bits):
+            order = np.argsort(keys, kind="stable").astype(np.int32)
+            values, first = np.unique(keys[order], return_index=True)
+            self.tables.append((order, values, np.append(first, len(keys))))
+
+    def keys(self, bits: np.ndarray) -> Iterator[np.ndarray]:
+        single = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(-1, 32), axis=1)
+        for mask in self.masks:
+            packed = np.zeros((len(bits), 8), np.uint8)
+            part = np.packbits(single[:, mask], axis=1)
+            packed[:, : part.shape[1]] = part
+            yield packed.view(np.uint64).ravel()
+
+    def pairs(self, bits: np.ndarray, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j) of the given descriptors i and the table's j, repeated ones included."""
+        bits, members = _folded(bits)
+        found = [np.zeros(0, np.int64)]
+        for keys, (order, values, starts) in zip(self.keys(bits), self.tables, strict=True):
+            if not len(values):
+                continue
+            slot = np.minimum(np.searchsorted(values, keys), len(values) - 1)
+            who = np.flatnonzero(values[slot] == keys)
+            low, n = starts[slot[who]], starts[slot[who] + 1] - starts[slot[who]]
+            total = np.cumsum(n)
+            cuts = np.unique(np.searchsorted(total, np.arange(at_once, total[-1], at_once))) if len(n) else []
+            for s in np.split(np.arange(len(n)), cuts):
+                k = np.arange(n[s].sum()) - np.repeat(np.cumsum(n[s]) - n[s], n[s])
+                found.append(_near(bits, self.bits, np.repeat(who[s], n[s]), order[np.repeat(low[s], n[s]) + k], self.distance))
+        both = np.unique(np.concatenate(found))
+        return _product(both // max(1, len(self.bits)), both % max(1, len(self.bits)), members, self.members)
+
+
+class Exact:
     """All descriptors at `distance` or fewer bits from given ones (n, 4 words of 64 bits); none is missed.
 
     With p parts, p > distance / 2, some part of such a pair differs in at most one bit.
@@ -213,9 +278,7 @@ class Search:
             cuts = np.unique(np.searchsorted(total, np.arange(at_once, total[-1], at_once))) if len(n) else []
             for s in np.split(np.arange(len(n)), cuts):
                 k = np.arange(n[s].sum()) - np.repeat(np.cumsum(n[s]) - n[s], n[s])
-                i, j = np.repeat(who[s], n[s]), order[np.repeat(low[s], n[s]) + k]
-                near = np.bitwise_count(bits[i] ^ self.bits[j]).sum(axis=1, dtype=np.int32) <= self.distance
-                found.append(i[near] * len(self.bits) + j[near])
+                found.append(_near(bits, self.bits, np.repeat(who[s], n[s]), order[np.repeat(low[s], n[s]) + k], self.distance))
         both = np.unique(np.concatenate(found))
         return _product(both // max(1, len(self.bits)), both % max(1, len(self.bits)), members, self.members)
 
@@ -259,11 +322,6 @@ def consensus(image: np.ndarray, mine: np.ndarray, query: np.ndarray, asked: np.
     return could[good] // last, could[good] % last, best[good]
 
 
-def _tables(d: DataFrame) -> DataFrame:
-    """Every descriptor once for each of its parts: `part` number and 64-bit `value`. Not on the path of `find_copies`, whose tables are `Search`."""
-    return d.select("*", F.posexplode(F.array("d0", "d1", "d2", "d3")).alias("part", "value"))
-
-
 def _blocks(asked: DataFrame, size: int) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and corners of the queries in blocks of about `size` corners."""
     ids, data, n = [], [], 0
@@ -278,22 +336,27 @@ def _blocks(asked: DataFrame, size: int) -> Iterator[tuple[list, list[bytes]]]:
         yield ids, data
 
 
-def find_copies(queries: DataFrame, images: DataFrame, id_col: str, bytes_col: str, distance: int = 24, votes: int = 5, members: DataFrame | None = None, block: int = 1 << 18) -> DataFrame:
+def find_copies(
+    queries: DataFrame, images: DataFrame, id_col: str, bytes_col: str, distance: int = 24, votes: int = 5, folded: bool = False, exact: bool = False, block: int = 1 << 18,
+) -> DataFrame:
     """(query_id, class_id, votes): for every query image the classes of equal images that it is a cropped or edited copy of.
 
-    `images` holds (id, bytes); `classes` gives its membership, computed here unless given as `members`.
-    Every corner of every image meets every corner of every query within `distance` bits; nothing is capped.
-    Corners of both sides are checkpointed; `block` corners of the queries (48 bytes each) are broadcast at
-    a time. Images that are null or can't be decoded match nothing. Repeated rows
-    are one class; a null id among `images` names no class by itself. Empty tables give an empty result.
+    `images` holds (id, bytes), and `classes` gives its membership; with `folded` it has one row a class
+    already. Corners of images and queries meet within `distance` bits, in tables that find nearly all such
+    pairs of corners (`Sampled`) or, with `exact`, all of them. A copy has many corners, so few copies are
+    missed either way; nothing is capped. Corners of both sides are checkpointed; `block` corners of the
+    queries (48 bytes each) are broadcast at a time. Images that are null or can't be decoded match nothing.
+    Repeated rows are one class; a null id among `images` names no class by itself. Empty tables give an
+    empty result. Only the two named columns are read.
     """
     spark = images.sparkSession
-    members = classes(images, id_col, bytes_col) if members is None else members
-    named = members.select(F.col("class_id").alias("id")).distinct()
-    index = cut(corners(images, id_col, bytes_col).join(named, "id", "left_semi"))
-    asked = cut(corners(queries, id_col, bytes_col))
+    if not folded:
+        first = classes(images, id_col, bytes_col).select(F.col("class_id").alias(id_col)).distinct()
+        images = images.select(id_col, bytes_col).join(first, id_col, "left_semi").dropDuplicates([id_col])
+    index = cut(corners(images, id_col, bytes_col))
+    asked = cut(corners(queries, id_col, bytes_col, QUERY_SCALES))
     fields = T.StructType([T.StructField("query_id", asked.schema["id"].dataType), T.StructField("class_id", index.schema["id"].dataType), T.StructField("votes", T.LongType())])
-    kind, out = to_arrow_type(asked.schema["id"].dataType), spark.createDataFrame([], fields)
+    kind, found = to_arrow_type(asked.schema["id"].dataType), []
     for ids, data in _blocks(asked, block):
         tables = spark.sparkContext.broadcast((ids, data))
 
@@ -306,15 +369,18 @@ def find_copies(queries: DataFrame, images: DataFrame, id_col: str, bytes_col: s
             for whole in batches:
                 for at in range(0, whole.num_rows, 32):
                     b = whole.slice(at, 32)
-                    search = search or Search(theirs["bits"], distance)
+                    search = search or (Exact if exact else Sampled)(theirs["bits"], distance)
                     given = [d.as_py() for d in b.column(1)]
                     mine = np.frombuffer(b"".join(given), CORNER)
                     image = np.repeat(np.arange(len(given)), [len(d) // CORNER.itemsize for d in given])
                     m, q, n = consensus(image, mine, query, theirs, *search.pairs(mine["bits"]), votes)
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), b.column(0).take(pa.array(m)), pa.array(n, pa.int64())], ["query_id", "class_id", "votes"])
 
-        out = out.union(cut(index.mapInArrow(match, fields)))
+        found.append(cut(index.mapInArrow(match, fields)))
         tables.destroy()
+    out = spark.createDataFrame([], fields)
+    for part in found:
+        out = out.union(part)
     return out.groupBy("query_id", "class_id").agg(F.max("votes").alias("votes"))
 
 

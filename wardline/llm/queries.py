@@ -56,10 +56,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables have no images, so each embedding is drawn as one; every 20th, cropped and edited, is searched among all."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    images = media.drawn(vectors, "vec_id", "embedding")
     edited = media.drawn(vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", edit=True)
-    members = cut(media.classes(images, "vec_id", "data"))
-    found = media.find_copies(edited, images, "vec_id", "data", members=members)
+    members = cut(media.classes(media.drawn(vectors, "vec_id", "embedding"), "vec_id", "data"))
+    firsts = vectors.join(members.select(F.col("class_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    found = media.find_copies(edited, media.drawn(firsts, "vec_id", "embedding"), "vec_id", "data", folded=True)
     matches = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.array_sort(F.collect_list(F.struct("class_id", "votes"))).alias("m"))
     rows = members.withColumnRenamed("id", "vec_id").join(matches, "vec_id", "left")
     return rows.select("vec_id", "class_id", F.coalesce(F.size("m"), F.lit(0)).alias("n_matches"), F.transform("m", lambda m: m["class_id"]).alias("matches"))
