@@ -2,9 +2,9 @@
 
 Images (binary PGM or PPM) are described at several scales: corners, an orientation from the intensity
 centroid, and 256 binary tests turned by it. Copies of one byte string are folded into a class before
-anything is described. Descriptors meet in Hamming tables, each keyed by a sample of the bits, and the
-distance is verified; a search that misses no pair of descriptors is there as well (`exact`). Pairs of
-images are kept whose matches agree on scale, rotation and shift. Queries are described at more scales than
+anything is described. Hamming tables, keyed by samples of the bits of two neighbouring corners, propose
+pairs of images, whose corners are then all compared; a search that misses no pair of corners is there as
+well (`exact`). Pairs of images are kept whose matches agree on scale, rotation and shift. Queries are described at more scales than
 the images, so that copies of any size meet a level of the image. The tables hold a block of the queries;
 images stream past them whole, so matches are voted on in the task that finds them and no pair is shuffled.
 """
@@ -197,58 +197,94 @@ def _near(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, distance:
     return i[near].astype(np.int64) * len(b) + j[near]
 
 
-class Sampled:
-    """Descriptors at `distance` or fewer bits from given ones (n, 4 words of 64 bits), by tables keyed by samples of the bits.
-
-    A pair at d bits meets in one of `tables` tables of keys of k bits with probability 1 - (1 - (1 - d / 256)^k)^tables:
-    above 0.97 to 14 bits, 0.75 at 24. Only verified pairs are returned.
+def neighbours(c: np.ndarray, owner: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of every corner a and each of its `near` nearest corners b of the same image and level."""
+    order = np.lexsort((c["scale"], owner))
+    cuts = np.flatnonzero((np.diff(owner[order]) != 0) | (np.diff(c["scale"][order]) != 0)) + 1
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for group in np.split(order, cuts):
+        k = min(near, len(group) - 1)
+        for at in range(0, len(group) if k > 0 else 0, 1024):  # bounds the memory of images with many corners
+            some = group[at : at + 1024]
+            apart = (c["x"][some][:, None] - c["x"][group]) ** 2 + (c["y"][some][:, None] - c["y"][group]) ** 2
+            apart[np.arange(len(some)), np.arange(at, at + len(some))] = np.inf
+            first.append(np.repeat(some, k))
+            second.append(group[np.argpartition(apart, k - 1, axis=1)[:, :k]].ravel())
+    return np.concatenate(first), np.concatenate(second)
+
+
+class Tables:
+    """Hamming tables that propose pairs of images: two neighbouring corners of either have to agree on a sample of bits.
+
+    A key is `bits` sampled bits of a corner's descriptor and as many of a neighbour's, with the neighbour's
+    direction and orientation as seen from the corner, each in one of eight bins whose borders differ from
+    table to table. Two corners agree by chance far less often than one, so the work is nearly in proportion to the images.
+    All corners of the proposed pairs of images are then compared, so that what is found is what comparing everything finds.
     """
 
-    def __init__(self, bits: np.ndarray, distance: int, key_bits: int = 28, tables: int = 16, seed: int = 7):
+    def __init__(self, c: np.ndarray, owner: np.ndarray, distance: int, tables: int = 8, bits: int = 20, near: int = 3, agree: int = 2, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.distance = distance
-        self.masks = [np.sort(rng.permutation(256)[:key_bits]) for _ in range(tables)]
-        self.bits, self.members = _folded(bits)
+        self.distance, self.near, self.agree, self.corners = distance, near, agree, c
+        self.masks = [(rng.permutation(256)[:bits], rng.permutation(256)[:bits], *rng.uniform(0, 2 * np.pi, 2)) for _ in range(tables)]
+        self.starts = np.searchsorted(owner, np.arange(int(owner.max(initial=-1)) + 2))
+        self.many = len(self.starts) - 1
         self.tables = []
-        for keys in self.keys(self.bits):
-            order = np.argsort(keys, kind="stable").astype(np.int32)
-            values, first = np.unique(keys[order], return_index=True)
-            self.tables.append((order, values, np.append(first, len(keys))))
-
-    def keys(self, bits: np.ndarray) -> Iterator[np.ndarray]:
-        single = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(-1, 32), axis=1)
-        for mask in self.masks:
-            packed = np.zeros((len(bits), 8), np.uint8)
-            part = np.packbits(single[:, mask], axis=1)
-            packed[:, : part.shape[1]] = part
-            yield packed.view(np.uint64).ravel()
-
-    def pairs(self, bits: np.ndarray, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-        """(i, j) of the given descriptors i and the table's j, repeated ones included."""
-        bits, members = _folded(bits)
+        for keys, a in self.keys(c, owner):
+            order = np.argsort(keys, kind="stable")
+            self.tables.append((keys[order], owner[a[order]].astype(np.int64)))
+
+    def keys(self, c: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        a, b = neighbours(c, owner, self.near)
+        single = np.unpackbits(np.ascontiguousarray(c["bits"]).view(np.uint8).reshape(-1, 32), axis=1)
+        aim = np.arctan2(c["y"][b] - c["y"][a], c["x"][b] - c["x"][a]) - c["angle"][a]
+        turn = c["angle"][b] - c["angle"][a]
+        for mine, other, u, v in self.masks:
+            value = []
+            for mask in (mine, other):
+                packed = np.zeros((len(c), 8), np.uint8)
+                part = np.packbits(single[:, mask], axis=1)
+                packed[:, : part.shape[1]] = part
+                value.append(packed.view(np.uint64).ravel())
+            bins = [np.floor((x + w) * (4 / np.pi)).astype(np.int64).astype(np.uint64) & np.uint64(7) for x, w in ((aim, u), (turn, v))]
+            yield (value[0][a] << np.uint64(34)) ^ (value[1][b] << np.uint64(6)) ^ (bins[0] << np.uint64(3)) ^ bins[1], a
+
+    def proposals(self, c: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """image * queries + query of the pairs of images of which at least `agree` corners of the image met the query."""
         found = [np.zeros(0, np.int64)]
-        for keys, (order, values, starts) in zip(self.keys(bits), self.tables, strict=True):
-            if not len(values):
-                continue
-            slot = np.minimum(np.searchsorted(values, keys), len(values) - 1)
-            who = np.flatnonzero(values[slot] == keys)
-            low, n = starts[slot[who]], starts[slot[who] + 1] - starts[slot[who]]
-            total = np.cumsum(n)
-            cuts = np.unique(np.searchsorted(total, np.arange(at_once, total[-1], at_once))) if len(n) else []
-            for s in np.split(np.arange(len(n)), cuts):
-                k = np.arange(n[s].sum()) - np.repeat(np.cumsum(n[s]) - n[s], n[s])
-                found.append(_near(bits, self.bits, np.repeat(who[s], n[s]), order[np.repeat(low[s], n[s]) + k], self.distance))
-        both = np.unique(np.concatenate(found))
-        return _product(both // max(1, len(self.bits)), both % max(1, len(self.bits)), members, self.members)
+        for (keys, a), (values, theirs) in zip(self.keys(c, owner), self.tables, strict=True):
+            low, high = np.searchsorted(values, keys), np.searchsorted(values, keys, side="right")
+            n = high - low
+            at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.unique(np.repeat(a, n) * self.many + theirs[at]))
+        met = np.unique(np.concatenate(found))
+        pairs, n = np.unique(owner[met // self.many].astype(np.int64) * self.many + met % self.many, return_counts=True)
+        return pairs[n >= self.agree]
+
+    def pairs(self, c: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j) of all corners i and table's corners j of proposed images that are at `distance` or fewer bits."""
+        starts = np.searchsorted(owner, np.arange(int(owner.max(initial=-1)) + 2))
+        mine, other = np.ascontiguousarray(c["bits"]), np.ascontiguousarray(self.corners["bits"])
+        i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for pair in self.proposals(c, owner).tolist():
+            m, q = divmod(pair, self.many)
+            b = other[self.starts[q] : self.starts[q + 1]]
+            for at in range(starts[m], starts[m + 1], 1024):
+                a = mine[at : min(at + 1024, starts[m + 1])]
+                near = sum(np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.int16) for w in range(4)) <= self.distance
+                x, y = np.nonzero(near)
+                i.append(x + at)
+                j.append(y + self.starts[q])
+        return np.concatenate(i), np.concatenate(j)
 
 
 class Exact:
-    """All descriptors at `distance` or fewer bits from given ones (n, 4 words of 64 bits); none is missed.
+    """All corners at `distance` or fewer bits from given ones; none is missed.
 
     With p parts, p > distance / 2, some part of such a pair differs in at most one bit.
     """
 
-    def __init__(self, bits: np.ndarray, distance: int):
+    def __init__(self, c: np.ndarray, owner: np.ndarray, distance: int):
+        bits = np.ascontiguousarray(c["bits"])
         self.distance, parts = distance, max(13, distance // 2 + 1)
         self.edges = [round(256 * i / parts) for i in range(parts + 1)]
         self.bits, self.members = _folded(bits)
@@ -264,9 +300,9 @@ class Exact:
                 value |= single[:, j].astype(np.int32) << (j - a)
             yield value, b - a
 
-    def pairs(self, bits: np.ndarray, at_once: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-        """(i, j) of all of the given descriptors i and the table's j, repeated ones included."""
-        bits, members = _folded(bits)
+    def pairs(self, c: np.ndarray, owner: np.ndarray, at_once: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j) of all of the given corners i and the table's j, repeated descriptors included."""
+        bits, members = _folded(np.ascontiguousarray(c["bits"]))
         found = []
         for (value, width), (order, starts) in zip(self.parts(bits), self.tables, strict=True):
             probes = value[:, None] ^ np.concatenate(([0], 1 << np.arange(width))).astype(np.int32)
@@ -342,9 +378,9 @@ def find_copies(
     """(query_id, class_id, votes): for every query image the classes of equal images that it is a cropped or edited copy of.
 
     `images` holds (id, bytes), and `classes` gives its membership; with `folded` it has one row a class
-    already. Corners of images and queries meet within `distance` bits, in tables that find nearly all such
-    pairs of corners (`Sampled`) or, with `exact`, all of them. A copy has many corners, so few copies are
-    missed either way; nothing is capped. Corners of both sides are checkpointed; `block` corners of the
+    already. Corners of images and queries match within `distance` bits. Pairs of images are proposed by
+    `Tables`; a copy has many corners, so few copies are missed. With `exact` every corner is searched for
+    among all. Nothing is capped. Corners of both sides are checkpointed; `block` corners of the
     queries (48 bytes each) are broadcast at a time. Images that are null or can't be decoded match nothing.
     Repeated rows are one class; a null id among `images` names no class by itself. Empty tables give an
     empty result. Only the two named columns are read.
@@ -369,11 +405,11 @@ def find_copies(
             for whole in batches:
                 for at in range(0, whole.num_rows, 32):
                     b = whole.slice(at, 32)
-                    search = search or (Exact if exact else Sampled)(theirs["bits"], distance)
+                    search = search or (Exact if exact else Tables)(theirs, query, distance)
                     given = [d.as_py() for d in b.column(1)]
                     mine = np.frombuffer(b"".join(given), CORNER)
                     image = np.repeat(np.arange(len(given)), [len(d) // CORNER.itemsize for d in given])
-                    m, q, n = consensus(image, mine, query, theirs, *search.pairs(mine["bits"]), votes)
+                    m, q, n = consensus(image, mine, query, theirs, *search.pairs(mine, image), votes)
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), b.column(0).take(pa.array(m)), pa.array(n, pa.int64())], ["query_id", "class_id", "votes"])
 
         found.append(cut(index.mapInArrow(match, fields)))
