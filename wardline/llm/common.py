@@ -23,15 +23,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """`df` behind a reliable checkpoint, in the folder that the session names in spark.checkpoint.dir.
 
-    Where the session names none (tests, notebooks on one machine) a temporary folder is set.
+    Where the session names none, a local master (tests, notebooks) gets a temporary folder, and a cluster
+    one below the home of the default file system, which all executors share.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "wardline-checkpoints"))
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "wardline-checkpoints"))
+        else:
+            context.setCheckpointDir("wardline-checkpoints")  # a relative path is resolved by the default file system
     return df.checkpoint()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def free(taken: list[str], *names: str) -> list[str]:
+    """`names`, each with as many underscores more as it takes to clash with no column in `taken` (in any letter case)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(docs: DataFrame, keep: tuple[str, ...] | None, results: tuple[str, ...]) -> list[str]:
+    """The columns to keep: `keep`, or all of `docs`; one named like a result gives way to it."""
+    lower = {r.lower() for r in results}
+    return [c for c in (docs.columns if keep is None else keep) if c.lower() not in lower]
+
+
+def lookup(rows: DataFrame, values: DataFrame, key: str, how: str = "inner", often: int = 10_000) -> DataFrame:
+    """`rows` joined with `values`, which has one row a key; `how` is inner or left.
+
+    Keys of over a thousandth of the rows (fewer than a thousand keys, and each of over `often` rows) are
+    broadcast with their values; all others are shuffled, and none of them is large. Both tables are read
+    more than once: they should be checkpointed.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    hot = [r[0] for r in counts.where(F.col("n") > max(often, rows.count() // 1000)).select(key).collect()]
+    columns = [*rows.columns, *[c for c in values.columns if c != key]]
+    there = rows.where(F.col(key).isNotNull())  # nulls match nothing, and would all be shuffled to one task
+    out = there.where(~F.col(key).isin(hot)).join(values.where(~F.col(key).isin(hot)), key, how).select(*columns)
+    if hot:
+        out = out.unionByName(there.where(F.col(key).isin(hot)).join(F.broadcast(values.where(F.col(key).isin(hot))), key, how).select(*columns))
+    return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: (node, root) for every node of `edges` (a, b), both bigint.
 
     Alternates the large-star and small-star steps until the edge set no longer changes, so the
@@ -43,7 +82,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         large = (
@@ -58,8 +97,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
