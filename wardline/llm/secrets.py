@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.llm.common import free, named
+
 #: The kinds in the order in which ties are listed, with Java patterns and the shortest match kept.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -19,7 +21,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "markov")
 
 FIRST, SYMBOLS = 43, 80  # '+' to 'z'
-GROUP = 256
+GROUP = 64  # values of a group, and groups of a block, in running totals
+BLOCK = 1024  # code points of a piece of text when it is rebuilt
 
 
 def let(value: Column, body) -> Column:
@@ -27,44 +30,79 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _starts(gaps: Column, lengths: Column) -> Column:
-    """Start of every match from the lengths of the gaps before and the matches; linear but for the number of groups."""
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0), lambda a, v: a + v)
-
-    def from_widths(widths: Column) -> Column:
-        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(widths) - 1) / GROUP).cast("int")), lambda k: total(F.slice(widths, k * GROUP + 1, F.lit(GROUP))))
-        bases = F.aggregate(groups, F.array(F.lit(0)), lambda a, v: F.array_append(a, F.element_at(a, -1) + v))
-        return let(bases, lambda base: F.transform(lengths, lambda _, i: (
-            F.get(base, F.floor(i / GROUP).cast("int")) + total(F.slice(widths, F.floor(i / GROUP).cast("int") * GROUP + 1, i % GROUP)) + F.get(gaps, i)
-        )))
-
-    return let(F.zip_with(F.slice(gaps, F.lit(1), F.size(lengths)), lengths, lambda g, n: g + n), from_widths)
-
-
-def _found(text: Column, pattern: str, kind: int, good) -> Column:
-    """array<struct<start,kind,end>> of the matches of `pattern` for which good(match, number) holds."""
-    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: let(
-        F.transform(hits, lambda h: F.length(h)), lambda lengths: let(
-            _starts(F.transform(F.split(text, pattern, -1), lambda g: F.length(g)), lengths),
-            lambda starts: F.filter(
-                F.transform(hits, lambda h, i: F.when(good(h, i), F.struct(F.get(starts, i).alias("start"), F.lit(kind).alias("kind"), (F.get(starts, i) + F.get(lengths, i)).alias("end")))),
-                lambda s: s.isNotNull(),
-            ),
-        )))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(none)
-
-
-def base_spans(text: Column) -> Column:
-    """Spans of the three known forms, kind by kind."""
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return F.concat(
-        F.when(F.regexp_like(text, F.lit(ASSIGN)), let(values, lambda v: _found(text, ASSIGN, 0, lambda _, i: F.length(F.get(v, i)) >= 6))).otherwise(none),
-        _found(text, ACCESS, 1, lambda h, _: F.length(h) >= 20),
-        _found(text, HEX, 2, lambda h, _: F.length(h) >= 24),
+def _part(i: Column) -> Column:
+    return F.floor(i / GROUP).cast("int")
+
+
+def _totals(values: Column, start: Column, join) -> Column:
+    """`join` of each GROUP values."""
+    return let(values, lambda v: F.transform(F.sequence(F.lit(0), _part(F.greatest(F.size(v), F.lit(1)) - 1)), lambda k: F.aggregate(F.slice(v, k * GROUP + 1, F.lit(GROUP)), start, join)))
+
+
+def _before(values: Column, bases: Column, join) -> Column:
+    """For every value, `join` of its group's base and the values before it in the group."""
+    return let(F.struct(values.alias("v"), bases.alias("b")), lambda x: F.transform(x["v"], lambda _, i: F.aggregate(F.slice(x["v"], _part(i) * GROUP + 1, i % GROUP), F.get(x["b"], _part(i)), join)))
+
+
+def _blocks(g: Column, start: Column, join) -> Column:
+    return F.aggregate(_totals(g, start, join), F.array(start), lambda a, v: F.array_append(a, join(F.element_at(a, -1), v)))
+
+
+def running(rows: DataFrame, asked: dict[str, tuple[Column, Column, object]]) -> DataFrame:
+    """`rows` with a column for each name asked: for every value of an array, `join` of `start` and all values before it.
+
+    `asked` is name: (values, start, join). Values are joined in groups and groups in blocks, so that a value
+    costs at most twice GROUP steps. Each step is a projection of its own, which keeps expressions small; what
+    a lambda reads again and again is bound by `let`, as a column may be put back in place of its name.
+    """
+    names = {n: free([*rows.columns, *asked], f"{n}_v", f"{n}_g", f"{n}_b", f"{n}_p") for n in asked}
+    out = rows.select("*", *[v.alias(names[n][0]) for n, (v, _, _) in asked.items()])
+    out = out.select("*", *[_totals(F.col(names[n][0]), s, j).alias(names[n][1]) for n, (_, s, j) in asked.items()])
+    out = out.select("*", *[_blocks(F.col(names[n][1]), s, j).alias(names[n][2]) for n, (_, s, j) in asked.items()])
+    out = out.select("*", *[_before(F.col(names[n][1]), F.col(names[n][2]), j).alias(names[n][3]) for n, (_, _, j) in asked.items()])
+    return out.select(*rows.columns, *[_before(F.col(names[n][0]), F.col(names[n][3]), j).alias(n) for n, (_, _, j) in asked.items()])
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _least(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def _spans(rows: DataFrame, text: str, patterns: dict[str, tuple[str, object]], values: str) -> DataFrame:
+    """`rows` with a column array<struct<start,kind,end>> for each of `patterns`: name: (pattern, good(match, second group of the first pattern)).
+
+    Kinds are numbered in order. `values` is a name for the second groups of the first pattern.
+    """
+    taken = [*rows.columns, *patterns, values]
+    tmp = {n: free(taken, f"{n}_h", f"{n}_n", f"{n}_w", f"{n}_s", f"{n}_l") for n in patterns}
+    taken += [t for ts in tmp.values() for t in ts]
+    t, ints, strings = F.col(text), "array<int>", "array<string>"
+    one = next(iter(patterns.values()))[0]
+    there = {n: F.regexp_like(t, F.lit(p)) for n, (p, _) in patterns.items()}
+    out = rows.select(
+        "*", *[F.when(there[n], F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(F.array().cast(strings)).alias(tmp[n][0]) for n, (p, _) in patterns.items()],
+        F.when(F.regexp_like(t, F.lit(one)), F.regexp_extract_all(t, F.lit(one), F.lit(2))).otherwise(F.array().cast(strings)).alias(values),
     )
+    hits = lambda n: F.col(tmp[n][0])
+    gaps = lambda n, p: F.when(F.size(hits(n)) > 0, F.transform(F.slice(F.split(t, p, -1), F.lit(1), F.size(hits(n))), lambda g: F.length(g))).otherwise(F.array().cast(ints))
+    out = out.select("*", *[gaps(n, p).alias(tmp[n][1]) for n, (p, _) in patterns.items()], *[F.transform(hits(n), lambda h: F.length(h)).alias(tmp[n][4]) for n in patterns])
+    out = running(out, {tmp[n][3]: (F.zip_with(tmp[n][1], tmp[n][4], _add), F.lit(0), _add) for n in patterns})
+
+    def found(n: str, kind: int, good) -> Column:
+        bound = F.struct(F.zip_with(tmp[n][3], tmp[n][1], _add).alias("s"), F.col(tmp[n][4]).alias("l"), hits(n).alias("h"), F.col(values).alias("v"))
+        return let(bound, lambda x: F.filter(F.transform(x["s"], lambda s, i: F.when(
+            good(F.get(x["h"], i), F.get(x["v"], i)), F.struct(s.cast("int").alias("start"), F.lit(kind).alias("kind"), (s + F.get(x["l"], i)).cast("int").alias("end"))
+        )), lambda y: y.isNotNull()))
+
+    columns = [found(n, kind, good).alias(n) for kind, (n, (_, good)) in enumerate(patterns.items())]
+    return out.select(*rows.columns, *columns)
 
 
 def _transitions(samples: DataFrame) -> DataFrame:
@@ -87,14 +125,12 @@ def random_strings(spark: SparkSession, n: int = 1200) -> DataFrame:
     return spark.range(n).select(value.alias("value"), F.lit(1).alias("label"))
 
 
-def ordinary_words(docs: DataFrame, text_col: str, id_col: str, bound: int = 400, chars: int = 4000) -> DataFrame:
-    """Labelled identifiers: words of at least 4 characters, from a slice of at most `bound` documents chosen by a hash, without known secrets."""
+def ordinary_words(docs: DataFrame, text_col: str, id_col: str, bound: int = 400) -> DataFrame:
+    """Labelled identifiers: words of at least 4 characters of at most `bound` whole documents chosen by a hash, without known secrets."""
     million = 1_000_000
     part = min(million, -(-4 * bound * million // max(1, docs.count())))  # a few times as many as asked for, so that little is sorted
-    rows = docs.select(F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where("t is not null")
-    rows = rows.where(F.pmod("h", F.lit(million)) < part)
-    rows = rows.select("h", F.substr("t", F.pmod(F.col("h"), F.greatest(F.length("t") - chars, F.lit(0)) + 1).cast("int") + 1, F.lit(chars)).alias("t"))
-    some = rows.orderBy("h", "t").limit(bound)
+    rows = docs.select(docs[text_col].cast("string").alias("t"), F.xxhash64(docs[id_col].cast("string")).alias("h")).where("t is not null")
+    some = rows.where(F.pmod("h", F.lit(million)) < part).orderBy("h", "t").limit(bound)
     bare = F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
     return some.select(F.explode(F.regexp_extract_all(bare, F.lit(r"[A-Za-z][A-Za-z0-9_-]{3,}"), F.lit(0))).alias("value"), F.lit(0).alias("label"))
 
@@ -122,7 +158,7 @@ def fit(samples: DataFrame, strength: float = 4.0) -> list[int]:
 
 def ratio(token: Column, model: list[int]) -> Column:
     """Sum of the log-likelihood ratios of a token's transitions, in thousandths."""
-    table = F.lit(model)
+    table = F.expr(f"array({','.join(map(str, model))})")  # one call; thousands of literals would cost seconds
     start = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("bigint").alias("sum"))
     def step(acc: Column, c: Column) -> Column:
         code = F.ascii(c) - FIRST
@@ -134,22 +170,38 @@ def ratio(token: Column, model: list[int]) -> Column:
     return F.aggregate(F.split(token, ""), start, step)["sum"]
 
 
-def find_secrets(docs: DataFrame, model: list[int], text_col: str = "text", threshold: int = 1500) -> DataFrame:
-    """`docs` with `secret_spans`: array<struct<start,kind,end>> in code points, end exclusive, by start and kind.
+FAR = 1 << 30
+
+
+def find_secrets(docs: DataFrame, model: list[int], text_col: str = "text", threshold: int = 1500, spans_col: str = "secret_spans") -> DataFrame:
+    """`docs` with `spans_col`: array<struct<start,kind,end>> in code points, end exclusive, by start and kind.
 
     `kind` indexes KINDS. Known forms are leftmost and non-overlapping within a kind; a candidate
     token adds a `markov` span if its mean ratio is over `threshold` thousandths and it overlaps no
-    known form. A null text has no spans, as an empty one; texts are searched whole. Repeated rows get
-    equal spans; a column named `secret_spans` is refused.
+    known form: spans of both are sorted by start and swept from either side. A null text has no spans,
+    as an empty one; texts are searched whole, in steps in proportion to their matches. Repeated rows get
+    equal spans; an empty table gives an empty result. A column of `docs` named like `spans_col` gives way to it.
     """
-    if "secret_spans" in docs.columns:
-        raise ValueError("a column named secret_spans is there already")
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    added = _found(text, CANDIDATE, 3, lambda h, _: ratio(h, model) > threshold * (F.length(h) - 1))
-    clear = let(base_spans(text), lambda base: F.array_sort(F.concat(base, F.filter(
-        added, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    ))))
-    return docs.withColumn("secret_spans", clear)
+    kept = named(docs, None, (spans_col,))
+    text, assign, access, hexa, token, values, base, spans, last, after, swept = free(kept, "text_of", "assign", "access", "hexa", "token", "values_of", "base", "spans", "last", "after", "swept")
+    rows = docs.select(*[docs[c] for c in kept], F.coalesce(docs[text_col].cast("string"), F.lit("")).alias(text))
+    rows = _spans(rows, text, {
+        assign: (ASSIGN, lambda _, v: F.length(v) >= 6), access: (ACCESS, lambda h, _: F.length(h) >= 20), hexa: (HEX, lambda h, _: F.length(h) >= 24),
+        token: (CANDIDATE, lambda h, _: ratio(h, model) > threshold * (F.length(h) - 1)),
+    }, values)
+    rows = rows.select(*kept, token, F.concat(assign, access, hexa).alias(base))
+    both = (F.size(token) > 0) & (F.size(base) > 0)
+    tag = lambda c, new: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(new).alias("new"), s["kind"].alias("kind"), s["end"].alias("end")))
+    none = F.array().cast("array<struct<start:int,new:int,kind:int,end:int>>")
+    rows = rows.select("*", F.when(both, F.array_sort(F.concat(tag(base, 0), tag(token, 1)))).otherwise(none).alias(spans))
+    ends = F.transform(spans, lambda s: F.when(s["new"] == 0, s["end"]).otherwise(0))
+    starts = F.reverse(F.transform(spans, lambda s: F.when(s["new"] == 0, s["start"]).otherwise(FAR)))
+    rows = running(rows, {last: (ends, F.lit(0), _most), after: (starts, F.lit(FAR), _least)})
+    rows = rows.select("*", F.reverse(after).alias(swept))
+    clear = let(F.struct(F.col(spans).alias("s"), F.col(last).alias("l"), F.col(swept).alias("n")), lambda x: F.filter(F.transform(x["s"], lambda s, i: F.when(
+        (s["new"] == 1) & (F.get(x["l"], i) <= s["start"]) & (F.get(x["n"], i) >= s["end"]), F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
+    )), lambda s: s.isNotNull()))
+    return rows.select(*kept, F.array_sort(F.concat(base, F.when(both, clear).otherwise(F.col(token)))).alias(spans_col))
 
 
 def joined(spans: Column) -> Column:
@@ -159,20 +211,25 @@ def joined(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every run of overlapping spans replaced by `mark`."""
-    start = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("runs"), F.lit(-1).alias("end"))
+    """The text with every span (sorted by start), or what spans before it leave of it, replaced by `mark`.
 
-    def step(acc: Column, s: Column) -> Column:
-        low = F.greatest(s["start"], acc["end"])
-        return F.when(s["end"] <= acc["end"], acc).otherwise(F.struct(
-            F.array_append(acc["runs"], F.struct(low.alias("start"), s["end"].alias("end"))).alias("runs"), s["end"].alias("end")
+    The text is cut into blocks once, and what stays is put together from them, so no part is looked for from the start.
+    """
+    def between(blocks: Column, a: Column, z: Column) -> Column:
+        parts = F.transform(F.sequence(F.floor(a / BLOCK).cast("int"), F.floor((z - 1) / BLOCK).cast("int")), lambda k: (
+            let(F.greatest(a - k * BLOCK, F.lit(0)), lambda low: F.substr(F.get(blocks, k), low + 1, F.least(z - k * BLOCK, F.lit(BLOCK)) - low))
         ))
+        return F.when(z > a, F.array_join(parts, "")).otherwise("")
+
+    start, join = F.lit(0), _most
 
-    def rebuilt(runs: Column) -> Column:
-        before = F.transform(runs, lambda r, i: F.concat(
-            F.substr(text, F.when(i == 0, F.lit(0)).otherwise(F.get(runs, i - 1)["end"]) + 1, r["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get(runs, i - 1)["end"])),
-            F.lit(mark),
+    def rebuilt(given: Column) -> Column:
+        ss, ends = given["spans"], F.transform(given["spans"], lambda s: s["end"])
+        last = let(_totals(ends, start, join), lambda g: let(_before(g, _blocks(g, start, join), join), lambda base: _before(ends, base, join)))
+        return let(last, lambda e: F.concat(
+            F.array_join(F.transform(ss, lambda s, i: F.when(s["end"] > F.get(e, i), F.concat(between(given["blocks"], F.get(e, i), s["start"]), F.lit(mark))).otherwise("")), ""),
+            between(given["blocks"], F.greatest(F.element_at(e, -1), F.element_at(ss, -1)["end"]), given["n"]),
         ))
-        return F.concat(F.array_join(before, ""), F.substr(text, F.element_at(runs, -1)["end"] + 1, F.length(text)))
 
-    return F.when(F.size(spans) > 0, let(F.aggregate(spans, start, step)["runs"], rebuilt)).otherwise(text)
+    whole = F.struct(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"), spans.alias("spans"), F.length(text).alias("n"))
+    return F.when(F.size(spans) > 0, let(whole, rebuilt)).otherwise(text)
