@@ -1,6 +1,5 @@
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from wardline.llm import urls
@@ -54,5 +53,28 @@ def test_empty_tables_and_clash(spark):
     frame = spark.createDataFrame([(1, "http://bad.example", D(2024, 1, 11))], "page_id int, url string, fetched_at date")
     assert urls.filter_urls(frame.where("false"), entries).collect() == []
     assert not urls.filter_urls(frame, entries.where("false")).first().blocked
-    with pytest.raises(ValueError):
-        urls.filter_urls(frame.withColumn("entry", F.lit(1)), entries)
+    clash = urls.filter_urls(frame.select("*", F.lit(1).alias("entry"), F.lit(2).alias("host"), F.lit(3).alias("at")), entries).first()
+    assert clash.entry == "bad.example" and (clash["host"], clash["at"]) == (2, 3)
+
+
+def test_hosts(spark):
+    cases = {
+        "http://[2001:db8::1]:80/x": "[2001:db8::1]", "http://u:p@q@evil.example/": "evil.example", "  http://bad.example/": "bad.example", "HTTP://Bad.Example../": "bad.example", "http://10.1.2.3/": "10.1.2.3",
+        "http:///path": None, "mailto:a@b.co": None, "": None,
+    }
+    got = spark.createDataFrame(list(cases.items()), "url string, want string").select("want", urls.host_of(F.col("url")).alias("host"), "url").collect()
+    assert all(r.host == r.want for r in got), got
+    assert spark.range(1).select(urls.suffixes(F.lit("10.1.2.3"))).first()[0] == ["10.1.2.3"]
+
+
+def test_an_often_changed_domain_is_judged_at_every_moment(spark):
+    """A domain that is listed and delisted 400 times, and captures at 2000 moments, as time stamps and as numbers."""
+    start = dt.datetime(2024, 1, 1)
+    changes = [("x.example.", start + dt.timedelta(hours=7 * i), i % 2 == 0) for i in range(400)]
+    moments = [(i, "http://a.x.example/", start + dt.timedelta(hours=i, minutes=-30)) for i in range(2000)]
+    entries, frame = spark.createDataFrame(changes, "domain string, at timestamp, listed boolean"), spark.createDataFrame(moments, "page_id int, url string, fetched_at timestamp")
+    numbers = lambda f, c: f.withColumn(c, F.col(c).cast("long"))
+    for got in (urls.filter_urls(frame, entries), urls.filter_urls(numbers(frame, "fetched_at"), numbers(entries, "at"))):
+        for r in got.collect():
+            before = [on for _, at, on in changes if at <= moments[r.page_id][2]]
+            assert r.blocked == (bool(before) and before[-1]), r

@@ -26,7 +26,7 @@ from doc left join hits using (r) left join items using (r)
     "op7_url_filters": """
 with page as (
   select page_id, url, cast(date '2024-01-01' + cast(page_id % 365 as integer) as date) as fetched_at,
-    nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\\.$', ''), '') as host
+    nullif(regexp_replace(regexp_extract(lower(url), '^[\\x00-\\x20]*[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(\\[[0-9a-f:.]+\\]|[^/?#:@\\[\\]]+)', 1), '\\.+$', ''), '') as host
   from pages
 ), known as (
   select distinct regexp_extract(host, '([^.]+\\.[^.]+\\.[^.]+)$', 1) as domain from page where host is not null
