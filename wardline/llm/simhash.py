@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from wardline.llm.common import connected_components, cut
+from wardline.llm.common import connected_components, cut, free, lookup
 
 BITS = 64
 
@@ -51,7 +51,7 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = 3) -> DataFrame:
     """The columns `keep` of every row and `fp`, its fingerprint as signed bigint. A null text is like an empty one."""
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
+    rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)], docs[text_col].cast("string").alias("text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
             prints = np.fromiter((fingerprint(t.as_py() or b"", words) for t in texts), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(prints.view(np.int64))], [*b.schema.names[:-1], "fp"])
 
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(scan, schema).toDF(*keep, "fp")
 
 
 def balls(prints: DataFrame, radius: int) -> DataFrame:
@@ -106,7 +106,7 @@ def near_duplicate_groups(
     rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
-    return marked.join(classes, "fp").select(id_col, *extra, "fp", "root", "component_id")
+    return lookup(marked, cut(classes), "fp").select(id_col, *extra, "fp", "root", "component_id")
 
 
 def hex_fingerprint(fp="fp"):
@@ -121,10 +121,9 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     planned again may be cut into other partitions, and would number them otherwise.
     Repeated rows and equal ids count as separate rows of one group, of which the first stays.
     """
-    placed = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-    groups = near_duplicate_groups(
-        placed.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), "__row"), "__id", "__t", radius, extra=("__row",)
-    )
-    order = F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__row").alias("row"))
+    (row,) = free(docs.columns, "row")
+    placed = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = near_duplicate_groups(placed.select(placed[id_col].alias("id"), placed[text_col].alias("text"), placed[row].alias("place")), "id", "text", radius, extra=("place",))
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("place").alias("place"))
     first = groups.groupBy("root").agg(F.min(order).alias("best"))
-    return placed.join(first.select(F.col("best.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    return placed.join(first.select(F.col("best.place").alias(row)), row, "left_semi").select(*docs.columns)
