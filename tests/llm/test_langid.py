@@ -36,8 +36,8 @@ def test_nulls_empty_long_and_clashing_columns(spark, net):
     got = {r.doc_id: r.language for r in langid.identify_language(docs, net).collect()}
     assert [got[i].label for i in (1, 2, 3)] == ["und"] * 3 and got[4].label == "aa" and got[5].label != "und"
     assert langid.identify_language(docs.where("false"), net).collect() == []
-    with pytest.raises(ValueError):
-        langid.identify_language(docs.withColumn("language", F.lit(1)), net)
+    clash = langid.identify_language(docs.select("*", F.lit(1).alias("language"), F.lit(2).alias("c0")), net).where("doc_id = 4").first()
+    assert clash.language.label == "aa" and clash["c0"] == 2
 
 
 def test_every_position_is_labelled(spark, net):
@@ -56,8 +56,7 @@ def test_windows_do_not_change_probabilities_much(net):
     assert np.allclose(whole[0][:, 0] / len(raw), cut / len(raw), atol=0.02)
 
 
-def test_gradient_by_differences():
-    """One training step must lower the loss on its own batch, from several starts."""
+def test_training_separates_two_alphabets():
     rng = random.Random(3)
     windows = ["".join(rng.choices("ab", k=30)).encode() for _ in range(20)] + ["".join(rng.choices("yz", k=30)).encode() for _ in range(20)]
     net = langid.train(windows, np.array([0] * 20 + [1] * 20), ["p", "q"], hidden=4, steps=60, batch=20, span=20)
@@ -67,6 +66,41 @@ def test_gradient_by_differences():
         assert p.argmax() == label
 
 
+def plain_probabilities(net, raw):
+    """Label probabilities of every byte of one text, gate by gate and byte by byte."""
+    clip = lambda v, a, b: np.minimum(np.maximum(v, a), b)
+
+    def run(d, line):
+        h, out = np.zeros(net.U.shape[2]), []
+        for c in line:
+            r = clip(net.E[d, 0, c] + h @ net.U[d, 0], 0, 1)
+            z = clip(net.E[d, 1, c] + h @ net.U[d, 1], 0, 1)
+            n = clip(net.E[d, 2, c] + r * (h @ net.U[d, 2]), -1, 1)
+            h = z * h + (1 - z) * n
+            out.append(h)
+        return np.array(out)
+
+    logits = run(0, raw) @ net.W[0] + run(1, raw[::-1])[::-1] @ net.W[1] + net.b
+    e = np.exp(logits - logits.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def test_forward_pass_equals_brute_force(net):
+    texts = ["tion the ing with".encode(), "über keit ción".encode(), b"x", ("los mente " * 30).encode()]
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    lengths = np.array([len(t) for t in texts])
+    got = np.zeros((len(texts), len(net.labels)))
+    for text, _, _, p in langid.label_positions(net, raw, np.cumsum(lengths) - lengths, lengths):
+        np.add.at(got, text, p.sum(1).T)
+    for i, t in enumerate(texts):
+        assert np.allclose(got[i] / len(t), plain_probabilities(net, np.frombuffer(t, np.uint8)).mean(0), atol=1e-4)
+
+
+def test_stray_labels_are_not_learnt(spark):
+    docs = spark.createDataFrame([(i, "tion the ing", "aa") for i in range(9)] + [(20 + i, "ung ein keit", "bb") for i in range(9)] + [(100 + i, "ción", f"stray{i}") for i in range(700)], "doc_id bigint, text string, lang string")
+    assert langid.fit(docs, F.lit(True), max_labels=2, steps=2).labels == ["aa", "bb"]
+
+
 def test_nothing_learnt_gives_und(spark):
     docs = spark.createDataFrame([(1, "text", None)], "doc_id bigint, text string, lang string")
     net = langid.fit(docs, F.lit(True))

@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from wardline.llm import quality
@@ -29,8 +28,30 @@ def test_junk_late_in_a_long_text_counts_and_cases_are_defined(spark):
     got = {r.doc_id: r.quality_score for r in quality.score_quality(frame, net).collect()}
     assert got[1] > 0.5 > got[2] and got[3] == got[4] and all(0 <= s <= 1 for s in got.values())
     assert quality.score_quality(frame.where("false"), net).collect() == []
-    with pytest.raises(ValueError):
-        quality.score_quality(frame.withColumn("quality_score", F.lit(1)), net)
+    clash = quality.score_quality(frame.select("*", F.lit(1).alias("quality_score"), F.lit(2).alias("c0")), net).where("doc_id = 1").first()
+    assert abs(clash.quality_score - got[1]) < 1e-9 and clash["c0"] == 2
+
+
+def plain_score(net, text):
+    """One text's score by loops over its chunks, places and bytes."""
+    raw = (text or "").encode()
+    starts = [0] + [s for s in range(quality.STEP, len(raw), quality.STEP) if s < len(raw) - (quality.CHUNK - quality.STEP)]
+    vectors = []
+    for a in starts:
+        x = list(raw[a : a + quality.CHUNK]) + [quality.PAD] * quality.CHUNK
+        spots = [sum(net.tables[j][x[i + j]].astype(float) for j in range(quality.WIDTH)) for i in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)]
+        vectors.append(np.maximum(np.max(spots, axis=0), 0))
+    pooled = np.concatenate([np.mean(vectors, axis=0), np.max(vectors, axis=0), np.min(vectors, axis=0)])
+    return 1 / (1 + np.exp(-np.clip(pooled @ net.w.astype(float) + net.b, -30, 30)))
+
+
+def test_scores_equal_brute_force(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    net = quality.fit(docs, labels, F.lit(True), bound=60)
+    texts = [r.text for r in docs.select("text").limit(12).collect()] + [None, "", "x" * 255, "y" * 256, "ü" * 300, "z" * 481]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    for r in quality.score_quality(frame, net, keep=("doc_id",)).collect():
+        assert abs(r.quality_score - plain_score(net, texts[r.doc_id])) < 1e-4
 
 
 def test_chunks_cover_the_text_and_overlap():
@@ -42,6 +63,6 @@ def test_chunks_cover_the_text_and_overlap():
 
 
 def test_one_class_and_no_labels():
-    net = quality.train([[b"abc"], [b"def"]], np.array([1.0, 1.0]))
+    net = quality.train([b"abc", b"def"], np.array([1.0, 1.0]))
     assert net.b > 0
     assert quality.train([], np.zeros(0)).tables.shape[0] == quality.WIDTH

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.common import pieces, text_bytes
+from wardline.llm.common import named, pieces, text_bytes
 
 PAD = 256  #: a symbol that leaves the state as it is
 
@@ -55,8 +55,12 @@ def _reversed(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.where(t < lengths, lengths - 1 - t, t)
 
 
-def train(windows: list[bytes], targets: np.ndarray, labels: list[str], hidden: int = 8, steps: int = 360, batch: int = 96, span: int = 96, rate: float = 0.02, seed: int = 7) -> Network:
-    """Fits the network so that every position of a window says the window's label."""
+def train(texts: list[bytes], targets: np.ndarray, labels: list[str], hidden: int = 8, steps: int = 360, batch: int = 96, span: int = 96, rate: float = 0.02, seed: int = 7) -> Network:
+    """Fits the network so that every position of a text says the text's label.
+
+    Texts are read whole, in windows of `span` bytes; a batch has as many of each label. There are as many
+    steps as it takes to read every window once, `steps` at least.
+    """
     rng = np.random.default_rng(seed)
     k = len(labels)
     net = Network(
@@ -66,18 +70,22 @@ def train(windows: list[bytes], targets: np.ndarray, labels: list[str], hidden:
     net.E[:, 0] += 0.5
     net.E[:, 1] += 0.7
     net.E[:, 1, PAD] = 1e4
-    if not windows or k < 2:
+    if not len(texts) or k < 2:
         return net
-    by_label = [np.flatnonzero(targets == i) for i in range(k)]
+    cuts = [[t[i : i + span] for t, y in zip(texts, targets, strict=True) if y == label for i in range(0, len(t), span)] for label in range(k)]
+    share = max(1, batch // k)
+    batch, steps = share * k, max(steps, -(-max(map(len, cuts)) // share))
+    queues: list[list[int]] = [[] for _ in range(k)]
+    owner = np.repeat(np.arange(k), share)
     values = [net.E, net.U, net.W, net.b]
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
     for step in range(1, steps + 1):
-        pick = np.array([rng.choice(by_label[i % k]) for i in range(batch)])
         x = np.full((span, batch), PAD, np.int64)
         lengths = np.zeros(batch, np.int64)
-        for j, w in enumerate(pick):
-            at = int(rng.integers(0, max(1, len(windows[w]) - span + 1)))
-            part = np.frombuffer(windows[w][at : at + span], np.uint8)
+        for j, label in enumerate(owner.tolist()):
+            if not queues[label]:
+                queues[label] = rng.permutation(len(cuts[label])).tolist()
+            part = np.frombuffer(cuts[label][queues[label].pop()], np.uint8)
             x[: len(part), j], lengths[j] = part, len(part)
         back = _reversed(x, lengths)
         mask = (np.arange(span)[:, None] < lengths).astype(np.float32) / max(1, lengths.sum())
@@ -88,7 +96,7 @@ def train(windows: list[bytes], targets: np.ndarray, labels: list[str], hidden:
         logits = hs[0] @ net.W[0] + (hs[1] @ net.W[1])[back, rows] + net.b
         p = np.exp(logits - logits.max(-1, keepdims=True))
         p /= p.sum(-1, keepdims=True)
-        p[:, np.arange(batch), targets[pick]] -= 1
+        p[:, np.arange(batch), owner] -= 1
         d_logits = (p * mask[..., None]).astype(np.float32)
         grads = [np.zeros_like(v) for v in values]
         grads[3] += d_logits.sum((0, 1))
@@ -163,49 +171,48 @@ def has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "ignore"))
 
 
-def training_sample(docs: DataFrame, usable, text_col: str, label_col: str, per_label: int, chars: int) -> tuple[list[bytes], list[str]]:
-    """At most 2 * `per_label` windows of labelled rows for each label value, chosen by a hash of the text.
+def training_sample(docs: DataFrame, usable, text_col: str, label_col: str, per_label: int, max_labels: int) -> tuple[list[bytes], list[str]]:
+    """Whole texts of at most 2 * `per_label` rows a label for the `max_labels` most frequent labels, chosen by a hash of the text.
 
-    `usable` is a predicate on `docs`. More than 512 label values are refused, as the sample is collected.
+    `usable` is a predicate on `docs`.
     """
-    rows = docs.where(usable & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    rows = docs.where(usable & F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(
         F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("y")
     )
-    counts = rows.groupBy("y").count().limit(513).collect()
-    if len(counts) > 512:
-        raise ValueError("over 512 label values")
+    counts = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(max_labels).collect()
     if not counts:
         return [], []
     million = 1_000_000
     share = F.create_map(*[F.lit(v) for r in counts for v in (r.y, min(million, -(-per_label * million // r["count"])))])
     key = F.pmod(F.xxhash64("t", F.lit(11)), F.lit(million))
-    start = F.pmod(F.xxhash64("t"), F.greatest(F.length("t") - chars, F.lit(0)) + 1).cast("int") + 1
-    windows = rows.where(key < share[F.col("y")]).select("y", F.xxhash64("t").alias("h"), F.substr("t", start, F.lit(chars)).alias("w"))
-    got = windows.orderBy("h", "y").limit(2 * per_label * len(counts)).collect()
-    got.sort(key=lambda r: (r.h, r.y, r.w))
-    return [r.w.encode() for r in got if r.w], [r.y for r in got if r.w]
+    some = rows.where(F.col("y").isin([r.y for r in counts]) & (key < share[F.col("y")])).select("y", F.xxhash64("t").alias("h"), "t")
+    got = some.orderBy("h", "y").limit(2 * per_label * len(counts)).collect()
+    got.sort(key=lambda r: (r.h, r.y, r.t))
+    return [r.t.encode() for r in got], [r.y for r in got]
 
 
-def fit(docs: DataFrame, usable, text_col: str = "text", label_col: str = "lang", per_label: int = 300, chars: int = 384, **settings) -> Network:
-    """The network fitted on a sample of at most about `per_label` rows for each label (twice that at the very most)."""
-    windows, names = training_sample(docs, usable, text_col, label_col, per_label, chars)
+def fit(docs: DataFrame, usable, text_col: str = "text", label_col: str = "lang", per_label: int = 200, max_labels: int = 64, **settings) -> Network:
+    """The network fitted on a sample of about `per_label` whole texts for each label (twice that at the very most).
+
+    Of more than `max_labels` different labels the most frequent are learnt: a stray value in a label column
+    doesn't make a language.
+    """
+    texts, names = training_sample(docs, usable, text_col, label_col, per_label, max_labels)
     labels = sorted(set(names))
-    return train(windows, np.array([labels.index(n) for n in names], np.int64), labels, **settings)
+    return train(texts, np.array([labels.index(n) for n in names], np.int64), labels, **settings)
 
 
-def identify_language(docs: DataFrame, net: Network, text_col: str = "text", keep: tuple[str, ...] | None = None, runs: bool = False) -> DataFrame:
-    """The columns `keep` of `docs` (by default all) and struct `language`: `label`, `score`, and with `runs` `runs`.
+def identify_language(docs: DataFrame, net: Network, text_col: str = "text", keep: tuple[str, ...] | None = None, runs: bool = False, result_col: str = "language") -> DataFrame:
+    """The columns `keep` of `docs` (by default all) and struct `result_col`: `label`, `score`, and with `runs` `runs`.
 
     `label` is `und`, with score 0, for a text that is null, empty or has no letter, and where nothing
     was learnt. `score` is the pooled probability of the label. `runs` lists (start, end, label) ranges
     of byte positions with one label, the whole text over. Every byte of every text is labelled, in
-    windows; memory is bounded by the batch and one text. Repeated rows get the same result; a kept
-    column named `language` is refused.
+    windows; memory is bounded by the batch and one text. Repeated rows get the same result; a
+    column named like `result_col` gives way to it; an empty table gives an empty result.
     """
-    kept = list(docs.columns if keep is None else keep)
-    if "language" in kept:
-        raise ValueError("a column named language is there already")
-    rows = docs.select(*[docs[c] for c in kept], docs[text_col].cast("string").alias("__text"))
+    kept = named(docs, keep, (result_col,))
+    rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(kept)], docs[text_col].cast("string").alias("text"))
     fields = [T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())]
     run = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string())])
     kind = pa.struct([("label", pa.string()), ("score", pa.float64())] + [("runs", pa.list_(run))] * runs)
@@ -214,7 +221,7 @@ def identify_language(docs: DataFrame, net: Network, text_col: str = "text", kee
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces(whole, "__text"):
+            for b in pieces(whole, "text"):
                 raw, starts, lengths = text_bytes(b.column(len(kept)))
                 pooled = np.zeros((max(1, len(net.labels)), len(lengths)))
                 marks: list[list] = [[] for _ in lengths]
@@ -234,9 +241,9 @@ def identify_language(docs: DataFrame, net: Network, text_col: str = "text", kee
                     if runs:
                         row["runs"] = runs_of(net.labels, marks[i])
                     out.append(row)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, kind)], [*kept, "language"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, kind)], [*b.schema.names[:-1], "language"])
 
-    return rows.mapInArrow(scan, T.StructType([*rows.schema.fields[:-1], T.StructField("language", T.StructType(fields))]))
+    return rows.mapInArrow(scan, T.StructType([*rows.schema.fields[:-1], T.StructField("language", T.StructType(fields))])).toDF(*kept, result_col)
 
 
 def runs_of(labels: list[str], marks: list[tuple[int, np.ndarray]]) -> list[dict]:

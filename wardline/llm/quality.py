@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.common import pieces, text_bytes
+from wardline.llm.common import named, pieces, text_bytes
 
 PAD, CHUNK, STEP, WIDTH, STRIDE = 256, 256, 224, 8, 4  # bytes: chunk, chunk step, filter width and step
 SPOTS = (CHUNK - WIDTH) // STRIDE + 1
@@ -63,8 +63,8 @@ def sigmoid(y: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(y, -30, 30)))
 
 
-def train(texts: list[list[bytes]], y: np.ndarray, filters: int = 16, epochs: int = 14, batch: int = 64, rate: float = 0.01, seed: int = 3) -> Network:
-    """Fits the network to texts given as lists of pieces, each at most a chunk long."""
+def train(texts: list[bytes], y: np.ndarray, filters: int = 16, epochs: int = 14, batch: int = 64, rate: float = 0.01, seed: int = 3) -> Network:
+    """Fits the network to whole texts, read in the chunks in which they are scored."""
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.25, (WIDTH, 257, filters)).astype(np.float32), rng.normal(0, 0.1, 3 * filters).astype(np.float32), 0.0)
     if not texts:
@@ -75,10 +75,9 @@ def train(texts: list[list[bytes]], y: np.ndarray, filters: int = 16, epochs: in
         return net
     share = float(y.mean())
     net.b = float(np.log(share / (1 - share)))
-    joined = np.frombuffer(b"".join(p for t in texts for p in t) or b" ", np.uint8)
-    size = np.array([len(p) for t in texts for p in t], np.int64)
-    at = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    joined = np.frombuffer(b"".join(texts) or b" ", np.uint8)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    owner, at, size = cut_chunks(joined, np.cumsum(lengths) - lengths, lengths)
     begin = np.searchsorted(owner, np.arange(len(texts) + 1))
     values = [net.tables, net.w, np.array([net.b], np.float32)]
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
@@ -90,10 +89,14 @@ def train(texts: list[list[bytes]], y: np.ndarray, filters: int = 16, epochs: in
             some = np.sort(order[k : k + batch])
             which = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in some])
             doc = np.searchsorted(some, owner[which])
-            x = symbols(joined, at[which], size[which])
-            r = net.responses(x)
-            spot = r.argmax(1)
-            raw_top = np.take_along_axis(r, spot[:, None], 1)[:, 0]
+            raw_top, seen = [], []
+            for c in range(0, len(which), 512):  # bounds the memory of long texts: a filter's strongest spot is all that is kept of a chunk
+                x = symbols(joined, at[which[c : c + 512]], size[which[c : c + 512]])
+                r = net.responses(x)
+                spot = r.argmax(1)
+                raw_top.append(np.take_along_axis(r, spot[:, None], 1)[:, 0])
+                seen.append(np.stack([np.take_along_axis(x, spot * STRIDE + j, 1) for j in range(WIDTH)]).astype(np.int16))
+            raw_top, seen = np.concatenate(raw_top), np.concatenate(seen, axis=1)
             top = np.maximum(raw_top, 0)
             pooled = pool(doc, top, len(some))
             p = sigmoid(pooled @ values[1] + values[2][0])
@@ -108,9 +111,8 @@ def train(texts: list[list[bytes]], y: np.ndarray, filters: int = 16, epochs: in
             g *= raw_top > 0
             gt = np.zeros_like(net.tables)
             for j in range(WIDTH):
-                seen = np.take_along_axis(x, spot * STRIDE + j, 1)
                 for f in range(filters):
-                    gt[j, :, f] = np.bincount(seen[:, f], g[:, f], 257)
+                    gt[j, :, f] = np.bincount(seen[j, :, f], g[:, f], 257)
             pace = rate * min(1.0, 2 * (1 - step / (last + 1)))
             for v, grad, (m1, m2) in zip(values, (gt, gw.astype(np.float32), np.array([gb], np.float32)), moments, strict=True):
                 m1 += 0.1 * (grad - m1)
@@ -122,46 +124,41 @@ def train(texts: list[list[bytes]], y: np.ndarray, filters: int = 16, epochs: in
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bound: int = 3000, chunks: int = 6) -> Network:
-    """The network fitted on at most `bound` labelled rows, chosen by a hash of the id, `chunks` pieces of each text.
+def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bound: int = 2000) -> Network:
+    """The network fitted on at most `bound` labelled rows, chosen by a hash of the id, whose whole texts come to the driver.
 
-    `usable` is a predicate over the id column, named `id_col`, of `labels`. The sample alone is
-    broadcast and collected; its bound does not depend on the data.
+    `usable` is a predicate over the id column, named `id_col`, of `labels`. The sample of ids and labels is
+    broadcast; its bound does not depend on the data.
     """
-    named = labels.where(usable & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y"))
+    marked = labels.where(usable & F.col(label_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
     million = 1_000_000
-    n = max(1, named.count())
-    key = F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(million))
-    sample = named.where(key < min(million, -(-bound * million // n))).orderBy(F.xxhash64("__id"), "__id", "y").limit(bound)
-    room = F.greatest(F.length("t") - CHUNK, F.lit(0))
-    places = F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda i: F.substr("t", (i * room / (chunks - 1)).cast("int") + 1, F.lit(CHUNK)))
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("t"))
-    got = texts.join(F.broadcast(sample), "__id").select("__id", "y", F.when(F.length("t") > CHUNK, places).otherwise(F.array(F.coalesce("t", F.lit("")))).alias("w"))
-    rows = sorted((str(r[0]), r.y, [p.encode()[:CHUNK] for p in r.w]) for r in got.collect())
-    return train([w for _, _, w in rows], np.array([float(y == 1) for _, y, _ in rows], np.float32))
+    n = max(1, marked.count())
+    key = F.pmod(F.xxhash64("i", F.lit(5)), F.lit(million))
+    sample = marked.where(key < min(million, -(-2 * bound * million // n))).orderBy(F.xxhash64("i"), "i", "y").limit(bound)
+    texts = docs.select(docs[id_col].alias("i"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"))
+    rows = sorted(((str(r.i), r.y, r.t.encode()) for r in texts.join(F.broadcast(sample), "i").collect()))
+    return train([t for _, _, t in rows], np.array([float(y == 1) for _, y, _ in rows], np.float32))
 
 
-def score_quality(docs: DataFrame, net: Network, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The columns `keep` of `docs` (by default all) and `quality_score`, the probability of label 1.
+def score_quality(docs: DataFrame, net: Network, text_col: str = "text", keep: tuple[str, ...] | None = None, score_col: str = "quality_score") -> DataFrame:
+    """The columns `keep` of `docs` (by default all) and `score_col`, the probability of label 1.
 
     A null text scores like an empty one (one chunk of padding). Whole texts are read, in chunks that
-    overlap by 32 bytes; memory is bounded by the batch and one text. A kept column named
-    `quality_score` is refused; repeated rows get equal scores; an empty table gives an empty result.
+    overlap by 32 bytes; memory is bounded by the batch and one text. A column named like `score_col` gives
+    way to it; repeated rows get equal scores; an empty table gives an empty result.
     """
-    kept = list(docs.columns if keep is None else keep)
-    if "quality_score" in kept:
-        raise ValueError("a column named quality_score is there already")
-    rows = docs.select(*[docs[c] for c in kept], docs[text_col].cast("string").alias("__text"))
+    kept = named(docs, keep, (score_col,))
+    rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(kept)], docs[text_col].cast("string").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces(whole, "__text"):
+            for b in pieces(whole, "text"):
                 raw, starts, lengths = text_bytes(b.column(len(kept)))
                 doc, at, size = cut_chunks(raw, starts, lengths)
                 top = np.vstack([
                     np.maximum(net.responses(symbols(raw, at[k : k + 512], size[k : k + 512])).max(1), 0) for k in range(0, len(doc), 512)
                 ])
                 scores = sigmoid(pool(doc, top, len(lengths)).astype(np.float64) @ net.w.astype(np.float64) + net.b)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores)], [*kept, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores)], [*b.schema.names[:-1], "score"])
 
-    return rows.mapInArrow(scan, T.StructType([*rows.schema.fields[:-1], T.StructField("quality_score", T.DoubleType())]))
+    return rows.mapInArrow(scan, T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])).toDF(*kept, score_col)
