@@ -52,3 +52,13 @@ def test_late_windows_run_on_a_stream(spark, tmp_path):
     q = I.windowed(events, "2 hours", late="1 hour").writeStream.format("memory").queryName("late_windows").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("late_windows").count() >= 3
+
+
+def test_a_document_that_returns_to_an_older_content_is_current_again(spark, tmp_path):
+    src, target, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    src.mkdir()
+    for n, text in enumerate([GOOD, GOOD + "Changed text.", GOOD, GOOD]):
+        (src / f"{n}.json").write_text(json.dumps({"doc_id": "a", "source": "s", "content": text}))
+        I.ingest(spark, str(src), "doc_id string, source string, content string", target, mark)
+    assert [r.content for r in I.current(spark, target).collect()] == [GOOD.strip()]
+    assert spark.read.parquet(target).count() == 3

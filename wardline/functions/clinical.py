@@ -123,3 +123,8 @@ def parse_date(text: Column) -> Column:
 
 def clip(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+
+
+def json_list(text: Column) -> Column:
+    """array<string> of a JSON list; an empty array for null, empty and unreadable text."""
+    return F.coalesce(F.from_json(text, "array<string>", {"mode": "PERMISSIVE"}), F.array().cast("array<string>"))

@@ -89,3 +89,72 @@ ICD10 = {
     "RESPIRATORY": ["J44", "J45", "J18", "J96", "J80"], "SEPSIS": ["A41", "R65.2", "A40"],
     "NEUROLOGICAL": ["I60", "I61", "I63", "I64", "G40", "G20", "G30"], "TRAUMA": ["S00-S99", "T07", "T14"], "CANCER": ["C00-C96", "D00-D09"],
 }
+
+# Words by which a request names a condition, terms that go with it, and what it may bring.
+MEDICAL_TERMS = {
+    "DIABETES": (
+        ["diabetes", "diabetic", "dm", "type 1 diabetes", "type 2 diabetes", "t1dm", "t2dm", "glucose", "insulin", "hyperglycemia", "hypoglycemia", "diabetes mellitus", "blood sugar", "glycemic", "hba1c", "a1c"],
+        ["diabetic nephropathy", "diabetic retinopathy", "diabetic neuropathy"], ["renal", "cardiovascular", "neurological", "ophthalmological"],
+    ),
+    "CARDIOVASCULAR": (
+        ["cardiovascular", "cardiac", "heart", "cvd", "coronary", "myocardial", "angina", "heart attack", "mi", "myocardial infarction", "cad", "coronary artery disease", "heart failure", "chf", "cardiomyopathy", "arrhythmia", "atrial fibrillation", "afib", "cardiac arrest"],
+        ["stent", "bypass", "cabg", "pci", "angioplasty"], ["heart_failure", "arrhythmia", "stroke"],
+    ),
+    "HYPERTENSION": (
+        ["hypertension", "hypertensive", "high blood pressure", "htn", "bp", "elevated blood pressure", "essential hypertension", "malignant hypertension", "resistant hypertension", "secondary hypertension"],
+        ["blood pressure medication", "antihypertensive"], ["stroke", "cardiovascular", "renal"],
+    ),
+    "RENAL": (
+        ["renal", "kidney", "nephritis", "dialysis", "ckd", "chronic kidney", "acute kidney injury", "aki", "esrd", "end stage renal", "nephropathy", "glomerulonephritis", "kidney failure", "creatinine", "gfr", "bun", "hemodialysis", "peritoneal dialysis"],
+        ["dialysis catheter", "kidney transplant", "fistula"], ["cardiovascular", "anemia", "bone_disease"],
+    ),
+    "RESPIRATORY": (
+        ["respiratory", "copd", "asthma", "pneumonia", "lung", "bronchitis", "pulmonary", "chronic obstructive", "emphysema", "ards", "respiratory failure", "hypoxia", "hypoxemia", "oxygen", "ventilator", "intubation", "bronchiectasis", "pulmonary fibrosis", "pleural effusion"],
+        ["nebulizer", "inhaler", "oxygen therapy", "cpap", "bipap"], ["respiratory_failure", "pulmonary_hypertension"],
+    ),
+    "SEPSIS": (
+        ["sepsis", "septic", "infection", "bacteremia", "septicemia", "septic shock", "severe sepsis", "urosepsis", "systemic infection", "blood infection", "sirs", "qsofa"],
+        ["blood culture", "antibiotics", "source control"], ["organ_failure", "dic", "ards", "aki"],
+    ),
+    "NEUROLOGICAL": (
+        ["neurological", "stroke", "seizure", "brain", "neuro", "cerebral", "cva", "cerebrovascular accident", "tia", "transient ischemic", "hemorrhagic stroke", "ischemic stroke", "epilepsy", "encephalopathy", "meningitis", "encephalitis", "parkinson", "alzheimer", "dementia", "intracranial hemorrhage", "ich", "sah", "subarachnoid"],
+        ["mri brain", "ct head", "lumbar puncture", "eeg"], ["disability", "cognitive_impairment"],
+    ),
+    "TRAUMA": (
+        ["trauma", "fracture", "injury", "accident", "wound", "broken", "laceration", "contusion", "fall", "mvc", "motor vehicle", "head injury", "tbi", "traumatic brain injury", "polytrauma", "blunt trauma", "penetrating trauma", "burns"],
+        ["surgery", "fixation", "cast", "splint"], ["infection", "compartment_syndrome"],
+    ),
+    "CANCER": (
+        ["cancer", "tumor", "malignant", "oncology", "carcinoma", "neoplasm", "metastatic", "metastasis", "chemotherapy", "radiation", "lymphoma", "leukemia", "sarcoma", "melanoma", "adenocarcinoma", "stage iv"],
+        ["biopsy", "oncologist", "tumor marker"], ["metastasis", "cachexia", "immunosuppression"],
+    ),
+    "LIVER": (
+        ["liver", "hepatic", "cirrhosis", "hepatitis", "liver failure", "jaundice", "ascites", "hepatorenal", "hepatocellular", "hcc", "liver disease", "fatty liver", "nafld", "nash", "esophageal varices"],
+        ["liver transplant", "tips", "paracentesis"], ["encephalopathy", "variceal_bleeding", "coagulopathy"],
+    ),
+    "PSYCHIATRIC": (
+        ["psychiatric", "mental health", "depression", "anxiety", "bipolar", "schizophrenia", "psychosis", "suicide", "suicidal", "overdose", "substance abuse", "addiction", "withdrawal", "delirium"],
+        ["psychiatrist", "antidepressant", "antipsychotic"], ["self_harm", "medical_noncompliance"],
+    ),
+}
+# Age groups of requests, with their words, in order of precedence.
+AGE_TERMS = [
+    (65, 100, ["elderly", "geriatric", "senior", "older adult", "aged", "old"]), (80, 100, ["very elderly", "very old", "oldest old", "octogenarian", "nonagenarian"]), (40, 65, ["middle aged", "middle-aged", "midlife"]),
+    (18, 65, ["adult", "grown-up", "mature"]), (18, 40, ["young adult", "young", "youth"]), (12, 18, ["adolescent", "teenager", "teen", "juvenile"]),
+    (0, 18, ["pediatric", "child", "children", "kid", "minor"]), (0, 2, ["infant", "baby", "neonate", "newborn"]), (1, 4, ["toddler", "preschool"]),
+]
+# Words of clinical settings, in order of precedence.
+SETTINGS = {
+    "icu": ["icu", "intensive care", "critical care", "micu", "sicu", "ccu", "nicu", "picu"], "emergency": ["emergency", "ed", "er", "urgent", "acute", "emergent", "trauma center"],
+    "inpatient": ["inpatient", "admitted", "hospitalized", "hospital stay", "ward"], "outpatient": ["outpatient", "clinic", "ambulatory", "office visit"],
+    "surgical": ["surgical", "surgery", "operative", "post-op", "pre-op", "or"], "palliative": ["palliative", "hospice", "end of life", "comfort care", "dnr"],
+}
+# Subject headings and keywords of literature topics.
+TOPICS = {
+    "DIABETES": (["Diabetes Mellitus", "Diabetes Mellitus, Type 2", "Diabetes Mellitus, Type 1", "Diabetic Nephropathy", "Diabetic Retinopathy", "Hyperglycemia"], ["insulin", "glucose", "hba1c", "metformin", "glycemic"]),
+    "CARDIOVASCULAR": (["Cardiovascular Diseases", "Heart Failure", "Myocardial Infarction", "Coronary Artery Disease", "Atrial Fibrillation", "Hypertension"], ["cardiac", "heart", "coronary", "angina", "arrhythmia"]),
+    "RESPIRATORY": (["Respiratory Tract Diseases", "Pulmonary Disease, Chronic Obstructive", "Asthma", "Pneumonia", "Respiratory Insufficiency"], ["lung", "pulmonary", "copd", "ventilation", "bronchial"]),
+    "ONCOLOGY": (["Neoplasms", "Carcinoma", "Tumor", "Cancer", "Metastasis"], ["chemotherapy", "radiation", "oncology", "tumor", "malignant"]),
+    "NEUROLOGY": (["Nervous System Diseases", "Stroke", "Alzheimer Disease", "Parkinson Disease", "Epilepsy", "Multiple Sclerosis"], ["brain", "neurological", "cognitive", "seizure", "dementia"]),
+    "INFECTIOUS": (["Infection", "Sepsis", "Bacterial Infections", "Viral Infections"], ["infection", "bacterial", "viral", "antibiotic", "pathogen"]),
+}

@@ -206,3 +206,10 @@ def value_shares(rows: DataFrame, columns: list[str]) -> DataFrame:
 def within_dates(rows: DataFrame, column: str, low: str, high: str) -> DataFrame:
     """Rows whose text or date in `column` parses and lies within the bounds; it becomes a timestamp."""
     return rows.withColumn(column, F.try_to_timestamp(F.col(column).cast("string"))).where(F.col(column).between(F.lit(low).cast("timestamp"), F.lit(high).cast("timestamp")))
+
+
+def cleaned(rows: DataFrame, required: list[str] | None = None) -> DataFrame:
+    """`rows` without repeated rows; a required column that is missing is an error."""
+    if missing := [c for c in required or [] if c not in rows.columns]:
+        raise ValueError(f"missing required columns: {missing}")
+    return rows.dropDuplicates()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,6 +42,18 @@ def erlang(shape: int, scale: float, *keys: Column | str) -> Column:
     return scale * sum(draws[1:], draws[0])
 
 
+def normal(*keys: Column | str) -> Column:
+    """A standard normal draw (Box and Muller)."""
+    u, v = F.greatest(C.keyed_uniform(*keys, "radius"), F.lit(1e-12)), C.keyed_uniform(*keys, "angle")
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+
+
+def gamma(shape: float, scale: float, *keys: Column | str) -> Column:
+    """A gamma draw of whole or half shape, exactly: a half is half a squared normal draw more."""
+    whole, half = int(shape), shape != int(shape)
+    return erlang(whole, scale, *keys) + scale * F.pow(normal(*keys), 2) / 2 if half else erlang(whole, scale, *keys)
+
+
 def laplace(scale: Column | float, *keys: Column | str) -> Column:
     """A Laplace draw by the inverse distribution."""
     u = C.keyed_uniform(*keys, "laplace") - 0.5
@@ -47,19 +61,16 @@ def laplace(scale: Column | float, *keys: Column | str) -> Column:
 
 
 def simulated_stays(rows: DataFrame) -> DataFrame:
-    """`rows` with simulated intensive care and hospital stays, admission type and insurance.
-
-    Gamma shapes that are not whole are rounded to the next whole one with the mean kept.
-    """
+    """`rows` with simulated intensive care and hospital stays, admission type and insurance."""
     who = F.col("patient_id")
     icu = (C.keyed_uniform(who, "icu") < icu_chance(F.col("age"), F.col("diagnoses"))).cast("int")
     has = lambda d: F.array_contains("diagnoses", d)
     days = (
-        F.when(has("SEPSIS"), erlang(2, 3.0, who, "icu")).when(has("NEUROLOGICAL"), erlang(3, 4.0, who, "icu")).when(has("RESPIRATORY"), erlang(3, 2.5 * 3.5 / 3, who, "icu"))
-        .when(has("CARDIOVASCULAR"), erlang(2, 1.5, who, "icu")).otherwise(erlang(2, 1.8 * 2.5 / 2, who, "icu"))
+        F.when(has("SEPSIS"), gamma(2, 3.0, who, "icu")).when(has("NEUROLOGICAL"), gamma(3, 4.0, who, "icu")).when(has("RESPIRATORY"), gamma(3.5, 2.5, who, "icu"))
+        .when(has("CARDIOVASCULAR"), gamma(2, 1.5, who, "icu")).otherwise(gamma(2.5, 1.8, who, "icu"))
     )
     out = rows.withColumn("has_icu_stay", icu).withColumn("icu_los_days", F.when(F.col("has_icu_stay") == 1, F.round(C.clip(days, 1, 30), 1)).otherwise(0.0))
-    hospital = F.when(F.col("icu_los_days") > 0, F.col("icu_los_days") + erlang(2, 3.0, who, "los")).otherwise(erlang(2, 1.5 * 2.5 / 2, who, "los"))
+    hospital = F.when(F.col("icu_los_days") > 0, F.col("icu_los_days") + gamma(2, 3.0, who, "los")).otherwise(gamma(2.5, 1.5, who, "los"))
     u, v = C.keyed_uniform(who, "admission"), C.keyed_uniform(who, "insurance")
     kind = F.when(F.col("has_icu_stay") == 1, choice(u, {"Emergency": 0.7, "Urgent": 0.2, "Elective": 0.1})).otherwise(choice(u, {"Emergency": 0.4, "Urgent": 0.3, "Elective": 0.3}))
     payer = (
@@ -81,16 +92,15 @@ def bootstrap(rows: DataFrame, n: int, seed: str = "bootstrap", key: str = "pati
     The total is near `n`; no row is numbered and nothing is sorted, so it stays one pass and a count.
     """
     rate = n / max(1, rows.count())
-    u = C.keyed_uniform(F.col(key), seed)
-    # Poisson by inversion: the number of cumulative probabilities at or below u.
-    import math
-
-    p, cumulative, ladder = math.exp(-min(rate, 700.0)), 0.0, []
-    for k in range(int(rate + 12 * math.sqrt(rate) + 12)):
-        cumulative += p
-        ladder.append(F.when(u >= cumulative, 1).otherwise(0))
-        p *= rate / (k + 1)
-    copies = sum(ladder[1:], ladder[0])
+    if rate > 100:  # then the normal draw is as good, and the ladder of probabilities would be long
+        copies = F.greatest(F.round(rate + math.sqrt(rate) * normal(F.col(key), seed)), F.lit(0)).cast("int")
+    else:  # by inversion: the number of cumulative probabilities at or below u
+        u, p, cumulative, ladder = C.keyed_uniform(F.col(key), seed), math.exp(-rate), 0.0, []
+        for k in range(int(rate + 12 * math.sqrt(rate) + 12)):
+            cumulative += p
+            ladder.append(F.when(u >= cumulative, 1).otherwise(0))
+            p *= rate / (k + 1)
+        copies = sum(ladder[1:], ladder[0])
     return rows.withColumn("__n", copies).where("__n > 0").withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
 
 
@@ -165,3 +175,20 @@ def discrete_columns(rows: DataFrame, most: int = 10) -> list[str]:
     whole = [f.name for f in rows.schema if f.dataType.typeName() in ("integer", "long", "short", "byte")]
     kinds = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in whole]).first() if whole else {}
     return [f.name for f in rows.schema if f.dataType.typeName() == "string" or f.name in whole and kinds[f.name] <= most]
+
+
+# Levels of categorical columns, and what stands for any other.
+LEVELS = {"gender": (["male", "female", "unknown"], "unknown"), "risk_level": (["low", "medium", "high", "critical"], "medium"), "utilization_category": (["low", "medium", "high"], "medium")}
+
+
+def rebuilt_diagnoses(rows: DataFrame, flags: list[str]) -> DataFrame:
+    """`rows` with diagnoses and their number rebuilt from 0/1 columns has_...; none is OTHER."""
+    found = F.array_compact(F.array(*[F.when(F.col(c) == 1, c.removeprefix("has_").upper()) for c in flags]))
+    listed = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("OTHER")))
+    return rows.withColumn("diagnoses", listed).withColumn("num_diagnoses", F.size("diagnoses"))
+
+
+def repaired_categories(rows: DataFrame) -> DataFrame:
+    """`rows` with unknown levels of categorical columns set to their default, and the age group derived from the age."""
+    out = rows.withColumns({c: F.when(F.col(c).isin(levels), F.col(c)).otherwise(default) for c, (levels, default) in LEVELS.items() if c in rows.columns})
+    return out.withColumn("age_group", C.age_group(F.col("age"))) if {"age", "age_group"} <= set(rows.columns) else out

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,7 +31,11 @@ CO_OCCURRENCE = {
     ("DIABETES", "HYPERTENSION"): 0.65, ("DIABETES", "CARDIOVASCULAR"): 0.40, ("DIABETES", "RENAL"): 0.35,
     ("HYPERTENSION", "CARDIOVASCULAR"): 0.55, ("RESPIRATORY", "CARDIOVASCULAR"): 0.30, ("SEPSIS", "RENAL"): 0.45,
 }
-ICU_MORTALITY = (0.15, 0.12, 0.18)
+MORTALITY = {"overall_icu": (0.15, 0.12, 0.18), "sepsis": (0.25, 0.20, 0.30), "respiratory_failure": (0.20, 0.15, 0.25)}
+# Combinations that cannot or hardly ever be, and how grave they are.
+IMPLAUSIBLE_PAIRS = [("PEDIATRIC", "ALZHEIMER", "critical"), ("TYPE1_DIABETES", "TYPE2_DIABETES", "critical"), ("PREGNANCY", "MALE", "critical")]
+IMPLAUSIBLE_AGES = [("COPD", 30, "high"), ("MENOPAUSE", 40, "medium")]
+LIVING_DISPOSITIONS = ["home", "rehabilitation", "snf"]
 # Outdated terms and how grave they are.
 OUTDATED = {
     "thiazolidinedione": "medium", "rosiglitazone": "high", "glyburide": "medium", "chlorpropamide": "high", "phenformin": "critical", "troglitazone": "critical",
@@ -91,6 +98,24 @@ def consistency(rows: DataFrame) -> DataFrame:
         F.count_if((F.col("emergency_admission") == 1) & (F.col("admission_type") != "Emergency")).alias("emergency_mismatch"))
 
 
+def clinical_consistency(rows: DataFrame) -> DataFrame:
+    """One row: stays longer in intensive care than in hospital (an error), dead patients discharged as living (critical),
+    diabetic patients with glucose under 70 and whether they are over three tenths (a warning), and the score, passed from .9.
+
+    A rule whose columns are missing finds nothing.
+    """
+    has = lambda *cs: all(c in rows.columns for c in cs)
+    longer = F.count_if(F.col("icu_los_days") > F.col("hospital_los_days")) if has("icu_los_days", "hospital_los_days") else F.lit(0).cast("bigint")
+    living = F.lower("discharge_disposition").isin(LIVING_DISPOSITIONS) if has("discharge_disposition") else F.lit(False)
+    diabetic = F.array_contains("diagnoses", "DIABETES")
+    low = diabetic & (F.col("glucose") < 70) if has("glucose") else F.lit(False)
+    out = rows.agg(
+        F.count("*").alias("n"), longer.alias("icu_over_hospital"), F.count_if((F.col("mortality") == 1) & living).alias("dead_but_discharged"),
+        F.count_if(low).alias("low_glucose"), F.count_if(diabetic).alias("diabetic"))
+    score = F.greatest(F.lit(0.0), 1 - (F.col("icu_over_hospital") + F.col("dead_but_discharged")) / F.greatest("n", F.lit(1)))
+    return out.select("n", "icu_over_hospital", "dead_but_discharged", "low_glucose", (F.col("low_glucose") > 0.3 * F.col("diabetic")).alias("glucose_flagged"), score.alias("score"), (score >= 0.9).alias("passed"))
+
+
 def completeness(rows: DataFrame) -> DataFrame:
     """(column, nulls, null_rate, flagged) of every column, in one pass."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).isNull().alias("missing")) for c in rows.columns])).alias("x"))
@@ -125,21 +150,26 @@ def co_occurrence_test(rows: DataFrame) -> DataFrame:
 
 
 def implausible(rows: DataFrame) -> DataFrame:
-    """(rule, n): patients that break a rule of age, sex or condition."""
-    rules = {
-        "neurological_under_18": (F.col("age") < 18) & F.array_contains("diagnoses", "NEUROLOGICAL"), "respiratory_under_30": (F.col("age") < 30) & F.array_contains("diagnoses", "RESPIRATORY"),
-        "other_with_specific": F.array_contains("diagnoses", "OTHER") & (F.size("diagnoses") > 1), "dead_without_date": (F.col("mortality") == 1) & F.col("deathdate").isNull(),
-        "icu_without_days": (F.col("has_icu_stay") == 1) & (F.col("icu_los_days") == 0),
-    }
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.cast("int").alias("broken")) for k, v in rules.items()])).alias("x"))
-    return long.groupBy(F.col("x.rule").alias("rule")).agg(F.coalesce(F.sum("x.broken"), F.lit(0)).alias("n"))
+    """(rule, severity, n): patients (age, gender, `conditions` in upper case) with conditions that exclude one another, their sex, or their age.
+
+    PEDIATRIC and MALE are conditions too, but also known from the age group and the gender.
+    """
+    def has(name: str) -> Column:
+        test = F.exists("conditions", lambda c: c.contains(name))
+        return test | (F.col("gender") == "m") if name == "MALE" else test | (F.col("age") < 18) if name == "PEDIATRIC" else test
+
+    rules = [(f"{a}+{b}", s, has(a) & has(b)) for a, b, s in IMPLAUSIBLE_PAIRS] + [(f"{c}<{age}", s, has(c) & (F.col("age") < age)) for c, age, s in IMPLAUSIBLE_AGES]
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(s).alias("severity"), F.coalesce(v, F.lit(False)).alias("broken")) for k, s, v in rules])).alias("x"))
+    return long.groupBy(F.col("x.rule").alias("rule"), F.col("x.severity").alias("severity")).agg(F.count_if("x.broken").alias("n"))
 
 
 def mortality_bounds(rows: DataFrame) -> DataFrame:
-    """One row: mortality among intensive care patients, and whether it lies between half the low and twice the high published bound."""
-    rate, low, high = ICU_MORTALITY
-    out = rows.where("has_icu_stay = 1").agg(F.avg("mortality").alias("observed"), F.count("*").alias("n"))
-    return out.withColumn("expected", F.lit(rate)).withColumn("flagged", (F.col("observed") < 0.5 * low) | (F.col("observed") > 2 * high))
+    """(cohort, observed, n, expected, flagged): mortality in intensive care, with sepsis and with respiratory disease; flagged under half the low or over twice the high published bound."""
+    cohorts = {"overall_icu": F.col("has_icu_stay") == 1, "sepsis": F.array_contains("diagnoses", "SEPSIS"), "respiratory_failure": F.array_contains("diagnoses", "RESPIRATORY")}
+    long = rows.select("mortality", F.explode(F.array(*[
+        F.when(cohorts[c], F.struct(F.lit(c).alias("cohort"), F.lit(r).alias("expected"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))) for c, (r, lo, hi) in MORTALITY.items()])).alias("x")).where("x is not null").select("mortality", "x.*")
+    out = long.groupBy("cohort", "expected", "lo", "hi").agg(F.avg("mortality").alias("observed"), F.count("*").alias("n"))
+    return out.select("cohort", "observed", "n", "expected", ((F.col("observed") < 0.5 * F.col("lo")) | (F.col("observed") > 2 * F.col("hi"))).alias("flagged"))
 
 
 def outdated_terms(rows: DataFrame, text: Column) -> DataFrame:
@@ -245,21 +275,43 @@ def correlation_similarity(real: DataFrame, other: DataFrame, columns: list[str]
     return a.join(b, ["a", "b"]).agg(F.corr("r", "s").alias("similarity"))
 
 
-def closest_records(real: DataFrame, sample: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """(key, distance): the z-scaled Euclidean distance of each row of a bounded `sample` to the nearest real one.
+def closest_records(real: DataFrame, sample: DataFrame, columns: list[str], key: str, block: int = 1 << 15) -> DataFrame:
+    """(key, distance): the z-scaled Euclidean distance of each row of `sample` to the nearest real one.
 
-    The sample is the query set (at most 1000 rows, else refused); real rows stream past it once.
+    Equal rows are folded into points on both sides. The sample's points are broadcast in blocks of `block`;
+    the real points stream past each block, and a task returns one least distance for each point of the block.
+    A null counts as the real rows' mean. With no real rows the result is empty.
     """
-    some = sample.select(key, *columns).limit(1001).collect()
-    if len(some) > 1000:
-        raise ValueError("the sample has over 1000 rows")
     facts = real.agg(*[f(F.col(c)).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-    scale = [(c, facts[f"m_{c}"] or 0.0, facts[f"s_{c}"] or 1.0) for c in columns]
-    points = F.array(*[F.struct(F.lit(r[key]).alias("k"), F.array(*[F.lit(float(((r[c] or 0) - m) / s)) for c, m, s in scale]).alias("p")) for r in some])
-    here = F.array(*[(F.coalesce(F.col(c).cast("double"), F.lit(m)) - m) / s for c, m, s in scale])
-    squares = lambda p: F.aggregate(F.zip_with(p, F.col("h"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v)
-    met = real.select(here.alias("h")).select(F.explode(F.transform(points, lambda q: F.struct(q["k"].alias("k"), squares(q["p"]).alias("d")))).alias("x"))
-    return met.groupBy(F.col("x.k").alias(key)).agg(F.sqrt(F.min("x.d")).alias("distance"))
+    scaled = [F.coalesce((F.col(c).cast("double") - (facts[f"m_{c}"] or 0.0)) / (facts[f"s_{c}"] or 1.0), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(columns)]
+    names = [f"x{i}" for i in range(len(columns))]
+    points, asked = real.select(*scaled).distinct(), sample.select(F.col(key).alias("k"), *scaled)
+    context, found, some = real.sparkSession.sparkContext, [], []
+
+    def least(rows: list) -> DataFrame:
+        given = context.broadcast(np.array(rows, dtype=np.float64))
+
+        def scan(batches):
+            here, best = given.value, None
+            for b in batches:
+                x = b[names].to_numpy(np.float64)
+                for at in range(0, len(x), 256):
+                    d = ((here[:, None, :] - x[None, at : at + 256]) ** 2).sum(2).min(1)
+                    best = d if best is None else np.minimum(best, d)
+            if best is not None:
+                yield pd.DataFrame({**{n: here[:, i] for i, n in enumerate(names)}, "d": best})
+
+        return points.mapInPandas(scan, ", ".join(f"{n} double" for n in [*names, "d"]))
+
+    for row in asked.select(*names).distinct().toLocalIterator():
+        some.append(tuple(row))
+        if len(some) == block:
+            found, some = [*found, least(some)], []
+    found += [least(some)] if some else []
+    if not found:
+        return asked.select(F.col("k").alias(key), F.lit(0.0).alias("distance")).limit(0)
+    nearest = reduce(DataFrame.unionByName, found).groupBy(*names).agg(F.sqrt(F.min("d")).alias("distance"))
+    return asked.join(nearest, names).select(F.col("k").alias(key), "distance")
 
 
 def histogram(rows: DataFrame, column: str, bins: int = 20) -> DataFrame:
@@ -278,21 +330,40 @@ def uniqueness(rows: DataFrame, key: str) -> DataFrame:
 
 
 def report(rows: DataFrame) -> DataFrame:
-    """(check, score, weight, passed): the five clinical checks, as rows; `verdict` weighs them."""
-    n = F.count("*")
+    """(check, score, weight, passed, errors, critical): the five clinical checks, as rows; `verdict` weighs them.
+
+    Comorbidity is the mean over the conditions of ten patients or more: 1 if any expected partner comes with
+    it in any patient, else .5; .8 if no condition has as many. Over a tenth of values out of range is
+    critical, and so is a dead patient discharged as living; longer in intensive care than in hospital is an error.
+    """
+    bad = {c: share(~F.col(c).between(*RANGES[c])) for c in ("age", "hospital_los_days")}
+    male = share(F.col("gender") == "m")
+    partners = {c: (F.count_if(F.array_contains("diagnoses", c)), F.count_if(F.array_contains("diagnoses", c) & F.arrays_overlap("diagnoses", F.array(*[F.lit(p) for p in ps])))) for c, ps in EXPECTED_PARTNERS.items()}
+    pattern = F.filter(F.array(*[F.when(n >= 10, F.when(k > 0, 1.0).otherwise(0.5)) for n, k in partners.values()]), lambda x: x.isNotNull())
+    living = (F.col("mortality") == 1) & F.lower("discharge_disposition").isin(LIVING_DISPOSITIONS) if "discharge_disposition" in rows.columns else F.lit(False)
+    longer, dead, n = F.count_if(F.col("icu_los_days") > F.col("hospital_los_days")), F.count_if(living), F.greatest(F.count("*"), F.lit(1))
+    nulls = sum((F.count_if(F.col(c).isNull()) for c in rows.columns), F.lit(0)) / (n * len(rows.columns))
     out = rows.agg(
-        (1 - 5 * share(~F.col("age").between(*RANGES["age"]) | ~F.col("hospital_los_days").between(*RANGES["hospital_los_days"]))).alias("ranges"),
-        F.when(F.avg("age").between(30, 75), 1.0).otherwise(0.7).alias("demographics"), share(F.size("diagnoses") > 0).alias("comorbidity"),
-        (1 - 5 * share(F.col("icu_los_days") > F.col("hospital_los_days"))).alias("consistency"), (1 - share(F.col("gender").isNull() | F.col("insurance").isNull())).alias("completeness"), n.alias("n"))
-    weights = {"ranges": 1.5, "demographics": 1.0, "comorbidity": 1.2, "consistency": 1.3, "completeness": 0.8}
-    long = out.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.greatest(F.lit(0.0), F.col(k)).alias("score"), F.lit(w).alias("weight")) for k, w in weights.items()])).alias("x"))
-    return long.select("x.*").withColumn("passed", F.col("score") >= 0.7)
+        (1 - 5 * share(~F.col("age").between(*RANGES["age"]) | ~F.col("hospital_los_days").between(*RANGES["hospital_los_days"]))).alias("ranges"), F.greatest(*bad.values()).alias("worst"),
+        (F.when(F.avg("age").between(30, 75), 1.0).otherwise(0.7) - F.when(F.least(male, 1 - male) < 0.2, 0.2).otherwise(0.0)).alias("demographics"), pattern.alias("pattern"),
+        (1 - (longer + dead) / n).alias("consistency"), (1 - nulls).alias("completeness"), longer.alias("longer"), dead.alias("dead"))
+    mean = F.aggregate("pattern", F.lit(0.0), lambda a, x: a + x) / F.size("pattern")
+    out = out.withColumn("comorbidity", F.when(F.size("pattern") == 0, 0.8).otherwise(mean))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    checks = [
+        ("ranges", 1.5, 0.7, F.lit(0), flag(F.col("worst") > 0.1)), ("demographics", 1.0, 0.7, F.lit(0), F.lit(0)), ("comorbidity", 1.2, 0.7, F.lit(0), F.lit(0)),
+        ("consistency", 1.3, 0.9, flag(F.col("longer") > 0), flag(F.col("dead") > 0)), ("completeness", 0.8, 0.7, F.lit(0), F.lit(0)),
+    ]
+    long = out.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("check"), F.greatest(F.lit(0.0), F.col(k)).alias("score"), F.lit(w).alias("weight"), (F.greatest(F.lit(0.0), F.col(k)) >= least).alias("passed"), e.alias("errors"), c.alias("critical"))
+        for k, w, least, e, c in checks])).alias("x"))
+    return long.select("x.*")
 
 
 def verdict(checks: DataFrame) -> DataFrame:
-    """One row: weighted score, failed checks, valid if .7 or more and at most two failed."""
-    out = checks.agg((F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("score"), F.count_if(~F.col("passed")).alias("failed"))
-    return out.withColumn("valid", (F.col("score") >= 0.7) & (F.col("failed") <= 2))
+    """One row: weighted score, failed checks, errors, critical issues; valid from .7 with at most two errors and nothing critical."""
+    out = checks.agg((F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("score"), F.count_if(~F.col("passed")).alias("failed"), F.sum("errors").alias("errors"), F.sum("critical").alias("critical"))
+    return out.withColumn("valid", (F.col("score") >= 0.7) & (F.col("errors") <= 2) & (F.col("critical") == 0))
 
 
 def utility(train: DataFrame, test: DataFrame, columns: list[str], label: str, trees: int = 20, seed: int = 42) -> DataFrame:
@@ -318,7 +389,9 @@ def ks_probability(ks: Column, n: Column, m: Column) -> Column:
 
 
 # Published mean age and deviation by condition.
-AGES = {"DIABETES": (62, 15), "HYPERTENSION": (58, 18), "CARDIOVASCULAR": (65, 12)}
+AGES = {"DIABETES_TYPE2": (62, 15), "HYPERTENSION": (58, 18), "CARDIOVASCULAR": (65, 12), "STROKE": (70, 14), "COPD": (68, 10)}
+#: The category that holds a condition, where categories are coarser.
+CATEGORY = {"DIABETES_TYPE2": "DIABETES", "STROKE": "NEUROLOGICAL", "COPD": "RESPIRATORY"}
 
 
 def age_test(rows: DataFrame) -> DataFrame:
@@ -326,7 +399,7 @@ def age_test(rows: DataFrame) -> DataFrame:
 
     p is the normal tail, which Student's approaches for the sizes that are tested.
     """
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(float(m)).alias("published"), F.when(F.array_contains("diagnoses", c), F.col("age").cast("double")).alias("age")) for c, (m, _) in AGES.items()])).alias("x")).select("x.*")
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(float(m)).alias("published"), F.when(F.array_contains("diagnoses", CATEGORY.get(c, c)), F.col("age").cast("double")).alias("age")) for c, (m, _) in AGES.items()])).alias("x")).select("x.*")
     out = long.groupBy("condition", "published").agg(F.count("age").alias("n"), F.avg("age").alias("mean"), F.stddev_samp("age").alias("std"))
     t = F.try_divide(F.col("mean") - F.col("published"), F.col("std") / F.sqrt("n"))
     return out.withColumn("t", t).withColumn("p", normal_tail(F.col("t"))).withColumn("aligned", F.abs(F.col("mean") - F.col("published")) <= 10)

@@ -16,24 +16,8 @@ from wardline.sources.views import Views, with_clauses
 
 QUERIES, SQL, query = registry()
 
-# Words of clinical settings, in order of precedence.
-SETTINGS = {
-    "icu": ["icu", "intensive care", "critical care"], "emergency": ["emergency", "urgent", "acute", "emergent", "trauma center"],
-    "inpatient": ["inpatient", "admitted", "hospitalized", "hospital stay", "ward"], "outpatient": ["outpatient", "clinic", "ambulatory", "office visit"],
-    "surgical": ["surgical", "surgery", "operative"], "palliative": ["palliative", "hospice", "end of life", "comfort care"],
-}
-# Terms that go with a condition, and what it may bring.
-RELATED = {
-    "DIABETES": ["diabetic nephropathy", "diabetic retinopathy", "diabetic neuropathy"], "CARDIOVASCULAR": ["stent", "bypass", "cabg"],
-    "HYPERTENSION": ["blood pressure medication", "antihypertensive"], "RENAL": ["dialysis catheter", "kidney transplant", "fistula"],
-    "RESPIRATORY": ["nebulizer", "inhaler", "oxygen therapy"], "SEPSIS": ["blood culture", "antibiotics", "source control"],
-    "NEUROLOGICAL": ["mri brain", "ct head", "lumbar puncture"], "TRAUMA": ["surgery", "fixation", "cast"], "CANCER": ["biopsy", "oncologist", "tumor marker"],
-}
-# Subject headings and keywords of literature topics.
-TOPICS = {
-    "DIABETES": (["Diabetes Mellitus", "Hyperglycemia"], ["insulin", "glucose", "hba1c", "metformin", "glycemic"]),
-    "CARDIOVASCULAR": (["Cardiovascular Diseases", "Heart Failure", "Myocardial Infarction"], ["cardiac", "heart", "coronary", "angina", "arrhythmia"]),
-}
+SETTINGS, TOPICS = fixed.SETTINGS, fixed.TOPICS
+RELATED = {name: related[:3] for name, (_, related, _) in fixed.MEDICAL_TERMS.items()}  # a request is widened by three terms a condition
 
 _REQUESTS = """requests as (select c_custkey as request_id, concat(case c_custkey % 6 when 0 then 'Emergency patients admitted for 5 days' when 1 then 'elective surgery cases, short stay' when 2 then 'hospice care, prolonged'
   when 3 then 'icu patients, 12 days' when 4 then 'clinic visits' else 'patients in the order of the ward' end, ' with ', case c_custkey % 4 when 0 then 'diabetes' when 1 then 'sepsis and renal failure' when 2 then 'stroke' else 'nothing' end) as q from {customer})"""
@@ -259,7 +243,7 @@ def reasoning_hops(spark, sf_dir):
     return out.select("topic", "step", F.array_join("path", ">").alias("path"), F.round("confidence", 6).alias("confidence"))
 
 
-_AGES = " union all ".join(f"select '{c}' as condition, {m}::double as published, count(*) as n, avg(age) as mean, stddev_samp(age) as std from pt where list_contains(diagnoses, '{c}')" for c, (m, _) in V.AGES.items())
+_AGES = " union all ".join(f"select '{c}' as condition, {m}::double as published, count(*) as n, avg(age) as mean, stddev_samp(age) as std from pt where list_contains(diagnoses, '{V.CATEGORY.get(c, c)}')" for c, (m, _) in V.AGES.items())
 
 
 @query(BASE + f"select condition, n, round(mean, 6) as mean, round((mean - published) / (std / sqrt(n)), 6) as t, abs(mean - published) <= 10 as aligned from ({_AGES})")
@@ -280,3 +264,33 @@ for _words in fixed.COHORT_WORDS.values():
 @query("with " + _REQUESTS.format(customer="customer") + f" select request_id, {_NORM} as q from requests")
 def normalised_requests(spark, sf_dir):
     return _requests(spark, sf_dir).select("request_id", nl.normalised(F.col("q")).alias("q"))
+
+
+_SAID = """said as (select c_custkey as request_id, lower(concat(case c_custkey % 5 when 0 then 'Emergency' when 1 then 'ICU' when 2 then 'Hospice' when 3 then 'Clinic' else '' end, ' patients with ',
+  case c_custkey % 8 when 0 then 'T2DM and CKD' when 1 then 'septic shock' when 2 then 'liver failure or cirrhosis' when 3 then 'depression' when 4 then 'a heart attack (MI)' when 5 then 'leukemia' when 6 then 'hip fracture after a fall' else 'nothing' end,
+  case c_custkey % 7 when 0 then ', ages 40-60' when 1 then ', over 65' when 2 then ', under 30' when 3 then ', aged 50' when 4 then ', 30 years old' when 5 then ', newborn' else ', octogenarian' end, case c_custkey % 3 when 0 then ', women' when 1 then ', male' else '' end)) as t from {customer})"""
+_KNOWN = ", ".join(f"case {' '.join(f"""when regexp_matches(t, '\\b{w}\\b') then struct_pack(c := '{n}', v := {0.9 if len(w) > 3 else 0.7}::double)""" for w in words)} end" for n, (words, _, _) in fixed.MEDICAL_TERMS.items())
+_BRINGS = " ".join(f"when '{n}' then {c}" for n, (_, _, c) in fixed.MEDICAL_TERMS.items())
+_AGED = lambda k: " ".join(f"when regexp_matches(t, '\\b(?:{'|'.join(ws)})\\b') then {r[k]}" for *r, ws in fixed.AGE_TERMS)
+_RANGES = [
+    ("(\\d+)\\s*[-–to]+\\s*(\\d+)", "g1", "g2"), ("(?:over|above|older than|>)\\s*(\\d+)()", "g1", "100"), ("(?:under|below|younger than|<)\\s*(\\d+)()", "0", "g1"), ("age[sd]?\\s*(\\d+)()", "g1 - 5", "g1 + 5"), ("(\\d+)\\s*(?:year|yr)s?\\s*old()", "g1 - 2", "g1 + 2"),
+]
+
+
+def _range_sql(k: int) -> str:
+    out = []
+    for pattern, *bounds in _RANGES:
+        groups = [f"cast(nullif(regexp_extract(t, '{pattern}', {g}), '') as integer)" for g in (1, 2)]
+        out.append(f"when regexp_matches(t, '{pattern}') then least(greatest({bounds[k].replace('g1', groups[0]).replace('g2', groups[1])}, 0), 120)")
+    return f"case {' '.join(out)} {_AGED(k)} end"
+
+
+@query("with " + _SAID.format(customer="customer") + f""", e as (select request_id, t, list_filter([{_KNOWN}], lambda x: x is not null) as e, {_range_sql(0)} as age_low, {_range_sql(1)} as age_high,
+  case when regexp_matches(t, '\\b(?:male|men|man|boy|gentleman)\\b') then 'male' when regexp_matches(t, '\\b(?:female|women|woman|girl|lady)\\b') then 'female' end as gender, case {" ".join(f"when regexp_matches(t, '\\b(?:{'|'.join(ws)})\\b') then '{n}'" for n, ws in SETTINGS.items())} end as setting from said)
+select request_id, array_to_string(list_transform(e, lambda x: x.c), '|') as conditions, age_low, age_high, gender, setting, array_to_string(flatten(list_transform(e, lambda x: case x.c {_BRINGS} end))[1:10], '|') as concepts,
+  round(least(0.5::double + least(0.1 * len(e), 0.2) + case when age_low is not null then 0.1 else 0 end + case when gender is not null then 0.05 else 0 end + case when setting is not null then 0.1 else 0 end + coalesce(list_avg(list_transform(e, lambda x: x.v)), 0) * 0.1, 1.0), 6) as confidence from e""")
+def enhanced_requests(spark, sf_dir):
+    """Requests read with the full vocabulary: conditions with their confidence, ages in five forms or by group, gender, setting, what the conditions may bring."""
+    said = spark.sql("with " + _SAID + " select * from said", customer=Views(spark, sf_dir).customer)
+    p = said.select("request_id", nl.enhanced(F.col("t")).alias("p")).select("request_id", "p.*")
+    return p.select("request_id", F.array_join("conditions", "|").alias("conditions"), "age_low", "age_high", "gender", "setting", F.array_join("concepts", "|").alias("concepts"), F.round("confidence", 6).alias("confidence"))

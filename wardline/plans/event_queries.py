@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardline.plans.registry import registry
+from wardline.sources.sinks import shared_folder
 from wardline.sources.views import Views
 from wardline.streaming import ingest as I
 
@@ -43,8 +44,7 @@ def event_session(spark, sf_dir):
 def event_stream_counts(spark, sf_dir):
     name = f"counts_{uuid.uuid4().hex}"
     schema = Views(spark, sf_dir).events.schema
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    out = I.streamed_counts(spark, sf_dir, "events.parquet", schema, name, f"{shared or '/tmp/wardline-streams'}/{name}")
+    out = I.streamed_counts(spark, sf_dir, "events.parquet", schema, name, f"{shared_folder(spark)}/{name}")
     return out.select("event_type", F.col("count").alias("n"))
 
 
@@ -77,13 +77,20 @@ def window_rank(spark, sf_dir):
     return _events(spark, sf_dir).withColumn("r", F.row_number().over(w).cast("bigint")).where("r <= 3").select("event_type", "user_id", "value", "r")
 
 
-@query("""select count(*) as kept from (select distinct doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) as h from documents
-  where len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) >= 60 union select doc_id, md5('changed' || regexp_replace(trim(lower(text)), '\\s+', ' ', 'g')) from documents where doc_id % 10 = 0 and len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) >= 60)""")
+_HASH = "md5(trim(regexp_replace(lower({t}), '\\s+', ' ', 'g')))"
+
+
+@query(f"""with d as (select doc_id, coalesce(text, '') as t from documents), v as (select doc_id, {_HASH.format(t='t')} as a, case when doc_id % 10 = 0 then {_HASH.format(t="t || ' changed'")} else {_HASH.format(t='t')} end as b from d)
+select count(*) as documents, count_if(a <> b) as changed, count_if(a <> b) as back from v""")
 def changed_documents(spark, sf_dir):
-    """A second delivery that changes every tenth document adds only those: versions known after both."""
+    """A second delivery changes every tenth document, a third brings the first contents back: what either adds."""
     from wardline.functions import text as X
 
-    docs = Views(spark, sf_dir).documents.where(F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")) >= 60)
-    first = docs.select("doc_id", X.content_hash(F.col("text")).alias("hash"))
-    second = docs.select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.md5(F.concat(F.lit("changed"), F.regexp_replace(F.trim(F.lower("text")), r"\s+", " ")))).otherwise(X.content_hash(F.col("text"))).alias("hash"))
-    return first.unionByName(I.new_or_changed(second, first).select("doc_id", "hash")).agg(F.count("*").alias("kept"))
+    docs = Views(spark, sf_dir).documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    changed = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    first, second = (docs.select("doc_id", X.content_hash(t).alias("hash")) for t in (F.col("text"), changed))
+    added = I.new_or_changed(second, first).select("doc_id", "hash", F.lit(1).alias("batch"))
+    known = I.last_hashes(first.withColumn("batch", F.lit(0)).unionByName(added))
+    back = I.new_or_changed(first, known)
+    one = lambda rows, name: rows.agg(F.count("*").alias(name))
+    return one(docs, "documents").crossJoin(one(added, "changed")).crossJoin(one(back, "back"))  # one row each

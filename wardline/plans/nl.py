@@ -111,3 +111,44 @@ def checked(c: Cohort) -> Cohort:
     return Cohort(
         tuple(d for d in c.diagnoses if d in fixed.COHORT_WORDS), c.every, age, c.gender[0] if c.gender and c.gender[0] in "fm" else None, c.icu, c.mortality,
         c.risk if c.risk in ("low", "medium", "high", "critical") else None, c.complexity if c.complexity in ("low", "high") else None, c.emergency, min(max(c.size, 1), 10_000) if c.size else None)
+
+
+def enhanced(text: Column) -> Column:
+    """A struct of what a request says in the full vocabulary: conditions, ages, gender, setting, concepts, expansions, ICD-10 codes, confidence.
+
+    A condition's first word found counts .9, or .7 if it has at most three letters. Ages in figures go
+    before named groups; words are matched whole.
+    """
+    t = F.lower(text)
+    first = lambda words: F.coalesce(*[F.when(_word(t, w), 0.9 if len(w) > 3 else 0.7) for w in words])
+    entities = F.filter(F.array(*[F.struct(F.lit(n).alias("condition"), first(words).alias("confidence")) for n, (words, _, _) in fixed.MEDICAL_TERMS.items()]), lambda e: e["confidence"].isNotNull())
+
+    def of(which: int, most: int):
+        def pick(c: Column) -> Column:
+            out = F.array().cast("array<string>")
+            for n, info in fixed.MEDICAL_TERMS.items():
+                out = F.when(c == n, F.array(*[F.lit(x) for x in info[which][:most]])).otherwise(out)
+            return out
+        return pick
+
+    number = lambda pattern, g=1: F.regexp_extract(t, pattern, g).try_cast("int")
+    forms = [
+        (r"(\d+)\s*[-–to]+\s*(\d+)", lambda p: (number(p), number(p, 2))), (r"(?:over|above|older than|>)\s*(\d+)", lambda p: (number(p), F.lit(100))),
+        (r"(?:under|below|younger than|<)\s*(\d+)", lambda p: (F.lit(0), number(p))), (r"age[sd]?\s*(\d+)", lambda p: (number(p) - 5, number(p) + 5)),
+        (r"(\d+)\s*(?:year|yr)s?\s*old", lambda p: (number(p) - 2, number(p) + 2)),
+    ]
+    said = [F.when(t.rlike(p), F.struct(*[F.least(F.greatest(b, F.lit(0)), F.lit(120)).alias(n) for n, b in zip(("low", "high"), bounds(p), strict=True)])) for p, bounds in forms]
+    groups = [F.when(_word(t, *words), F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"))) for low, high, words in fixed.AGE_TERMS]
+    setting = F.coalesce(*[F.when(_word(t, *words), n) for n, words in fixed.SETTINGS.items()])
+    gender = F.when(_word(t, "male", "men", "man", "boy", "gentleman"), "male").when(_word(t, "female", "women", "woman", "girl", "lady"), "female")
+    found = F.struct(entities.alias("e"), F.coalesce(*said, *groups).alias("age"), gender.alias("gender"), setting.alias("setting"))
+
+    def shaped(f: Column) -> Column:
+        e, names = f["e"], F.transform(f["e"], lambda x: x["condition"])
+        mean = F.try_divide(F.aggregate(e, F.lit(0.0), lambda a, x: a + x["confidence"]), F.size(e))
+        confidence = 0.5 + F.least(0.1 * F.size(e), F.lit(0.2)) + F.when(f["age"].isNotNull(), 0.1).otherwise(0.0) + F.when(f["gender"].isNotNull(), 0.05).otherwise(0.0) + F.when(f["setting"].isNotNull(), 0.1).otherwise(0.0) + F.coalesce(mean * 0.1, F.lit(0.0))
+        return F.struct(
+            names.alias("conditions"), e.alias("entities"), f["age"]["low"].alias("age_low"), f["age"]["high"].alias("age_high"), f["gender"].alias("gender"), f["setting"].alias("setting"),
+            F.slice(F.flatten(F.transform(names, of(2, 99))), 1, 10).alias("concepts"), F.slice(F.flatten(F.transform(names, of(1, 3))), 1, 10).alias("expansions"), F.least(confidence, F.lit(1.0)).alias("confidence"))
+
+    return F.element_at(F.transform(F.array(found), shaped), 1)

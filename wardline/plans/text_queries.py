@@ -89,10 +89,10 @@ def quality_score(spark, sf_dir):
     return Views(spark, sf_dir).documents.select("doc_id", F.round(X.quality_score(F.col("text")), 6).alias("quality"))
 
 
-@query("select doc_id, count(*) as n, count(distinct t) as kinds from (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')) as t from documents) group by 1")
+@query("select doc_id, len(t) as n, len(list_distinct(t)) as kinds from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}_]+') as t from documents)")
 def tokenize(spark, sf_dir):
-    t = X.tokens(F.col("text"))
-    return Views(spark, sf_dir).documents.select("doc_id", F.size(t).cast("bigint").alias("n"), F.size(F.array_distinct(t)).cast("bigint").alias("kinds")).where("n > 0")
+    t = X.tokens(F.coalesce("text", F.lit("")))
+    return Views(spark, sf_dir).documents.select("doc_id", F.size(t).cast("bigint").alias("n"), F.size(F.array_distinct(t)).cast("bigint").alias("kinds"))
 
 
 @query("""with c as (select doc_id, text, unnest(range(0, cast(greatest(ceil((length(text) - 100) / 400.0), 1) as bigint))) as i from documents)

@@ -6,6 +6,7 @@ last version of the log, so a failed write is never seen, and a rollback is one
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,13 @@ from pyspark.sql import functions as F
 LOG = "version bigint, path string, rows bigint, checksum bigint, note string"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the session's checkpoint folder, or one of the default file system; a temporary one with a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    return (named or (f"{tempfile.gettempdir()}/wardline-shared" if local else "wardline-shared")).rstrip("/")
+
+
 def as_records(rows: DataFrame, digits: int = 2) -> DataFrame:
     """(json): every row as a JSON object, doubles rounded."""
     cleaned = [F.round(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in rows.schema]
@@ -68,8 +76,9 @@ class Collection:
         return version
 
     def upsert(self, rows: DataFrame) -> int:
-        """Rows replace those of the same key; of equal keys among them any one stays."""
-        new = rows.dropDuplicates([self.key])
+        """Rows replace those of the same key; of equal keys among them the one whose JSON form is last stays."""
+        rest = [c for c in rows.columns if c != self.key]
+        new = rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("r")).select(self.key, "r.*") if rest else rows.distinct()
         old = self.read()
         return self.commit(new if old is None else old.join(new, self.key, "left_anti").unionByName(new, allowMissingColumns=True), "upsert")
 

@@ -16,21 +16,30 @@ def prepared(docs: DataFrame, least_quality: float = 0.3, least_words: int = 20)
 
 
 def new_or_changed(docs: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Prepared documents whose (doc_id, hash) isn't known yet, one for each doc_id (the highest hash of several)."""
+    """Prepared documents whose hash isn't the one last known of them, one for each doc_id (the highest hash of several).
+
+    `known` has one row a document: (doc_id, hash) of its last version. A document that returns to an older
+    content has changed.
+    """
     best = docs.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), "hash").alias("r")).select("doc_id", "r.*")
-    return best if known is None else best.join(known.select("doc_id", "hash").distinct(), ["doc_id", "hash"], "left_anti")
+    return best if known is None else best.join(known.select("doc_id", "hash"), ["doc_id", "hash"], "left_anti")
+
+
+def last_hashes(written: DataFrame) -> DataFrame:
+    """(doc_id, hash) of every document's last version; of the written table only ids, hashes and batch numbers are read."""
+    return written.groupBy("doc_id").agg(F.max_by("hash", "batch").alias("hash"))
 
 
 def ingest(spark: SparkSession, folder: str, schema: str, target: str, checkpoint: str):
     """Reads what is new in a folder of JSON documents, and adds it to `target`; returns the ended query.
 
     Each micro-batch overwrites its own partition, so a batch that is run again after a failure changes
-    nothing. The target itself is the state: a document is known when it has been written.
+    nothing. The target itself is the state: what counts is the last version of a document before the batch.
     """
     def step(batch: DataFrame, epoch: int) -> None:
         p = spark._jvm.org.apache.hadoop.fs.Path(target)
         there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-        known = spark.read.parquet(target).where(F.col("batch") < epoch) if there else None
+        known = last_hashes(spark.read.parquet(target).where(F.col("batch") < epoch)) if there else None
         new_or_changed(prepared(batch), known).write.mode("overwrite").parquet(f"{target}/batch={epoch}")
 
     query = spark.readStream.schema(schema).json(folder).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
