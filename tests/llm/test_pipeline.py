@@ -6,6 +6,28 @@ from wardline.llm import langid, queries, simhash
 from wardline.llm.common import table
 
 
+def plain_clean(rows, items):
+    """Ids of the documents that the contamination rule leaves, by comparing every place of a text with every window."""
+    import re
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for w in map(words, items):
+        n = min(13, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(n, set()).add(tuple(w[i : i + n]))
+    clean = set()
+    for r in rows:
+        w, hit = words(r.text), set()
+        for n, known in windows.items():
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in known:
+                    hit.update(range(i, i + n))
+        if not (hit and 20 * len(hit) >= len(w)):
+            clean.add(r.doc_id)
+    return clean
+
+
 def test_stages_on_the_table(spark, sf, tmp_path):
     """Every stage against what its operator says of the stage's own input."""
     docs = table(spark, sf, "documents")
@@ -24,6 +46,9 @@ def test_stages_on_the_table(spark, sf, tmp_path):
         elif name == "near_dedup":
             groups = simhash.near_duplicate_groups(docs).collect()
             assert after_ids == {r.component_id for r in groups}
+        elif name == "decontaminate":
+            clean = plain_clean(docs.select("doc_id", "text").collect(), [r.text for r in table(spark, sf, "benchmark").collect()])
+            assert after_ids == clean and len(clean) < len(before_ids)
         elif name == "redact_secrets":
             assert after_ids == before_ids and not after.where("text rlike '[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}'").count()
             assert not after.where("length(text) <> n_chars").count()

@@ -88,11 +88,13 @@ def _spans(rows: DataFrame, text: str, patterns: dict[str, tuple[str, object]],
     there = {n: F.regexp_like(t, F.lit(p)) for n, (p, _) in patterns.items()}
     out = rows.select(
         "*", *[F.when(there[n], F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(F.array().cast(strings)).alias(tmp[n][0]) for n, (p, _) in patterns.items()],
-        F.when(F.regexp_like(t, F.lit(one)), F.regexp_extract_all(t, F.lit(one), F.lit(2))).otherwise(F.array().cast(strings)).alias(values),
     )
     hits = lambda n: F.col(tmp[n][0])
     gaps = lambda n, p: F.when(F.size(hits(n)) > 0, F.transform(F.slice(F.split(t, p, -1), F.lit(1), F.size(hits(n))), lambda g: F.length(g))).otherwise(F.array().cast(ints))
-    out = out.select("*", *[gaps(n, p).alias(tmp[n][1]) for n, (p, _) in patterns.items()], *[F.transform(hits(n), lambda h: F.length(h)).alias(tmp[n][4]) for n in patterns])
+    out = out.select(
+        "*", *[gaps(n, p).alias(tmp[n][1]) for n, (p, _) in patterns.items()], *[F.transform(hits(n), lambda h: F.length(h)).alias(tmp[n][4]) for n in patterns],
+        F.when(F.size(hits(next(iter(patterns)))) > 0, F.regexp_extract_all(t, F.lit(one), F.lit(2))).otherwise(F.array().cast(strings)).alias(values),
+    )
     out = running(out, {tmp[n][3]: (F.zip_with(tmp[n][1], tmp[n][4], _add), F.lit(0), _add) for n in patterns})
 
     def found(n: str, kind: int, good) -> Column:
