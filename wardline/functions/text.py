@@ -36,6 +36,13 @@ MEASUREMENTS = [
     r"\b(?:HbA1c|BMI|GFR|eGFR|LDL|HDL|blood.?pressure)\s*(?:of|:)?\s*(\d+(?:\.\d+)?)\b",
 ]
 WORD = r"(?U)\w+"
+
+
+def _any(patterns: list[str]) -> str:
+    """One pattern that is found wherever one of the given \\b(?:...)\\b is: a text without it is passed over in one search instead of many."""
+    return r"\b(?:" + "|".join(p[p.index("(?:") + 3 : p.rindex(")")] for p in patterns) + r")\b"
+
+
 DRUG_HINT = "(?i)(?:" + "|".join(p[p.index("(?:") + 3 : p.rindex(")")] for p in DRUGS) + r")\b"
 
 
@@ -75,7 +82,7 @@ def drugs(text: Column) -> Column:
 
 
 def procedures(text: Column) -> Column:
-    return all_matches(text, PROCEDURES)
+    return F.when(text.rlike("(?i)" + _any(PROCEDURES)), all_matches(text, PROCEDURES)).otherwise(F.array().cast("array<string>"))
 
 
 def diseases(text: Column) -> Column:
@@ -113,7 +120,8 @@ def quality_score(text: Column) -> Column:
         )
 
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    counts = let(F.lower(text), lambda low: F.array(*[F.regexp_count(low, F.lit(p)) for p in DISEASES.values()]))
+    found = lambda low: F.array(*[F.regexp_count(low, F.lit(p)) for p in DISEASES.values()])
+    counts = let(F.lower(text), lambda low: F.when(low.rlike(_any(list(DISEASES.values()))), found(low)).otherwise(F.array(*[F.lit(0)] * len(DISEASES))))
     return F.least(let(words, lambda w: let(counts, lambda c: scored(w, c))), F.lit(1.0))
 
 

@@ -28,25 +28,32 @@ def top_k(scored: DataFrame, k: int, score: str = "score", by: str = "query_id",
 def keyword_scores(docs: DataFrame, queries: list[tuple[int, str]], k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score): BM25 with idf = max(0, (N - df + .5) / (df + .5)), without a logarithm.
 
-    Only tokens of the queries leave the scan; statistics are over all documents. `queries` is a
-    caller's list, so it is a literal in the plan.
+    The first pass counts documents, their mean length and those with each word of the queries, in one
+    aggregate of one row that comes to the driver; the second scores every document by itself, so nothing is
+    shuffled. Of a document's words only those of the queries are counted. `queries` is a caller's list, so it
+    is a literal in the plan.
     """
-    asked = [(q, t) for q, text in queries for t in _tokens(text)]
-    vocabulary = sorted({t for _, t in asked})
-    base = docs.select("doc_id", X.tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    facts = base.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    counts = F.array(*[F.struct(F.lit(v).alias("token"), _count("t", v).alias("tf")) for v in vocabulary])
-    postings = base.select("doc_id", F.size("t").alias("length"), F.explode(F.filter(counts, lambda c: c["tf"] > 0)).alias("c")).select("doc_id", "length", "c.token", "c.tf")
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
-    terms = docs.sparkSession.createDataFrame(asked, "query_id int, token string").join(df, "token").crossJoin(F.broadcast(facts))  # one row
-    weighed = terms.select("query_id", "token", "mean", F.greatest(F.lit(0.0), (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    found = postings.join(F.broadcast(weighed), "token")  # as many rows as the queries have words
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.greatest("mean", F.lit(1.0))))
-    return found.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-
-
-def _count(words: str, word: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == word))
+    asked = {q: _tokens(text) for q, text in queries}
+    vocabulary = sorted({t for ts in asked.values() for t in ts})
+    empty = docs.sparkSession.createDataFrame([], "query_id int, doc_id string, score double")
+    if not vocabulary:
+        return empty.select("query_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "score")
+    words = docs.select("doc_id", X.tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    base = words.select("doc_id", F.size("t").alias("length"), F.filter("t", lambda w: w.isin(vocabulary)).alias("hits"))
+    facts = base.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.array_contains("hits", v)).alias(f"df{i}") for i, v in enumerate(vocabulary)]).first()
+    idf = {v: max(0.0, (facts.n - facts[f"df{i}"] + 0.5) / (facts[f"df{i}"] + 0.5)) for i, v in enumerate(vocabulary)}
+    counted = base.where(F.size("hits") > 0).select("doc_id", "length", *[F.size(_only("hits", v)).alias(f"n{i}") for i, v in enumerate(vocabulary)])
+    at = {v: i for i, v in enumerate(vocabulary)}
+    wide = k1 * (1 - b + b * F.col("length") / max(facts.mean or 0.0, 1.0))
+    part = lambda v: idf[v] * F.col(f"n{at[v]}") * (k1 + 1) / (F.col(f"n{at[v]}") + wide)
+    scores = F.array(*[
+        F.when(reduce(lambda x, y: x | y, [F.col(f"n{at[v]}") > 0 for v in ts]), F.struct(F.lit(q).alias("query_id"), reduce(lambda x, y: x + y, [part(v) for v in ts]).alias("score")))
+        for q, ts in asked.items() if ts])
+    return counted.select("doc_id", F.explode(F.array_compact(scores)).alias("s")).select("s.query_id", "doc_id", "s.score")
+
+
+def _only(words: str, word: str) -> Column:
+    return F.filter(words, lambda w: w == word)
 
 
 def _tokens(text: str) -> list[str]:
