@@ -36,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one that checkpoints go to."""
+    cut(spark.range(1))  # sets a checkpoint folder where the session names none
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
 def free(taken: list[str], *names: str) -> list[str]:
     """`names`, each with as many underscores more as it takes to clash with no column in `taken` (in any letter case)."""
     used, out = {t.lower() for t in taken}, []

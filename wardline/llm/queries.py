@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import decontam, langid, licenses, media, mixing, pii, quality, secrets, simhash, urls
-from wardline.llm.common import crc_bucket, cut, table
+from wardline.llm import decontam, filter_audit, langid, licenses, media, mixing, pii, quality, secrets, simhash, urls, warc
+from wardline.llm.common import crc_bucket, cut, shared_folder, table
 from wardline.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,10 +108,27 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the pages to an archive in the shared folder and reads it back; a revisit's size and digest are those that its record states."""
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    revisit = F.col("type") == "revisit"
+    return warc.read_archive(spark, path).select(
+        warc.id_of(F.col("record_id")).cast("bigint").alias("page_id"), F.when(revisit, F.col("stated_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("stated_digest")).otherwise(F.col("digest")).alias("payload_digest"), F.col("type").alias("record_type"),
+        F.when(revisit, warc.id_of(F.col("refers_to")).cast("bigint")).alias("refers_to"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = filter_audit.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(cells, ("A", "B", "C", "D", "E"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_simhash_near_dedup, op2_benchmark_decontamination, op3_language_id, op4_secret_scans, op5_media_copies, op6_pii_surrogates,
-        op7_url_filters, op8_quality_classifier, op9_license_scans, op10_source_mixing,
+        op7_url_filters, op8_quality_classifier, op9_license_scans, op10_source_mixing, op11_warc, op13_filter_audit,
     )}
 
 

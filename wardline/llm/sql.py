@@ -82,5 +82,49 @@ with doc as (
 select doc_id, size, source_size, target,
   cast(case when blocks = 0 then 0 else (m // blocks) * size + greatest(0, least(s + size, (m % blocks) * block) - s) end as bigint) as taken
 from line
+""",
+    "op11_warc": """
+with page as (
+  select page_id, coalesce(html, '') as h, cast(strlen(coalesce(html, '')) as bigint) as n from pages
+), found as (
+  select *, case when n >= 1000 then max(page_id) over (partition by h) end as target from page
+)
+select page_id, n as payload_bytes, sha1(h) as payload_digest, case when n >= 1000 and page_id is distinct from target then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id is distinct from target then target end as refers_to
+from found
+""",
+    "op13_filter_audit": """
+with doc as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
+    min(doc_id) over (partition by coalesce(text, '')) as first
+  from documents
+), mark as (
+  select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id
+), flag as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] as f
+  from doc left join mark using (doc_id)
+), cell as (
+  select part, f, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from flag group by part, f
+), letter as (
+  select unnest([1, 2, 3, 4, 5]) as i
+), ord as (
+  select [a.i, b.i, c.i, d.i, e.i] as o from letter a, letter b, letter c, letter d, letter e
+  where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), step as (
+  select o, array_to_string(list_transform(o, lambda x: chr(64 + x)), '') as filter_order, unnest([1, 2, 3, 4, 5]) as step from ord
+), count as (
+  select part, filter_order, step, o[step] as x,
+    sum(case when not list_bool_or(list_transform(o[1 : step], lambda k: f[k])) then n else 0 end) as kept,
+    sum(case when f[o[step]] and not coalesce(list_bool_or(list_transform(o[1 : step - 1], lambda k: f[k])), false) then n else 0 end) as removed,
+    sum(case when f[o[step]] and coalesce(list_bool_or(list_transform(o[1 : step - 1], lambda k: f[k])), false) then n else 0 end) as redundant,
+    sum(case when f[o[step]] and len(list_filter(f, lambda v: v)) = 1 then n else 0 end) as unique_fails,
+    sum(case when f[o[step]] and not coalesce(list_bool_or(list_transform(o[1 : step - 1], lambda k: f[k])), false) then good else 0 end) as good_lost,
+    sum(case when f[o[step]] and not coalesce(list_bool_or(list_transform(o[1 : step - 1], lambda k: f[k])), false) then toxic else 0 end) as toxic_lost
+  from step cross join cell group by part, o, filter_order, step
+)
+select part, filter_order, cast(step as integer) as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+  good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, cast(sum(removed) over (partition by part, x) as bigint) as shapley
+from count
 """,
 }
