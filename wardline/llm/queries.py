@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import decontam, filter_audit, langid, licenses, media, mixing, pii, quality, secrets, simhash, urls, warc
+from wardline.llm import conversations, decontam, filter_audit, langid, licenses, media, mixing, pii, quality, secrets, simhash, urls, warc
 from wardline.llm.common import crc_bucket, cut, shared_folder, table
 from wardline.llm.sql import SQL
 
@@ -120,6 +120,17 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    summary, long = conversations.repair(conversations.damaged(given))
+    lines = F.concat_ws("\n", F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])))
+    summary = summary.withColumn("here", F.when(F.col("repaired").isNotNull(), F.sha2(lines, 256))).drop("repaired").join(conversations.digests(long), "ck", "left")
+    every = given.select("conv_id").distinct().withColumn("ck", conversations.key_of("conv_id"))
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(summary, "ck", "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("here", "sha", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = filter_audit.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return filter_audit.audit(cells, ("A", "B", "C", "D", "E"))
@@ -128,7 +139,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_simhash_near_dedup, op2_benchmark_decontamination, op3_language_id, op4_secret_scans, op5_media_copies, op6_pii_surrogates,
-        op7_url_filters, op8_quality_classifier, op9_license_scans, op10_source_mixing, op11_warc, op13_filter_audit,
+        op7_url_filters, op8_quality_classifier, op9_license_scans, op10_source_mixing, op11_warc, op12_conversation_repair, op13_filter_audit,
     )}
 
 

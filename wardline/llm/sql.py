@@ -92,6 +92,55 @@ with page as (
 select page_id, n as payload_bytes, sha1(h) as payload_digest, case when n >= 1000 and page_id is distinct from target then 'revisit' else 'response' end as record_type,
   case when n >= 1000 and page_id is distinct from target then target end as refers_to
 from found
+""",
+    "op12_conversation_repair": """
+with recursive code as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations
+), lot as (
+  select *, xor(list_reduce(list_transform(range(1, len(key) + 1), lambda i: cast(ascii(key[i]) as bigint)),
+    lambda c, b: list_reduce(range(8), lambda x, j: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), cast(4294967295 as bigint)), 4294967295) % 20 as lot from code
+), hurt as (
+  select conv_id, turn, case when lot = 4 then 'user' else role end as role, case lot when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case lot when 0 then 0 when 3 then 2 else 1 end)) as copy from lot
+), conv as (
+  select conv_id, row_number() over () as c from (select distinct conv_id from conversations)
+), line as (
+  select c, turn, role, text, row_number() over (partition by c order by turn nulls first, role, md5(text)) as i from hurt join conv on hurt.conv_id is not distinct from conv.conv_id
+), fault as (
+  select *, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare, row_number() over (partition by c, role, text order by i) > 1 as again,
+    lag(role) over (partition by c order by i) as last_role from line
+), judged as (
+  select *, bare = '' as blank, bare <> '' and again as duplicate, bare <> '' and not again and not regexp_matches(bare, '[.!?]$') as truncated from fault
+), counted as (
+  select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate,
+    count(*) filter (truncated) as truncated, count(*) filter (last_role[1] || role[1] not in ('su', 'ua', 'au')) as illegal, max(i) as n
+  from judged group by c
+), way as (
+  select c, cast(0 as bigint) as i, cast(0 as bigint) as c0, '' as a0, cast(null as bigint) as c1, cast(null as varchar) as a1, cast(3 as bigint) as c2, 'I' as a2, cast(6 as bigint) as c3, 'II' as a3 from counted
+  union all
+  select c, i, n0[1], n0[2], n1[1], n1[2], n2[1], n2[2], n3[1], n3[2] from (
+    select c, i, d0 as n0, m1 as n1, least(m2, z2) as n2, least(m3, case when least(m2, z2) is not null then row(least(m2, z2)[1] + 3, least(m2, z2)[2] || 'I') end) as n3 from (
+      select *, least(row(d0[1] + 3, d0[2] || 'I'), case when m1 is not null then row(m1[1] + 3, m1[2] || 'I') end, case when m3 is not null then row(m3[1] + 3, m3[2] || 'I') end) as z2 from (
+        select w.c, j.i, row(c0 + 4, a0 || 'D') as d0,
+          least(case when c1 is not null then row(c1 + 4, a1 || 'D') end, case when role[1] = 's' and not (blank or duplicate) then row(c0 + x, a0 || 'K') end) as m1,
+          least(case when c2 is not null then row(c2 + 4, a2 || 'D') end, case when not (blank or duplicate) then least(row(c0 + x + y, a0 || l), case when c1 is not null then row(c1 + x + y, a1 || l) end, case when c3 is not null then row(c3 + x + y, a3 || l) end) end) as m2,
+          least(case when c3 is not null then row(c3 + 4, a3 || 'D') end, case when c2 is not null and not (blank or duplicate) then row(c2 + x + u, a2 || v) end) as m3
+        from way w join (select *, case when truncated then 3 else 0 end as x, case when role[1] = 'u' then 0 else 3 end as y, case when role[1] = 'u' then 'K' else 'R' end as l,
+          case when role[1] = 'a' then 0 else 3 end as u, case when role[1] = 'a' then 'K' else 'R' end as v from judged) j on j.c = w.c and j.i = w.i + 1)))
+), best as (
+  select c, least(row(c0, a0), case when c3 is not null then row(c3, a3) end)[1] as cost, least(row(c0, a0), case when c3 is not null then row(c3, a3) end)[2] as audit from way join counted using (c) where i = n
+), letter as (
+  select c, audit[p] as l, p, sum((audit[p] <> 'I')::int) over (partition by c order by p) as i, sum((audit[p] <> 'D')::int) over (partition by c order by p) as nth
+  from (select c, audit, unnest(range(1, len(audit) + 1)) as p from best)
+), kept as (
+  select letter.c, p, l, nth, role, text, max((nth = 1 and l = 'K' and role[1] = 's')::int) over (partition by letter.c) as sys
+  from letter left join line on l <> 'I' and line.c = letter.c and line.i = letter.i where l <> 'D'
+), text as (
+  select c, string_agg(case when l = 'K' then role when (nth - sys) % 2 = 1 then 'user' else 'assistant' end || ':' || case when l = 'I' then '' else text end, chr(10) order by p) as t from kept group by c
+)
+select conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(cost, 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(t, '')) as repaired_sha256
+from conv left join counted using (c) left join best using (c) left join text using (c)
 """,
     "op13_filter_audit": """
 with doc as (
