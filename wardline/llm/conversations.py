@@ -149,6 +149,10 @@ def _emit(given: pa.Table, parts: pa.Table) -> pa.Table:
     return _arrow(con, f"select ck, seg, e.* exclude (k) from ({_EMIT}) e join owner using (k)", names).cast(schema)
 
 
+#: Cost and audit to be in a state before the first row.
+FIRST = {0: (0, ""), 2: (3, "I"), 3: (6, "II")}
+
+
 def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Joins sorted segments: one row a segment with its edits, and the conversation's figures on its last."""
     columns = ["ck", "seg", "s", "audit", "is_last", "blank", "duplicate", "truncated", "illegal", "low", "high", "turns", "cost", "whole_audit"]
@@ -161,6 +165,7 @@ def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             start, part = came[stop]
             rows.append([now["ck"], seg, start, part, False, *[None] * 9])
             stop = start
+        rows[-1][2:4] = [0, FIRST[stop][1] + rows[-1][3]]  # what is inserted before the first row belongs to the first segment
         rows[0][4:] = [True, *[now[c] for c in ("blank", "duplicate", "truncated", "illegal", "low", "high", "turns")], cost, audit]
         return pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns[5:13]})
 
@@ -171,7 +176,7 @@ def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield finished(now)
                 now = None
             if now is None:
-                now = {"ck": r.ck, "best": {0: (0, ""), 2: (3, "I"), 3: (6, "II")}, "path": [], "blank": 0, "duplicate": 0, "truncated": 0, "illegal": 0, "last": None, "low": None, "high": None, "turns": 0}
+                now = {"ck": r.ck, "best": FIRST, "path": [], "blank": 0, "duplicate": 0, "truncated": 0, "illegal": 0, "last": None, "low": None, "high": None, "turns": 0}
             best, came = {}, {}
             for m in r.moves:
                 if m["start"] in now["best"]:
