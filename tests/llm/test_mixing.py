@@ -46,9 +46,9 @@ def check(spark, rows):
         assert 0 <= r.taken <= 2 * r["size"] and r.source_size == sizes[r.source]
         assert math.isclose(r.target, want[r.source], rel_tol=1e-9, abs_tol=1e-9)
         taken[r.source] = taken.get(r.source, 0) + r.taken
-    block = max(1, -(-math.ceil(1.5 * sum(sizes.values())) // 131072))
     for s, n in taken.items():
-        assert abs(n - want[s]) <= 6 * block + 2 * math.log2(2 + sum(sizes.values()))
+        assert abs(n - want[s]) <= 0.5 + 1e-6 * want[s]
+    assert all((r.slot is None) == (r.taken == 0) for r in got)
     return sorted(((r.doc_id, r.source, r["size"], r.taken) for r in got), key=str)
 
 
@@ -85,3 +85,25 @@ def test_schedule_is_balanced_at_every_prefix(spark):
         assert r["rank"] == seen[r.idx]
         seen[r.idx] += 1
         assert all(abs(seen[i] - k * share[i]) < 2 + math.log2(k + 1) for i in share)
+
+
+def test_small_sources_beside_large_ones_reach_their_targets(spark):
+    rows = [(i, f"small{i % 6}", "w " * (1 + i % 6)) for i in range(24)] + [(100 + i, "large", "word " * 4000) for i in range(500)]
+    check(spark, rows)
+
+
+def test_documents_by_slot_are_the_mix_at_any_length(spark):
+    rows = [(i, "abc"[i % 3], "w " * (5 + i % 7)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = sorted((r for r in mixing.mix_sources(frame, keep=("source", "size", "text")).collect() if r.slot is not None), key=lambda r: r.slot)
+    targets = {r.source: r.target for r in got}
+    for part in (300, 1000, 2000):
+        words = {s: sum(min(r["size"], r.taken) for r in got[:part] if r.source == s) for s in "abc"}
+        for s in "abc":
+            assert abs(words[s] / sum(words.values()) - targets[s] / sum(targets.values())) < 0.03
+
+
+def test_clashing_names(spark):
+    frame = spark.createDataFrame([(1, "a", "x y", 5, 6)], "doc_id bigint, source string, text string, SIZE int, other int")
+    got = mixing.mix_sources(frame, keep=("SIZE", "other")).collect()
+    assert got[0].asDict() == {"doc_id": 1, "other": 6, "size": 2, "source_size": 2, "target": 3.0, "taken": 3, "slot": 0}

@@ -66,22 +66,23 @@ with doc as (
   select *, coalesce(lag(hi) over (order by idx), 0) as lo from upper
 ), facts as (
   select cast(ceil(1.5::double * sum(size)) as bigint) as total, count(*) as n from doc
-), cut as (
-  select total, greatest(1, (total + greatest(1, least(greatest(131072, n), total)) - 1) // greatest(1, least(greatest(131072, n), total))) as block from facts
+), many as (
+  select greatest(1, least(greatest(131072, n), total)) as slots from facts
 ), slot as (
-  select ((i % {GRID}) * {GOLDEN}) % {GRID} as u from (select unnest(range(cast((total + block - 1) // block as bigint))) as i from cut)
-), ranks as (
-  select idx, count(*) as m from slot join tgt on u >= lo and u < hi group by idx
+  select i, ((i % {GRID}) * {GOLDEN}) % {GRID} as u from (select unnest(range(cast(slots as bigint))) as i from many)
+), ranked as (
+  select idx, i, row_number() over (partition by idx order by i) - 1 as r from slot join tgt on u >= lo and u < hi
 ), plan as (
-  select tgt.*, block, (source_size + block - 1) // block as blocks, least(coalesce(m, 0), 2 * ((source_size + block - 1) // block)) as m from tgt cross join cut left join ranks using (idx)
+  select tgt.*, cast(floor(target + 0.5) as bigint) as due, m
+  from tgt left join (select idx, count(*) as m from ranked group by idx) using (idx)
 ), line as (
   select doc_id, size, plan.*, sum(size) over (partition by idx order by md5(concat_ws(':', coalesce(cast(doc_id as varchar), ''), cast(size as varchar), 'mix')), doc_id, size
     rows between unbounded preceding and current row) - size as s
   from doc join plan on doc.source is not distinct from plan.source
 )
-select doc_id, size, source_size, target,
-  cast(case when blocks = 0 then 0 else (m // blocks) * size + greatest(0, least(s + size, (m % blocks) * block) - s) end as bigint) as taken
-from line
+select doc_id, size, source_size, target, cast(greatest(0, least(due, s + size) - s) + greatest(0, least(due - source_size, s + size) - s) as bigint) as taken,
+  case when size > 0 and s < due then case when m is null then slots + line.idx else i end end::bigint as slot
+from line cross join many left join ranked on ranked.idx = line.idx and ranked.r = ((s + 1)::hugeint * coalesce(m, 1) - 1) // greatest(due, 1)
 """,
     "op11_warc": """
 with page as (
