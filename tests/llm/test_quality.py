@@ -66,3 +66,13 @@ def test_one_class_and_no_labels():
     net = quality.train([b"abc", b"def"], np.array([1.0, 1.0]))
     assert net.b > 0
     assert quality.train([], np.zeros(0)).tables.shape[0] == quality.WIDTH
+
+
+def test_the_bound_holds_where_ids_repeat(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)] + [(3, f"copy {i}") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(3, 1)] * 50, "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, y: seen.append((texts, y)))
+    quality.fit(docs, labels, F.lit(True), bound=10)
+    quality.fit(docs, labels.where("doc_id = 3"), F.lit(True), bound=10)
+    assert len(seen[0][0]) == len(seen[0][1]) <= 10 and len(seen[1][0]) == 1

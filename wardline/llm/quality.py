@@ -128,15 +128,17 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
     """The network fitted on at most `bound` labelled rows, chosen by a hash of the id, whose whole texts come to the driver.
 
     `usable` is a predicate over the id column, named `id_col`, of `labels`. The sample of ids and labels is
-    broadcast; its bound does not depend on the data.
+    broadcast; its bound does not depend on the data. Of rows that repeat an id, one stands for all (that with
+    the least hash of its text), chosen before anything is collected.
     """
-    marked = labels.where(usable & F.col(label_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
+    marked = labels.where(usable & F.col(label_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).distinct()
     million = 1_000_000
     n = max(1, marked.count())
     key = F.pmod(F.xxhash64("i", F.lit(5)), F.lit(million))
     sample = marked.where(key < min(million, -(-2 * bound * million // n))).orderBy(F.xxhash64("i"), "i", "y").limit(bound)
     texts = docs.select(docs[id_col].alias("i"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"))
-    rows = sorted(((str(r.i), r.y, r.t.encode()) for r in texts.join(F.broadcast(sample), "i").collect()))
+    picked = texts.join(F.broadcast(sample.distinct()), "i").groupBy("i", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")).limit(bound)
+    rows = sorted(((str(r.i), r.y, r.t.encode()) for r in picked.collect()))
     return train([t for _, _, t in rows], np.array([float(y == 1) for _, y, _ in rows], np.float32))
 
 
