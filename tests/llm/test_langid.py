@@ -96,9 +96,12 @@ def test_forward_pass_equals_brute_force(net):
         assert np.allclose(got[i] / len(t), plain_probabilities(net, np.frombuffer(t, np.uint8)).mean(0), atol=1e-4)
 
 
-def test_stray_labels_are_not_learnt(spark):
-    docs = spark.createDataFrame([(i, "tion the ing", "aa") for i in range(9)] + [(20 + i, "ung ein keit", "bb") for i in range(9)] + [(100 + i, "ción", f"stray{i}") for i in range(700)], "doc_id bigint, text string, lang string")
-    assert langid.fit(docs, F.lit(True), max_labels=2, steps=2).labels == ["aa", "bb"]
+def test_every_label_is_learnt_and_the_sample_is_bounded(spark):
+    alphabets = {f"l{i:02d}": chr(0x100 + 4 * i) + chr(0x101 + 4 * i) for i in range(70)}
+    docs = spark.createDataFrame([(k, (c + " ") * 30, k) for k, c in alphabets.items()] + [(f"x{i}", f"ab {i}", "l00") for i in range(900)], "doc_id string, text string, lang string")
+    texts, names = langid.training_sample(docs, F.lit(True), "text", "lang", 200, 700, 5)
+    assert set(names) == set(alphabets) and len(texts) <= 2 * 10 * 70 and names.count("l00") < 60
+    assert langid.fit(docs, F.lit(True), bound=700, steps=2).labels == sorted(alphabets)
 
 
 def test_nothing_learnt_gives_und(spark):

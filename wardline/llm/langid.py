@@ -171,33 +171,34 @@ def has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "ignore"))
 
 
-def training_sample(docs: DataFrame, usable, text_col: str, label_col: str, per_label: int, max_labels: int) -> tuple[list[bytes], list[str]]:
-    """Whole texts of at most 2 * `per_label` rows a label for the `max_labels` most frequent labels, chosen by a hash of the text.
+def training_sample(docs: DataFrame, usable, text_col: str, label_col: str, per_label: int, bound: int, least: int) -> tuple[list[bytes], list[str]]:
+    """Whole texts of about min(`per_label`, max(`least`, `bound` / labels)) rows of every label, twice that at most, chosen by a hash of the text.
 
     `usable` is a predicate on `docs`.
     """
     rows = docs.where(usable & F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(
         F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("y")
     )
-    counts = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(max_labels).collect()
-    if not counts:
+    counts = rows.groupBy("y").count()
+    labels = counts.count()
+    if not labels:
         return [], []
-    million = 1_000_000
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r.y, min(million, -(-per_label * million // r["count"])))])
-    key = F.pmod(F.xxhash64("t", F.lit(11)), F.lit(million))
-    some = rows.where(F.col("y").isin([r.y for r in counts]) & (key < share[F.col("y")])).select("y", F.xxhash64("t").alias("h"), "t")
-    got = some.orderBy("h", "y").limit(2 * per_label * len(counts)).collect()
+    quota, million = min(per_label, max(least, bound // labels)), 1_000_000
+    # As many labels as the network has outputs.
+    shares = counts.select("y", F.least(F.lit(million), F.ceil(F.lit(quota * million) / F.col("count"))).alias("share"))
+    some = rows.join(F.broadcast(shares), "y").where(F.pmod(F.xxhash64("t", F.lit(11)), F.lit(million)) < F.col("share"))
+    got = some.select("y", F.xxhash64("t").alias("h"), "t").orderBy("h", "y").limit(2 * quota * labels).collect()
     got.sort(key=lambda r: (r.h, r.y, r.t))
     return [r.t.encode() for r in got], [r.y for r in got]
 
 
-def fit(docs: DataFrame, usable, text_col: str = "text", label_col: str = "lang", per_label: int = 200, max_labels: int = 64, **settings) -> Network:
+def fit(docs: DataFrame, usable, text_col: str = "text", label_col: str = "lang", per_label: int = 200, bound: int = 12_800, least: int = 20, **settings) -> Network:
     """The network fitted on a sample of about `per_label` whole texts for each label (twice that at the very most).
 
-    Of more than `max_labels` different labels the most frequent are learnt: a stray value in a label column
-    doesn't make a language.
+    Every label is learnt. Where they would make more than `bound` rows together, each has its equal part
+    of those, but `least` rows.
     """
-    texts, names = training_sample(docs, usable, text_col, label_col, per_label, max_labels)
+    texts, names = training_sample(docs, usable, text_col, label_col, per_label, bound, least)
     labels = sorted(set(names))
     return train(texts, np.array([labels.index(n) for n in names], np.int64), labels, **settings)
 
