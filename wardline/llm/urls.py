@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from wardline.llm.common import cut, named
+from wardline.llm.common import cut, lookup, named
 
 
 HOST = r"^[\x00-\x20]*[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(\[[0-9a-f:.]+\]|[^/?#:@\[\]]+)"
@@ -90,4 +90,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", t
     listed = as_of(tried.select("domain", "at").distinct(), changes).where("state.listed").select("domain", "at", "state.since")
     best = tried.join(listed, ["domain", "at"]).groupBy("host", "at").agg(F.max(F.struct(F.length("domain").alias("n"), "domain", "since")).alias("b"))
     verdicts = best.select("host", "at", F.col("b.domain").alias("entry"), F.col("b.since").alias("listed_since"))
-    return rows.join(verdicts, ["host", "at"], "left").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("entry").isNotNull().alias("blocked"), "entry", "listed_since")
+    # One key of host and time: lookup splits hot ones, and keeps what has no host or time out of the join.
+    pair = F.concat(F.col("host"), F.lit("\n"), F.col("at").cast("string"))
+    judged = lookup(rows.withColumn("pair", pair), cut(verdicts.select(pair.alias("pair"), "entry", "listed_since")), "pair", "left")
+    return judged.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("entry").isNotNull().alias("blocked"), "entry", "listed_since")
