@@ -114,3 +114,25 @@ def test_more_entities_than_surrogates_of_their_length(spark):
     entities = spark.createDataFrame([("phone", f"{i % 10}{i // 10}") for i in range(15)], "kind string, entity string").distinct()
     got = pii.assign_surrogates(entities, "k").collect()
     assert len({r.surrogate for r in got}) == len(got) == 15
+
+
+def test_addresses_keep_their_form_and_their_domain(spark):
+    (got,) = run(spark, "ann.lee@corp.com, bob_ray7@corp.com, ANN.LEE@CORP.COM, ann.lee@other.org and x@corp.com")
+    one, two, same, other, short = re.split(", | and ", got)
+    assert re.fullmatch(r"[a-z]+\.[a-z]+@d\w+\.example", one) and re.fullmatch(r"[a-z]+_[a-z]+[0-9]@d\w+\.example", two) and same == one.upper()
+    domain = lambda a: a.split("@")[1]
+    assert domain(one) == domain(two) == domain(short) != domain(other) and len({one, two, other, short}) == 4
+    assert not re.search("ann|lee|corp", got.lower())
+
+
+def test_many_addresses_stay_distinct(spark):
+    texts = [f"{chr(97 + i % 26)}@a.com {chr(97 + i % 26)}.{chr(97 + i // 26)}@a.com {i}@b{i % 7}.org" for i in range(300)]
+    got = run(spark, *texts)
+    pairs = {a: b for x, y in zip(texts, got) for a, b in zip(x.split(), y.split(), strict=True)}
+    assert len(set(pairs.values())) == len(pairs) and not set(pairs) & set(pairs.values())
+
+
+def test_a_column_named_like_the_counts_in_other_case(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@c.de", 5)], "doc_id int, text string, PII_COUNTS int")
+    got = pii.pseudonymise(docs, key="k")
+    assert got.columns == ["doc_id", "text", "pii_counts"] and got.first().pii_counts.email == 1

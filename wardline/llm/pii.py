@@ -6,7 +6,8 @@ the surnames and given names so found are then found in the rest of their text w
 distinct entity of the corpus gets one surrogate from a keyed SHA-256, so all its mentions change alike;
 two entities that draw the same surrogate, or one that draws a real entity, are drawn again until all
 are distinct. A mention keeps its separators, letter case, title, script and gender, a telephone number
-its country code, a card or account number a valid check digit. Texts without mentions are never shuffled.
+its country code, a card or account number a valid check digit, an e-mail address the form of its local
+part; addresses of one domain stay addresses of one domain. Texts without mentions are never shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardline.llm.common import cut, free
+from wardline.llm.common import cut, free, named
 from wardline.llm.secrets import let
 
 #: Titles by gender, particles of surnames, common given names that are no other words, country codes of two digits.
@@ -112,7 +113,7 @@ def gender_of(title: Column, given: Column) -> Column:
 def entity_of(m: Column, kind: Column) -> Column:
     """What all mentions of one entity that is no name have in common."""
     return (
-        F.when(kind == "phone", F.concat(F.when(m.startswith("+"), "+").otherwise(""), digits_of(m))).when(kind.isin("card", "ssn"), digits_of(m))
+        F.when(kind == "domain", F.lower(m)).when(kind == "phone", F.concat(F.when(m.startswith("+"), "+").otherwise(""), digits_of(m))).when(kind.isin("card", "ssn"), digits_of(m))
         .when(kind.isin("email", "ip6"), F.lower(m)).when(kind == "iban", F.regexp_replace(m, " ", "")).otherwise(m)
     )
 
@@ -133,7 +134,13 @@ def surrogate_of(kind: Column, entity: Column, key: str, attempt: Column) -> Col
     )
     group = lambda i: F.substring(digest, 4 * i + 1, 4)
     ip6 = F.when(entity.contains("::"), F.concat_ws(":", F.lit("2001:db8:"), *[group(i) for i in range(4)])).otherwise(F.concat_ws(":", F.lit("2001:db8"), *[group(i) for i in range(6)]))
-    email = F.concat(F.lit("u"), F.substr(digest, F.lit(1), F.lit(12) + 2 * attempt), F.lit("@"), F.substring(digest, 55, 6), F.lit(".example"))
+    syllable = lambda s, i: F.get(F.array(*[F.lit(x) for x in SYLLABLES[s]]), F.conv(F.substr(digest, 4 * (i % 15) + 1, F.lit(4)), 16, 10).cast("int") % len(SYLLABLES[s]))
+    # The parts of a local part between its marks become words and figures of their own; later draws are longer.
+    marks = F.split(F.regexp_extract(entity, "^([^@]*)", 1), r"(?<=[._%+-])|(?=[._%+-])|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])")
+    email = F.array_join(F.transform(marks, lambda part, i: F.when(part.rlike("^[a-z]"), F.when(F.length(part) == 1, F.concat(syllable("latin", i), F.substr(digest, F.lit(40), attempt))).otherwise(
+        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1) + attempt), lambda k: syllable("latin", 3 * i + k)), "")))
+        .when(part.rlike("^[0-9]"), F.substr(digits, 5 * (i % 12) + 1, F.length(part) + attempt)).otherwise(part)), "")
+    domain = F.concat(F.lit("d"), F.substr(digest, F.lit(1), F.lit(6) + 2 * attempt), F.lit(".example"))
 
     code = F.regexp_extract(entity, rf"^(\+(?:[17]|{TWO_DIGIT_CODES}|[0-9]{{3}}))", 1)
     kept = F.when(entity.startswith("+"), code).otherwise(F.left(entity, F.lit(1)))
@@ -158,7 +165,7 @@ def surrogate_of(kind: Column, entity: Column, key: str, attempt: Column) -> Col
         return F.initcap(F.concat(stem, F.when(entity.startswith("f:"), ends["f"][which]).when(entity.startswith("m:"), ends["m"][which]).otherwise(ends["u"][which])))
 
     names = lambda w: F.when(script == "cyrillic", name("cyrillic", w)).when(script == "greek", name("greek", w)).otherwise(name("latin", w))
-    drawn = {"email": email, "ip": ip, "ip6": ip6, "phone": phone, "card": card, "ssn": ssn, "iban": iban, "given": names(1)}
+    drawn = {"email": email, "domain": domain, "ip": ip, "ip6": ip6, "phone": phone, "card": card, "ssn": ssn, "iban": iban, "given": names(1)}
     return reduce(lambda c, k: F.when(kind == k, drawn[k]).otherwise(c), drawn, names(0))
 
 
@@ -224,7 +231,9 @@ def mentions_of(flagged: DataFrame, row: str, text: Column) -> DataFrame:
         p["g"] == "", F.array(piece(p["t"], p["s"], F.lit("name"), sex, F.lit(True)))
     ).otherwise(F.array(piece(p["t"], F.rtrim(p["g"]), F.lit("given"), sex, F.lit(True)), piece(F.lit(" "), p["s"], F.lit("name"), sex, F.lit(True))))))
     none = F.lit(None).cast("string")
-    parts = F.when(F.col("kind") == "name", of_name).when(F.col("kind") == "word", F.array(piece(F.lit(""), m, F.lit("word"), none, F.lit(False)))).otherwise(F.array(piece(F.lit(""), m, F.col("kind"), none, F.lit(False))))
+    no = F.lit(False)
+    of_email = F.array(piece(F.lit(""), m, F.lit("email"), none, no), piece(F.lit("@"), F.regexp_extract(m, "@(.*)$", 1), F.lit("domain"), none, no))
+    parts = F.when(F.col("kind") == "name", of_name).when(F.col("kind") == "email", of_email).when(F.col("kind") == "word", F.array(piece(F.lit(""), m, F.lit("word"), none, F.lit(False)))).otherwise(F.array(piece(F.lit(""), m, F.col("kind"), none, F.lit(False))))
     split = found.select(row, "at", F.posexplode(parts).alias("sub", "p")).select(row, "at", "sub", "p.*")
     people = split.where("kind in ('name', 'given', 'word')").withColumn("low", F.lower("piece"))
     group = Window.partitionBy(row, "low").orderBy("at", "sub")
@@ -247,7 +256,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col:
     whatever their names. Entities with over a thousandth of all mentions (a thousand at most) are
     broadcast, so none makes a hot key.
     """
-    keep = [c for c in docs.columns if c != counts_col]
+    keep = named(docs, None, (counts_col,))
     row, new, count = free(docs.columns, "row", "new", "count")
     text = docs[text_col].cast("string")
     some = F.coalesce(mentions_any(text), F.lit(False))
