@@ -19,8 +19,12 @@ RANGES = {
 }
 # Partners that a condition is expected to come with.
 EXPECTED_PARTNERS = {
-    "DIABETES": ["HYPERTENSION", "CARDIOVASCULAR", "RENAL"], "HYPERTENSION": ["CARDIOVASCULAR", "DIABETES", "RENAL"],
-    "CARDIOVASCULAR": ["HYPERTENSION", "DIABETES"], "RESPIRATORY": ["CARDIOVASCULAR"], "RENAL": ["DIABETES", "HYPERTENSION", "CARDIOVASCULAR"],
+    "DIABETES": ["HYPERTENSION", "CARDIOVASCULAR", "RENAL", "OBESITY"],
+    "HYPERTENSION": ["CARDIOVASCULAR", "DIABETES", "RENAL", "STROKE"],
+    "CARDIOVASCULAR": ["HYPERTENSION", "DIABETES", "HYPERLIPIDEMIA"],
+    "RESPIRATORY": ["CARDIOVASCULAR", "SMOKING_RELATED"],
+    "RENAL": ["DIABETES", "HYPERTENSION", "CARDIOVASCULAR"],
+    "CANCER": ["ANEMIA", "MALNUTRITION"],
 }
 # Published prevalence (rate, low, high), mortality and co-occurrence.
 PREVALENCE = {
@@ -275,9 +279,12 @@ def correlation_similarity(real: DataFrame, other: DataFrame, columns: list[str]
     return a.join(b, ["a", "b"]).agg(F.corr("r", "s").alias("similarity"))
 
 
-def closest_records(real: DataFrame, sample: DataFrame, columns: list[str], key: str, block: int = 1 << 15) -> DataFrame:
+def closest_records(real: DataFrame, sample: DataFrame, columns: list[str], key: str, block: int = 1 << 15, own: bool = False) -> DataFrame:
     """(key, distance): the z-scaled Euclidean distance of each row of `sample` to the nearest real one.
 
+    With `own` the sample's rows are real ones themselves, and each is held against all others: where another
+    row has the same values the distance is 0, else the nearest other point counts (null if there is none).
+
     Equal rows are folded into points on both sides. The sample's points are broadcast in blocks of `block`;
     the real points stream past each block, and a task returns one least distance for each point of the block.
     A null counts as the real rows' mean. With no real rows the result is empty.
@@ -285,7 +292,8 @@ def closest_records(real: DataFrame, sample: DataFrame, columns: list[str], key:
     facts = real.agg(*[f(F.col(c)).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
     scaled = [F.coalesce((F.col(c).cast("double") - (facts[f"m_{c}"] or 0.0)) / (facts[f"s_{c}"] or 1.0), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(columns)]
     names = [f"x{i}" for i in range(len(columns))]
-    points, asked = real.select(*scaled).distinct(), sample.select(F.col(key).alias("k"), *scaled)
+    counted = real.select(*scaled).groupBy(*names).agg(F.count("*").alias("n"))
+    points, asked = counted.select(*names), sample.select(F.col(key).alias("k"), *scaled)
     context, found, some = real.sparkSession.sparkContext, [], []
 
     def least(rows: list) -> DataFrame:
@@ -296,7 +304,8 @@ def closest_records(real: DataFrame, sample: DataFrame, columns: list[str], key:
             for b in batches:
                 x = b[names].to_numpy(np.float64)
                 for at in range(0, len(x), 256):
-                    d = ((here[:, None, :] - x[None, at : at + 256]) ** 2).sum(2).min(1)
+                    d = ((here[:, None, :] - x[None, at : at + 256]) ** 2).sum(2)
+                    d = (np.where(d == 0, np.inf, d) if own else d).min(1)
                     best = d if best is None else np.minimum(best, d)
             if best is not None:
                 yield pd.DataFrame({**{n: here[:, i] for i, n in enumerate(names)}, "d": best})
@@ -311,6 +320,8 @@ def closest_records(real: DataFrame, sample: DataFrame, columns: list[str], key:
     if not found:
         return asked.select(F.col("k").alias(key), F.lit(0.0).alias("distance")).limit(0)
     nearest = reduce(DataFrame.unionByName, found).groupBy(*names).agg(F.sqrt(F.min("d")).alias("distance"))
+    if own:
+        nearest = nearest.join(counted, names).withColumn("distance", F.when(F.col("n") > 1, 0.0).when(F.col("distance") < float("inf"), F.col("distance"))).drop("n")
     return asked.join(nearest, names).select(F.col("k").alias(key), "distance")
 
 

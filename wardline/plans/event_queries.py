@@ -11,6 +11,7 @@ from wardline.plans.registry import registry
 from wardline.sources.sinks import shared_folder
 from wardline.sources.views import Views
 from wardline.streaming import ingest as I
+from wardline.streaming import state
 
 QUERIES, SQL, query = registry()
 
@@ -83,14 +84,17 @@ _HASH = "md5(trim(regexp_replace(lower({t}), '\\s+', ' ', 'g')))"
 @query(f"""with d as (select doc_id, coalesce(text, '') as t from documents), v as (select doc_id, {_HASH.format(t='t')} as a, case when doc_id % 10 = 0 then {_HASH.format(t="t || ' changed'")} else {_HASH.format(t='t')} end as b from d)
 select count(*) as documents, count_if(a <> b) as changed, count_if(a <> b) as back from v""")
 def changed_documents(spark, sf_dir):
-    """A second delivery changes every tenth document, a third brings the first contents back: what either adds."""
+    """A second delivery changes every tenth document, a third brings the first contents back: what either adds to the stream's state."""
     from wardline.functions import text as X
 
     docs = Views(spark, sf_dir).documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     changed = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
-    first, second = (docs.select("doc_id", X.content_hash(t).alias("hash")) for t in (F.col("text"), changed))
-    added = I.new_or_changed(second, first).select("doc_id", "hash", F.lit(1).alias("batch"))
-    known = I.last_hashes(first.withColumn("batch", F.lit(0)).unionByName(added))
-    back = I.new_or_changed(first, known)
-    one = lambda rows, name: rows.agg(F.count("*").alias(name))
-    return one(docs, "documents").crossJoin(one(added, "changed")).crossJoin(one(back, "back"))  # one row each
+    place = f"{shared_folder(spark)}/deliveries-{uuid.uuid4().hex}"
+    with state.keyed_store(spark):
+        for n, text in enumerate([F.col("text"), changed, F.col("text")]):
+            docs.select("doc_id", X.content_hash(text).alias("hash"), F.timestamp_seconds(F.lit(86400 * n)).alias("at")).write.parquet(f"{place}/in/{n}")
+            stream = spark.readStream.schema("doc_id bigint, hash string, at timestamp").option("recursiveFileLookup", True).parquet(f"{place}/in")
+            state.track(stream).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    changes = spark.read.parquet(f"{place}/out")
+    when = lambda n: F.col("at") == F.timestamp_seconds(F.lit(86400 * n))
+    return changes.agg(F.count_if(when(0)).alias("documents"), F.count_if(when(1)).alias("changed"), F.count_if(when(2)).alias("back"))

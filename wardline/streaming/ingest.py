@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardline.functions import text as X
+from wardline.streaming import state
 
 
 def prepared(docs: DataFrame, least_quality: float = 0.3, least_words: int = 20) -> DataFrame:
@@ -15,42 +16,36 @@ def prepared(docs: DataFrame, least_quality: float = 0.3, least_words: int = 20)
     return out.where((F.col("quality") >= least_quality) & (F.size(F.split("content", " ")) >= least_words))
 
 
-def new_or_changed(docs: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Prepared documents whose hash isn't the one last known of them, one for each doc_id (the highest hash of several).
+def ingest(spark: SparkSession, folder: str, schema: str, target: str, checkpoint: str, at: str | None = None, ttl_seconds: int | None = None, late: str = "1 day"):
+    """Reads what is new in a folder of JSON documents and adds the changes to `target`; returns the ended query.
 
-    `known` has one row a document: (doc_id, hash) of its last version. A document that returns to an older
-    content has changed.
+    `at` names the column with a delivery's time; without it a file's modification time counts. The state
+    is the stream's own, one hash a document, so a micro-batch costs what it has, and the history is not
+    read. Each micro-batch overwrites its own partition: one that runs again after a failure changes nothing.
     """
-    best = docs.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), "hash").alias("r")).select("doc_id", "r.*")
-    return best if known is None else best.join(known.select("doc_id", "hash"), ["doc_id", "hash"], "left_anti")
+    docs = spark.readStream.schema(schema).json(folder)
+    stamped = docs.withColumn("at", F.col(at).cast("timestamp") if at else F.col("_metadata.file_modification_time"))
+    changes = state.track(prepared(stamped), late=late, ttl_seconds=ttl_seconds)
 
-
-def last_hashes(written: DataFrame) -> DataFrame:
-    """(doc_id, hash) of every document's last version; of the written table only ids, hashes and batch numbers are read."""
-    return written.groupBy("doc_id").agg(F.max_by("hash", "batch").alias("hash"))
-
-
-def ingest(spark: SparkSession, folder: str, schema: str, target: str, checkpoint: str):
-    """Reads what is new in a folder of JSON documents, and adds it to `target`; returns the ended query.
-
-    Each micro-batch overwrites its own partition, so a batch that is run again after a failure changes
-    nothing. The target itself is the state: what counts is the last version of a document before the batch.
-    """
     def step(batch: DataFrame, epoch: int) -> None:
-        p = spark._jvm.org.apache.hadoop.fs.Path(target)
-        there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-        known = last_hashes(spark.read.parquet(target).where(F.col("batch") < epoch)) if there else None
-        new_or_changed(prepared(batch), known).write.mode("overwrite").parquet(f"{target}/batch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{target}/batch={epoch}")
 
-    query = spark.readStream.schema(schema).json(folder).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with state.keyed_store(spark):
+        query = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
     return query
 
 
-def current(spark: SparkSession, target: str) -> DataFrame:
-    """The last written form of every document."""
+def current(spark: SparkSession, target: str, few: int = 1_000_000) -> DataFrame:
+    """The last form of every document that has not expired.
+
+    Only what was replaced is looked up, by document and version: up to `few` of them (some 30 bytes each)
+    are broadcast, and contents are not shuffled; beyond that it is a join of both.
+    """
     rows = spark.read.parquet(target)
-    return rows.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), "batch").alias("r")).select("doc_id", "r.*")
+    gone = rows.where("replaces is not null").select("doc_id", F.col("replaces").alias("version"))
+    gone = F.broadcast(gone) if gone.count() <= few else gone
+    return rows.where("change <> 'expired'").join(gone, ["doc_id", "version"], "left_anti")
 
 
 def windowed(events: DataFrame, length: str, slide: str | None = None, late: str | None = None) -> DataFrame:
