@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from wardline.operators import etl, sampling as S, validation as V
+from wardline.operators.quantiles import normal_two_sided
 from wardline.plans import nl
 from wardline.plans.etl_queries import patients
 from wardline.sources import readers
@@ -51,7 +52,7 @@ def test_fidelity_of_equal_and_disjoint_samples(spark):
     assert V.ks_statistic(a, a, ["x"]).first().ks == 0 and V.ks_statistic(a, b, ["x"]).first().ks == 1
     same, apart = V.category_distances(a, a, ["c"]).first(), V.category_distances(a, b, ["c"]).first()
     assert (same.tvd, round(same.overlap, 9)) == (0, 1) and (apart.tvd, apart.overlap) == (1, 0)
-    p = spark.range(1).select(V.ks_probability(F.lit(0.0), F.lit(100.0), F.lit(100.0)).alias("a"), V.ks_probability(F.lit(1.0), F.lit(100.0), F.lit(100.0)).alias("b"), V.normal_tail(F.lit(1.96)).alias("z")).first()
+    p = spark.range(1).select(V.ks_probability(F.lit(0.0), F.lit(100.0), F.lit(100.0)).alias("a"), V.ks_probability(F.lit(1.0), F.lit(100.0), F.lit(100.0)).alias("b"), normal_two_sided(F.lit(1.96)).alias("z")).first()
     assert p.a == 1 and p.b < 1e-6 and abs(p.z - 0.05) < 1e-4
 
 

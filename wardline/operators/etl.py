@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from wardline.functions import clinical as C
 from wardline.functions import fixed
+from wardline.operators.quantiles import exact_quantiles
 
 
 def demographics(patients: DataFrame, as_of: str, age_at_death: bool = True, adults: tuple[int, int] = (18, 100)) -> DataFrame:
@@ -190,10 +191,13 @@ def balanced(rows: DataFrame, size: int, seed: str = "balance") -> DataFrame:
 
 
 def numeric_summary(rows: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
-    """Long form (group, column, n, mean, std, min, median, max) of numeric columns, in one pass."""
+    """Long form (group, column, n, mean, std, min, median, max) of numeric columns; medians are exact, from ranked value counts."""
     stacked = rows.select(*([F.col(by).alias("group")] if by else [F.lit("all").alias("group")]), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x"))
-    return stacked.groupBy("group", F.col("x.column").alias("column")).agg(
-        F.count("x.v").alias("n"), F.avg("x.v").alias("mean"), F.stddev_samp("x.v").alias("std"), F.min("x.v").alias("min"), F.percentile("x.v", F.lit(0.5)).alias("median"), F.max("x.v").alias("max"))
+    out = stacked.groupBy("group", F.col("x.column").alias("column")).agg(
+        F.count("x.v").alias("n"), F.avg("x.v").alias("mean"), F.stddev_samp("x.v").alias("std"), F.min("x.v").alias("min"), F.max("x.v").alias("max"))
+    medians = exact_quantiles(rows, columns, [0.5], by).select(F.col("group").alias("g"), F.col("column").alias("c"), F.col("value").alias("median"))
+    out = out.join(medians, F.col("group").cast("string").eqNullSafe(F.col("g")) & (F.col("column") == F.col("c")), "left")
+    return out.select("group", "column", "n", "mean", "std", "min", "median", "max")
 
 
 def value_shares(rows: DataFrame, columns: list[str]) -> DataFrame:

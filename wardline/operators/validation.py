@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wardline.operators.quantiles import normal_two_sided, t_tail
+
 # Plausible ranges by field.
 RANGES = {
     "age": (0, 120), "heart_rate": (30, 220), "blood_pressure_systolic": (50, 300), "blood_pressure_diastolic": (30, 180), "temperature": (32.0, 43.0),
@@ -127,21 +129,13 @@ def completeness(rows: DataFrame) -> DataFrame:
     return out.withColumn("flagged", F.col("null_rate") > 0.5)
 
 
-def normal_tail(z: Column) -> Column:
-    """Two-sided normal probability beyond |z|, to 1.5e-7 (Abramowitz and Stegun 7.1.26)."""
-    x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return poly * F.exp(-x * x)
-
-
 def prevalence_test(rows: DataFrame) -> DataFrame:
     """(condition, observed, expected, z, p, within): one-proportion z test of each published prevalence."""
     long = rows.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("condition"), F.lit(r).alias("expected"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.array_contains("diagnoses", c).cast("double").alias("has")) for c, (r, lo, hi) in PREVALENCE.items()])).alias("x")).select("x.*")
     out = long.groupBy("condition", "expected", "lo", "hi").agg(F.avg("has").alias("observed"), F.count("*").alias("n"))
     z = (F.col("observed") - F.col("expected")) / F.sqrt(F.col("expected") * (1 - F.col("expected")) / F.col("n"))
-    return out.withColumn("z", z).withColumn("p", normal_tail(F.col("z"))).withColumn("within", F.col("observed").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    return out.withColumn("z", z).withColumn("p", normal_two_sided(F.col("z"))).withColumn("within", F.col("observed").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
 def co_occurrence_test(rows: DataFrame) -> DataFrame:
@@ -408,12 +402,12 @@ CATEGORY = {"DIABETES_TYPE2": "DIABETES", "STROKE": "NEUROLOGICAL", "COPD": "RES
 def age_test(rows: DataFrame) -> DataFrame:
     """(condition, n, mean, t, p, aligned): mean ages against the published ones; aligned within 10 years.
 
-    p is the normal tail, which Student's approaches for the sizes that are tested.
+    p is Student's, two-sided, with n - 1 degrees of freedom.
     """
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(float(m)).alias("published"), F.when(F.array_contains("diagnoses", CATEGORY.get(c, c)), F.col("age").cast("double")).alias("age")) for c, (m, _) in AGES.items()])).alias("x")).select("x.*")
     out = long.groupBy("condition", "published").agg(F.count("age").alias("n"), F.avg("age").alias("mean"), F.stddev_samp("age").alias("std"))
     t = F.try_divide(F.col("mean") - F.col("published"), F.col("std") / F.sqrt("n"))
-    return out.withColumn("t", t).withColumn("p", normal_tail(F.col("t"))).withColumn("aligned", F.abs(F.col("mean") - F.col("published")) <= 10)
+    return out.withColumn("t", t).withColumn("p", t_tail(F.col("t"), F.col("n") - 1)).withColumn("aligned", F.abs(F.col("mean") - F.col("published")) <= 10)
 
 
 def mean_bands(rows: DataFrame, columns: list[str], z: float = 1.96) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions import fixed
 from wardline.operators import retrieval as R
 from wardline.operators import validation as V
+from wardline.operators.quantiles import exact_quantiles
 from wardline.plans import nl
 from wardline.plans.base_sql import BASE
 from wardline.plans.etl_queries import patients
@@ -170,8 +171,10 @@ def dataset_confidence(spark, sf_dir):
 @query(BASE + """select gender, age_group, count(*) as n, round(avg(age), 6) as mean_age, round(quantile_cont(age, 0.5), 6) as median_age, round(avg(mortality), 6) as mortality_rate, round(avg(has_icu_stay), 6) as icu_rate, round(avg(emergency_admission), 6) as emergency_rate from pt group by 1, 2""")
 def outcome_summary(spark, sf_dir):
     rate = lambda c, n: F.round(F.avg(c), 6).alias(n)
-    return patients(spark, sf_dir).groupBy("gender", "age_group").agg(
-        F.count("*").alias("n"), rate("age", "mean_age"), F.round(F.percentile("age", F.lit(0.5)), 6).alias("median_age"), rate("mortality", "mortality_rate"), rate("has_icu_stay", "icu_rate"), rate("emergency_admission", "emergency_rate"))
+    rows = patients(spark, sf_dir).withColumn("pair", F.concat_ws("|", "gender", "age_group"))
+    medians = exact_quantiles(rows, ["age"], [0.5], by="pair").select(F.col("group").alias("pair"), F.round("value", 6).alias("median_age"))
+    out = rows.groupBy("pair", "gender", "age_group").agg(F.count("*").alias("n"), rate("age", "mean_age"), rate("mortality", "mortality_rate"), rate("has_icu_stay", "icu_rate"), rate("emergency_admission", "emergency_rate"))
+    return out.join(medians, "pair").drop("pair")
 
 
 @query(BASE + """select has_icu_stay, count(*) as n, round(avg(hospital_los_days), 6) as mean_los, round(avg(comorbidity_score), 6) as mean_score, round(avg(mortality), 6) as mortality from pt group by 1""")

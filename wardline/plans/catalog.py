@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.plans import alignment_queries, etl_queries, event_queries, retrieval_queries, storage_queries, text_queries, validation_queries
+from wardline.plans import alignment_queries, etl_queries, event_queries, retrieval_queries, storage_queries, synthesis_queries, text_queries, validation_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (etl_queries, text_queries, retrieval_queries, validation_queries, event_queries, alignment_queries, storage_queries)
+MODULES = (etl_queries, text_queries, retrieval_queries, validation_queries, event_queries, alignment_queries, storage_queries, synthesis_queries)
 
 
 def queries() -> dict[str, Query]:
