@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wardline.functions import text as X
 from wardline.operators import retrieval as R
+from wardline.operators.inverted import Index
+from wardline.operators.vectors import VectorIndex
 from wardline.plans.registry import registry
+from wardline.sources.sinks import shared_folder
 from wardline.sources.views import Views
 
 QUERIES, SQL, query = registry()
@@ -37,6 +42,17 @@ def bm25(spark, sf_dir):
     return R.top_k(_bm25(spark, sf_dir), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(f"{_BM} select query_id, doc_id, round(score, 6) as score, {_TOP} as rank from bm qualify rank <= 10")
+def bm25_stored(spark, sf_dir):
+    """The same searches from a stored index: built with other words in every tenth document, which are then replaced by its own."""
+    docs = Views(spark, sf_dir).documents.select("doc_id", "text")
+    index = Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", parts=16)
+    index.upsert(docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.lit("the thing that zzz was absent")).otherwise(F.col("text"))))
+    index.upsert(docs.where("doc_id % 10 = 0"))
+    found = index.search(ASKED, k=12).withColumn("score", F.round("score", 9))
+    return R.top_k(found.drop("rank"), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 def _vectors(spark, sf_dir):
     return Views(spark, sf_dir).embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
 
@@ -73,6 +89,31 @@ def inner_product_threshold(spark, sf_dir):
     return R.top_k(scores, 10).select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
+def _index(spark, sf_dir) -> VectorIndex:
+    index = VectorIndex(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    index.build(_vectors(spark, sf_dir))
+    return index
+
+
+def _twentieths(spark, sf_dir):
+    return _vectors(spark, sf_dir).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "v")
+
+
+@query("""with e as (select vec_id as id, embedding::double[] as v from embeddings)
+select q.id as query_id, e.id, round(list_cosine_similarity(q.v, e.v), 5) as score, row_number() over (partition by q.id order by round(list_cosine_similarity(q.v, e.v), 9) desc, e.id) as rank
+from e q join e on q.id % 20 = 0 and q.id <> e.id qualify rank <= 10""")
+def vector_index_exact(spark, sf_dir):
+    """Every 20th vector against all others, through the stored index in all its cells."""
+    found = _index(spark, sf_dir).search(_twentieths(spark, sf_dir), 10, exact=True, own=False)
+    return found.select("query_id", "id", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query()
+def vector_index_topk(spark, sf_dir):
+    """Every 20th vector against all others in the cells that are probed; recall is held against the exact way in the tests."""
+    return _index(spark, sf_dir).search(_twentieths(spark, sf_dir), 10, own=False)
+
+
 _VQ = f"""{_BM}, kw as (select query_id, doc_id, round(score, 9) as score, {_TOP} as rank from bm qualify rank <= 20),
 e as (select vec_id as doc_id, embedding::double[] as v from embeddings), sem as (select case q.doc_id when 3 then 1 when 17 then 2 else 3 end as query_id, e.doc_id, round(list_cosine_similarity(q.v, e.v), 9) as score,
   row_number() over (partition by q.doc_id order by round(list_cosine_similarity(q.v, e.v), 9) desc, e.doc_id) as rank from e join e q on q.doc_id in (3, 17, 42) qualify rank <= 20)"""
