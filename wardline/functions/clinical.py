@@ -48,12 +48,8 @@ def icd9_category(code: Column) -> Column:
     """Category by three characters, then by two, else OTHER."""
     clean = F.upper(F.trim(code))
     three, two = F.substring(clean, 1, 3), F.substring(clean, 1, 2)
-    out = F.lit("OTHER")
-    for name, prefixes in fixed.ICD9_PREFIXES.items():
-        out = F.when(two.isin(prefixes), name).otherwise(out)
-    for low, high, name in fixed.ICD9_RANGES:
-        out = F.when(three.between(low, high) & (F.length(three) == 3), name).otherwise(out)
-    return out
+    table = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    return F.coalesce(F.try_element_at(table(fixed.ICD9_CATEGORY), three), F.try_element_at(table(fixed.ICD9_PREFIX), two), F.lit("OTHER"))
 
 
 def let(value: Column, body) -> Column:

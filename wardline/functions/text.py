@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wardline.functions.clinical import let
 
@@ -132,23 +130,6 @@ def stride_chunks(text: Column, size: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.substr(text, i * step + 1, F.lit(size)))
 
 
-def packed(parts: Column, size: int, joint: str) -> Column:
-    """array<string>: neighbouring parts joined as long as they have at most `size` characters together (a longer part stays alone)."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
-
-    def step(acc: Column, p: Column) -> Column:
-        full = (acc["n"] + F.length(p) > size) & (F.size(acc["open"]) > 0)
-        return F.struct(
-            F.when(full, F.array_append(acc["done"], F.array_join(acc["open"], joint))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.array(p)).otherwise(F.array_append(acc["open"], p)).alias("open"), F.when(full, F.length(p)).otherwise(acc["n"] + F.length(p)).alias("n"))
-
-    return F.aggregate(parts, start, step, lambda a: F.when(F.size(a["open"]) > 0, F.array_append(a["done"], F.array_join(a["open"], joint))).otherwise(a["done"]))
-
-
-def paragraph_chunks(text: Column, size: int) -> Column:
-    return packed(F.filter(F.transform(F.split(text, "\n\n"), lambda p: F.trim(p)), lambda p: p != ""), size, "\n\n")
-
-
 def sentences(text: Column) -> Column:
     return F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda s: s != "")
 
@@ -173,17 +154,11 @@ def snapped(text: str, size: int, overlap: int) -> list[str]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def sentence_bound_chunks(text: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
-    """Chunks of up to `size` characters snapped to sentence ends; each start depends on the end before, so not a column expression."""
-    return pd.Series([snapped(t or "", s, o) for t, s, o in zip(text, size, overlap, strict=True)])
-
-
 def highlights(text: Column, terms: Column, around: int = 10, most: int = 3) -> Column:
-    """Up to `most` snippets of `around` words on either side of the first words that are terms."""
+    """Up to `most` snippets of `around` words on either side of the first places of different words that are terms."""
     words = F.split(text, r"\s+")
     bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"(?U)\W", ""))
-    hits = F.filter(F.transform(bare, lambda w, i: F.when(F.array_contains(terms, w), i)), lambda i: i.isNotNull())
+    hits = F.filter(F.transform(bare, lambda w, i: F.when(F.array_contains(terms, w) & (F.array_position(bare, w) == i + 1), i)), lambda i: i.isNotNull())
     return F.transform(F.slice(hits, 1, most), lambda i: F.array_join(F.slice(words, F.greatest(i - around, F.lit(0)) + 1, F.least(i, F.lit(around)) + around + 1), " "))
 
 

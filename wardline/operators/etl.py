@@ -6,6 +6,8 @@ reduced before it is joined, so the joins stay one row to one row.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,14 +103,16 @@ def standardised(rows: DataFrame) -> DataFrame:
 def combined(*tables: DataFrame) -> DataFrame:
     """Union of standardised tables with new ids PT000000, PT000001 and so on by source and old id.
 
-    Numbers come from a count of each range of (source, id) plus the place within it, so no single
-    task sees all rows.
+    Numbers come from a count of each range of (source, id) plus the place within it. A range has the ids that
+    share all but the last digits, as many as make some √n ranges of √n rows, so no single task sees all rows.
     """
     rows = standardised(tables[0])
     for t in tables[1:]:
         rows = rows.unionByName(standardised(t))
-    rows = rows.withColumn("__bucket", F.substring(F.lpad("patient_id", 20, "0"), 1, 18))
-    within = F.row_number().over(Window.partitionBy("source", "__bucket").orderBy(F.lpad("patient_id", 20, "0")))
+    digits = max(1, math.ceil(math.log10(max(rows.count(), 1)) / 2))
+    wide = F.when(F.length("patient_id") < 20, F.lpad("patient_id", 20, "0")).otherwise(F.col("patient_id"))
+    rows = rows.withColumn("__bucket", F.substr(wide, F.lit(1), F.greatest(F.length(wide) - digits, F.lit(1))))
+    within = F.row_number().over(Window.partitionBy("source", "__bucket").orderBy(wide))
     sizes = rows.groupBy("source", "__bucket").agg(F.count("*").alias("__n"))
     per_source = sizes.groupBy("source").agg(F.sum("__n").alias("__all"))
     base = per_source.withColumn("__base", F.coalesce(F.sum("__all").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import fixed
+from wardline.operators import dictionary as D
 from wardline.operators import retrieval as R
 from wardline.operators import validation as V
 from wardline.operators.quantiles import exact_quantiles
@@ -68,11 +69,72 @@ def expand_terms(spark, sf_dir):
     return p.select("request_id", F.array_join(F.slice(F.flatten(F.transform("p.diagnoses", terms)), 1, 10), "|").alias("terms"), F.round(nl.parse_confidence(F.col("p")), 6).alias("confidence"))
 
 
-@query("""select d.x as condition, m.t as suggestion from (values ('DIABETES'), ('RENAL')) d(x), (values (1, 'elderly patients with '), (2, 'ICU patients with '), (3, 'high risk patients with ')) p(i, s), lateral (select s || lower(d.x) as t) m""")
+# The SQL's own literals.
+_CODES = {
+    "DIABETES": "E10 E11 E13 E08 E09", "CARDIOVASCULAR": "I20 I21 I22 I25 I50 I48 I49", "HYPERTENSION": "I10 I11 I12 I13 I15", "RENAL": "N17 N18 N19 N00 N05", "RESPIRATORY": "J44 J45 J18 J96 J80", "SEPSIS": "A41 R65.2 A40",
+    "NEUROLOGICAL": "I60 I61 I63 I64 G40 G20 G30", "TRAUMA": "S00-S99 T07 T14", "CANCER": "C00-C96 D00-D09", "LIVER": "K70 K74 K72 B18", "PSYCHIATRIC": "F20 F30 F32 F41 F10-F19",
+}
+_CODE_VALUES = ", ".join(f"('{n}', '{c}')" for n, cs in _CODES.items() for c in cs.split())
+_TERMS = {
+    "emergency": "EMERGENCY", "elective surgery": "SURGERY", "surgery": "SURGERY", "icu": "ICU", "diabetes": "DIABETES", "sepsis": "SEPSIS", "renal": "RENAL", "renal failure": "RENAL", "stroke": "NEUROLOGICAL",
+    "short stay": "STAY", "prolonged": "STAY", "patients": "PEOPLE", "patients admitted": "PEOPLE",
+}
+_ALTERNATION = "|".join(sorted(_TERMS, key=lambda t: (-len(t), t)))
+_MEANT = ", ".join(f"('{t}', '{m}')" for t, m in _TERMS.items())
+# Matches and the gaps between them, in turn, give the offsets.
+_SPANS = _REQUESTS.format(customer="customer") + f""", cut as (select request_id, lower(q) as t, regexp_extract_all(lower(q), '\\b(?:{_ALTERNATION})\\b') as hits, regexp_split_to_array(lower(q), '\\b(?:{_ALTERNATION})\\b') as gaps from requests),
+spans as (select request_id, hits[i] as term, cast(coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) as bigint) as start
+  from (select *, unnest(range(1, len(hits) + 1)) as i from cut)), meant as (select request_id, start, start + length(spans.term) as stop, spans.term, condition from spans join (values {_MEANT}) v(term, condition) on v.term = spans.term)"""
+
+
+def _said(spark, sf_dir):
+    terms = spark.createDataFrame(list(_TERMS.items()), "term string, condition string")
+    return D.meanings(D.occurrences(_requests(spark, sf_dir), terms, "request_id", "q"), terms)
+
+
+@query("with " + _SPANS + " select * from meant")
+def term_spans(spark, sf_dir):
+    """What requests say, by a dictionary of overlapping terms, with offsets."""
+    return _said(spark, sf_dir).select("request_id", "start", "stop", "term", "condition")
+
+
+@query("with " + _SPANS + f", codes as (select * from (values {_CODE_VALUES}) v(condition, code)) select distinct request_id, condition, code from meant join codes using (condition)")
+def icd10_codes(spark, sf_dir):
+    """The ICD-10 codes of the conditions that each request names."""
+    found = _said(spark, sf_dir).select("request_id", "condition").distinct()
+    return found.withColumn("code", F.explode(nl.icd10(F.col("condition"))))
+
+
+_PREFIXED = "('elderly patients with '), ('ICU patients with '), ('high risk patients with ')"
+
+
+@query("with " + _SPANS + f", c as (select distinct request_id, condition from meant where condition in ({', '.join(repr(n) for n in _CODES)})) select request_id, condition, s || lower(condition) as suggestion from c, (values {_PREFIXED}) v(s)")
 def suggest_queries(spark, sf_dir):
-    c = F.array(F.lit("DIABETES"), F.lit("RENAL"))
+    """Related requests for the conditions that each request names."""
+    found = _said(spark, sf_dir).where(F.col("condition").isin(*fixed.ICD10)).select("request_id", "condition").distinct()
     s = F.array(*[F.lit(x) for x in ("elderly patients with ", "ICU patients with ", "high risk patients with ")])
-    return Views(spark, sf_dir).region.agg(F.count("*")).select(F.explode(c).alias("condition")).select("condition", F.explode(s).alias("s")).select("condition", F.concat("s", F.lower("condition")).alias("suggestion"))
+    return found.select("request_id", "condition", F.explode(s).alias("s")).select("request_id", "condition", F.concat("s", F.lower("condition")).alias("suggestion"))
+
+
+_TOPIC_WORDS = {
+    "diabetes": "E11 E11.9", "hypertension": "I10 I11", "cardiovascular": "I25 I50", "heart": "I25 I51", "respiratory": "J44 J45", "copd": "J44", "asthma": "J45", "renal": "N18 N19", "kidney": "N18 N19", "sepsis": "A41",
+    "cancer": "C80", "stroke": "I63 I64", "neurological": "G00 G89",
+}
+_TOPIC_VALUES = ", ".join(f"('{w}', '{c}')" for w, cs in _TOPIC_WORDS.items() for c in cs.split())
+_TOPIC_TABLE = "topics as (select case p_partkey % 9 when 0 then 'E11' when 1 then 'E11.9' when 2 then 'N18' when 3 then 'N19' when 4 then 'A41' when 5 then 'I63' when 6 then 'I64' when 7 then 'C80' else 'J44' end as code, min(p_name) as title from {part} group by 1)"
+
+
+@query("with " + _REQUESTS.format(customer="customer") + ", " + _TOPIC_TABLE.format(part="part") + f""", w as (select distinct request_id, code from requests, (values {_TOPIC_VALUES}) v(word, code) where contains(lower(q), word)),
+a as (select * from w union all select request_id, 'E11' from requests where request_id not in (select request_id from w))
+select request_id, a.code, title from a join topics on topics.code = a.code""")
+def topic_lookup(spark, sf_dir):
+    """Titles of the topics that a request's words lead to by ICD-10 codes; diabetes where they lead to none."""
+    words = spark.createDataFrame([(w, c) for w, cs in fixed.TOPIC_CODES.items() for c in cs], "term string, code string")
+    asked = _requests(spark, sf_dir)
+    found = D.meanings(D.occurrences(asked, words, "request_id", "q", words=False), words).select("request_id", "code").distinct()
+    codes = asked.select("request_id").join(found, "request_id", "left").withColumn("code", F.coalesce("code", F.lit("E11")))
+    topics = spark.sql("with " + _TOPIC_TABLE + " select * from topics", part=Views(spark, sf_dir).part)
+    return codes.join(topics, "code").select("request_id", "code", "title")
 
 
 _ARTICLES = """articles as (select p_partkey as article_id, case p_size % 4 when 0 then 'Diabetes Mellitus, Type 2' when 1 then 'Heart Failure' when 2 then 'Hyperglycemia' else 'Infection' end as heading,

@@ -8,9 +8,19 @@ def _list(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
+# The SQL's own literals: ranges of three characters, then prefixes of two.
+_RANGES = [
+    ("250", "250", "DIABETES"), ("410", "414", "CARDIOVASCULAR"), ("428", "428", "CARDIOVASCULAR"), ("401", "405", "HYPERTENSION"), ("580", "586", "RENAL"), ("490", "494", "RESPIRATORY"),
+    ("496", "496", "RESPIRATORY"), ("486", "486", "RESPIRATORY"), ("038", "038", "SEPSIS"), ("995", "995", "SEPSIS"), ("430", "437", "NEUROLOGICAL"), ("345", "345", "NEUROLOGICAL"),
+    ("800", "819", "TRAUMA"), ("140", "165", "CANCER"), ("170", "176", "CANCER"), ("179", "199", "CANCER"),
+]
+_PREFIXES = [(["25"], "DIABETES"), (["40"], "HYPERTENSION"), (["41", "42", "43"], "CARDIOVASCULAR"), (["49"], "RESPIRATORY"), (["58"], "RENAL"), (["03", "99"], "SEPSIS"),
+             (["14", "15", "16", "17", "18", "19"], "CANCER"), (["80", "81", "82", "83", "84", "85", "86", "87"], "TRAUMA")]
+
+
 def _icd9(code: str) -> str:
-    three = " ".join(f"when length({code}) >= 3 and substr({code}, 1, 3) between '{a}' and '{b}' then '{n}'" for a, b, n in fixed.ICD9_RANGES)
-    two = " ".join(f"when substr({code}, 1, 2) in ({_list(p)}) then '{n}'" for n, p in fixed.ICD9_PREFIXES.items())
+    three = " ".join(f"when length({code}) >= 3 and substr({code}, 1, 3) between '{a}' and '{b}' then '{n}'" for a, b, n in _RANGES)
+    two = " ".join(f"when substr({code}, 1, 2) in ({_list(p)}) then '{n}'" for p, n in _PREFIXES)
     return f"case {three} {two} else 'OTHER' end"
 
 

@@ -248,12 +248,6 @@ def nl_parse(spark, sf_dir):
         F.col("p.icu").cast("string").alias("icu"), F.col("p.mortality").cast("string").alias("mortality"), "p.risk", "p.complexity", F.col("p.size").cast("string").alias("size"))
 
 
-@query(f"select * from (values {', '.join(f'''('{n}', '{c}')''' for n, cs in fixed.ICD10.items() for c in sorted(cs))}) v(condition, code)")
-def icd10_codes(spark, sf_dir):
-    names = Views(spark, sf_dir).customer.agg(F.count("*")).select(F.explode(F.array(*[F.lit(n) for n in fixed.ICD10])).alias("condition"))
-    return names.select("condition", F.explode(nl.icd10(F.col("condition"))).alias("code"))
-
-
 @query(BASE + """select gender, insurance, round(avg(age), 6) as mean_age, count(*) as n, grouping(gender) as g1, grouping(insurance) as g2 from pt group by cube (gender, insurance)""")
 def cube_demographics(spark, sf_dir):
     return patients(spark, sf_dir).cube("gender", "insurance").agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wardline.functions import splitters as P
 from wardline.functions import text as X
 from wardline.plans.registry import registry
 from wardline.sources.views import Views
@@ -103,19 +104,37 @@ def chunk_fixed_stride(spark, sf_dir):
         "doc_id", F.size("c").cast("bigint").alias("chunks"), F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("chars"), F.md5(F.array_join("c", "|")).alias("digest"))
 
 
-@query()
+@query("""with recursive p as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as parts from documents where text <> ''),
+w as (select doc_id, cast(1 as bigint) as i, 0 as c, length(parts[1]) as n from p where len(parts) > 0
+  union all select w.doc_id, i + 1, case when n + length(parts[i + 1]) > 1000 then c + 1 else c end, case when n + length(parts[i + 1]) > 1000 then length(parts[i + 1]) else n + length(parts[i + 1]) end from w join p using (doc_id) where i < len(parts))
+select doc_id, c as index, string_agg(parts[i], chr(10) || chr(10) order by i) as content from w join p using (doc_id) group by doc_id, c""")
 def chunk_paragraph(spark, sf_dir):
-    return Views(spark, sf_dir).documents.select("doc_id", F.posexplode(X.paragraph_chunks(F.regexp_replace("text", "\n", "\n\n"), 1000)).alias("index", "content"))
+    docs = Views(spark, sf_dir).documents.select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return P.chunked(docs, "paragraph").select("doc_id", "index", "content")
+
+
+def _chunks(spark, sf_dir, strategy):
+    return P.chunked(Views(spark, sf_dir).documents, strategy).select("doc_id", "index", "content")
 
 
 @query()
 def chunk_sentence(spark, sf_dir):
-    return Views(spark, sf_dir).documents.select("doc_id", F.posexplode(X.packed(X.sentences(F.col("text")), 1000, " ")).alias("index", "content"))
+    return _chunks(spark, sf_dir, "sentence")
 
 
 @query()
 def chunk_snapped(spark, sf_dir):
-    return Views(spark, sf_dir).documents.select("doc_id", F.posexplode(X.sentence_bound_chunks(F.col("text"), F.lit(1000), F.lit(200))).alias("index", "content"))
+    return _chunks(spark, sf_dir, "fixed")
+
+
+@query()
+def chunk_section(spark, sf_dir):
+    return _chunks(spark, sf_dir, "semantic")
+
+
+@query()
+def chunk_recursive(spark, sf_dir):
+    return _chunks(spark, sf_dir, "recursive")
 
 
 @query("""select host, count(*) as n, cast(round(avg(length(html)), 6) as double) as mean_length from (select regexp_extract(url, '//([^/?#:]+)', 1) as host, html from pages) group by 1""")
