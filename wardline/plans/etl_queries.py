@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from wardline.functions import clinical as C
 from wardline.functions import fixed
-from wardline.operators import etl
+from wardline.operators import balance, etl
 from wardline.plans import nl
 from wardline.plans.base_sql import BASE, ICD9, SPECIFIC
 from wardline.plans.registry import registry
@@ -161,6 +161,20 @@ def balanced_sample(spark, sf_dir):
     return etl.balanced(patients(spark, sf_dir), 1000).select("patient_id", "combination", "replica")
 
 
+@query(BASE + f""", m as (select combination, target * 500 as t, floor(target * 500 + 1e-9) as whole from {_MIX}),
+q as (select combination, cast(whole as bigint) + case when row_number() over (order by round(t - whole, 9) desc, combination) <= (select cast(round(sum(t)) - sum(whole) as bigint) from m) then 1 else 0 end as quota from m),
+c as (select array_to_string(list_sort(diagnoses), '+') as combination, count(*) as have from pt group by 1)
+select combination, quota, least(quota, coalesce(have, 0)) as exact, (select least(500, count(*)) from pt) as distinct_rows, 500::bigint as n from q left join c using (combination)""")
+def balance_report(spark, sf_dir):
+    """A sample of 500 patients in the target mix: what each combination is due and gets by exact matches, and that the size is met by different rows."""
+    rows = patients(spark, sf_dir).select("patient_id", "diagnoses")
+    taken = balance.balance(rows, 500)
+    own = taken.where((F.col("target") == etl.combination(F.col("diagnoses"))) & (F.col("replica") == 0)).groupBy(F.col("target").alias("combination")).agg(F.countDistinct("patient_id").alias("exact"))
+    due = spark.createDataFrame(list(balance.quotas(500).items()), "combination string, quota long")
+    whole = taken.agg(F.countDistinct("patient_id").alias("distinct_rows"), F.count("*").alias("n"))
+    return due.join(own, "combination", "left").na.fill(0, ["exact"]).crossJoin(F.broadcast(whole)).select("combination", "quota", "exact", "distinct_rows", "n")  # one row
+
+
 @query(BASE + """select column_name as "column", value, count(*) as n, round(count(*) / sum(count(*)) over (partition by column_name), 6) as share from (
   unpivot (select gender, age_group, insurance, risk_level from pt) on gender, age_group, insurance, risk_level into name column_name value value) group by 1, 2""")
 def processing_report(spark, sf_dir):
