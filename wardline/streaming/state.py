@@ -10,8 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -34,15 +33,11 @@ def keyed_store(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _micros(stamp) -> int:
-    return pd.Timestamp(stamp).value // 1000
-
-
 class Tracker(StatefulProcessor):
-    """Of one document: the hash and number of its last version. Emits at most one change a micro-batch."""
+    """Of one document: the hash and number of its last version, and when it was seen. Emits at most one change a micro-batch."""
 
-    def __init__(self, columns: list[str], key: str, digest: str, at: str, ttl_ms: int | None):
-        self.columns, self.key, self.digest, self.at, self.ttl_ms = columns, key, digest, at, ttl_ms
+    def __init__(self, columns: list[str], key: str, digest: str, ttl_ms: int | None):
+        self.columns, self.key, self.digest, self.ttl_ms = columns, key, digest, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -54,17 +49,14 @@ class Tracker(StatefulProcessor):
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(seen // 1000 + self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best, order = None, None
-        for batch in rows:
-            for row in batch.to_dict("records"):
-                stamp = (_micros(row[self.at]), row[self.digest] or "")
-                if order is None or stamp > order:
-                    best, order = row, stamp
+    def _row(self, values: dict, change: str, version: int, replaces: int | None) -> Row:
+        return Row(**{c: values.get(c) for c in self.columns}, change=change, version=version, replaces=replaces)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        at, digest, best = max(((r["__micros"], r[self.digest] or "", r) for r in rows if r["__micros"] is not None), key=lambda r: r[:2], default=(None, None, None))
         if best is None:
             return
-        old = self.last.get() if self.last.exists() else None
-        at, digest = order
+        old = self.last.get()
         if old is not None and at < old[2]:
             return  # an older delivery that comes late
         if old is not None and digest == old[0]:
@@ -74,17 +66,14 @@ class Tracker(StatefulProcessor):
         version = at if old is None else max(at, old[1] + 1)
         self.last.update((digest, version, at))
         self._timed(at)
-        yield pd.DataFrame([[*[best[c] for c in self.columns], "new" if old is None else "changed", version, None if old is None else old[1]]], columns=[*self.columns, "change", "version", "replaces"]).astype({"replaces": "Int64"})
+        yield self._row(best.asDict(), "new" if old is None else "changed", version, None if old is None else old[1])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.last.exists():
-            return
-        digest, version, seen = self.last.get()
-        if seen // 1000 + self.ttl_ms > expiredTimerInfo.getExpiryTimeInMs():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        old = self.last.get()
+        if old is None or old[2] // 1000 + self.ttl_ms > expiredTimerInfo.getExpiryTimeInMs():
             return
         self.last.clear()
-        row = dict.fromkeys(self.columns) | {self.key: key[0], self.digest: digest}
-        yield pd.DataFrame([[*[row[c] for c in self.columns], "expired", version + 1, version]], columns=[*self.columns, "change", "version", "replaces"]).astype({"replaces": "Int64"})
+        yield self._row({self.key: key[0], self.digest: old[0]}, "expired", old[1] + 1, old[1])
 
     def close(self) -> None:
         pass
@@ -95,16 +84,17 @@ def track(stream: DataFrame, key: str = "doc_id", digest: str = "hash", at: str
 
     Of the deliveries of a document in a micro-batch the last by `at` counts (of equal ones that with the
     highest hash). It is `new`, or `changed` if its hash isn't the last one's, so a return to an older
-    content is a change; a delivery older than the last is ignored. A version's number is its time in
-    microseconds, and grows. With `ttl_seconds` a document that was not delivered for as long, by the
-    watermark, is `expired` (other columns are null) and forgotten. Null keys are one document. To be
-    started within `keyed_store`.
+    content is a change; a delivery older than the last, or without a time, is ignored. A version's number is
+    its time in microseconds, and grows. With `ttl_seconds` a document that was not delivered for as long, by
+    the watermark, is `expired` (other columns are null) and forgotten. Null keys are one document. Columns
+    named like the three give way. To be started within `keyed_store`.
     """
-    columns = stream.columns
+    columns = [c for c in stream.columns if c.lower() not in ("change", "version", "replaces", "__micros")]
+    stream = stream.select(*columns)
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in stream.schema.fields], T.StructField("change", T.StringType()), T.StructField("version", T.LongType()), T.StructField("replaces", T.LongType())])
     timed = stream.withWatermark(at, late) if ttl_seconds is not None else stream
-    processor = Tracker(columns, key, digest, at, None if ttl_seconds is None else 1000 * ttl_seconds)
-    return timed.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "None" if ttl_seconds is None else "EventTime")
+    processor = Tracker(columns, key, digest, None if ttl_seconds is None else 1000 * ttl_seconds)
+    return timed.withColumn("__micros", F.unix_micros(F.col(at).cast("timestamp"))).groupBy(key).transformWithState(processor, schema, "Append", "None" if ttl_seconds is None else "EventTime")
 
 
 class Calendar(StatefulProcessor):
@@ -117,28 +107,24 @@ class Calendar(StatefulProcessor):
         self.handle = handle
         self.every = handle.getValueState("every", "ms bigint, told bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        orders = sorted((_micros(r["at"]) // 1000, r["every_seconds"]) for b in rows for r in b.to_dict("records") if not pd.isna(r["every_seconds"]))
-        if orders:
-            at, seconds = orders[-1]
-            if self.every.exists() and at < self.every.get()[1]:
-                return
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            if seconds > 0:
-                self.every.update((1000 * int(seconds), at))
-                self.handle.registerTimer(at + 1000 * int(seconds))
-            else:
-                self.every.update((0, at))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        told, seconds = max(((r["__micros"] // 1000, r["every_seconds"]) for r in rows if r["every_seconds"] is not None and r["__micros"] is not None), default=(None, None))
+        if told is not None:
+            old = self.every.get()
+            if old is None or told >= old[1]:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+                self.every.update((max(0, 1000 * seconds), told))
+                if seconds > 0:
+                    self.handle.registerTimer(told + 1000 * seconds)
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms, due = self.every.get()[0], expiredTimerInfo.getExpiryTimeInMs()
-        if ms <= 0:
-            return
-        calls = list(range(due, max(due, timerValues.getCurrentWatermarkInMs()) + 1, ms))
-        self.handle.registerTimer(calls[-1] + ms)
-        yield pd.DataFrame({self.source: key[0], "due": pd.to_datetime(calls, unit="ms")})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        every, due = self.every.get()[0], expiredTimerInfo.getExpiryTimeInMs()
+        if every > 0:
+            calls = range(due, max(due, timerValues.getCurrentWatermarkInMs()) + 1, every)
+            self.handle.registerTimer(calls[-1] + every)
+            yield from (Row(**{self.source: key[0], "ms": at}) for at in calls)
 
     def close(self) -> None:
         pass
@@ -151,5 +137,7 @@ def due_updates(orders: DataFrame, source: str = "source", late: str = "0 second
     it; older orders that come late, and orders without an interval, are ignored. Rows of any other key
     (a null interval, say a clock's) move the watermark on, and with it the time up to which calls are made.
     """
-    schema = T.StructType([T.StructField(source, orders.schema[source].dataType), T.StructField("due", T.TimestampType())])
-    return orders.withWatermark("at", late).groupBy(source).transformWithStateInPandas(Calendar(source), schema, "Append", "EventTime")
+    schema = T.StructType([T.StructField(source, orders.schema[source].dataType), T.StructField("ms", T.LongType())])
+    timed = orders.withWatermark("at", late).withColumn("__micros", F.unix_micros("at"))
+    called = timed.groupBy(source).transformWithState(Calendar(source), schema, "Append", "EventTime")
+    return called.select(source, F.timestamp_millis("ms").alias("due"))
