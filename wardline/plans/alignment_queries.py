@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import fixed
 from wardline.operators import dictionary as D
+from wardline.operators import evidence as E
 from wardline.operators import retrieval as R
 from wardline.operators import validation as V
 from wardline.operators.quantiles import exact_quantiles
@@ -201,13 +202,71 @@ def literature_alignment(spark, sf_dir):
     return V.prevalence_test(patients(spark, sf_dir)).select("condition", F.round(ratio, 6).alias("ratio"), F.when(ratio.between(0.5, 2), 1.0).when(ratio.between(0.25, 4), 0.7).otherwise(0.3).alias("score"))
 
 
-@query(BASE + """, a as (select list(distinct c) as l from (select unnest(diagnoses) as c from pt where age >= 65)), b as (select list(distinct c) as l from (select unnest(diagnoses) as c from pt where age < 30))
-select round(len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l))), 6) as jaccard, len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l))) >= 0.3 as passed from a, b""")
+_TEXTS = """texts as (select p_partkey as doc_id, case p_partkey % 4 when 0 then 'pubmed' when 1 then 'who' when 2 then 'clinical_trials' else 'medical_news' end as source,
+  concat('Of those seen ', p_size + 2, '% of patients had ', case p_partkey % 3 when 0 then 'diabetes' when 1 then 'hypertension' else 'anemia' end, '. The prevalence of ', case p_partkey % 2 when 0 then 'Renal' else 'sepsis' end, ' was ', p_size % 30 + 1, '.5%; mean age was ', 40 + p_size % 40, ' in elderly adults.') as content from {part})"""
+_STATED = """stated as (select p_partkey as doc_id, p_partkey % 4 as source, case p_partkey % 3 when 0 then 'DIABETES' else 'HYPERTENSION' end as condition, (p_size + 2) / 100.0::double as rate from part where p_partkey % 3 <> 2
+  union all select p_partkey, p_partkey % 4, case p_partkey % 2 when 0 then 'RENAL' else 'SEPSIS' end, (p_size % 30 + 1.5) / 100.0::double from part)"""
+_PUBLISHED = "known as (select * from (values ('DIABETES', 0.25::double, 0.20::double, 0.30::double), ('HYPERTENSION', 0.45, 0.40, 0.50), ('CARDIOVASCULAR', 0.30, 0.25, 0.35), ('RESPIRATORY', 0.15, 0.12, 0.18), ('RENAL', 0.12, 0.10, 0.15), ('SEPSIS', 0.08, 0.06, 0.10), ('CANCER', 0.10, 0.08, 0.12)) v(condition, known, l, h))"
+_MERGED = _STATED + ", " + _PUBLISHED + """, means as (select condition, avg(rate) as mean, count(*) as n, count(distinct source) as sources from stated group by 1),
+merged as (select condition, coalesce((known + mean) / 2, known) as rate, case when mean is null then l else 0.8 * least(known, mean) end as low, case when mean is null then h else 1.2 * greatest(known, mean) end as high, coalesce(n, 0) as n, coalesce(sources, 0) as sources from known left join means using (condition))"""
+
+
+def _texts(spark, sf_dir):
+    return spark.sql("with " + _TEXTS + " select * from texts", part=Views(spark, sf_dir).part)
+
+
+@query("with " + _MERGED + " select condition, round(rate, 6) as rate, round(low, 6) as low, round(high, 6) as high, n, sources from merged")
+def evidence_merged(spark, sf_dir):
+    """What texts state of prevalences, merged with the published ones."""
+    out = E.merged(E.prevalences(_texts(spark, sf_dir)))
+    return out.select("condition", *[F.round(c, 6).alias(c) for c in ("rate", "low", "high")], "n", "sources")
+
+
+@query(BASE + ", " + _MERGED + """, o as (select condition, rate, low, high, (select avg(cast(list_contains(diagnoses, condition) as double)) from pt) as observed, (select count(*) from pt) as total from merged)
+select condition, round(observed, 6) as observed, round(rate, 6) as expected, round((observed - rate) / sqrt(rate * (1 - rate) / total), 6) as z, observed between low and high as within from o""")
+def evidence_compared(spark, sf_dir):
+    """The patients' prevalences against the merged ones."""
+    out = E.compared(patients(spark, sf_dir), E.merged(E.prevalences(_texts(spark, sf_dir))))
+    return out.select("condition", *[F.round(c, 6).alias(c) for c in ("observed", "expected", "z")], "within")
+
+
+@query("select round(avg(40 + p_size % 40), 6) as mean_age, count(*) as n from part")
+def evidence_ages(spark, sf_dir):
+    return E.mean_ages(_texts(spark, sf_dir)).agg(F.round(F.avg("age"), 6).alias("mean_age"), F.count("*").alias("n"))
+
+
+_SIX = """, mine as (select list(distinct c) as l from (select unnest(diagnoses) as c from pt)),
+ref as (select list_filter([case when count_if(p_partkey % 3 = 0) > 0 then 'DIABETES' end, case when count_if(p_partkey % 3 = 1) > 0 then 'HYPERTENSION' end, case when count_if(p_partkey % 2 = 0) > 0 then 'RENAL' end, case when count_if(p_partkey % 2 = 1) > 0 then 'SEPSIS' end], lambda x: x is not null) as r,
+  count(distinct p_partkey % 4) as sources from part),
+x as (select unnest(diagnoses) as c, diagnoses as d from pt where len(diagnoses) >= 2),
+k as (select avg(cast(case c when 'DIABETES' then list_has_any(d, ['HYPERTENSION', 'CARDIOVASCULAR', 'RENAL']) when 'HYPERTENSION' then list_has_any(d, ['CARDIOVASCULAR', 'DIABETES', 'RENAL']) when 'CARDIOVASCULAR' then list_has_any(d, ['HYPERTENSION', 'DIABETES'])
+  when 'RESPIRATORY' then list_contains(d, 'CARDIOVASCULAR') when 'RENAL' then list_has_any(d, ['DIABETES', 'HYPERTENSION', 'CARDIOVASCULAR']) when 'SEPSIS' then list_has_any(d, ['RESPIRATORY', 'RENAL']) end as double)) as p from x),
+s as (select len(list_intersect(l, r)) / len(list_distinct(list_concat(l, r))) as j, sources from mine, ref),
+a as (select avg(cast(age between 30 and 80 as double)) as a, avg(cast(50 + patient_id * 37 % 200 > 600 as double)) as v, avg(cast(lower(gender) not in ('male', 'female', 'm', 'f', '') as double)) as w from pt),
+six as (select 'conditions' as "check", j >= 0.3 as passed, j as confidence from s union all select 'ages', a >= 0.8, a from a union all select 'values', v < 0.05, 1 - v from a union all select 'comorbidity', p >= 0.3, p from k
+  union all select 'coverage', sources >= 1, case when sources >= 3 then 1.0 when sources = 2 then 0.8 else 0.5 end from s union all select 'consistency', 1 - w >= 0.9, 1 - w from a)"""
+
+
+def _six(spark, sf_dir):
+    rows = patients(spark, sf_dir).withColumn("glucose", 50 + F.col("patient_id") * 37 % 200)
+    return E.cross_checks(rows, _texts(spark, sf_dir), (30, 80))
+
+
+@query(BASE + _SIX + ' select "check", passed, round(confidence, 6) as confidence from six')
+def cross_validation(spark, sf_dir):
+    """The patients against reference texts, by six checks."""
+    return _six(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(BASE + _SIX + " select round(avg(confidence), 6) as score, count_if(passed) as passed, count(*) as checks from six")
+def cross_validation_report(spark, sf_dir):
+    return E.cross_report(_six(spark, sf_dir)).select(F.round("score", 6).alias("score"), "passed", "checks")
+
+
+@query(BASE + _SIX + " select round(j, 6) as jaccard, j >= 0.3 as passed from s")
 def cross_validate_conditions(spark, sf_dir):
-    rows = patients(spark, sf_dir)
-    sets = rows.agg(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("age") >= 65, F.col("diagnoses"))))).alias("a"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("age") < 30, F.col("diagnoses"))))).alias("b"))
-    j = R.jaccard(F.col("a"), F.col("b"))
-    return sets.select(F.round(j, 6).alias("jaccard"), (j >= 0.3).alias("passed"))
+    """The conditions of the patients against those that reference texts support."""
+    return _six(spark, sf_dir).where("check = 'conditions'").select(F.round("confidence", 6).alias("jaccard"), "passed")
 
 
 _STATS = """, s as (select avg(age) as m1, stddev_samp(age) as s1, avg(hospital_los_days) as m2, stddev_samp(hospital_los_days) as s2 from pt),
