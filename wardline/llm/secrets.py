@@ -114,17 +114,19 @@ def _transitions(samples: DataFrame) -> DataFrame:
     return chars.select("label", F.explode(pairs).alias("p")).where("p.b is not null").groupBy("label", "p.a", "p.b").count()
 
 
-def random_strings(spark: SparkSession, n: int = 1200) -> DataFrame:
-    """Labelled random strings in the usual alphabets, made from SHA-512 digests of counters."""
+def random_strings(spark: SparkSession, n: int = 1200, start: int = 0) -> DataFrame:
+    """Labelled random strings in the usual alphabets, made from SHA-512 digests of counters from `start` on."""
     digest = F.sha2(F.concat(F.lit("random:"), F.col("id").cast("string")), 512)
-    form = F.col("id") % 4
+    form = F.col("id") % 6
     value = (
         F.when(form == 0, F.substring(digest, 1, 40))
         .when(form == 1, F.substring(F.base64(F.unhex(digest)), 1, 44))
+        .when(form == 3, F.substring(F.lower(F.regexp_replace(F.base64(F.unhex(digest)), "[^A-Za-z0-9]", "")), 1, 36))
+        .when(form == 4, F.substring(F.regexp_replace(F.regexp_replace(F.base64(F.unhex(digest)), "[+]", "-"), "/", "_"), 1, 40))
         .when(form == 2, F.substring(F.upper(F.regexp_replace(F.base64(F.unhex(digest)), "[^A-Za-z0-9]", "")), 1, 40))
         .otherwise(F.substring(F.regexp_replace(F.base64(F.unhex(digest)), "[^A-Za-z0-9]", ""), 1, 40))
     )
-    return spark.range(n).select(value.alias("value"), F.lit(1).alias("label"))
+    return spark.range(start, start + n).select(value.alias("value"), F.lit(1).alias("label"))
 
 
 def ordinary_words(docs: DataFrame, text_col: str, id_col: str, bound: int = 400) -> DataFrame:
@@ -137,27 +139,76 @@ def ordinary_words(docs: DataFrame, text_col: str, id_col: str, bound: int = 400
     return some.select(F.explode(F.regexp_extract_all(bare, F.lit(r"[A-Za-z][A-Za-z0-9_-]{3,}"), F.lit(0))).alias("value"), F.lit(0).alias("label"))
 
 
-def fit(samples: DataFrame, strength: float = 4.0) -> list[int]:
+def identifiers(words: DataFrame) -> DataFrame:
+    """Labelled ordinary tokens of other forms, made of the words (value, label) of a bounded sample: camelCase, PascalCase,
+    snake_case, UPPER_CASE, kebab-case, paths and numbered names; and time stamps, numbers, alphabets and runs of one character."""
+    bare = words.select(F.regexp_extract_all("value", F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w")).where(F.size("w") > 0).select(F.lower(F.get("w", F.lit(0))).alias("a"))
+    # Each word is its own neighbour in another form, so no order of rows counts.
+    a, b = F.col("a"), F.reverse("a")
+    up, number = F.initcap("a"), F.pmod(F.xxhash64("a"), F.lit(1000)).cast("string")
+    forms = F.array(
+        F.concat(a, up, up), F.concat(up, up, up), F.concat_ws("_", a, a, a), F.concat_ws("_", F.upper(a), F.upper(a)), F.concat_ws("-", a, a, a), F.concat(F.lit("/"), a, F.lit("/"), a, F.lit("/"), a), F.concat(a, F.lit("_"), number), F.concat(a, up, number),
+        F.concat(a, F.lit("="), a), F.concat(F.lit("/"), up, F.lit("/"), a, F.lit("-"), number))
+    made = bare.select(F.explode(forms).alias("value"))
+    spark = words.sparkSession
+    when = F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(1_700_000_000)))
+    fixed = spark.range(400).select(F.explode(F.array(
+        F.date_format(when, "yyyy-MM-dd'T'HH-mm-ss-SSSSSS"), F.date_format(when, "yyyyMMddHHmmssSSS"), F.date_format(when, "yyyy/MM/dd/HH/mm/ss"), F.concat(F.date_format(when, "yyyyMMdd'T'HHmmss'Z'"), F.lit("-"), F.col("id").cast("string")),
+        F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("abcdefghijklmnopqrstuvwxyz"), F.lit("01234567890123456789"), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), F.repeat(F.lit("-"), F.lit(30)), F.repeat(F.lit("="), F.lit(30)), F.repeat(F.lit("_"), F.lit(30)), F.repeat(F.lit("/"), F.lit(20)),
+    )).alias("value"))
+    return made.unionByName(fixed).withColumn("label", F.lit(0))
+
+
+def _class(code: int) -> int:
+    """Digits, capitals and small letters are a class each, and every other character is one."""
+    c = chr(code)
+    return 0 if c.isdigit() else 1 if "A" <= c <= "Z" else 2 if "a" <= c <= "z" else code
+
+
+def fit(samples: DataFrame, strength: float = 4.0, backoff: float = 0.3) -> list[int]:
     """Log-likelihood ratios of every transition in thousandths, row by row, from samples (value, label 1 random, 0 ordinary).
 
     A transition's probability leans on its second character's by `strength` counts, so a context
-    never seen counts like that character anywhere. At most 2 * 80 * 80 counts come to the driver.
+    never seen counts like that character anywhere, and by `backoff` on that of the characters' classes: letters of a
+    language that the samples don't have are still letters after letters. At most 2 * 80 * 80 counts come to the driver.
     """
     from math import log
 
     counts = [[0] * (SYMBOLS * SYMBOLS) for _ in range(2)]
     for r in _transitions(samples).collect():
         counts[r.label][(r.a - FIRST) * SYMBOLS + r.b - FIRST] += r["count"]
+    kinds = [_class(FIRST + k) for k in range(SYMBOLS)]
+    sizes = {k: kinds.count(k) for k in kinds}
 
     def chances(c: list[int]) -> list[float]:
         rows = [sum(c[k * SYMBOLS : (k + 1) * SYMBOLS]) for k in range(SYMBOLS)]
         single = [(sum(c[k::SYMBOLS]) + 0.5) / (sum(c) + 0.5 * SYMBOLS) for k in range(SYMBOLS)]
-        return [(n + strength * single[i % SYMBOLS]) / (rows[i // SYMBOLS] + strength) for i, n in enumerate(c)]
+        pairs, left = {}, {}
+        for i, n in enumerate(c):
+            pair = (kinds[i // SYMBOLS], kinds[i % SYMBOLS])
+            pairs[pair] = pairs.get(pair, 0) + n
+            left[pair[0]] = left.get(pair[0], 0) + n
+        coarse = lambda p, q: (pairs[p, q] + 0.5) / (left[p] + 0.5 * len(sizes)) / sizes[q]
+        return [(1 - backoff) * (n + strength * single[i % SYMBOLS]) / (rows[i // SYMBOLS] + strength) + backoff * coarse(kinds[i // SYMBOLS], kinds[i % SYMBOLS]) for i, n in enumerate(c)]
 
     ordinary, random = chances(counts[0]), chances(counts[1])
     return [round(1000 * (log(r) - log(o))) for r, o in zip(random, ordinary, strict=True)]
 
 
+def calibrated(model: list[int], held: DataFrame, threshold: int = 1500) -> list[int]:
+    """The model moved so that `threshold` divides the held-out tokens (value, label) best: the mean ratio per transition
+    at which as few as can be of either label, each by its share, are on the wrong side, in steps of 25 thousandths; the middle of equal ones."""
+    mean = held.where(F.length("value") >= 20).select("label", (ratio(F.col("value"), model) / (F.length("value") - 1)).alias("mean"))
+    steps = list(range(-2000, 4001, 25))
+    one = mean.groupBy("label").agg(F.count("*").alias("n"), *[F.count_if(F.col("mean") > s).alias(f"s{i}") for i, s in enumerate(steps)]).collect()
+    if len(one) < 2:
+        return model
+    by = {r.label: r for r in one}
+    wrong = [by[0][f"s{i}"] / by[0].n + 1 - by[1][f"s{i}"] / by[1].n for i in range(len(steps))]
+    best = [s for s, w in zip(steps, wrong, strict=True) if w <= min(wrong) + 1e-12]
+    return [v + threshold - best[len(best) // 2] for v in model]
+
+
 def ratio(token: Column, model: list[int]) -> Column:
     """Sum of the log-likelihood ratios of a token's transitions, in thousandths."""
     table = F.expr(f"array({','.join(map(str, model))})")  # one call; thousands of literals would cost seconds
