@@ -16,13 +16,14 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+_STORE = "spark.sql.streaming.stateStore.rocksdb"
 
 
 @contextmanager
-def keyed_store(spark: SparkSession) -> Iterator[None]:
-    """Streams that start inside keep their state in RocksDB; the session's own settings come back afterwards."""
-    wanted = {_PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", _CHANGELOG: "true"}
+def keyed_store(spark: SparkSession, executor_mb: int = 256) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, whose caches and buffers share `executor_mb` of an executor's memory;
+    the session's own settings come back afterwards."""
+    wanted = {_PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{_STORE}.changelogCheckpointing.enabled": "true", f"{_STORE}.boundedMemoryUsage": "true", f"{_STORE}.maxMemoryUsageMB": str(executor_mb)}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
