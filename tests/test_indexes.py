@@ -45,7 +45,7 @@ def frame(spark, rows):
 @pytest.fixture(scope="module")
 def index(spark, tmp_path_factory):
     """Built, then some replaced, some added, some taken out, and one that was taken out comes again."""
-    made = Index(spark, f"{tmp_path_factory.mktemp('index')}/i", parts=4, blocks=4)
+    made = Index(spark, f"{tmp_path_factory.mktemp('index')}/i", parts=4)
     now = dict(texts(1, 150))
     made.upsert(frame(spark, list(now.items()) + [(7, "zzz repeated row")]))
     now[7] = min(now[7], "zzz repeated row")
@@ -81,9 +81,12 @@ def test_early_stop_finds_the_same_best(index, k):
         assert [s for s, _ in sorted(got[q])] == [s for s, _ in sorted(want[q])[:k]]
 
 
-def test_early_stop_leaves_blocks_out(spark, tmp_path):
+def test_early_stop_leaves_blocks_out(spark, tmp_path, monkeypatch):
+    import wardline.operators.inverted as V
+
+    monkeypatch.setattr(V, "IN_BLOCK", 16)
     rows = [(i, "common " * (1 + i % 50) + "filler " * (400 if i % 50 < 45 else 1)) for i in range(2000)] + [(5000 + i, f"other text {i}") for i in range(3000)]
-    made = Index(spark, f"{tmp_path}/i", parts=4, blocks=16)
+    made = Index(spark, f"{tmp_path}/i", parts=4)
     made.upsert(frame(spark, rows))
     made.search([(1, "common")], k=5).collect()
     every = made.postings(["common"]).select("block").distinct().count()

@@ -8,10 +8,12 @@ see generations that have them, so a failed write is never seen.
 
 from __future__ import annotations
 
-import math
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.functions import text as X
 from wardline.operators.retrieval import _tokens, top_k
@@ -20,11 +22,21 @@ from wardline.operators.retrieval import _tokens, top_k
 FEW = 1_000_000
 
 
+#: Documents of a block, about, when the index is built.
+IN_BLOCK = 256
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])))
+def _counted(tokens: pd.Series) -> pd.Series:
+    """The different words of each text with their number, in order of the word."""
+    return pd.Series([[{"term": t, "tf": n} for t, n in sorted(Counter(ts).items())] for ts in tokens])
+
+
 class Index:
     """Postings of documents (id, text) below a folder that executors share."""
 
-    def __init__(self, spark: SparkSession, folder: str, key: str = "doc_id", parts: int = 64, blocks: int = 64):
-        self.spark, self.folder, self.key, self.parts, self.blocks = spark, folder.rstrip("/"), key, parts, blocks
+    def __init__(self, spark: SparkSession, folder: str, key: str = "doc_id", parts: int = 64):
+        self.spark, self.folder, self.key, self.parts = spark, folder.rstrip("/"), key, parts
 
     def _generations(self) -> list[int]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/facts")
@@ -55,14 +67,14 @@ class Index:
         place = lambda name: f"{self.folder}/{name}/gen={gen}"
         content = F.coalesce(docs[text].cast("string"), F.lit(""))
         one = docs.where(docs[self.key].isNotNull()).select(docs[self.key].alias("id"), content.alias("text")).groupBy("id").agg(F.min("text").alias("text"))
-        words = one.select("id", X.tokens(F.col("text")).alias("t"))
-        # A block has documents of like length, so that its bounds are tight.
-        length = F.size("t")
-        block = (F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double")) * 2) * self.blocks + F.pmod(F.xxhash64("id"), F.lit(self.blocks))).cast("int")
-        words.select("id", length.alias("length"), block.alias("block"), "t").where(F.lit(not drop)).write.mode("overwrite").parquet(place("words"))
+        counted = one.where(F.lit(not drop)).select("id", _counted(X.tokens(F.col("text"))).alias("t"))
+        counted.select("id", F.aggregate("t", F.lit(0), lambda n, w: n + w["tf"]).alias("length"), "t").write.mode("overwrite").parquet(place("words"))
         words = self.spark.read.parquet(place("words"))
-        counted = words.select("id", "length", "block", F.explode("t").alias("term")).groupBy("id", "length", "block", "term").agg(F.count("*").cast("int").alias("tf"))
-        postings = counted.withColumn("part", self._part(F.col("term"))).repartition("part").sortWithinPartitions("part", "term", "block")
+        # A block has documents of like length, so that its bounds are tight; how many blocks a length has is settled when the index is built.
+        spread = self._read("facts").agg(F.max("spread")).first()[0] if made else max(1, min(4096, words.count() // (20 * IN_BLOCK)))
+        block = (F.floor(F.log2(F.greatest("length", F.lit(1)).cast("double")) * 2) * spread + F.pmod(F.xxhash64("id"), F.lit(spread))).cast("int")
+        rows = words.select("id", "length", block.alias("block"), F.explode("t").alias("w")).select("id", "length", "block", "w.term", "w.tf")
+        postings = rows.withColumn("part", self._part(F.col("term"))).repartition("part").sortWithinPartitions("part", "term", "block")
         postings.write.mode("overwrite").partitionBy("part").parquet(place("postings"))
         postings = self.spark.read.schema(f"id {self._id()}, length int, block int, term string, tf int, part int").parquet(place("postings"))
         bounds = postings.groupBy("part", "term", "block").agg(F.max("tf").alias("tf"), F.min("length").alias("length"), F.count("*").alias("df"))
@@ -75,13 +87,13 @@ class Index:
             old = self._read("words").join(gone, ["id", "gen"], "left_semi")
             facts = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("l")).first()
             gone_n, gone_length = facts.n, facts.l
-            lost = old.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
+            lost = old.select(F.explode("t.term").alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
             added = added.unionByName(lost).groupBy("term").agg(F.sum("df").alias("df"))
         else:
             words.select("id", F.lit(0).alias("was")).where("false").write.mode("overwrite").parquet(place("gone"))
         bounds.repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(place("bounds"))
         added.withColumn("part", self._part(F.col("term"))).repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(place("frequencies"))
-        sums = words.agg((F.count("*") - gone_n).alias("n"), (F.coalesce(F.sum("length"), F.lit(0)) - gone_length).alias("length"))
+        sums = words.agg((F.count("*") - gone_n).alias("n"), (F.coalesce(F.sum("length"), F.lit(0)) - gone_length).alias("length"), F.lit(spread).alias("spread"))
         sums.coalesce(1).write.mode("overwrite").parquet(place("facts"))
         return gen
 
@@ -134,7 +146,7 @@ class Index:
         # A bound of a block holds for all generations together, and for documents that are gone.
         bounds = self._asked("bounds", vocabulary).groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("length").alias("length"), F.sum("df").alias("df"))
         promise = bounds.join(F.broadcast(weights), "term").groupBy("query_id", "block").agg(F.sum(impact).alias("bound"), F.max("df").alias("n"))
-        first = top_k(promise.withColumnRenamed("bound", "score"), max(1, math.isqrt(self.blocks)), by="query_id", tie="block").select("query_id", "block")
+        first = top_k(promise.withColumnRenamed("bound", "score"), 8, by="query_id", tie="block").select("query_id", "block")
         seeds = everything.join(F.broadcast(first), "block").join(F.broadcast(weights), ["query_id", "term"]).groupBy("query_id", "id").agg(F.sum(impact).alias("score"))
         least = top_k(seeds, k, by="query_id", tie="id").groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k)
         limits = {r.query_id: r.least for r in least.collect()}
@@ -147,8 +159,8 @@ class Index:
 
     def compact(self) -> int:
         """Rewrites the live documents' words as one generation; earlier ones stay in the folder until it is removed, but are no longer read."""
-        words = self._live(self._read("words")).select("id", F.array_join("t", " ").alias("text"))
-        fresh = Index(self.spark, f"{self.folder}-next", self.key, self.parts, self.blocks)
+        words = self._live(self._read("words")).select("id", F.array_join(F.flatten(F.transform("t", lambda w: F.array_repeat(w["term"], w["tf"]))), " ").alias("text"))
+        fresh = Index(self.spark, f"{self.folder}-next", self.key, self.parts)
         fresh.upsert(words.withColumnRenamed("id", self.key) if self.key != "id" else words)
         self.folder = fresh.folder
         return 0
