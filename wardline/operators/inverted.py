@@ -8,14 +8,11 @@ see generations that have them, so a failed write is never seen.
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wardline.functions import text as X
+from wardline.functions.clinical import let
 from wardline.operators.retrieval import _tokens, top_k
 
 #: Replaced documents up to which their ids are broadcast (about 20 bytes each).
@@ -26,10 +23,12 @@ FEW = 1_000_000
 IN_BLOCK = 256
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])))
-def _counted(tokens: pd.Series) -> pd.Series:
-    """The different words of each text with their number, in order of the word."""
-    return pd.Series([[{"term": t, "tf": n} for t, n in sorted(Counter(ts).items())] for ts in tokens])
+def counted(tokens: Column) -> Column:
+    """array<struct<term,tf>>: the different words with their number, in order of the word: sorted, and cut where they change."""
+    changes = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("tf")))
+    none = F.array().cast("array<struct<term: string, tf: int>>")
+    return let(F.array_sort(tokens), lambda s: F.when(F.size(s) > 0, let(changes(s), lambda at: runs(s, at))).otherwise(none))
 
 
 class Index:
@@ -67,8 +66,8 @@ class Index:
         place = lambda name: f"{self.folder}/{name}/gen={gen}"
         content = F.coalesce(docs[text].cast("string"), F.lit(""))
         one = docs.where(docs[self.key].isNotNull()).select(docs[self.key].alias("id"), content.alias("text")).groupBy("id").agg(F.min("text").alias("text"))
-        counted = one.where(F.lit(not drop)).select("id", _counted(X.tokens(F.col("text"))).alias("t"))
-        counted.select("id", F.aggregate("t", F.lit(0), lambda n, w: n + w["tf"]).alias("length"), "t").write.mode("overwrite").parquet(place("words"))
+        lists = one.where(F.lit(not drop)).select("id", counted(X.tokens(F.col("text"))).alias("t"))
+        lists.select("id", F.aggregate("t", F.lit(0), lambda n, w: n + w["tf"]).alias("length"), "t").write.mode("overwrite").parquet(place("words"))
         words = self.spark.read.parquet(place("words"))
         # A block has documents of like length, so that its bounds are tight; how many blocks a length has is settled when the index is built.
         spread = self._read("facts").agg(F.max("spread")).first()[0] if made else max(1, min(4096, words.count() // (20 * IN_BLOCK)))
