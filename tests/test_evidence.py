@@ -57,3 +57,18 @@ def test_without_texts_or_rows(spark, docs):
     assert "no reference documents" in E.cross_report(E.cross_checks(rows, docs.where("false"))).first().recommendations
     assert len(E.cross_checks(rows.where("false"), docs).collect()) == 6
     assert E.merged(E.prevalences(docs.where("false"))).agg(F.max("n")).first()[0] == 0
+
+
+def test_alignment_with_what_texts_state(spark, docs):
+    rows = spark.createDataFrame([(80, ["DIABETES"]), (90, ["DIABETES"]), (85, []), (85, ["HYPERTENSION"])], "age int, diagnoses array<string>")
+    got = {r.what: r for r in E.literature_alignment(rows, docs).collect()}
+    # "40 % patients with Diabetes" and "12% of patients had renal failure": only diabetes is known to this check
+    assert set(got) == {"DIABETES", "age"} and got["DIABETES"].expected == 0.4 and got["DIABETES"].score == 1 and got["age"].score == 0.4 and got["age"].severity == "warning"
+    assert E.literature_alignment(rows, docs.where("false")).collect() == []
+
+
+def test_assessment(spark):
+    checks = spark.createDataFrame([("ranges", 0.5, 1.5, False, 0, 1, 4), ("comorbidity", 1.0, 1.2, True, 0, 0, 0), ("literature", 0.3, 1.5, False, 3, 0, 3)], "check string, score double, weight double, passed boolean, errors int, critical int, issues long")
+    got = E.assessment(checks, 100).first()
+    assert math.isclose(got.score, (0.75 + 1.2 + 0.45) / 4.2) and not got.valid and math.isclose(got.confidence, 0.6 * 0.8 + 0.15) and got.errors == 3
+    assert got.recommendations == ["review the generation of clinical values", "verify the source data against the literature", "improve: literature, ranges"]

@@ -156,3 +156,74 @@ def cross_report(checks: DataFrame) -> DataFrame:
     advice = F.array_compact(F.array(
         F.when(F.col("score") < 0.5, "add reference documents"), F.when(F.col("coverage") == 0, "no reference documents"), F.when(F.col("passed") < 0.7 * F.col("checks"), "review the data for inconsistencies")))
     return out.select("score", "passed", "checks", advice.alias("recommendations"))
+
+
+# How a text states a condition's share, and the conditions that this check knows.
+SHARE_FORM = r"(?i)(\d+(?:\.\d+)?)\s*%\s*(?:of\s+)?(?:patients?\s+)?(?:with\s+|had\s+)?(\w+)"
+KNOWN = ["DIABETES", "HYPERTENSION", "CARDIOVASCULAR", "RESPIRATORY"]
+STATED_AGE = r"(?i)(?:mean|average)\s+age\s+(?:was\s+)?(\d+(?:\.\d+)?)"
+
+
+def literature_alignment(rows: DataFrame, docs: DataFrame, text: str = "content") -> DataFrame:
+    """(what, expected, actual, score, severity): a cohort's shares and mean age against the means of what texts state.
+
+    Shares score 1 within a factor of two, .7 (a warning) within four, else .3 (an error); ages 1 within 10
+    years, .7 within 20, else .4 (a warning). What no text states has no row.
+    """
+    content = F.coalesce(docs[text].cast("string"), F.lit(""))
+    pairs = F.zip_with(F.regexp_extract_all(content, F.lit(SHARE_FORM), F.lit(2)), F.regexp_extract_all(content, F.lit(SHARE_FORM), F.lit(1)), lambda w, p: F.struct(F.upper(w).alias("word"), (p.cast("double") / 100).alias("rate")))
+    stated = docs.select(F.explode(pairs).alias("f")).where("f.rate > 0 and f.rate < 1")
+    stated = stated.select(F.explode(F.filter(F.array(*[F.lit(s) for s in KNOWN]), lambda s: F.col("f.word").contains(s) | s.contains(F.col("f.word")))).alias("what"), "f.rate")
+    expected = stated.groupBy("what").agg(F.avg("rate").alias("expected"))
+    mine = rows.agg(*[F.avg(F.coalesce(F.array_contains("diagnoses", c), F.lit(False)).cast("double")).alias(c) for c in KNOWN], F.avg("age").alias("age"))
+    facts = mine.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("actual")) for c in [*KNOWN, "age"]])).alias("x")).select("x.*")
+    ages = docs.select(F.explode(F.regexp_extract_all(content, F.lit(STATED_AGE), F.lit(1))).alias("a")).agg(F.lit("age").alias("what"), F.avg(F.col("a").cast("double")).alias("expected")).where("expected is not null")
+    both = expected.unionByName(ages).join(facts, "what").where("actual is not null")
+    ratio, gap = F.col("actual") / F.greatest("expected", F.lit(0.01)), F.abs(F.col("actual") - F.col("expected"))
+    is_age = F.col("what") == "age"
+    score = F.when(is_age, F.when(gap <= 10, 1.0).when(gap <= 20, 0.7).otherwise(0.4)).otherwise(F.when(ratio.between(0.5, 2), 1.0).when(ratio.between(0.25, 4), 0.7).otherwise(0.3))
+    severity = F.when(F.col("score") == 0.3, "error").when((F.col("score") == 0.4) | (~is_age & (F.col("score") == 0.7)), "warning")
+    return both.select("what", "expected", "actual", score.alias("score")).withColumn("severity", severity)
+
+
+def contextual(rows: DataFrame, docs: DataFrame | None = None, alignment: DataFrame | None = None) -> DataFrame:
+    """(check, score, weight, passed, errors, critical, issues): the clinical checks but completeness, beside literature and request.
+
+    `alignment` has the request's checks (check, actual, score). Literature weighs 1.5 and passes from .6 (.7
+    where texts state nothing), the request 1.4 from .7 (.8 where it asks nothing). `issues` counts what a check found.
+    """
+    base = V.report(rows).where("check <> 'completeness'")
+    fields = [c for c in ("age", "hospital_los_days", "icu_los_days", "glucose", "creatinine", "heart_rate", "temperature") if c in rows.columns]
+    found = V.range_checks(rows, fields).agg(F.count_if(F.col("out_of_range") > 0).alias("n")).select(F.lit("ranges").alias("check"), "n")
+    people = V.demographic_checks(rows).select(F.lit("demographics").alias("check"), ((F.col("bad_ages") > 0).cast("int") + (~F.coalesce("mean_age_ok", F.lit(True))).cast("int") + (~F.coalesce("balance_ok", F.lit(True))).cast("int")).cast("bigint").alias("n"))
+    partners = V.comorbidity_checks(rows).agg(F.count_if(F.col("with_partner") == 0).alias("n")).select(F.lit("comorbidity").alias("check"), "n")
+    issues = found.unionByName(people).unionByName(partners)
+    out = base.join(issues, "check", "left").select("check", "score", "weight", "passed", "errors", "critical", F.coalesce("n", F.lit(0)).cast("bigint").alias("issues"))
+
+    def added(name: str, checks: DataFrame, weight: float, least: float, without: float, wrong: Column) -> DataFrame:
+        one = checks.agg(F.coalesce(F.avg("score"), F.lit(without)).alias("score"), F.count_if(wrong).cast("int").alias("errors"), F.count_if(F.col("score") < 1).alias("issues"))
+        return one.select(F.lit(name).alias("check"), "score", F.lit(weight).alias("weight"), (F.col("score") >= least).alias("passed"), "errors", F.lit(0).alias("critical"), "issues")
+
+    if docs is not None:
+        out = out.unionByName(added("literature", literature_alignment(rows, docs), 1.5, 0.6, 0.7, F.col("severity") == "error"))
+    if alignment is not None:
+        wrong = (F.col("check").startswith("prevalence") & (F.col("actual") < 0.2)) | ((F.col("check") == "age") & (F.col("actual") < 0.5))
+        out = out.unionByName(added("request", alignment, 1.4, 0.7, 0.8, F.coalesce(wrong, F.lit(False))))
+    return out
+
+
+def assessment(checks: DataFrame, texts: int = 0) -> DataFrame:
+    """One row of `contextual` checks: weighted score, whether valid (from .7, at most two errors, nothing critical), confidence and recommendations.
+
+    Confidence is the mean score, less a fifth for each critical issue, and .02 for each text more, up to .15, at most 1.
+    """
+    n = lambda check: F.coalesce(F.sum(F.when(F.col("check") == check, F.col("issues"))), F.lit(0))
+    out = checks.agg(
+        (F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("score"), F.avg("score").alias("mean"), F.sum("errors").alias("errors"), F.sum("critical").alias("critical"),
+        *[n(c).alias(c) for c in ("ranges", "comorbidity", "demographics", "literature")], F.array_sort(F.collect_list(F.when(F.col("score") < 0.6, F.col("check")))).alias("low"))  # a handful of checks
+    advice = F.array_compact(F.array(
+        F.when(F.col("ranges") > 3, "review the generation of clinical values"), F.when(F.col("comorbidity") > 0, "add correlations of comorbidities"), F.when(F.col("demographics") > 0, "check the balance of demographics"),
+        F.when(F.col("literature") > 2, "verify the source data against the literature"), F.when(F.size("low") > 0, F.concat(F.lit("improve: "), F.array_join("low", ", ")))))
+    confidence = F.least(F.greatest(F.least(F.col("mean") * F.pow(F.lit(0.8), "critical"), F.lit(1.0)), F.lit(0.0)) + min(0.02 * texts, 0.15), F.lit(1.0))
+    valid = (F.col("score") >= 0.7) & (F.col("errors") <= 2) & (F.col("critical") == 0)
+    return out.select("score", valid.alias("valid"), confidence.alias("confidence"), "errors", "critical", advice.alias("recommendations"))
