@@ -72,3 +72,17 @@ def test_assessment(spark):
     got = E.assessment(checks, 100).first()
     assert math.isclose(got.score, (0.75 + 1.2 + 0.45) / 4.2) and not got.valid and math.isclose(got.confidence, 0.6 * 0.8 + 0.15) and got.errors == 3
     assert got.recommendations == ["review the generation of clinical values", "verify the source data against the literature", "improve: literature, ranges"]
+
+
+def test_plausibility_currency_and_consistency(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(rng.gauss(0, 1), 1000.0 if i == 0 else float(i % 2), 5.0, float(i) if i % 3 == 0 else 7.0, "2020-01-01" if i < 30 else "1990-01-01", i % 2, 3 if i == 4 else 1, 200 if i < 10 else 40) for i in range(100)], "x double, y double, z double, m double, d string, has_a int, is_b int, age int")
+    got = {r.column: r for r in E.plausibility(rows, ["x", "y", "z", "m"]).collect()}
+    assert got["x"].score == 1 and got["y"].score == 0.7 and got["z"].score == 1 and got["m"].score == 0.75 and got["m"].kinds == 35
+    assert E.plausibility(rows.limit(5), ["x"]).collect() == []
+    assert math.isclose(E.currency(rows, ["d"], 2024).first().currency, 0.3) and math.isclose(E.currency(rows, ["d"], 2019).first().currency, (0.3 + 0.5) / 2)
+    assert E.currency(rows, [], 2024).first().currency == 0.8
+    assert math.isclose(E.logical_consistency(rows).first().consistency, 1 - (10 + 1) / 300)
+    assert E.logical_consistency(rows.select("x")).first().consistency == 0.8

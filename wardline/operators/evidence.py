@@ -227,3 +227,64 @@ def assessment(checks: DataFrame, texts: int = 0) -> DataFrame:
     confidence = F.least(F.greatest(F.least(F.col("mean") * F.pow(F.lit(0.8), "critical"), F.lit(1.0)), F.lit(0.0)) + min(0.02 * texts, 0.15), F.lit(1.0))
     valid = (F.col("score") >= 0.7) & (F.col("errors") <= 2) & (F.col("critical") == 0)
     return out.select("score", valid.alias("valid"), confidence.alias("confidence"), "errors", "critical", advice.alias("recommendations"))
+
+
+def plausibility(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, kurtosis, mode_share, kinds, score): how plausible the columns' distributions are; those of under ten values have no row.
+
+    The mean of two scores: excess kurtosis of -2 to 7 is 1, of -5 to 15 .7, else .4 (1 for a constant column); a value that
+    more than half of the rows have is .5 where there are over five different ones, else 1. Values are counted first.
+    """
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
+    moments = long.groupBy("column").agg(F.count("*").alias("n"), F.kurtosis("v").alias("kurtosis")).where("n >= 10")
+    modes = long.groupBy("column", "v").agg(F.count("*").alias("c")).groupBy("column").agg(F.max("c").alias("mode"), F.count("*").alias("kinds"))
+    k = F.col("kurtosis")
+    peaked = F.when(k.isNull() | F.isnan(k) | k.between(-2, 7), 1.0).when(k.between(-5, 15), 0.7).otherwise(0.4)
+    dominant = F.when((F.col("mode") / F.col("n") > 0.5) & (F.col("kinds") > 5), 0.5).otherwise(1.0)
+    return moments.join(modes, "column").select("column", "kurtosis", (F.col("mode") / F.col("n")).alias("mode_share"), "kinds", ((peaked + dominant) / 2).alias("score"))
+
+
+def currency(rows: DataFrame, columns: list[str], year: int) -> DataFrame:
+    """One row (currency): the mean, over the date columns that have dates, of the share of the last five years, with .5 more to
+    average where over a hundredth lies in the future; .8 without dates."""
+    if not columns:
+        return rows.agg(F.lit(0.8).alias("currency"))
+    years = {c: F.year(F.col(c).cast("date")) for c in columns}
+    one = rows.agg(*[f(F.when(y.isNotNull(), (y >= year - 5 if n == "r" else y > year).cast("double"))).alias(f"{n}{i}") for i, y in enumerate(years.values()) for n, f in (("r", F.avg), ("f", F.avg))])
+    scores = F.array_compact(F.array(*[s for i in range(len(columns)) for s in (F.col(f"r{i}"), F.when(F.col(f"f{i}") > 0.01, 0.5))]))
+    return one.select(F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores)).otherwise(0.8).alias("currency"))
+
+
+def logical_consistency(rows: DataFrame) -> DataFrame:
+    """One row (consistency): 1 less violations by rows and checks: longer in intensive care than in hospital, ages out of 0 to 120, and each has_ or is_ column with a value but 0 and 1; .8 without checks."""
+    checks, found = 0, F.lit(0).cast("bigint")
+    if {"icu_los_days", "hospital_los_days"} <= set(rows.columns):
+        checks, found = checks + 1, found + F.count_if(F.col("icu_los_days") > F.col("hospital_los_days"))
+    if "age" in rows.columns:
+        checks, found = checks + 1, found + F.count_if(~F.col("age").between(0, 120))
+    for c in [c for c in rows.columns if c.startswith(("has_", "is_"))]:
+        checks, found = checks + 1, found + F.coalesce(F.max(F.when(~F.coalesce(F.col(c).cast("double").isin(0.0, 1.0), F.lit(False)), 1)), F.lit(0))
+    if not checks:
+        return rows.agg(F.lit(0.8).alias("consistency"))
+    return rows.agg((1 - found / F.greatest(F.count("*") * checks, F.lit(1))).alias("consistency"))
+
+
+def confidence(rows: DataFrame, docs: DataFrame, columns: list[str], dates: list[str], year: int) -> DataFrame:
+    """One row: clinical, plausible, literature, current, consistent, overall (.30, .25, .20, .10, .15), level and recommendations.
+
+    Clinical is the verdict's score, literature the share of prevalences within the bounds of `merged` evidence;
+    each is measured on the rows and texts given.
+    """
+    parts = [
+        V.verdict(V.report(rows)).select(F.col("score").alias("clinical")), plausibility(rows, columns).agg(F.coalesce(F.avg("score"), F.lit(0.7)).alias("plausible")),
+        compared(rows, merged(prevalences(docs))).agg(F.coalesce(F.avg(F.col("within").cast("double")), F.lit(0.6)).alias("literature")), currency(rows, dates, year).withColumnRenamed("currency", "current"), logical_consistency(rows).withColumnRenamed("consistency", "consistent")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(F.broadcast(p))  # one row each
+    overall = 0.30 * F.col("clinical") + 0.25 * F.col("plausible") + 0.20 * F.col("literature") + 0.10 * F.col("current") + 0.15 * F.col("consistent")
+    out = out.withColumn("overall", overall)
+    level = F.when(F.col("overall") >= 0.9, "very_high").when(F.col("overall") >= 0.75, "high").when(F.col("overall") >= 0.5, "medium").when(F.col("overall") >= 0.25, "low").otherwise("very_low")
+    advice = F.array_compact(F.array(
+        F.when(F.col("clinical") < 0.6, "review values against clinical ranges"), F.when(F.col("plausible") < 0.6, "check for collapsed distributions"), F.when(F.col("literature") < 0.5, "retrieve more reference documents"),
+        F.when(F.col("consistent") < 0.7, "verify relationships between fields")))
+    return out.withColumn("level", level).withColumn("recommendations", advice)

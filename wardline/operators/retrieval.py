@@ -179,3 +179,20 @@ def hops(start: DataFrame, links: DataFrame, steps: int = 3) -> DataFrame:
         last = step.select("topic", F.lit(k).alias("step"), F.array_append("path", F.col("dst")).alias("path"), (F.col("total") + F.col("weight")).alias("total"))
         out = out.unionByName(last)
     return out.where("step > 0").select("topic", "step", "path", F.try_divide("total", "step").alias("confidence"))
+
+
+def across_collections(found: dict[str, DataFrame], k: int) -> DataFrame:
+    """(query_id, doc_id, score, collection, rank): the `k` best of each query over collections' results (query_id, doc_id, score); ties by id."""
+    rows = reduce(DataFrame.unionByName, [r.select("query_id", "doc_id", "score").withColumn("collection", F.lit(name)) for name, r in found.items()])
+    return top_k(rows, k)
+
+
+def relevance(score: Column, rank: Column) -> Column:
+    """A result's relevance: a similarity within 0 and 1, a distance over 1 inverted, and without a score a tenth less for each rank."""
+    return F.coalesce(F.when(score > 1, 1 / (1 + score)).otherwise(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0))), F.greatest(F.lit(0.0), 1 - 0.1 * (rank - 1)))
+
+
+def enhanced_confidence(results: DataFrame, by: str = "query_id") -> DataFrame:
+    """(by, confidence): half the `base` confidence, .3 of the mean `relevance`, .05 a `source` up to .15 and .05 a result up to .1, within 0 and 1."""
+    value = 0.5 * F.max("base") + 0.3 * F.avg("relevance") + F.least(0.05 * F.countDistinct("source"), F.lit(0.15)) + F.least(F.count("*") / 20, F.lit(0.1))
+    return results.groupBy(by).agg(F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0)).alias("confidence"))

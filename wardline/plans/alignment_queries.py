@@ -305,6 +305,28 @@ def assessment(spark, sf_dir):
     return E.assessment(E.contextual(rows, _texts(spark, sf_dir), asked), 10)
 
 
+_NUMBERS = ["age", "hospital_los_days", "icu_los_days", "num_procedures", "num_medications", "mortality"]
+_UNPIVOT = f"(unpivot (select {', '.join(f'cast({c} as double) as {c}' for c in _NUMBERS)} from pt) on {', '.join(_NUMBERS)} into name col value v)"
+_PLAUSIBLE = f""", cnt as (select col, v, count(*) as c from {_UNPIVOT} group by 1, 2), mom as (select col, count(*) as n, kurtosis_pop(v) as k from {_UNPIVOT} group by 1 having count(*) >= 10),
+pla as (select mom.col, k, max(c) / any_value(n) as share, count(*) as kinds, (case when k is null or isnan(k) or k between -2 and 7 then 1.0::double when k between -5 and 15 then 0.7 else 0.4 end + case when max(c) / any_value(n) > 0.5 and count(*) > 5 then 0.5 else 1.0 end) / 2 as score from cnt join mom using (col) group by mom.col, k)"""
+
+
+@query(BASE + _PLAUSIBLE + ' select col as "column", round(k, 5) as kurtosis, round(share, 6) as mode_share, kinds, score from pla')
+def plausible_distributions(spark, sf_dir):
+    out = E.plausibility(patients(spark, sf_dir), _NUMBERS)
+    return out.select("column", F.round("kurtosis", 5).alias("kurtosis"), F.round("mode_share", 6).alias("mode_share"), "kinds", "score")
+
+
+@query(BASE + ", " + _MERGED + _PLAUSIBLE + """, lit as (select avg(cast((select avg(cast(list_contains(diagnoses, condition) as double)) from pt) between low and high as double)) as l from merged),
+cur as (select avg(cast(year(deathdate) >= 1993 as double)) as r, avg(cast(year(deathdate) > 1998 as double)) as f from pt where deathdate is not null),
+con as (select 1 - (count_if(icu_los_days > hospital_los_days) + count_if(age not between 0 and 120) + max(case when has_icu_stay not in (0, 1) then 1 else 0 end)) / (count(*) * 3.0::double) as c from pt)
+select round((select avg(score) from pla), 6) as plausible, round((select l from lit), 6) as literature, round((select case when r is null then 0.8 when f > 0.01 then (r + 0.5) / 2 else r end from cur), 6) as current, round((select c from con), 6) as consistent""")
+def confidence_dimensions(spark, sf_dir):
+    """The dimensions of confidence that evidence, dates and rules measure."""
+    out = E.confidence(patients(spark, sf_dir), _texts(spark, sf_dir), _NUMBERS, ["deathdate"], 1998)
+    return out.select(*[F.round(c, 6).alias(c) for c in ("plausible", "literature", "current", "consistent")])
+
+
 _STATS = """, s as (select avg(age) as m1, stddev_samp(age) as s1, avg(hospital_los_days) as m2, stddev_samp(hospital_los_days) as s2 from pt),
 d as (select greatest(0, 1 - 2 * avg(cast(abs(age - m1) > 4 * s1 or abs(hospital_los_days - m2) > 4 * s2 as double))) as clinical, avg(cast(abs(age - m1) <= 3 * s1 as double)) as plausible,
   1 - avg(cast(icu_los_days > hospital_los_days or (has_icu_stay = 1 and icu_los_days = 0) as double)) as consistent from pt, s)"""

@@ -114,6 +114,41 @@ def vector_index_topk(spark, sf_dir):
     return _index(spark, sf_dir).search(_twentieths(spark, sf_dir), 10, own=False)
 
 
+_IN = "vs where label in (1, 2, 3) qualify row_number() over (partition by query_id, label order by score desc, doc_id) <= 5"
+
+
+@query(f"{_COS} select query_id, doc_id, round(score, 5) as score, cast(label as varchar) as collection, row_number() over (partition by query_id order by score desc, doc_id) as rank from (select * from {_IN}) qualify rank <= 8")
+def multi_collection_topk(spark, sf_dir):
+    """The best of three collections' five best."""
+    rows, asked = _vectors(spark, sf_dir), _asked_vectors(spark, sf_dir)
+    found = {str(n): R.top_k(R.vector_scores(rows.where(F.col("label") == n), asked).withColumn("score", F.round("score", 9)), 5) for n in (1, 2, 3)}
+    return R.across_collections(found, 8).select("query_id", "doc_id", F.round("score", 5).alias("score"), "collection", F.col("rank").cast("bigint").alias("rank"))
+
+
+_RELEVANT = f"""{_COS}, r as (select query_id, doc_id, label, row_number() over (partition by query_id order by score desc, doc_id) as rank, score from vs qualify rank <= 10),
+x as (select query_id, doc_id, label, rank, case doc_id % 3 when 0 then null when 1 then score else 1 + abs(score) * 4 end as raw from r),
+v as (select *, coalesce(case when raw > 1 then 1 / (1 + raw) else greatest(least(raw, 1), 0) end, greatest(0, 1 - 0.1::double * (rank - 1))) as rel from x)"""
+
+
+def _relevant(spark, sf_dir):
+    """The ten best of each query; a third without a score, a third with a distance for one."""
+    rows = _vectors(spark, sf_dir)
+    top = R.top_k(R.vector_scores(rows, _asked_vectors(spark, sf_dir)).withColumn("score", F.round("score", 9)), 10).join(rows.select("doc_id", "label"), "doc_id")
+    raw = F.when(F.col("doc_id") % 3 == 1, F.col("score")).when(F.col("doc_id") % 3 == 2, 1 + F.abs("score") * 4)
+    return top.withColumn("relevance", R.relevance(raw, F.col("rank")))
+
+
+@query(f"{_RELEVANT} select query_id, doc_id, round(rel, 5) as relevance from v")
+def result_relevance(spark, sf_dir):
+    return _relevant(spark, sf_dir).select("query_id", "doc_id", F.round("relevance", 5).alias("relevance"))
+
+
+@query(f"{_RELEVANT} select query_id, round(greatest(least(0.5 * 0.6 + 0.3 * avg(rel) + least(0.05 * count(distinct label), 0.15) + least(count(*) / 20, 0.1), 1), 0), 5) as confidence from v group by 1")
+def enhanced_confidence(spark, sf_dir):
+    found = _relevant(spark, sf_dir).select("query_id", "relevance", F.col("label").alias("source"), F.lit(0.6).alias("base"))
+    return R.enhanced_confidence(found).withColumn("confidence", F.round("confidence", 5))
+
+
 _VQ = f"""{_BM}, kw as (select query_id, doc_id, round(score, 9) as score, {_TOP} as rank from bm qualify rank <= 20),
 e as (select vec_id as doc_id, embedding::double[] as v from embeddings), sem as (select case q.doc_id when 3 then 1 when 17 then 2 else 3 end as query_id, e.doc_id, round(list_cosine_similarity(q.v, e.v), 9) as score,
   row_number() over (partition by q.doc_id order by round(list_cosine_similarity(q.v, e.v), 9) desc, e.doc_id) as rank from e join e q on q.doc_id in (3, 17, 42) qualify rank <= 20)"""
