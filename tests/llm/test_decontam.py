@@ -67,3 +67,13 @@ def test_empty_tables(spark):
 
 def test_merged_spans():
     assert decontam.merge([5, 9, 0, 3, 8, 12, 3, 4]) == [(0, 4), (5, 12)]
+
+
+def test_clashing_names_and_bounded_residence(spark):
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in DOCS], "doc_id bigint, text string, N_HIT int, c0 int").repartition(2)
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    for block in (100, 1 << 24):
+        got = decontam.find_contamination(docs, items, keep=("doc_id", "N_HIT", "c0", "text"), block_bytes=block)
+        assert got.columns == ["doc_id", "c0", "text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
+        assert sorted([(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()], key=str) == brute(DOCS, ITEMS)
+        assert all(r.c0 == 2 for r in got.collect())
