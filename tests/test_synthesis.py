@@ -37,6 +37,8 @@ TABLE = [(12.706, 1, 0.05), (4.303, 2, 0.05), (2.571, 5, 0.05), (3.169, 10, 0.01
 def test_tails_against_published_tables_and_integration(spark):
     cases = [(t, float(df)) for t, df, _ in TABLE] + [(0.0, 7.0), (0.3, 19_999.0), (4.0, 19_999.0), (4.0, 20_001.0), (1.0, 1e7), (-2.0, 8.0), (30.0, 3.0)]
     rows = spark.createDataFrame(cases, "t double, df double").select("t", "df", quantiles.t_tail(F.col("t"), F.col("df")).alias("p"), quantiles.normal_two_sided(F.col("t")).alias("z")).collect()
+    none = spark.createDataFrame([(1.0, 0.0), (None, 0.0), (None, 5.0), (2.0, None)], "t double, df double").select(quantiles.t_tail(F.col("t"), F.col("df")).alias("p")).collect()
+    assert [r.p for r in none] == [None] * 4
     for r, (_, _, p) in zip(rows, TABLE):
         assert abs(r.p - p) < 5e-5  # the tables' points have four digits
     for r in rows:

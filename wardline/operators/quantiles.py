@@ -111,7 +111,7 @@ def incomplete_beta(a: Column, b: Column, x: Column, steps: int = 400) -> Column
 
 def t_tail(t: Column, df: Column) -> Column:
     """Two-sided probability of Student's t beyond |t|: exact up to 20000 degrees of freedom, then by a normal draw corrected to order 1/df (error below 1e-9)."""
-    t, df = t.cast("double"), df.cast("double")
+    t, df = t.cast("double"), F.when(df > 0, df.cast("double"))  # null without degrees of freedom
     exact = incomplete_beta(df / 2, F.lit(0.5), df / (df + t * t))
     near = F.abs(t) * (1 - 1 / (4 * df)) / F.sqrt(1 + t * t / (2 * df))
     return F.when(df <= 20_000, exact).otherwise(2 * (1 - normal_cdf(near)))

@@ -35,7 +35,7 @@ _MEANS = {"DIABETES": 62.0, "HYPERTENSION": 58.0, "CARDIOVASCULAR": 65.0, "RESPI
 _ROWS = " union all ".join(f"select '{c}' as condition, count(*) as n, avg(age) as mean, stddev_samp(age) as std, {m}::double as published from pt where list_contains(diagnoses, '{c}')" for c, m in _MEANS.items())
 
 
-@query(BASE + f""", f as (select *, (mean - published) / (std / sqrt(n)) as t, (n - 1)::double as df from ({_ROWS})), g as (select *, atan(abs(t) / sqrt(df)) as a, least(abs(t), 12) as b from f)
+@query(BASE + f""", f as (select *, (mean - published) / (std / sqrt(n)) as t, (n - 1)::double as df from ({_ROWS}) where n > 0), g as (select *, atan(abs(t) / sqrt(df)) as a, least(abs(t), 12) as b from f)
 select condition, n, round(t, 6) as t, round({_T}, 6) as p_student, round({_Z}, 6) as p_normal from g""")
 def tail_probabilities(spark, sf_dir):
     """Mean ages against published ones: two-sided tails of Student's t and of the normal distribution."""
