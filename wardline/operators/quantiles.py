@@ -70,7 +70,7 @@ def normal_cdf(z: Column) -> Column:
     far = F.greatest(x, F.lit(3.0))  # where the fraction counts, and never 0
     fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), far, lambda a, k: far + k / a)
     upper = F.when(x < 3, 0.5 - density * series).when(x < 39, density / fraction).otherwise(0.0)
-    return F.when(z < 0, upper).otherwise(1 - upper)
+    return F.when(z < 0, upper).when(z >= 0, 1 - upper)  # null for null
 
 
 #: Coefficients of Lanczos' approximation of the gamma function (g = 7, nine terms).
