@@ -327,6 +327,15 @@ def confidence_dimensions(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) for c in ("plausible", "literature", "current", "consistent")])
 
 
+@query("""select case p_partkey % 4 when 0 then 'pubmed' when 1 then 'who' when 2 then 'clinical_trials' else 'medical_news' end as source,
+  array_to_string(list_filter([case when count_if(p_partkey % 3 = 0) > 0 then 'DIABETES' end, case when count_if(p_partkey % 3 = 1) > 0 then 'HYPERTENSION' end, case when count_if(p_partkey % 2 = 0) > 0 then 'RENAL' end, case when count_if(p_partkey % 2 = 1) > 0 then 'SEPSIS' end], lambda x: x is not null), '|') as conditions,
+  65 as age_low, 100 as age_high, 0::bigint as factors from part group by 1""")
+def filters_from_texts(spark, sf_dir):
+    """What the texts of each source say to filter by."""
+    out = nl.from_documents(_texts(spark, sf_dir), "source")
+    return out.select("source", F.array_join("conditions", "|").alias("conditions"), "age_low", "age_high", F.size("factors").cast("bigint").alias("factors"))
+
+
 _STATS = """, s as (select avg(age) as m1, stddev_samp(age) as s1, avg(hospital_los_days) as m2, stddev_samp(hospital_los_days) as s2 from pt),
 d as (select greatest(0, 1 - 2 * avg(cast(abs(age - m1) > 4 * s1 or abs(hospital_los_days - m2) > 4 * s2 as double))) as clinical, avg(cast(abs(age - m1) <= 3 * s1 as double)) as plausible,
   1 - avg(cast(icu_los_days > hospital_los_days or (has_icu_stay = 1 and icu_los_days = 0) as double)) as consistent from pt, s)"""

@@ -262,6 +262,18 @@ def nl_parse(spark, sf_dir):
         F.col("p.icu").cast("string").alias("icu"), F.col("p.mortality").cast("string").alias("mortality"), "p.risk", "p.complexity", F.col("p.size").cast("string").alias("size"))
 
 
+@query(f"""select query_id, array_to_string(list_concat(list_transform(string_split(diagnoses, '+'), lambda d: case when d <> '' then 'Diagnosis: ' || d end), [case when age_low is not null then 'Age: ' || age_low || '-' || age_high end, 'Gender: ' || gender,
+  case when icu = 'true' then 'ICU Stay: Required' end, case mortality when 'true' then 'Mortality: Yes' when 'false' then 'Mortality: No' end, 'Risk Level: ' || risk]), '; ') as filters,
+  round(least((1 + cast(diagnoses <> '' as int) + cast(age_low is not null as int) + cast(gender is not null as int) + cast(icu is not null as int) + cast(mortality is not null as int) + cast(risk is not null as int) + cast(complexity is not null as int)) / 7, 1), 6) as confidence,
+  diagnoses <> '' or age_low is not null or gender is not null or risk is not null as complex from ({SQL["nl_parse"]})""")
+def request_filters(spark, sf_dir):
+    """What each request filters by, how much of it was recognised, and whether steps of reasoning can follow it."""
+    texts = spark.sql("select * from (with " + _TEXTS + " select * from texts)", customer=Views(spark, sf_dir).customer)
+    p = texts.select("query_id", nl.parsed(F.col("q")).alias("p"))
+    return p.select("query_id", F.array_join(nl.suggested_filters(F.col("p")), "; ").alias("filters"), F.round(nl.recognised(F.col("p")), 6).alias("confidence"), nl.is_complex(F.col("p")).alias("complex"))
+
+
+
 @query(BASE + """select gender, insurance, round(avg(age), 6) as mean_age, count(*) as n, grouping(gender) as g1, grouping(insurance) as g2 from pt group by cube (gender, insurance)""")
 def cube_demographics(spark, sf_dir):
     return patients(spark, sf_dir).cube("gender", "insurance").agg(

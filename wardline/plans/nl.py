@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import fixed
@@ -152,3 +152,46 @@ def enhanced(text: Column) -> Column:
             F.slice(F.flatten(F.transform(names, of(2, 99))), 1, 10).alias("concepts"), F.slice(F.flatten(F.transform(names, of(1, 3))), 1, 10).alias("expansions"), F.least(confidence, F.lit(1.0)).alias("confidence"))
 
     return F.element_at(F.transform(F.array(found), shaped), 1)
+
+
+def suggested_filters(p: Column) -> Column:
+    """array<string>: what a parsed description filters by, for showing."""
+    age = F.when(p["age_low"].isNotNull(), F.format_string("Age: %d-%d", p["age_low"], p["age_high"]))
+    return F.concat(F.transform(p["diagnoses"], lambda d: F.concat(F.lit("Diagnosis: "), d)), F.array_compact(F.array(
+        age, F.concat(F.lit("Gender: "), p["gender"]), F.when(p["icu"], "ICU Stay: Required"), F.when(p["mortality"].isNotNull(), F.concat(F.lit("Mortality: "), F.when(p["mortality"], "Yes").otherwise("No"))), F.concat(F.lit("Risk Level: "), p["risk"]))))
+
+
+def recognised(p: Column) -> Column:
+    """The share of seven kinds of filter that a parsed description has, the way conditions are joined counted always; at most 1."""
+    n = sum(((x.isNotNull()).cast("int") for x in (p["age_low"], p["gender"], p["icu"], p["mortality"], p["risk"], p["complexity"])), (F.size(p["diagnoses"]) > 0).cast("int"))
+    return F.least((n + 1) / 7, F.lit(1.0))
+
+
+def is_complex(p: Column) -> Column:
+    """Whether a parsed description says anything that reasoning in steps can follow: a condition, ages, a gender or a severity."""
+    return (F.size(p["diagnoses"]) > 0) | p["age_low"].isNotNull() | p["gender"].isNotNull() | p["risk"].isNotNull()
+
+
+# Words of retrieved texts that name a condition, and clinical factors.
+TEXT_CONDITIONS = ["diabetes", "cardiovascular", "hypertension", "renal", "respiratory", "sepsis", "neurological", "trauma", "cancer"]
+FACTORS = ["icu", "mortality", "severity", "risk", "comorbidity"]
+AGE_WORDS = ["age", "elderly", "young", "adult", "pediatric", "geriatric"]
+
+
+def from_documents(docs: DataFrame, by: str, order: str = "doc_id", text: str = "content") -> DataFrame:
+    """(by, conditions, age_low, age_high, factors): what the texts retrieved for each key say to filter by.
+
+    Conditions and factors are those of any text, in the order of their lists. Ages are those of the first text, by `order`, that
+    says any: figures after "age" (ten years on where there is one only), else 65 to 100 for elderly or geriatric
+    and 0 to 18 for young or pediatric. Null texts say nothing.
+    """
+    low = F.lower(F.coalesce(docs[text].cast("string"), F.lit("")))
+    any_of = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    pattern = r"age[ds]?\s*(\d+)\s*[-to]?\s*(\d+)?"
+    first, last = (F.nullif(F.regexp_extract(low, pattern, i), F.lit("")).try_cast("int") for i in (1, 2))
+    old, young = any_of(["elderly", "geriatric"]), any_of(["young", "pediatric"])
+    ages = F.when(any_of(AGE_WORDS), F.when(first.isNotNull(), F.struct(first.alias("low"), F.coalesce(last, first + 10).alias("high"))).when(old, F.struct(F.lit(65).alias("low"), F.lit(100).alias("high"))).when(young, F.struct(F.lit(0).alias("low"), F.lit(18).alias("high"))))
+    rows = docs.select(docs[by].alias(by), docs[order].alias("__order"), *[low.contains(w).alias(f"__{w}") for w in [*TEXT_CONDITIONS, *FACTORS]], ages.alias("__ages"))
+    one = rows.groupBy(by).agg(*[F.max(f"__{w}").alias(f"__{w}") for w in [*TEXT_CONDITIONS, *FACTORS]], F.min_by("__ages", F.when(F.col("__ages").isNotNull(), F.col("__order"))).alias("__ages"))
+    named = lambda words, shown: F.array_compact(F.array(*[F.when(F.col(f"__{w}"), shown(w)) for w in words]))
+    return one.select(by, named(TEXT_CONDITIONS, str.upper).alias("conditions"), F.col("__ages.low").alias("age_low"), F.col("__ages.high").alias("age_high"), named(FACTORS, str).alias("factors"))
