@@ -245,8 +245,9 @@ def repair(rows: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES
     this order. Null conversations are one conversation; nulls in roles and texts are one space; an
     empty table gives empty results.
     """
-    rows = rows.select(key_of("conv").alias("ck"), "conv", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
-    stats = cut(rows.groupBy("ck").agg(F.first("conv").alias("conv"), F.count("*").alias("n"), F.sum(F.octet_length("text") + F.octet_length("role") + 16).alias("bytes")))
+    kind = rows.schema["conv"].dataType
+    rows = rows.select(key_of("conv").alias("ck"), "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    stats = cut(rows.groupBy("ck").agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + F.octet_length("role") + 16).alias("bytes")))
     is_long = (F.col("n") > max_rows) | (F.col("bytes") > max_bytes)
     facts = stats.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count(F.when(is_long, 1)).alias("long"), F.coalesce(F.sum(F.when(is_long, F.greatest(F.col("n") / max_rows, F.col("bytes") / max_bytes))), F.lit(0.0)).alias("parts")).first()
     batches = max(1, -(-facts.bytes // batch_bytes))
@@ -267,7 +268,8 @@ def repair(rows: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES
         summary = summary.unionByName(ends.select("ck", *figures, F.lit(None).cast(_TURNS).alias("repaired")))
         turns = segments.groupBy("seg").cogroup(parts.select("ck", "seg", "s", "audit").groupBy("seg")).applyInArrow(_emit, turns.schema)
     gaps = F.coalesce(F.try_add(F.try_subtract("high", "low"), 1 - F.col("turns")), F.when(F.col("low").isNull(), 0).otherwise(F.lit((1 << 63) - 1)))
-    return summary.join(stats.select("ck", "conv"), "ck").select("ck", "conv", gaps.cast("bigint").alias("gaps"), *figures[:4], "cost", "audit", "repaired"), turns
+    conv = F.when(F.col("ck") != "", F.expr("substring(ck, 2)")).cast(kind)  # a key is its conversation's id as text, so no join brings it back
+    return summary.select("ck", conv.alias("conv"), gaps.cast("bigint").alias("gaps"), *figures[:4], "cost", "audit", "repaired"), turns
 
 
 def _cut_up(rows: DataFrame, parts: int) -> DataFrame:
