@@ -199,11 +199,13 @@ def _assembled(pieces: DataFrame, broken: DataFrame, columns: list[str]) -> Data
     """The records `broken` (file, at, to), parsed from all pieces between their offsets; a record's pieces meet in one row."""
     again = _placed(pieces.join(broken.select("file").distinct(), "file", "left_semi"))
     value = F.when(F.col("opens") & (F.col("start") > 0), F.concat(F.lit("WARC/1."), "value")).otherwise(F.col("value"))
-    starts = broken.select("file", F.when(F.col("at") == 0, 0).otherwise(F.col("at") + 7).alias("start"), F.struct("at", "to").alias("record"), F.lit(None).cast("string").alias("value"))
-    rows = again.select("file", "start", F.lit(None).cast(starts.schema["record"].dataType).alias("record"), value.alias("value")).unionByName(starts)
+    starts = broken.select("file", F.when(F.col("at") == 0, 0).otherwise(F.col("at") + 7).alias("start"), F.struct("at", "to").alias("record"))
+    # Which record a piece belongs to is found from offsets alone; the bytes are joined to it.
+    rows = again.select("file", "start", F.lit(None).cast(starts.schema["record"].dataType).alias("record")).unionByName(starts)
     earlier = Window.partitionBy("file").orderBy("start", F.col("record.at").asc_nulls_last())
-    parts = rows.withColumn("record", F.last("record", ignorenulls=True).over(earlier)).where("value is not null and start < record.to")
-    parts = parts.groupBy("file", F.col("record.at").alias("at")).agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("parts"))
+    owned = rows.withColumn("own", F.last("record", ignorenulls=True).over(earlier)).where("record is null and start < own.to").select("file", "start", F.col("own.at").alias("at"))
+    parts = owned.join(again.select("file", "start", value.alias("value")), ["file", "start"])
+    parts = parts.groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("parts"))
     fields = parsed(F.col("value"))
     parts = parts.select("file", "at", F.concat_ws(MAGIC, F.transform("parts", lambda p: p["value"])).alias("value"))
     return parts.select("file", "at", *[fields[c].alias(c) for c in columns[2:]])
