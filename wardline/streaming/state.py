@@ -20,7 +20,7 @@ _STORE = "spark.sql.streaming.stateStore.rocksdb"
 
 
 @contextmanager
-def keyed_store(spark: SparkSession, executor_mb: int = 256) -> Iterator[None]:
+def keyed_store(spark: SparkSession, executor_mb: int = 64) -> Iterator[None]:
     """Streams that start inside keep their state in RocksDB, whose caches and buffers share `executor_mb` of an executor's memory;
     the session's own settings come back afterwards."""
     wanted = {_PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{_STORE}.changelogCheckpointing.enabled": "true", f"{_STORE}.boundedMemoryUsage": "true", f"{_STORE}.maxMemoryUsageMB": str(executor_mb)}
