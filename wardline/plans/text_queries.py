@@ -117,7 +117,12 @@ def _chunks(spark, sf_dir, strategy):
     return P.chunked(Views(spark, sf_dir).documents, strategy).select("doc_id", "index", "content")
 
 
-@query()
+@query("""with recursive q as (select doc_id, parts, list_transform(parts, lambda x: length(x)) as l from (select doc_id,
+  list_filter(string_split(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as parts from documents where text <> '')),
+w as (select doc_id, cast(1 as bigint) as i, 0 as c, cast(1 as bigint) as lo, l[1] as n from q where len(l) > 0
+  union all select doc_id, i + 1, case when over then c + 1 else c end, case when over then k else lo end, case when over then cast(coalesce(list_sum(l[k:i]), 0) as bigint) + l[i + 1] else n + l[i + 1] end
+  from (select w.*, l, n + l[i + 1] > 1000 as over, case when n + l[i + 1] > 1000 then list_min(list_filter(range(lo, i + 2), lambda k: coalesce(list_sum(l[k:i]), 0) <= 200)) end as k from w join q using (doc_id) where i < len(l)))
+select doc_id, c as index, array_to_string(any_value(parts)[min(lo):max(i)], ' ') as content from w join q using (doc_id) group by doc_id, c""")
 def chunk_sentence(spark, sf_dir):
     return _chunks(spark, sf_dir, "sentence")
 
