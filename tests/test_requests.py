@@ -16,3 +16,14 @@ def test_filters_from_documents(spark):
     got = {r.q: tuple(r)[1:] for r in nl.from_documents(docs, "q").collect()}
     assert got["a"] == (["DIABETES", "RENAL", "SEPSIS"], 65, 100, ["mortality", "risk"]) and got["b"] == (["CANCER"], 40, 50, ["icu"])
     assert got["c"] == ([], None, None, []) and got["d"] == (["TRAUMA"], 0, 18, [])
+
+
+def test_the_best_chains_go_on(spark):
+    from wardline.operators import retrieval as R
+
+    links = [("a", f"n{i}", i / 10) for i in range(8)] + [(f"n{i}", f"m{j}", 0.1 * j) for i in range(8) for j in range(4)] + [("n7", "a", 1.0)]
+    frame, start = spark.createDataFrame(links, "src string, dst string, weight double"), spark.createDataFrame([("a",)], "topic string")
+    every = {tuple(r.path): r.confidence for r in R.hops(start, frame, 2).collect()}
+    assert len(every) == 8 + 32
+    best = {tuple(r.path): r.confidence for r in R.hops(start, frame, 2, width=3).collect()}
+    assert set(best) == {("a", "n7"), ("a", "n6"), ("a", "n5"), ("a", "n7", "m3"), ("a", "n7", "m2"), ("a", "n6", "m3")} and all(every[p] == c for p, c in best.items())

@@ -170,13 +170,18 @@ def generation_confidence(matched: Column, relevance: Column, hops: Column, rows
     return F.least(base * F.when(rows < 10, 0.8).otherwise(1.0), F.lit(1.0))
 
 
-def hops(start: DataFrame, links: DataFrame, steps: int = 3) -> DataFrame:
-    """(topic, step, path, confidence): chains over weighted links (src, dst, weight), without coming back; confidence is the mean weight."""
+def hops(start: DataFrame, links: DataFrame, steps: int = 3, width: int | None = None) -> DataFrame:
+    """(topic, step, path, confidence): chains over weighted links (src, dst, weight), without coming back; confidence is the mean weight.
+
+    All chains, so their number grows with the links of a node to the power of the steps; with `width` only
+    the best `width` of each topic go on from a step (by confidence, then path).
+    """
     last = start.select("topic", F.lit(0).alias("step"), F.array("topic").alias("path"), F.lit(0.0).alias("total"))
     out = last
     for k in range(1, steps + 1):
         step = last.join(links, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         last = step.select("topic", F.lit(k).alias("step"), F.array_append("path", F.col("dst")).alias("path"), (F.col("total") + F.col("weight")).alias("total"))
+        last = top_k(last, width, score="total", by="topic", tie="path").drop("rank") if width else last
         out = out.unionByName(last)
     return out.where("step > 0").select("topic", "step", "path", F.try_divide("total", "step").alias("confidence"))
 
