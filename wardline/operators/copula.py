@@ -41,6 +41,11 @@ class Copula:
         return np.linalg.cholesky(fixed * scale[:, None] * scale[None, :])
 
 
+def _numbers(values: list[float]) -> Column:
+    """An array of doubles, in one expression: a call for each would take seconds."""
+    return F.expr("array(" + ",".join(f"{float(v)!r}D" for v in values) + ")")
+
+
 def _scores(steps: int) -> list[float]:
     """Normal scores of the middle of a value that `i` grid values are less than or equal to and `j` less than, by i + j."""
     normal = NormalDist()
@@ -50,10 +55,10 @@ def _scores(steps: int) -> list[float]:
 def _score(m: Marginal) -> Column:
     """The normal score of a row's value, by the middle of its share of the distribution; null for null."""
     if m.upto is None:
-        grid, value = F.array(*[F.lit(float(v)) for v in m.values]), F.col(m.name).cast("double")
+        grid, value = _numbers(m.values), F.col(m.name).cast("double")
         bits = len(m.values).bit_length()
         place = below(grid, value, bits) + below(grid, value, bits, equal=True)
-        return F.when(value.isNotNull(), F.get(F.array(*[F.lit(s) for s in _scores(len(m.values) - 1)]), place))
+        return F.when(value.isNotNull(), F.get(_numbers(_scores(len(m.values) - 1)), place))
     normal, starts = NormalDist(), [0.0, *m.upto[:-1]]
     middles = [x for v, a, b in zip(m.values, starts, m.upto, strict=True) for x in (F.lit(v), F.lit(normal.inv_cdf(min(max((a + b) / 2, 1e-9), 1 - 1e-9))))]
     return F.try_element_at(F.create_map(*middles), F.col(m.name).cast("string"))
@@ -124,14 +129,14 @@ def _drawn(m: Marginal, u: Column, gone: Column) -> Column:
         return F.lit(None).cast(m.kind)
     if m.upto is None:
         steps = len(m.values) - 1
-        grid, at = F.array(*[F.lit(float(v)) for v in m.values]), u * steps
+        grid, at = _numbers(m.values), u * steps
         if m.kind in ("double", "float") or m.kind.startswith("decimal"):
             low, high = F.get(grid, F.floor(at).cast("int")), F.get(grid, F.least(F.floor(at) + 1, F.lit(steps)).cast("int"))
             value = low + (high - low) * (at - F.floor(at))
         else:
             value = F.get(grid, F.floor(at + 0.5).cast("int"))
     else:
-        ladder = F.array(*[F.lit(x) for x in m.upto])
+        ladder = _numbers(m.upto)
         value = F.get(F.array(*[F.lit(v) for v in m.values]), F.least(below(ladder, u, len(m.upto).bit_length(), equal=True), F.lit(len(m.values) - 1)))
     return F.when(~gone, value).cast(m.kind)
 

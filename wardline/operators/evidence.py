@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators import validation as V
+from wardline.operators.constraints import Constraint
 from wardline.operators.quantiles import normal_two_sided
 
 # Words by which a text supports a condition or an age group.
@@ -288,3 +289,9 @@ def confidence(rows: DataFrame, docs: DataFrame, columns: list[str], dates: list
         F.when(F.col("clinical") < 0.6, "review values against clinical ranges"), F.when(F.col("plausible") < 0.6, "check for collapsed distributions"), F.when(F.col("literature") < 0.5, "retrieve more reference documents"),
         F.when(F.col("consistent") < 0.7, "verify relationships between fields")))
     return out.withColumn("level", level).withColumn("recommendations", advice)
+
+
+def constraints_of(docs: DataFrame, asked: tuple[str, ...] = (), confidence: float = 0.7) -> tuple[Constraint, ...]:
+    """Constraints on has_ columns from what texts state: the mean share of each standard condition that they state (seven at most), but those `asked` for."""
+    found = prevalences(docs).groupBy("condition").agg(F.avg("rate").alias("rate"), F.min("source").alias("source")).orderBy("condition").collect()
+    return tuple(Constraint(r.condition.lower(), f"has_{r.condition.lower()}", "distribution", share=r.rate, source=r.source or "", confidence=confidence) for r in found if r.condition not in asked)

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from wardline.operators import constraints as K
 from wardline.operators import copula
+from wardline.operators import evidence as E
 from wardline.operators import sampling as S
 from wardline.operators import validation as V
 from wardline.operators.quantiles import exact_quantiles, normal_two_sided, t_tail
+from wardline.plans import alignment_queries
 from wardline.plans.base_sql import BASE
 from wardline.plans.etl_queries import patients
 from wardline.plans.registry import registry
@@ -90,3 +92,22 @@ def generated_cohort(spark, sf_dir):
     model = copula.fit(rows, ["age", "hospital_los_days", "icu_los_days", "num_procedures", "num_medications"], ["gender", "insurance", "mortality", "has_diabetes", "has_sepsis"])
     asked = (F.col("age") >= 65) & (F.col("gender") == "f") & (F.col("has_diabetes") == 1)
     return K.generate(spark, model, rows.count(), asked, K.PUBLISHED, finish=S.clinically_constrained)
+
+
+_ASKED_FOR = "DIABETES"
+
+
+@query("with " + alignment_queries._STATED + f""", e as (select condition, avg(rate) as expected from stated where condition <> '{_ASKED_FOR}' group by 1)
+select condition, round(expected, 6) as expected, true as within from e union all select '{_ASKED_FOR}', 1.0::double, true union all select 'n', 4000.0::double, true""")
+def guided_cohort(spark, sf_dir):
+    """4000 patients with diabetes from the copula, whose other conditions come as often as texts state (within .03)."""
+    rows = S.training_features(patients(spark, sf_dir))
+    flags = ["has_diabetes", "has_hypertension", "has_renal", "has_sepsis"]
+    model = copula.fit(rows, ["age", "hospital_los_days", "icu_los_days"], ["gender", *flags])
+    stated = E.constraints_of(alignment_queries._texts(spark, sf_dir), (_ASKED_FOR,))
+    out = K.generate(spark, model, 4000, F.col("has_diabetes") == 1, (*K.PUBLISHED, *stated), finish=S.clinically_constrained)
+    one = out.agg(F.count("*").alias("n"), *[F.avg(f).alias(f) for f in flags])
+    wanted = {"has_diabetes": 1.0} | {c.field: c.share for c in stated}
+    checks = [F.struct(F.lit(f.removeprefix("has_").upper()).alias("condition"), F.lit(float(v)).alias("expected"), (F.abs(F.col(f) - v) <= 0.03).alias("within")) for f, v in wanted.items()]
+    checks.append(F.struct(F.lit("n").alias("condition"), F.lit(4000.0).alias("expected"), (F.col("n") == 4000).alias("within")))
+    return one.select(F.explode(F.array(*checks)).alias("c")).select("c.condition", F.round("c.expected", 6).alias("expected"), "c.within")
