@@ -198,13 +198,14 @@ def fit(samples: DataFrame, strength: float = 4.0, backoff: float = 0.3) -> list
 def calibrated(model: list[int], held: DataFrame, threshold: int = 1500) -> list[int]:
     """The model moved so that `threshold` divides the held-out tokens (value, label) best: the mean ratio per transition
     at which as few as can be of either label, each by its share, are on the wrong side, in steps of 25 thousandths; the middle of equal ones."""
-    mean = held.where(F.length("value") >= 20).select("label", (ratio(F.col("value"), model) / (F.length("value") - 1)).alias("mean"))
+    mean = ratio(F.col("value"), model) / (F.length("value") - 1)
+    cells = held.where(F.length("value") >= 20).select("label", F.ceil(mean / 25).alias("cell")).groupBy("label", "cell").count().collect()
     steps = list(range(-2000, 4001, 25))
-    one = mean.groupBy("label").agg(F.count("*").alias("n"), *[F.count_if(F.col("mean") > s).alias(f"s{i}") for i, s in enumerate(steps)]).collect()
-    if len(one) < 2:
+    total = {y: sum(r["count"] for r in cells if r.label == y) for y in (0, 1)}
+    if not all(total.values()):
         return model
-    by = {r.label: r for r in one}
-    wrong = [by[0][f"s{i}"] / by[0].n + 1 - by[1][f"s{i}"] / by[1].n for i in range(len(steps))]
+    over = lambda y, s: sum(r["count"] for r in cells if r.label == y and 25 * (r.cell - 1) >= s) / total[y]
+    wrong = [over(0, s) + 1 - over(1, s) for s in steps]
     best = [s for s, w in zip(steps, wrong, strict=True) if w <= min(wrong) + 1e-12]
     return [v + threshold - best[len(best) // 2] for v in model]
 
