@@ -1,6 +1,7 @@
 import math
 import random
 import statistics
+import time
 
 import numpy as np
 import pytest
@@ -130,6 +131,26 @@ def test_refill_until_enough_rows_are_kept(spark, source):
     assert K.generate(spark, model, 0).count() == 0
 
 
+def test_rare_rows_are_drawn_once_and_fast(spark, source, monkeypatch):
+    model, asked, plain = copula.fit(source, ["x", "k"], ["level"]), [], copula.sample
+    monkeypatch.setattr(copula, "sample", lambda spark, model, n, seed="copula", start=0: (asked.append((start, n)), plain(spark, model, n, seed, start))[1])
+    began = time.time()
+    rare = (F.col("level") == "high") & (F.col("k") >= 9)
+    rows = K.generate(spark, model, 4000, rare).collect()
+    took = time.time() - began
+    assert len({r.synthetic_id for r in rows}) == len(rows) == 4000 and {r.replica for r in rows} == {0}
+    rounds = asked[:-2]  # then the block of the last row, and the rows themselves
+    assert len(rounds) > 1 and all(a + n == b for (a, n), (b, _) in zip(rounds, rounds[1:]))
+    first = sorted(r.synthetic_id for r in plain(spark, model, asked[-1][1], "generate").where(rare).collect())[:4000]
+    assert sorted(r.synthetic_id for r in rows) == first and asked[-1][1] > 100_000 and took < 30
+
+
+def test_repeats_are_dealt_in_turn(spark, source):
+    model = copula.fit(source, ["x"], ["level"])
+    got = sorted((r.replica, r.synthetic_id) for r in K.generate(spark, model, 17, F.col("synthetic_id") < 5, rounds=1).collect())
+    assert got == [(k, i) for k in range(3) for i in range(5)] + [(3, 0), (3, 1)]
+
+
 def test_inverse_normal(spark):
     ps = [1e-9, 0.001, 0.02, 0.03, 0.3, 0.5, 0.9, 0.98, 0.9999]
     got = spark.createDataFrame([(p,) for p in ps], "p double").select(K.normal_inverse(F.col("p")).alias("z")).collect()

@@ -163,29 +163,49 @@ def typicality(rows: DataFrame, constraints: tuple[Constraint, ...] = PUBLISHED)
     return rows.agg(*one).select(F.explode(F.array(*found)).alias("r")).select("r.*")
 
 
+#: Blocks of a round of drawing, at most: the driver gets a count of each.
+BLOCKS = 1000
+
+
 def generate(
     spark: SparkSession, model: copula.Copula, n: int, keep: Column | None = None, constraints: tuple[Constraint, ...] = (),
     finish: Callable[[DataFrame], DataFrame] = lambda rows: rows, multiplier: int = 2, rounds: int = 5, seed: str = "generate",
 ) -> DataFrame:
     """`n` rows drawn from the model of which `keep` holds, under the constraints, then finished.
 
-    Rows are numbered and keyed, so a longer draw begins with the shorter one: each round counts what is kept
-    of `multiplier` times as many as are missing, by the share kept so far, and draws on if they are too few.
+    Rows are numbered and keyed, so a longer draw begins with the shorter one: each round draws on by as many
+    as are missing, by the share kept so far (at first `multiplier` times `n`), and counts what is kept by
+    block of numbers. The number of the last row asked for is looked up in its block, so that nothing is sorted.
     After `rounds` rounds the rows kept repeat, in turn (column `replica`, from 0); with none kept the
     result is empty.
     """
     kept = (lambda rows: rows.where(keep)) if keep is not None else (lambda rows: rows)
-    drawn, have = n * multiplier, 0
-    for _ in range(rounds):
-        have = kept(copula.sample(spark, model, drawn, seed)).count()
-        if have >= n or n == 0:
+    blocks: list[tuple[int, int, int]] = []  # start, size and rows kept
+    drawn, more, have = 0, n * multiplier, 0
+    for _ in range(rounds if n else 0):
+        size = max(1, -(-more // BLOCKS))
+        found = kept(copula.sample(spark, model, more, seed, drawn)).groupBy(F.floor((F.col("synthetic_id") - drawn) / size).alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()
+        blocks += [(drawn + r.b * size, min(size, more - r.b * size), r.n) for r in found]
+        drawn, have = drawn + more, sum(k for _, _, k in blocks)
+        if have >= n:
             break
-        drawn += max(n, math.ceil((n - have) * drawn / max(have, 1) * 1.2)) if have else drawn * 2
-    rows = kept(copula.sample(spark, model, drawn, seed)).orderBy("synthetic_id").limit(min(n, max(have, 0)))
-    rows = finish(applied(rows, constraints, seed=seed))
-    copies = -(-n // have) if have else 1
-    rows = rows.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return rows.orderBy("replica", "synthetic_id").limit(n) if copies > 1 else rows
+        more = max(n, math.ceil((n - have) * drawn / have * 1.2)) if have else drawn * 2
+
+    def last(k: int) -> int:
+        """The number of the k-th row kept."""
+        for start, size, here in blocks:
+            if k <= here:
+                return kept(copula.sample(spark, model, size, seed, start)).select("synthetic_id").orderBy("synthetic_id").limit(k).agg(F.max("synthetic_id")).first()[0]
+            k -= here
+        raise LookupError("fewer rows are kept")
+
+    whole, rest = divmod(n, have) if have else (0, 0)
+    end = 0 if not have else last(n) + 1 if have >= n else drawn
+    rows = finish(applied(kept(copula.sample(spark, model, end, seed)), constraints, seed=seed))
+    if whole == 0 or (whole, rest) == (1, 0):
+        return rows.withColumn("replica", F.lit(0))
+    copies = F.lit(whole) if not rest else F.when(F.col("synthetic_id") <= last(rest), whole + 1).otherwise(whole)
+    return rows.withColumn("replica", F.explode(F.sequence(F.lit(0), copies - 1)))
 
 
 def share_below(rows: DataFrame, column: str, at: list[float], mean: float, std: float, low: float, high: float) -> DataFrame:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from wardline.functions import clinical as C
-from wardline.operators import sampling
-from wardline.operators.quantiles import below, exact_quantiles, normal_cdf
+from wardline.operators.quantiles import below, exact_quantiles
 
 
 @dataclass
@@ -99,8 +101,11 @@ def fit(rows: DataFrame, numeric: list[str], categorical: list[str], steps: int
             quantiles.setdefault(r.column, {})[r.prob] = r.value
     for c in numeric:
         marginals.append(Marginal(c, rows.schema[c].dataType.simpleString(), [v for _, v in sorted(quantiles.get(c, {}).items())], None, nulls[c]))
-    for c in categorical:
-        levels = rows.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n")).orderBy("v").limit(most_levels + 1).collect()
+    stacked = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(categorical)])
+    counted = rows.select(F.explode(stacked).alias("x")).where("x.v is not null").groupBy("x.i", "x.v").agg(F.count("*").alias("n")) if categorical else None
+    first = counted.withColumn("place", F.row_number().over(Window.partitionBy("i").orderBy("v"))).where(F.col("place") <= most_levels + 1).orderBy("i", "v").collect() if categorical else []
+    for i, c in enumerate(categorical):
+        levels = [r for r in first if r.i == i]
         if len(levels) > most_levels:
             raise ValueError(f"{c} has over {most_levels} levels")
         counts = np.cumsum([r.n for r in levels])
@@ -123,39 +128,51 @@ def fit(rows: DataFrame, numeric: list[str], categorical: list[str], steps: int
     return Copula(marginals, matrix)
 
 
-def _drawn(m: Marginal, u: Column, gone: Column) -> Column:
-    """The value at probability `u`, null where `gone` is."""
-    if not m.values:
-        return F.lit(None).cast(m.kind)
-    if m.upto is None:
-        steps = len(m.values) - 1
-        grid, at = _numbers(m.values), u * steps
-        if m.kind in ("double", "float") or m.kind.startswith("decimal"):
-            low, high = F.get(grid, F.floor(at).cast("int")), F.get(grid, F.least(F.floor(at) + 1, F.lit(steps)).cast("int"))
-            value = low + (high - low) * (at - F.floor(at))
-        else:
-            value = F.get(grid, F.floor(at + 0.5).cast("int"))
-    else:
-        ladder = _numbers(m.upto)
-        value = F.get(F.array(*[F.lit(v) for v in m.values]), F.least(below(ladder, u, len(m.upto).bit_length(), equal=True), F.lit(len(m.values) - 1)))
-    return F.when(~gone, value).cast(m.kind)
+def _uniform(ids: np.ndarray, salt: str) -> np.ndarray:
+    """Numbers in (0, 1), one for each id and salt: SplitMix64 of the id, from a start that is the salt's md5."""
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int(hashlib.md5(salt.encode()).hexdigest()[:16], 16))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """`rows`, whose columns are computed before what comes after: filters and later columns don't repeat the expressions."""
-    return rows.select(F.explode(F.array(F.struct("*"))).alias("r")).select("r.*")
+def _drawn(m: Marginal, z: np.ndarray, gone: np.ndarray) -> pa.Array:
+    """The values at normal scores, null where `gone` is: doubles of a numeric column, texts of a categorical one."""
+    kind = pa.float64() if m.upto is None else pa.string()
+    if not m.values:
+        return pa.nulls(len(z), kind)
+    u = np.fromiter(map(math.erfc, (z / -math.sqrt(2)).tolist()), np.float64, len(z)) / 2
+    if m.upto is not None:
+        place = np.minimum(np.searchsorted(m.upto, u, side="right"), len(m.values) - 1)
+        return pa.array(m.values, kind).take(pa.array(place, mask=gone))
+    grid, at = np.array(m.values, np.float64), u * (len(m.values) - 1)
+    if m.kind in ("double", "float") or m.kind.startswith("decimal"):
+        low = np.floor(at).astype(np.int64)
+        value = grid[low] + (grid[np.minimum(low + 1, len(grid) - 1)] - grid[low]) * (at - low)
+    else:
+        value = grid[np.floor(at + 0.5).astype(np.int64)]
+    return pa.array(value, kind, mask=gone)
 
 
 def sample(spark: SparkSession, model: Copula, n: int, seed: str = "copula", start: int = 0, key: str = "synthetic_id") -> DataFrame:
     """`n` rows (key, the model's columns), numbered from `start`; every row's draws are keyed by its number, so any part can be drawn again.
 
     Numbers of fractional columns lie between neighbouring quantiles, others are values of the source. No
-    shuffle: each row is drawn by itself from its number and the seed.
+    shuffle: each row is drawn from its number and the seed, in Arrow batches.
     """
-    factor = model.factor()
-    size = len(model.marginals)
-    ids = spark.range(start, start + n).withColumnRenamed("id", key)
-    draws = _once(ids.select(key, *[sampling.normal(F.col(key), f"{seed}:{j}").alias(f"e{j}") for j in range(size)]))
-    joined = _once(draws.select(key, *[normal_cdf(sum((float(factor[i, j]) * F.col(f"e{j}") for j in range(1, i + 1) if factor[i, j] != 0.0), float(factor[i, 0]) * F.col("e0"))).alias(f"u{i}") for i in range(size)]))
-    gone = [C.keyed_uniform(F.col(key), f"{seed}:null{i}") < m.nulls if m.nulls > 0 else F.lit(False) for i, m in enumerate(model.marginals)]
-    return _once(joined.select(key, *[_drawn(m, F.col(f"u{i}"), gone[i]).alias(m.name) for i, m in enumerate(model.marginals)]))
+    factor, marginals = model.factor(), model.marginals
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            radius = lambda j: np.sqrt(-2 * np.log(_uniform(ids, f"{seed}:{j}:radius")))  # noqa: E731, B023
+            normal = np.array([radius(j) * np.cos(2 * math.pi * _uniform(ids, f"{seed}:{j}:angle")) for j in range(len(marginals))])
+            columns = []
+            for i, m in enumerate(marginals):
+                gone = _uniform(ids, f"{seed}:null{i}") < m.nulls if m.nulls > 0 else np.zeros(len(ids), bool)
+                columns.append(_drawn(m, factor[i, : i + 1] @ normal[: i + 1], gone))
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[f"c{i}" for i in range(len(columns) + 1)])
+
+    kinds = ["c0 bigint", *[f"c{i} {'double' if m.upto is None else 'string'}" for i, m in enumerate(marginals, 1)]]
+    drawn = spark.range(start, start + n).mapInArrow(draw, ", ".join(kinds))
+    return drawn.select(F.col("c0").alias(key), *[F.col(f"c{i}").cast(m.kind).alias(m.name) for i, m in enumerate(marginals, 1)])
