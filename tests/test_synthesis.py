@@ -31,6 +31,18 @@ def test_quantiles_equal_sorted_values(spark):
     assert quantiles.exact_quantiles(frame.where("false"), ["x"], probs).collect() == []
 
 
+def test_quantiles_do_not_depend_on_how_approximate_percentiles_merge(spark, monkeypatch):
+    plain = F.percentile_approx
+    moved = F.udf(lambda cuts: [c + random.uniform(-50, 50) for c in cuts], "array<double>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: moved(plain(*a)))
+    rows = spark.range(3000).select((F.col("id") * 7 % 3000).cast("double").alias("x"), (F.col("id") % 2).alias("g"))
+    got = {(r.column, r.v): (r.n, r.before) for r in quantiles.ranked_values(rows, ["x"]).collect()}
+    assert got == {("x", float(v)): (1, v) for v in range(3000)}
+    found = {(r.group, r.prob): r.value for r in quantiles.exact_quantiles(rows, ["x"], [0.0, 0.5, 1.0], by="g").collect()}
+    assert found == {("0", 0.0): 0.0, ("0", 0.5): 1499.0, ("0", 1.0): 2998.0, ("1", 0.0): 1.0, ("1", 0.5): 1500.0, ("1", 1.0): 2999.0}
+    assert [r.ks for r in V.ks_statistic(rows, rows, ["x"]).collect()] == [0.0]
+
+
 #: Published two-sided tail areas: t, degrees of freedom, p.
 TABLE = [(12.706, 1, 0.05), (4.303, 2, 0.05), (2.571, 5, 0.05), (3.169, 10, 0.01), (2.086, 20, 0.05), (2.750, 30, 0.01), (1.980, 120, 0.05), (2.617, 120, 0.01)]
 

@@ -31,7 +31,8 @@ def ranked_values(rows: DataFrame, columns: list[str], by: str | None = None) ->
     long = rows.select(group.alias("group"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x"))
     values = long.select("group", "x.column", "x.v").where("v is not null and not isnan(v)").groupBy("group", "column", "v").agg(F.count("*").alias("n"))
     keys = ["group", "column"]
-    cuts = values.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx("v", [i / 256 for i in range(1, 256)], 2048))).alias("cuts"), F.sum("n").alias("total"))
+    # Approximate percentiles depend on the order of merging: both sides below have to get the same, so they are found once.
+    cuts = values.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx("v", [i / 256 for i in range(1, 256)], 2048))).alias("cuts"), F.sum("n").alias("total")).localCheckpoint()
     small = F.broadcast(cuts) if by is None or cuts.count() <= FEW else cuts
     same = F.col("v.group").eqNullSafe(F.col("c.group")) & (F.col("v.column") == F.col("c.column"))
     placed = values.alias("v").join(small.alias("c"), same).select("v.group", "v.column", "v.v", "v.n", "c.total", below("c.cuts", "v.v").alias("part"))

@@ -246,7 +246,7 @@ def ks_statistic(real: DataFrame, other: DataFrame, columns: list[str]) -> DataF
         return long.groupBy("column", "v").agg(F.count("*").alias("n")).select("column", "v", F.when(F.lit(which) == 0, F.col("n")).otherwise(0).alias("a"), F.when(F.lit(which) == 1, F.col("n")).otherwise(0).alias("b"))
 
     values = counted(real, 0).unionByName(counted(other, 1)).groupBy("column", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    cuts = values.groupBy("column").agg(F.array_distinct(F.percentile_approx("v", [i / 256 for i in range(1, 256)], 2048)).alias("cuts"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    cuts = values.groupBy("column").agg(F.array_distinct(F.percentile_approx("v", [i / 256 for i in range(1, 256)], 2048)).alias("cuts"), F.sum("a").alias("na"), F.sum("b").alias("nb")).localCheckpoint()  # found once: they depend on the order of merging
     placed = values.join(F.broadcast(cuts), "column")  # one row a column
     halves = F.array(*[F.lit(1 << k) for k in range(7, -1, -1)])  # a binary search for the number of cuts below the value
     part = F.aggregate(halves, F.lit(0), lambda at, half: at + F.when(F.get("cuts", at + half - 1) < F.col("v"), half).otherwise(0))
