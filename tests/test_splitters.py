@@ -1,7 +1,9 @@
 import random
 import re
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from wardline.functions import splitters as P
@@ -112,6 +114,22 @@ def test_the_dispatcher(spark):
             P.chunked(docs, **bad)
 
 
+def test_chunks_go_on_in_small_batches(spark, monkeypatch):
+    docs, held = spark.createDataFrame([], "doc_id long, text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: (held.append(f), self.sparkSession.createDataFrame([], schema))[1])
+    P.chunked(docs, "sentence")
+    texts = [f"Sentence {i} is here. " * 1000 for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    rows = sizes = 0
+    for out in held[0](iter([batch])):
+        rows, sizes = rows + len(out), max(sizes, out.nbytes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 20_000_000 and sizes < 2 * P.BATCH and peak < 6 * P.BATCH
+    assert rows == sum(len(P.by_sentence(t, 1000, 200)) for t in texts)
+
+
 def brute_spans(text, terms, words):
     """All places and terms by plain comparison, then the longest from the left."""
     low, out, at = D._lowered(text), [], 0

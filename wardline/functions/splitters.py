@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import re
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,8 @@ from wardline.functions.text import snapped
 #: Separators of the recursive splitter in order, and what begins a section.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 SECTION = r"\n(?=[A-Z][^a-z]*:|\d+\.\s|#{1,6}\s|[A-Z]{2,})"
+#: Characters of chunks that go on together, about.
+BATCH = 1 << 20
 _HEADER = re.compile(r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$", re.M)
 
 
@@ -143,8 +146,9 @@ STRATEGIES = {"fixed": by_window, "sentence": by_sentence, "paragraph": by_parag
 def chunked(docs: DataFrame, strategy: str = "fixed", size: int = 1000, overlap: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, index, total, chunk_id, titles, content) of every chunk of every text by one of STRATEGIES; null and empty texts have none.
 
-    `titles` is empty but for "header". Other columns are not read. Any whole text is in one Arrow row;
-    `overlap` has to be less than `size`.
+    `titles` is empty but for "header". Other columns are not read. Texts are taken from an Arrow batch one by
+    one, and their chunks handed on in batches of about BATCH characters, so Python holds one text's chunks
+    and little more beside the batch. `overlap` has to be less than `size`.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"no strategy {strategy}: one of {', '.join(STRATEGIES)}")
@@ -152,11 +156,28 @@ def chunked(docs: DataFrame, strategy: str = "fixed", size: int = 1000, overlap:
         raise ValueError("the overlap has to be less than the size")
     split = STRATEGIES[strategy]
 
-    @F.pandas_udf(T._parse_datatype_string("array<struct<titles: array<string>, content: string>>"))
-    def cut(texts: pd.Series) -> pd.Series:
-        pairs = lambda t: split(t, size, overlap) if strategy == "header" else [([], c) for c in split(t, size, overlap)]
-        return pd.Series([[{"titles": a, "content": c} for a, c in pairs(t)] if t else [] for t in texts])
-
-    rows = docs.select(docs[key].alias(key), cut(docs[text].cast("string")).alias("chunks"))
-    rows = rows.select(key, F.size("chunks").alias("total"), F.posexplode("chunks").alias("index", "c"))
-    return rows.select(key, "index", "total", F.concat(F.col(key).cast("string"), F.lit("_chunk_"), F.col("index")).alias("chunk_id"), "c.titles", "c.content")
+    pairs = (lambda t: split(t, size, overlap)) if strategy == "header" else (lambda t: (([], c) for c in split(t, size, overlap)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, held, rows = b.column(1), 0, []
+
+            def made() -> pa.RecordBatch:
+                at, *columns = zip(*rows, strict=True)  # noqa: B023
+                kinds = (pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string())
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["key", "index", "total", "titles", "content"])  # noqa: B023
+
+            for at in range(len(texts)):
+                chunks = list(pairs(t)) if (t := texts[at].as_py()) else []
+                for index, (titles, content) in enumerate(chunks):
+                    rows.append((at, index, len(chunks), titles, content))
+                    held += len(content) + 100
+                    if held > BATCH:
+                        yield made()
+                        held, rows = 0, []
+            if rows:
+                yield made()
+
+    schema = T.StructType([T.StructField("key", docs.select(docs[key]).schema[0].dataType), *T._parse_datatype_string("index int, total int, titles array<string>, content string").fields])
+    out = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).mapInArrow(cut, schema)
+    return out.select(F.col("key").alias(key), "index", "total", F.concat(F.col("key").cast("string"), F.lit("_chunk_"), F.col("index")).alias("chunk_id"), "titles", "content")
