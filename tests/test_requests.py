@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from wardline.plans import nl
@@ -27,3 +29,16 @@ def test_the_best_chains_go_on(spark):
     assert len(every) == 8 + 32
     best = {tuple(r.path): r.confidence for r in R.hops(start, frame, 2, width=3).collect()}
     assert set(best) == {("a", "n7"), ("a", "n6"), ("a", "n5"), ("a", "n7", "m3"), ("a", "n7", "m2"), ("a", "n6", "m3")} and all(every[p] == c for p, c in best.items())
+
+
+def test_enhanced_requests_are_spread_and_keep_the_first_word(spark, sf):
+    from wardline.functions import fixed
+    from wardline.plans import catalog
+
+    assert catalog.queries()["enhanced_requests"](spark, sf).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    texts = [" and ".join(ws) for words, _, _ in fixed.MEDICAL_TERMS.values() for ws in (words[-1:], words[-1:] + words[:3], words[2:4][::-1])] + ["diabetess", "", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, q string").select("i", nl.enhanced(F.col("q")).alias("p")).collect()
+    named = lambda w, t: re.search(rf"\b(?:{w})\b", t)
+    for r in got:
+        first = {n: next((w for w in words if named(w, texts[r.i] or "")), None) for n, (words, _, _) in fixed.MEDICAL_TERMS.items()}
+        assert [(e.condition, e.confidence) for e in r.p.entities] == [(n, 0.9 if len(w) > 3 else 0.7) for n, w in first.items() if w]

@@ -483,5 +483,6 @@ select request_id, array_to_string(list_transform(e, lambda x: x.c), '|') as con
 def enhanced_requests(spark, sf_dir):
     """Requests read with the full vocabulary: conditions with their confidence, ages in five forms or by group, gender, setting, what the conditions may bring."""
     said = spark.sql("with " + _SAID + " select * from said", customer=Views(spark, sf_dir).customer)
+    said = said.repartition(4 * spark.sparkContext.defaultParallelism)  # a file of few bytes is few tasks, and a row takes long
     p = said.select("request_id", nl.enhanced(F.col("t")).alias("p")).select("request_id", "p.*")
     return p.select("request_id", F.array_join("conditions", "|").alias("conditions"), "age_low", "age_high", "gender", "setting", F.array_join("concepts", "|").alias("concepts"), F.round("confidence", 6).alias("confidence"))
