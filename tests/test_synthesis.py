@@ -173,3 +173,9 @@ def test_typicality(spark):
     rows = spark.createDataFrame([(40, 1, 1, 1), (30, 1, 0, 0), (20, 0, 1, 0), (90, 0, 1, 1)], "age int, has_diabetes int, has_sepsis int, mortality int")
     got = {(r.topic, r.field): r for r in K.typicality(rows).collect()}
     assert got["diabetes", "age"].typical == 0.5 and got["diabetes", "age"]["shift"] == 35 - 45 and math.isclose(got["sepsis", "mortality"].ones, 2 / 3) and got["sepsis", "mortality"].ones_ok is False
+
+
+def test_fidelity_reads_the_patients_once(spark, sf):
+    from wardline.plans import catalog
+
+    assert "parquet" not in catalog.queries()["copula_fidelity"](spark, sf)._jdf.queryExecution().executedPlan().toString()

@@ -56,7 +56,7 @@ _BOUNDS = " union all ".join([f"""select 'ks' as measure, '{c}' as "column", cou
 @query(BASE + f"select * from ({_BOUNDS})")
 def copula_fidelity(spark, sf_dir):
     """As many rows as patients, at least 5000, drawn from their copula: whether KS and total variation stay within .05, and the correlations' similarity over .95."""
-    rows = patients(spark, sf_dir).select("patient_id", *_NUMERIC, *_CATEGORICAL)
+    rows = patients(spark, sf_dir).select("patient_id", *_NUMERIC, *_CATEGORICAL).localCheckpoint()  # read some ten times
     drawn = copula.sample(spark, copula.fit(rows, _NUMERIC, _CATEGORICAL), max(5000, rows.count()))
     ks = V.ks_statistic(rows, drawn, _NUMERIC).select(F.lit("ks").alias("measure"), "column", (F.col("ks") <= 0.05).alias("within"))
     tvd = V.category_distances(rows, drawn, _CATEGORICAL).select(F.lit("tvd").alias("measure"), "column", (F.col("tvd") <= 0.05).alias("within"))
