@@ -115,6 +115,55 @@ def test_unfinished_writes_are_not_seen_and_compaction_keeps_scores(spark, tmp_p
     same({(r.query_id, r.doc_id): r.score for r in made.search(ASKED, k=None).collect()}, before)
 
 
+def test_a_row_a_term_and_block_and_no_shuffle_of_texts(spark, tmp_path, monkeypatch):
+    import re
+    from collections import Counter
+
+    import wardline.operators.inverted as V
+
+    monkeypatch.setattr(V, "IN_BLOCK", 16)
+    rows = [(i, t) for i, t in texts(8, 3000) if t]
+    docs = frame(spark, rows).localCheckpoint()
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    Index(spark, f"{tmp_path}/i", parts=4).upsert(docs)
+    assert shuffled() - before < sum(len(t) for _, t in rows) / 10
+    counts = {i: Counter(re.findall(r"\w+", t.lower())) for i, t in rows}
+    stored, seen = spark.read.parquet(f"{tmp_path}/i/postings").collect(), {}
+    for r in stored:
+        assert len(r.ids) == r.df <= 16 and r.tf == max(r.tfs) and r.length == min(r.lengths)
+        for i, tf, length in zip(r.ids, r.tfs, r.lengths):
+            assert length == sum(counts[i].values())
+            seen[i, r.term] = tf
+    assert seen == {(i, w): n for i, c in counts.items() for w, n in c.items()} and sum(len(r.ids) for r in stored) == len(seen)
+    assert len({(r.term, r.block) for r in stored}) == len(stored)
+
+
+@pytest.mark.parametrize("few", [0, 10])
+def test_of_repeated_ids_the_least_text_stays(spark, tmp_path, monkeypatch, few):
+    import wardline.operators.inverted as V
+
+    monkeypatch.setattr(V, "FEW", few)
+    made = Index(spark, f"{tmp_path}/i", parts=2)
+    made.upsert(frame(spark, [(1, "b b"), (1, "a"), (2, "b"), (3, None), (3, "c")]))
+    assert sorted((r.id, r.term, r.tf) for r in made.postings(["a", "b", "c"]).collect()) == [(1, "a", 1), (2, "b", 1)]
+
+
+def test_blocks_end_after_many_words():
+    import pyarrow as pa
+
+    import wardline.operators.inverted as V
+
+    from unittest import mock
+
+    with mock.patch("pyspark.TaskContext.get", return_value=mock.Mock(partitionId=lambda: 3)):
+        given = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([["b", "a", "b"], [], ["c"] * 9, ["a"]])], ["id", "t"])
+        out = [x for b in V._counted(2, 256, 4)(iter([given])) for x in b.to_pylist()]
+    base = (2 << 40) + (3 << 20)
+    assert [(x["id"], x["length"], x["block"] - base, [(p["term"], p["tf"]) for p in x["t"]]) for x in out] == [
+        (2, 0, 0, []), (4, 1, 0, [("a", 1)]), (1, 3, 0, [("a", 1), ("b", 2)]), (3, 9, 1, [("c", 9)])]
+
+
 def vectors(seed, n, groups=12):
     rng = random.Random(seed)
     middles = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(groups)]

@@ -1,34 +1,108 @@
 """A stored inverted index for keyword search: postings by term, upserts, and block bounds that let a search stop early.
 
 The index is a folder of generations. A generation holds the postings of the documents that it added or
-changed, dealt to partitions by term and sorted, so a search reads the asked terms' partitions and row
-groups only; changes of document frequency; and what it replaced. Its facts are written last: readers
-see generations that have them, so a failed write is never seen.
+changed, one row a term and block of documents with its bounds, in folders by term and sorted, so a search reads
+the asked terms' folders and row groups only; changes of document frequency; and what it replaced. A task
+writes the blocks of the documents that it reads, so neither texts nor postings are shuffled. A generation's
+facts are written last: readers see generations that have them, so a failed write is never seen.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import text as X
-from wardline.functions.clinical import let
 from wardline.operators.retrieval import _tokens, top_k
 
 #: Replaced documents up to which their ids are broadcast (about 20 bytes each).
 FEW = 1_000_000
 
 
-#: Documents of a block, about, when the index is built.
-IN_BLOCK = 256
+#: Documents of a block, and words after which it ends before it has them.
+IN_BLOCK, WORDS = 256, 1_000_000
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def _firsts(key: np.ndarray) -> np.ndarray:
+    """Where the values of a sorted array change."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
+def _counted(gen: int, in_block: int, words: int = WORDS) -> Callable[[Batches], Batches]:
+    """(id, words) to (id, length, block, t): the different words of each document with their number, in order of the word.
+
+    Each Arrow batch's documents are dealt to blocks in order of length, so that a block's bounds are tight. A block is
+    numbered by generation, task and place, so no two blocks have the same number.
+    """
+
+    def count(batches: Batches) -> Batches:
+        from pyspark import TaskContext
+
+        block = (gen << 40) + (TaskContext.get().partitionId() << 20)
+        for b in batches:
+            ids, lists = b.column(0), b.column(1)
+            sizes = lists.value_lengths().to_numpy()
+            order = np.argsort(sizes, kind="stable")
+            ends, start = np.cumsum(sizes[order], dtype=np.int64), 0
+            while start < len(order):
+                full = np.searchsorted(ends, (ends[start - 1] if start else 0) + words, "right")
+                at = order[start : max(start + 1, min(start + in_block, int(full)))]
+                n, start = len(at), start + len(at)
+                coded = lists.take(pa.array(at)).flatten().dictionary_encode()
+                by_word = pc.array_sort_indices(coded.dictionary).to_numpy()
+                v = max(len(by_word), 1)
+                rank = np.empty(v, np.int64)
+                rank[by_word] = np.arange(len(by_word))
+                key = np.sort(np.repeat(np.arange(n), sizes[at]) * v + rank[coded.indices.to_numpy()])
+                first = _firsts(key)
+                terms = coded.dictionary.take(pa.array(by_word[key[first] % v]))
+                pairs = pa.StructArray.from_arrays([terms, pa.array(np.diff(first, append=len(key)).astype(np.int32))], ["term", "tf"])
+                t = pa.ListArray.from_arrays(pa.array(np.searchsorted(key[first] // v, np.arange(n + 1)).astype(np.int32)), pairs)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(sizes[at], pa.int32()), pa.array(np.full(n, block)), t], ["id", "length", "block", "t"])
+                block += 1
 
+    return count
 
-def counted(tokens: Column) -> Column:
-    """array<struct<term,tf>>: the different words with their number, in order of the word: sorted, and cut where they change."""
-    changes = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-    runs = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("tf")))
-    none = F.array().cast("array<struct<term: string, tf: int>>")
-    return let(F.array_sort(tokens), lambda s: F.when(F.size(s) > 0, let(changes(s), lambda at: runs(s, at))).otherwise(none))
+
+def _inverted(batches: Batches) -> Batches:
+    """(id, length, block, t) to a row a term and block: its largest tf, least length and number of documents, and their ids, tfs and lengths.
+
+    A block that is cut between batches has two rows of a term, which searches take together.
+    """
+    for whole in batches:
+        starts = [*_firsts(whole.column(2).to_numpy()), whole.num_rows]
+        for start, end in zip(starts, starts[1:]):
+            b = whole.slice(start, end - start)
+            ids, t = b.column(0), b.column(3)
+            pairs = t.flatten()
+            coded = pairs.field(0).dictionary_encode()
+            n = max(len(pairs), 1)
+            key = np.sort(coded.indices.to_numpy().astype(np.int64) * n + np.arange(len(pairs)))
+            code, place = key // n, key % n
+            first = _firsts(code)
+            if not len(first):
+                continue
+            doc = np.repeat(np.arange(b.num_rows), t.value_lengths().to_numpy())[place]
+            tfs, lengths = pairs.field(1).to_numpy()[place], b.column(1).to_numpy()[doc]
+            offsets = pa.array(np.append(first, len(key)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (ids.take(pa.array(doc)), pa.array(tfs), pa.array(lengths))]
+            bounds = [pa.array(np.maximum.reduceat(tfs, first)), pa.array(np.minimum.reduceat(lengths, first)), pa.array(np.diff(first, append=len(key)))]
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary.take(pa.array(code[first])), pa.array(np.full(len(first), b.column(2)[0].as_py())), *bounds, *lists], ["term", "block", "tf", "length", "df", "ids", "tfs", "lengths"])
+
+
+_BOUNDS, _DOCS = "term string, block long, tf int, length int, df long", "ids array<{}>, tfs array<int>, lengths array<int>"
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= FEW else ids
 
 
 class Index:
@@ -48,7 +122,7 @@ class Index:
 
     def _read(self, name: str) -> DataFrame:
         """A table of the index without what an unfinished write has left."""
-        columns = {"postings": "id {}, length int, block int, term string, tf int, gen int, part int", "bounds": "term string, block int, tf int, length int, df long, gen int, part int", "frequencies": "term string, df long, gen int, part int"}
+        columns = {"postings": f"{_BOUNDS}, {_DOCS}, gen int, part int", "frequencies": "term string, df long, gen int, part int"}
         reader = self.spark.read.schema(columns[name].format(self._id())) if name in columns else self.spark.read
         return reader.parquet(f"{self.folder}/{name}").where(F.col("gen").isin(self._generations()))
 
@@ -65,37 +139,43 @@ class Index:
         gen = made[-1] + 1 if made else 0
         place = lambda name: f"{self.folder}/{name}/gen={gen}"
         content = F.coalesce(docs[text].cast("string"), F.lit(""))
-        one = docs.where(docs[self.key].isNotNull()).select(docs[self.key].alias("id"), content.alias("text")).groupBy("id").agg(F.min("text").alias("text"))
-        lists = one.where(F.lit(not drop)).select("id", counted(X.tokens(F.col("text"))).alias("t"))
-        lists.select("id", F.aggregate("t", F.lit(0), lambda n, w: n + w["tf"]).alias("length"), "t").write.mode("overwrite").parquet(place("words"))
+        given = docs.where(docs[self.key].isNotNull()).select(docs[self.key].alias("id"), content.alias("text"))
+        words_of = lambda rows: rows.select("id", X.tokens(F.col("text")).alias("t"))
+        kind = given.schema["id"].dataType.simpleString()
+        lists = words_of(self._one_a_key(given).where(F.lit(not drop))).mapInArrow(_counted(gen, IN_BLOCK), f"id {kind}, length int, block long, t array<struct<term: string, tf: int>>")
+        lists.write.mode("overwrite").parquet(place("words"))
         words = self.spark.read.parquet(place("words"))
-        # A block has documents of like length, so that its bounds are tight; how many blocks a length has is settled when the index is built.
-        spread = self._read("facts").agg(F.max("spread")).first()[0] if made else max(1, min(4096, words.count() // (20 * IN_BLOCK)))
-        block = (F.floor(F.log2(F.greatest("length", F.lit(1)).cast("double")) * 2) * spread + F.pmod(F.xxhash64("id"), F.lit(spread))).cast("int")
-        rows = words.select("id", "length", block.alias("block"), F.explode("t").alias("w")).select("id", "length", "block", "w.term", "w.tf")
-        postings = rows.withColumn("part", self._part(F.col("term"))).repartition("part").sortWithinPartitions("part", "term", "block")
-        postings.write.mode("overwrite").partitionBy("part").parquet(place("postings"))
-        postings = self.spark.read.schema(f"id {self._id()}, length int, block int, term string, tf int, part int").parquet(place("postings"))
-        bounds = postings.groupBy("part", "term", "block").agg(F.max("tf").alias("tf"), F.min("length").alias("length"), F.count("*").alias("df"))
-        added = postings.groupBy("term").agg(F.count("*").alias("df"))
+        rows = words.select("id", "length", "block", "t").mapInArrow(_inverted, f"{_BOUNDS}, {_DOCS.format(kind)}")
+        rows.withColumn("part", self._part(F.col("term"))).sortWithinPartitions("part", "term", "block").write.mode("overwrite").partitionBy("part").parquet(place("postings"))
+        added = self.spark.read.schema("term string, df long, part int").parquet(place("postings")).select("term", "df")
         gone_n, gone_length = 0, 0
         if made:
-            live = self._live(self._read("words")).join(one.select("id"), "id", "left_semi")
+            live = self._live(self._read("words")).join(given.select("id"), "id", "left_semi")
             live.select("id", F.col("gen").alias("was")).write.mode("overwrite").parquet(place("gone"))
             gone = self.spark.read.parquet(place("gone")).withColumnRenamed("was", "gen")
-            old = self._read("words").join(gone, ["id", "gen"], "left_semi")
+            old = self._read("words").join(_few(gone), ["id", "gen"], "left_semi")
             facts = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("l")).first()
             gone_n, gone_length = facts.n, facts.l
             lost = old.select(F.explode("t.term").alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
-            added = added.unionByName(lost).groupBy("term").agg(F.sum("df").alias("df"))
+            added = added.unionByName(lost)
         else:
             words.select("id", F.lit(0).alias("was")).where("false").write.mode("overwrite").parquet(place("gone"))
-        bounds.repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(place("bounds"))
-        added.withColumn("part", self._part(F.col("term"))).repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(place("frequencies"))
-        sums = words.agg((F.count("*") - gone_n).alias("n"), (F.coalesce(F.sum("length"), F.lit(0)) - gone_length).alias("length"), F.lit(spread).alias("spread"))
+        added.groupBy(self._part(F.col("term")).alias("part"), "term").agg(F.sum("df").alias("df")).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(place("frequencies"))
+        sums = words.agg((F.count("*") - gone_n).alias("n"), (F.coalesce(F.sum("length"), F.lit(0)) - gone_length).alias("length"))
         sums.coalesce(1).write.mode("overwrite").parquet(place("facts"))
         return gen
 
+    def _one_a_key(self, given: DataFrame) -> DataFrame:
+        """Of rows (id, text) that repeat an id the least; only those are shuffled, or all if over FEW ids repeat."""
+        again = given.groupBy("id").count().where("count > 1").select("id")
+        n = again.count()
+        if not n:
+            return given
+        if n > FEW:
+            return given.groupBy("id").agg(F.min("text").alias("text"))
+        again = F.broadcast(again)
+        return given.join(again, "id", "left_anti").unionByName(given.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+
     def delete(self, ids: DataFrame) -> int:
         """Takes documents out by id; ids that the index doesn't have change nothing."""
         made = self._generations()
@@ -106,12 +186,16 @@ class Index:
     def _live(self, rows: DataFrame, key: str = "id") -> DataFrame:
         """`rows` (id, gen) of documents that no later generation replaced."""
         gone = self._read("gone").select(F.col("id").alias(key), F.col("was").alias("gen"))
-        return rows.join(F.broadcast(gone) if gone.count() <= FEW else gone, [key, "gen"], "left_anti")
+        return rows.join(_few(gone), [key, "gen"], "left_anti")
 
     def postings(self, terms: list[str]) -> DataFrame:
         """(id, term, tf, length, block) of the terms, of live documents; reads the terms' partitions only."""
-        rows = self._asked("postings", terms)
-        return self._live(rows).select("id", "term", "tf", "length", "block")
+        return self._listed(self._asked("postings", terms))
+
+    def _listed(self, rows: DataFrame) -> DataFrame:
+        """The postings of live documents in rows of blocks."""
+        each = rows.select(*[c for c in rows.columns if c not in ("tf", "length", "ids", "tfs", "lengths", "df")], F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("d"))
+        return self._live(each.select("*", F.col("d.ids").alias("id"), F.col("d.tfs").alias("tf"), F.col("d.lengths").alias("length"))).drop("d", "gen", "part")
 
     def _asked(self, name: str, terms: list[str]) -> DataFrame:
         places = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(self._part(F.col("t"))).distinct().collect()]
@@ -139,21 +223,21 @@ class Index:
         def scored(postings: DataFrame) -> DataFrame:
             return postings.join(F.broadcast(weights), "term").groupBy("query_id", F.col("id").alias(self.key)).agg(F.sum(impact).alias("score"))
 
-        everything = self.postings(vocabulary)
         if k is None:
-            return scored(everything)
+            return scored(self.postings(vocabulary))
         # A bound of a block holds for all generations together, and for documents that are gone.
-        bounds = self._asked("bounds", vocabulary).groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("length").alias("length"), F.sum("df").alias("df"))
+        stored = self._asked("postings", vocabulary)
+        bounds = stored.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("length").alias("length"), F.sum("df").alias("df"))
         promise = bounds.join(F.broadcast(weights), "term").groupBy("query_id", "block").agg(F.sum(impact).alias("bound"), F.max("df").alias("n"))
         first = top_k(promise.withColumnRenamed("bound", "score"), 8, by="query_id", tie="block").select("query_id", "block")
-        seeds = everything.join(F.broadcast(first), "block").join(F.broadcast(weights), ["query_id", "term"]).groupBy("query_id", "id").agg(F.sum(impact).alias("score"))
+        seeds = self._listed(stored.join(F.broadcast(first), "block")).join(F.broadcast(weights), ["query_id", "term"]).groupBy("query_id", "id").agg(F.sum(impact).alias("score"))
         least = top_k(seeds, k, by="query_id", tie="id").groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k)
         limits = {r.query_id: r.least for r in least.collect()}
         floors = self.spark.createDataFrame([(q, limits.get(q, 0.0)) for q in asked], "query_id int, least double")
         # Blocks that can reach the limit: as few as the table of blocks, a fraction of the documents.
         useful = promise.join(F.broadcast(floors), "query_id").where(F.col("bound") >= F.col("least") * (1 - 1e-9)).select("query_id", "block")
         self.useful_blocks = useful
-        rows = everything.join(useful, "block").join(F.broadcast(weights), ["query_id", "term"]).groupBy("query_id", F.col("id").alias(self.key)).agg(F.sum(impact).alias("score"))
+        rows = self._listed(stored.join(useful, "block")).join(F.broadcast(weights), ["query_id", "term"]).groupBy("query_id", F.col("id").alias(self.key)).agg(F.sum(impact).alias("score"))
         return top_k(rows, k, by="query_id", tie=self.key)
 
     def compact(self) -> int:
