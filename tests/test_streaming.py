@@ -116,6 +116,26 @@ def test_documents_not_seen_for_long_expire(spark, deliver):
     assert sorted((r.doc_id, r.change) for r in got.collect()) == [("a", "expired"), ("a", "new"), ("a", "new"), ("b", "expired"), ("b", "new"), ("c", "expired"), ("c", "new")]
 
 
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_state_is_kept_by_bucket(spark, tmp_path, deliver, buckets):
+    """Many documents, few values in the store; keys may be null, NaN or bytes, and those of a bucket expire one by one."""
+    day = lambda n: dt.datetime(2024, 1, 1 + n)
+    nan, schema = float("nan"), "doc_id double, hash string, at timestamp"
+    change = lambda s: state.track(s, late="0 seconds", ttl_seconds=3 * 86400, buckets=buckets)
+    keys = [None, nan, *map(float, range(200))]
+    deliver([(k, "1", day(0)) for k in keys], schema, change)
+    deliver([(k, "2" if k == 7 else "1", day(2)) for k in [None, nan, 7.0, 8.0]], schema, change)
+    got = deliver([(-1.0, "1", day(4))], schema, change)
+    some = [str(r.doc_id) for r in got.where("change = 'expired'").collect()]
+    assert sorted(some) == sorted(str(float(k)) for k in range(200) if k not in (7, 8))
+    assert got.where("change <> 'expired'").groupBy("change").count().orderBy("change").collect() == [("changed", 1), ("new", 203)]
+    rows = spark.read.format("statestore").load(f"{tmp_path}/s-state", stateVarName="kept")
+    assert rows.count() <= buckets
+    for _ in range(2):
+        out = deliver([(bytes([1, n]), "1", day(0)) for n in range(9)], "doc_id binary, hash string, at timestamp", lambda s: state.track(s, buckets=buckets), "b")
+    assert out.count() == 9
+
+
 def test_schedules_call_sources_when_due(spark, deliver):
     at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
     schema = "source string, every_seconds long, at timestamp"

@@ -1,13 +1,14 @@
 """Keyed state of streams: the last version of every document, and the times at which sources are due.
 
-State lives in the stream's store (RocksDB with changelogs), by key: a micro-batch reads and writes the
-keys that it has, whatever the history. Event-time timers end what was not seen for long, and call what
-is due.
+State lives in the stream's store (RocksDB with changelogs), by key, or by bucket of documents: a micro-batch
+reads and writes the buckets of the documents that it has. Event-time timers end what was not seen for long, and
+call what is due.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Hashable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -35,52 +36,77 @@ def keyed_store(spark: SparkSession, executor_mb: int = 64) -> Iterator[None]:
 
 
 class Tracker(StatefulProcessor):
-    """Of one document: the hash and number of its last version, and when it was seen. Emits at most one change a micro-batch."""
+    """Of a bucket's documents: the hash and number of the last version, and when it was seen. Emits at most one change of a document a micro-batch.
+
+    A bucket's documents are one value of the store, as each visit of the store costs Python about as much as hundreds of rows.
+    """
 
     def __init__(self, columns: list[str], key: str, digest: str, ttl_ms: int | None):
         self.columns, self.key, self.digest, self.ttl_ms = columns, key, digest, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "hash string, version bigint, seen bigint")
-
-    def _timed(self, seen: int) -> None:
+        self.kept = handle.getValueState("kept", "documents binary")
+
+    def _last(self) -> dict:
+        """{document: (key, hash, version, seen)}"""
+        value = self.kept.get()
+        return {} if value is None else pickle.loads(bytes(value[0]))
+
+    def _keep(self, last: dict) -> None:
+        if last:
+            self.kept.update((pickle.dumps(last, pickle.HIGHEST_PROTOCOL),))
+        else:
+            self.kept.clear()
         if self.ttl_ms is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer(seen // 1000 + self.ttl_ms)
+            if last:
+                self.handle.registerTimer(min(seen for *_, seen in last.values()) // 1000 + self.ttl_ms)
+
+    @staticmethod
+    def _same(key) -> Hashable:
+        """What is equal for equal keys."""
+        return bytes(key) if isinstance(key, bytearray) else "NaN" if isinstance(key, float) and key != key else key
 
     def _row(self, values: dict, change: str, version: int, replaces: int | None) -> Row:
         return Row(**{c: values.get(c) for c in self.columns}, change=change, version=version, replaces=replaces)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        at, digest, best = max(((r["__micros"], r[self.digest] or "", r) for r in rows if r["__micros"] is not None), key=lambda r: r[:2], default=(None, None, None))
-        if best is None:
-            return
-        old = self.last.get()
-        if old is not None and at < old[2]:
-            return  # an older delivery that comes late
-        if old is not None and digest == old[0]:
-            self.last.update((old[0], old[1], at))
-            self._timed(at)
+        best = {}
+        for r in rows:
+            at, digest, doc = r["__micros"], r[self.digest] or "", self._same(r[self.key])
+            if at is not None and (doc not in best or best[doc][:2] < (at, digest)):
+                best[doc] = (at, digest, r)
+        if not best:
             return
-        version = at if old is None else max(at, old[1] + 1)
-        self.last.update((digest, version, at))
-        self._timed(at)
-        yield self._row(best.asDict(), "new" if old is None else "changed", version, None if old is None else old[1])
+        last = self._last()
+        for doc, (at, digest, r) in best.items():
+            _, hash_, number, seen = last.get(doc, (None, None, None, None))
+            if seen is not None and at < seen:
+                continue  # an older delivery that comes late
+            if seen is not None and digest == hash_:
+                last[doc] = (r[self.key], hash_, number, at)
+                continue
+            version = at if seen is None else max(at, number + 1)
+            last[doc] = (r[self.key], digest, version, at)
+            yield self._row(r.asDict(), "new" if seen is None else "changed", version, number)
+        self._keep(last)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        old = self.last.get()
-        if old is None or old[2] // 1000 + self.ttl_ms > expiredTimerInfo.getExpiryTimeInMs():
-            return
-        self.last.clear()
-        yield self._row({self.key: key[0], self.digest: old[0]}, "expired", old[1] + 1, old[1])
+        last, reached, mark = self._last(), expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        for doc, (name, digest, number, seen) in list(last.items()):
+            due = seen // 1000 + self.ttl_ms
+            if due <= reached or due < mark:
+                del last[doc]
+                yield self._row({self.key: name, self.digest: digest}, "expired", number + 1, number)
+        self._keep(last)
 
     def close(self) -> None:
         pass
 
 
-def track(stream: DataFrame, key: str = "doc_id", digest: str = "hash", at: str = "at", late: str = "1 day", ttl_seconds: int | None = None) -> DataFrame:
+def track(stream: DataFrame, key: str = "doc_id", digest: str = "hash", at: str = "at", late: str = "1 day", ttl_seconds: int | None = None, buckets: int = 16384) -> DataFrame:
     """The changes in a stream of documents: its columns, `change`, `version`, `replaces`.
 
     Of the deliveries of a document in a micro-batch the last by `at` counts (of equal ones that with the
@@ -88,14 +114,16 @@ def track(stream: DataFrame, key: str = "doc_id", digest: str = "hash", at: str
     content is a change; a delivery older than the last, or without a time, is ignored. A version's number is
     its time in microseconds, and grows. With `ttl_seconds` a document that was not delivered for as long, by
     the watermark, is `expired` (other columns are null) and forgotten. Null keys are one document. Columns
-    named like the three give way. To be started within `keyed_store`.
+    named like the three give way. State is kept by bucket of documents (some 60 bytes each), and a micro-batch reads and
+    writes the buckets that it meets; `buckets` stays as it is over a stream's restarts. To be started within `keyed_store`.
     """
-    columns = [c for c in stream.columns if c.lower() not in ("change", "version", "replaces", "__micros")]
+    columns = [c for c in stream.columns if c.lower() not in ("change", "version", "replaces", "__micros", "__bucket")]
     stream = stream.select(*columns)
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in stream.schema.fields], T.StructField("change", T.StringType()), T.StructField("version", T.LongType()), T.StructField("replaces", T.LongType())])
     timed = stream.withWatermark(at, late) if ttl_seconds is not None else stream
     processor = Tracker(columns, key, digest, None if ttl_seconds is None else 1000 * ttl_seconds)
-    return timed.withColumn("__micros", F.unix_micros(F.col(at).cast("timestamp"))).groupBy(key).transformWithState(processor, schema, "Append", "None" if ttl_seconds is None else "EventTime")
+    dealt = timed.withColumn("__micros", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    return dealt.groupBy("__bucket").transformWithState(processor, schema, "Append", "None" if ttl_seconds is None else "EventTime")
 
 
 class Calendar(StatefulProcessor):
