@@ -211,6 +211,45 @@ def test_recall_on_the_table(spark, tmp_path):
     assert exact.count() == 10 * asked.count() and recall(index.search(asked, 10, own=False), exact) >= 0.9
 
 
+def test_a_query_goes_to_a_block_once(spark, tmp_path, monkeypatch):
+    """Probed cells that share a block are one row of a query, and its results are those of the probed cells alone."""
+    import numpy as np
+    import pandas as pd
+
+    import wardline.operators.vectors as V
+
+    monkeypatch.setattr(V, "SCORES", 500)
+    rows = [r for r in vectors(3, 900) if r[1] is not None]
+    index = VectorIndex(spark, f"{tmp_path}/v")
+    index.build(spark.createDataFrame(rows, "doc_id int, v array<double>").repartition(2), cells=30)
+    assert V._packed({0: 5, 1: 30, 2: 4, 3: 4, 4: 3}, 10) == [(0, 0, 1), (1, 1, 3), (2, 4, 1), (3, 4, 1), (4, 5, 1)]
+    given = pd.DataFrame({"query_id": [i for i, _ in rows[:300]], "v": [v for _, v in rows[:300]]})
+    counts = {r.cell: r["count"] for r in spark.read.parquet(f"{tmp_path}/v/vectors").groupBy("cell").count().collect()}
+    sent = pd.concat(index._sender(V._packed(counts, 300), 20)(iter([given])))
+    assert not sent.duplicated(["query_id", "block"]).any() and len(sent) <= 300 * (1 + max(first + parts for _, first, parts in V._packed(counts, 300)))
+    asked = spark.createDataFrame(given)
+    got = {}
+    for r in index.search(asked, 5, probes=4, own=False).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    cell = {r.id: r.cell for r in spark.read.parquet(f"{tmp_path}/v/vectors").select("id", "cell").collect()}
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-300)
+    near = {r.query_id: r.cells for b in index._placer(4)(iter([given])) for r in b.itertuples()}
+    for i, v in rows[:300]:
+        want = sorted((-round(float(unit(v) @ unit(w)), 9), j) for j, w in rows if j != i and cell[j] in near[i])[:5]
+        assert [-s for s, _ in want] == pytest.approx([s for _, _, s in sorted(got[i])], abs=1e-8)
+
+
+def test_best_scores_with_ties():
+    import numpy as np
+
+    from wardline.operators.vectors import _best
+
+    scores = np.array([[1.0, 2.0, 2.0, 2.0], [-np.inf, -np.inf, 3.0, 3.0], [0.0] * 4, [-np.inf] * 4])
+    row, column = _best(scores, 2)
+    assert list(zip(row.tolist(), column.tolist())) == [(0, 1), (0, 2), (1, 2), (1, 3), (2, 0), (2, 1)]
+    assert len(_best(scores, 9)[0]) == 10
+
+
 def test_no_vectors(spark, tmp_path):
     index = VectorIndex(spark, f"{tmp_path}/v")
     index.build(spark.createDataFrame([(1, None)], "doc_id int, v array<float>"))

@@ -1,8 +1,8 @@
 """A stored vector index: coarse cells by k-means, probes, exact rescoring, and an exact way.
 
 Centres are learnt from a bounded sample; every vector is stored in the cell of its nearest centre. A
-search sends each query to the cells whose centres are nearest, where it meets the cell's vectors in
-blocks: a cell that holds a third of all vectors, or of all queries, is many blocks.
+search sends each query to the cells whose centres are nearest. Cells are packed into blocks, and a query goes to a
+block once, with those of its cells that are there: a cell that holds a third of all vectors is many blocks.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from wardline.operators.retrieval import top_k
 
-#: Rows of a block on either side.
-BLOCK = 4096
+#: Rows of a block on either side at most, blocks of the vectors that a search aims at if they are small, and scores that are held at once.
+BLOCK, BLOCKS, SCORES = 16384, 48, 2_000_000
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -32,6 +32,29 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
+def _packed(counts: dict[int, int], most: int) -> list[tuple[int, int, int]]:
+    """(cell, first block, number of blocks): small cells share a block of about `most` rows, a larger cell has blocks of its own."""
+    out, block, filled = [], 0, 0
+    for cell, n in sorted(counts.items()):
+        parts = max(1, -(-n // most))
+        if filled and filled + n > most:
+            block, filled = block + 1, 0
+        out.append((cell, block, parts))
+        block, filled = (block + parts, 0) if parts > 1 else (block, filled + n)
+    return out
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the `k` best finite scores of each row; of equal ones the first."""
+    n = scores.shape[1]
+    least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+    row, column = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+    order = np.lexsort((column, -scores[row, column], row))
+    row, column = row[order], column[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], column[keep]
+
+
 class VectorIndex:
     """Vectors (id, v) of one dimension in a folder that executors share. Null vectors are left out."""
 
@@ -91,52 +114,83 @@ class VectorIndex:
 
         return place
 
+    def _sender(self, places: list[tuple[int, int, int]], probes: int | None):
+        """Queries (query_id, v) to a row for each block that has some of their `probes` nearest cells (or of cell 0), with those cells."""
+        placed = self._placer(probes) if probes else lambda batches: (b.assign(cells=[[0]] * len(b)) for b in batches)
+        n_cells = self.spark.read.parquet(f"{self.folder}/centres").count()
+        first, parts = np.zeros(n_cells, np.int64), np.zeros(n_cells, np.int64)  # a cell without vectors has no blocks
+        for c, block, n in places:
+            first[c], parts[c] = block, n
+        width = int((first + parts).max()) + 1
+
+        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in placed(batches):
+                for start in range(0, len(whole), 256):
+                    b = whole.iloc[start : start + 256]
+                    near = np.array(b["cells"].to_list(), np.int64)
+                    cells = near.ravel()
+                    times = parts[cells]
+                    part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    key = np.repeat(np.repeat(np.arange(len(b)), near.shape[1]), times) * width + np.repeat(first[cells], times) + part
+                    order = np.argsort(key, kind="stable")
+                    key, cells = key[order], np.repeat(cells, times)[order].astype(np.int32)
+                    if len(key):
+                        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                        out = b.iloc[key[starts] // width].drop(columns="cells")
+                        yield out.assign(block=(key[starts] % width).astype(np.int32), cells=np.split(cells, starts[1:]))
+
+        return send
+
     def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, metric: str = "cosine", key: str = "query_id", vector: str = "v", exact: bool = False, own: bool = True) -> DataFrame:
         """(query_id, id, score, rank): the `k` best of each query in its `probes` nearest cells, or with `exact` in all, by exact scores.
 
         Without `probes` as many are made as building found to be enough. A query with a null vector has no rows; with `own` false a query's own id is no answer. Ties go by
-        id. Each cell's vectors and queries are dealt to blocks of about BLOCK rows, every pair of a cell's blocks is one
-        matrix product, and only a block's k best go on.
+        id. Vectors are dealt to blocks of at most about BLOCK rows, whole cells where they fit, and queries likewise; every pair
+        of blocks is a few matrix products, and only a block's k best go on.
         """
         if self.spark.read.parquet(f"{self.folder}/centres").isEmpty():
             return queries.select(queries[key].alias("query_id"), queries[key].alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).where("false")
         stored = self.spark.read.parquet(f"{self.folder}/vectors")
         asked = queries.where(queries[vector].isNotNull()).select(queries[key].alias("query_id"), queries[vector].cast("array<double>").alias("v"))
+        counts = {r.cell: r["count"] for r in stored.groupBy("cell").count().collect()}  # at most 1024 rows
         if exact:
-            stored, asked = stored.withColumn("cell", F.lit(0)), asked.withColumn("cell", F.lit(0))
+            stored, counts = stored.withColumn("cell", F.lit(0)), {0: sum(counts.values())}
         else:
             probes = probes or self.spark.read.parquet(f"{self.folder}/tuning").first().probes
-            schema = T.StructType([*asked.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
-            asked = asked.mapInPandas(self._placer(probes), schema).select("query_id", "v", F.explode("cells").alias("cell"))
-        sides = stored.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("left")).join(asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("right")), "cell")
-        sides = F.broadcast(sides)  # a row a cell, at most 1024
-
-        def dealt(rows: DataFrame, id_col: str, mine: str, theirs: str) -> DataFrame:
-            """Each row in a block of its side, once for each block of the other."""
-            out = rows.join(sides, "cell").withColumn(f"b_{mine}", F.pmod(F.xxhash64(id_col), F.col(mine)).cast("int"))
-            return out.withColumn(f"b_{theirs}", F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))).drop("left", "right")
-
-        groups = ["cell", "b_left", "b_right"]
-        left, right = dealt(stored, "id", "left", "right"), dealt(asked, "query_id", "right", "left")
+        places = _packed(counts, min(BLOCK, max(1, -(-sum(counts.values()) // BLOCKS))))
+        sides = max(1, -(-asked.count() // BLOCK))
+        table = F.broadcast(self.spark.createDataFrame(places, "cell int, first int, parts int"))
+        left = stored.join(table, "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        left = left.select("id", "v", "cell", "block", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("side"))
+        fields = [*asked.schema.fields, T.StructField("block", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType()))]
+        right = asked.mapInPandas(self._sender(places, None if exact else probes), T.StructType(fields)).withColumn("side", F.pmod(F.xxhash64("query_id"), F.lit(sides)).cast("int"))
+        groups = ["block", "side"]
         kind = stored.schema["id"].dataType
         out = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
 
+        scores_at_once = SCORES
+
         def best(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
             if not len(rows) or not len(given):
                 return pd.DataFrame({"query_id": [], "id": [], "score": []})
             rows = rows.sort_values("id")
-            x, q, ids = _matrix(rows["v"]), _matrix(given["v"]), rows["id"].to_numpy()
+            x, q, ids, names = _matrix(rows["v"]), _matrix(given["v"]), rows["id"].to_numpy(), given["query_id"].to_numpy()
             if metric == "cosine":
                 x, q = _unit(x), _unit(q)
-            found = []
-            for at in range(0, len(q), 256):
-                scores = np.round(q[at : at + 256] @ x.T, 9)
+            here, cell = np.unique(rows["cell"].to_numpy(), return_inverse=True)
+            wanted = np.concatenate(given["cells"].to_list())
+            who, at = np.repeat(np.arange(len(q)), given["cells"].map(len).to_numpy()), np.minimum(np.searchsorted(here, wanted), len(here) - 1)
+            probed = np.zeros((len(q), len(here)), bool)
+            probed[who[here[at] == wanted], at[here[at] == wanted]] = True
+            found, step = [], max(1, scores_at_once // len(x))
+            for at in range(0, len(q), step):
+                scores = np.round(q[at : at + step] @ x.T, 9)
+                if not probed[at : at + step].all():
+                    scores[~probed[at : at + step][:, cell]] = -np.inf
                 if not own:
-                    scores[given["query_id"].to_numpy()[at : at + 256, None] == ids[None, :]] = -np.inf
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                for j, row in enumerate(top):
-                    keep = row[scores[j, row] > -np.inf]
-                    found.append(pd.DataFrame({"query_id": given["query_id"].iloc[at + j], "id": ids[keep], "score": scores[j, keep]}))
+                    scores[names[at : at + step, None] == ids[None, :]] = -np.inf
+                row, column = _best(scores, k)
+                found.append(pd.DataFrame({"query_id": names[at + row], "id": ids[column], "score": scores[row, column]}))
             return pd.concat(found)
 
         pairs = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(best, out)
