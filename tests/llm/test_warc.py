@@ -97,6 +97,15 @@ def test_pointer_jumping_equals_a_walk(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_long_chains_keep_the_plan_small(spark):
+    """The estimated size of what is reached stays a number of few digits, however many rounds it took."""
+    links = spark.range(300).selectExpr("'f' as file", "id * 5 as at", "id * 5 + 5 as to").union(spark.createDataFrame([("f", 7, 20)], "file string, at long, to long"))
+    got = warc.reachable(links)
+    size = got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size < 10**30
+    assert sorted(r["at"] for r in got.collect()) == [5 * i for i in range(300)]
+
+
 def test_no_pages(spark, tmp_path):
     path = f"{tmp_path}/{uuid.uuid4().hex}"
     warc.write_archive(spark.createDataFrame([], SCHEMA), path)

@@ -42,6 +42,18 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
+def renewed(df: DataFrame, folder: str, turn: int) -> DataFrame:
+    """`df` written below `folder` and read again: what a loop of joins keeps from one round, numbered `turn`, to the next.
+
+    A checkpoint keeps what its plan estimates of its size, for a join the product of both sides. In a loop the
+    digits of that number multiply with every round, until they fill the driver's memory; files have their real
+    size. Rounds take two paths by turns, so what the round before gave is there while this one is written.
+    """
+    path = f"{folder}/{turn % 2}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free(taken: list[str], *names: str) -> list[str]:
     """`names`, each with as many underscores more as it takes to clash with no column in `taken` (in any letter case)."""
     used, out = {t.lower() for t in taken}, []

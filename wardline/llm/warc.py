@@ -9,11 +9,13 @@ file then keeps what can be reached, in as many rounds as the logarithm of the l
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardline.llm.common import cut
+from wardline.llm.common import cut, renewed, shared_folder
 
 END = "\r\n\r\n"
 #: The reader's separator. Its first character does not come again, as Hadoop's reader may miss a separator with
@@ -158,13 +160,17 @@ def reachable(links: DataFrame) -> DataFrame:
     After k rounds every link leads 2^k records on, and the first 2^k records of a file are marked. A walk
     ends where `to` is no candidate. Offsets only grow, so there are no cycles; nulls lead nowhere.
     """
-    state = cut(links.select("file", "at", F.col("to").alias("jump"), (F.col("at") == 0).alias("seen")))
+    folder, turn = f"{shared_folder(links.sparkSession)}/reachable-{uuid.uuid4().hex}", 0
+    state = renewed(links.select("file", "at", F.col("to").alias("jump"), (F.col("at") == 0).alias("seen")), folder, turn)
     while not state.where("seen and jump is not null").isEmpty():
         onward = state.select("file", F.col("at").alias("jump"), F.col("jump").alias("next"), F.lit(True).alias("there"))
         marks = state.where("seen").select("file", F.col("jump").alias("at"), F.lit(True).alias("marked"))
-        state = cut(
-            state.join(onward, ["file", "jump"], "left").join(marks, ["file", "at"], "left")
-            .select("file", "at", F.when(F.col("there"), F.col("next")).alias("jump"), (F.col("seen") | F.coalesce("marked", F.lit(False))).alias("seen"))
+        turn += 1
+        # The files are far smaller than their rows in memory, so none of them may be broadcast by its size.
+        state = renewed(
+            state.join(onward.hint("merge"), ["file", "jump"], "left").join(marks.hint("merge"), ["file", "at"], "left")
+            .select("file", "at", F.when(F.col("there"), F.col("next")).alias("jump"), (F.col("seen") | F.coalesce("marked", F.lit(False))).alias("seen")),
+            folder, turn,
         )
     return state.where("seen").select("file", "at")
 
@@ -185,7 +191,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
     placed = _placed(narrow).where(F.col("opens") == (F.col("start") == 0)).withColumn("at", _at(F.col("start")))
     found = cut(placed.withColumn("to", F.col("at") + 7 + F.col("size")))
     fits = found.where("size is not null and to <= total")
-    chain = cut(fits.join(reachable(fits.select("file", "at", "to")), ["file", "at"]).select("file", "at", "to", "whole", *FIELDS))
+    chain = cut(fits.join(reachable(fits.select("file", "at", "to")).hint("merge"), ["file", "at"]).select("file", "at", "to", "whole", *FIELDS))
     whole, broken = chain.where("whole"), chain.where("not whole")
     if payloads:
         whole, broken = whole.where("false").withColumn("payload", F.lit(None).cast("binary")), chain
